@@ -23,6 +23,7 @@ from palisade.functions.text import (
     STRICT_ZONED_TIMESTAMP,
     ZONED_TIMESTAMP,
     as_column,
+    bind,
     calendar_ok,
     date_parts,
     is_empty_value,
@@ -36,37 +37,38 @@ class Mask:
     applied: Column
 
 
-def _guarded(cell: Column, trimmed: Column, masked: Column) -> Mask:
-    """A null `masked` leaves the cell as it was; empty cells are never masked."""
-    hit = F.coalesce(~is_empty_value(trimmed) & masked.isNotNull(), F.lit(False))
-    return Mask(F.when(hit, masked).otherwise(cell), hit)
+def _guarded(cell: Column, trimmed: Column, masked: Column, condition: Column | None = None) -> Mask:
+    """Mask the non-empty cells that meet the condition; all others stay as they were."""
+    hit = ~is_empty_value(trimmed)
+    if condition is not None:
+        hit = hit & condition
+    return Mask(F.when(hit, masked).otherwise(cell), F.coalesce(hit, F.lit(False)))
 
 
 def phone_mask(c: Column | str, strict: bool = False) -> Mask:
+    """Odd lengths stay unchanged unless `strict`, which redacts them."""
     cell = as_column(c).cast("string")
     trimmed = utrim(cell)
-    number = F.regexp_replace(trimmed, r"^\+", "")
-    number = F.when(number.startswith("86") & (F.octet_length(number) == 13), F.substr(number, F.lit(3))).otherwise(number)
+    # A country prefix is dropped only when exactly eleven digits remain.
+    number = F.regexp_replace(trimmed, r"^\+?86(?=[\x00-\x7F]{11}$)|^\+", "")
     size = F.length(number)
-    other = F.lit(REDACTED) if strict else F.lit(None).cast("string")
     masked = (
         F.when(size == 11, F.concat(F.substring(number, 1, 3), F.lit("****"), F.right(number, F.lit(4))))
         .when(size.between(7, 10), F.concat(F.substring(number, 1, 3), F.lit("*"), F.right(number, F.lit(4))))
         .when(size.between(3, 6), F.concat(F.substring(number, 1, 1), F.repeat(F.lit("*"), size - 1)))
-        .otherwise(other)
+        .otherwise(REDACTED)
     )
-    return _guarded(cell, trimmed, masked)
+    return _guarded(cell, trimmed, masked, None if strict else size.between(3, 11))
 
 
 def email_mask(c: Column | str) -> Mask:
     cell = as_column(c).cast("string")
     trimmed = utrim(cell)
-    domain = F.substring_index(trimmed, "@", -1)
-    local_size = F.length(trimmed) - F.length(domain) - 1
-    masked = F.when(~trimmed.contains("@"), F.concat(F.substring(trimmed, 1, 1), F.lit("***"))).when(
-        local_size > 0, F.concat(F.substring(trimmed, 1, 1), F.lit("***@"), domain)
-    )
-    return _guarded(cell, trimmed, masked)
+    masked = F.when(
+        trimmed.contains("@"),
+        F.concat(F.substring(trimmed, 1, 1), F.lit("***@"), F.substring_index(trimmed, "@", -1)),
+    ).otherwise(F.concat(F.substring(trimmed, 1, 1), F.lit("***")))
+    return _guarded(cell, trimmed, masked, ~trimmed.rlike("^@[^@]*$"))
 
 
 def idcard_mask(c: Column | str) -> Mask:
@@ -99,8 +101,8 @@ def ip_mask(c: Column | str) -> Mask:
     trimmed = utrim(cell)
     parsed = address(trimmed)
     masked = (
-        F.when(parsed.is_v4, F.concat(parsed.v4_first, F.lit("."), parsed.v4_second, F.lit(".*.*")))
-        .when(parsed.is_v6, F.concat(parsed.v6_first, F.lit(":"), parsed.v6_second, F.lit(":****")))
+        F.when(parsed.is_v4, F.concat(parsed.v4_head, F.lit(".*.*")))
+        .when(parsed.is_v6, F.concat(parsed.v6_head, F.lit(":****")))
         .otherwise(REDACTED)
     )
     return _guarded(cell, trimmed, masked)
@@ -160,36 +162,50 @@ def fingerprint_version(c: Column | str) -> Column:
 
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_PLAIN_NUMBER = r"^([+-]?)([0-9]{1,18})(?:\.([0-9]*))?$"
 _MAX_INT_DIGITS = 20
 
 
-def floor_integer(trimmed: Column) -> Column:
-    """floor() of decimal text as DECIMAL(38,0), exact for any exponent within +-1000.
-
-    The text's digits are shifted by the exponent as text, so no value ever passes through a
-    double. NULL means not a number, or further out than any 64-bit bucket bound.
-    """
+def _shifted_floor(trimmed: Column) -> Column:
+    """floor() of any decimal text by moving its point as text, exact for exponents within +-1000."""
     is_number = trimmed.rlike(_NUMBER) & (F.octet_length(trimmed) <= 128)
-    negative = trimmed.startswith("-")
     mantissa = F.regexp_replace(trimmed, r"^[+-]|[eE].*$", "")
-    exponent_text = F.regexp_extract(trimmed, r"[eE]([+-]?[0-9]+)$", 1)
-    exponent = F.when(exponent_text == "", F.lit(0)).otherwise(exponent_text.try_cast("bigint")).cast("bigint")
-    whole = F.substring_index(mantissa, ".", 1)
-    digits = F.regexp_replace(mantissa, r"\.", "")
-    point = (F.length(whole) + exponent).cast("int")
-    exponent_ok = exponent.between(-1000, 1000)
-    point = F.when(is_number & exponent_ok, point)
-    kept = F.when(point <= 0, F.lit("0")).when(
-        point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)))
-    ).otherwise(F.substr(digits, F.lit(1), point))
-    dropped = F.when(point <= 0, digits).when(point >= F.length(digits), F.lit("")).otherwise(F.substr(digits, point + 1))
-    significant = F.regexp_replace(kept, "^0+", "")
-    magnitude = F.when(
-        F.length(significant) <= _MAX_INT_DIGITS,
-        F.when(significant == "", F.lit("0")).otherwise(significant).try_cast("decimal(38,0)"),
+    exponent = F.coalesce(F.nullif(F.regexp_extract(trimmed, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")), F.lit("0")).try_cast("bigint")
+    shape = F.struct(
+        F.regexp_replace(mantissa, r"\.", "").alias("digits"),
+        F.when(
+            is_number & exponent.between(-1000, 1000), F.length(F.substring_index(mantissa, ".", 1)) + exponent
+        ).cast("int").alias("point"),
     )
-    rounds_down = negative & dropped.rlike("[1-9]")
-    return (F.when(negative, -magnitude).otherwise(magnitude) - rounds_down.cast("int").cast("decimal(1,0)")).cast("decimal(38,0)")
+
+    def split(s: Column) -> Column:
+        digits, point = s["digits"], F.least(s["point"], F.lit(1200))
+        return F.struct(
+            F.regexp_replace(F.when(point <= 0, "").otherwise(F.rpad(F.substr(digits, F.lit(1), point), point, F.lit("0"))), "^0+", "").alias("kept"),
+            F.when(point <= 0, digits).otherwise(F.substr(digits, point + 1)).rlike("[1-9]").alias("dropped"),
+            point.alias("point"),
+        )
+
+    def assemble(s: Column) -> Column:
+        fits = s["point"].isNotNull() & (F.length(s["kept"]) <= _MAX_INT_DIGITS)
+        size = F.when(fits, F.concat(F.lit("0"), s["kept"]).try_cast("decimal(21,0)"))
+        below = F.when(s["dropped"], F.lit(1)).otherwise(0).cast("decimal(1,0)")
+        return F.when(trimmed.startswith("-"), -size - below).otherwise(size).cast("decimal(22,0)")
+
+    return bind(bind(shape, split), assemble)
+
+
+def floor_integer(trimmed: Column) -> Column:
+    """floor() of decimal text as DECIMAL(22,0); no value ever passes through a double.
+
+    NULL means not a number, or further out than any 64-bit bucket bound. Plain numbers take
+    the short way; long ones and exponents have their digits shifted as text.
+    """
+    whole = F.concat(F.regexp_extract(trimmed, _PLAIN_NUMBER, 1), F.regexp_extract(trimmed, _PLAIN_NUMBER, 2))
+    below = trimmed.startswith("-") & F.regexp_extract(trimmed, _PLAIN_NUMBER, 3).rlike("[1-9]")
+    plain = (whole.try_cast("bigint") - below.cast("int")).cast("decimal(22,0)")
+    is_plain = trimmed.rlike(_PLAIN_NUMBER) & (F.octet_length(trimmed) <= 128)
+    return F.when(is_plain, plain).otherwise(_shifted_floor(trimmed))
 
 
 _INT64_MIN = "-9223372036854775808"
@@ -204,15 +220,18 @@ def bucket_mask(c: Column | str, width: int, offset: int = 0) -> Mask:
         return _guarded(cell, trimmed, F.lit(REDACTED))
     step = F.lit(str(width)).cast("decimal(20,0)")
     shift = F.lit(str(offset)).cast("decimal(20,0)")
-    value = floor_integer(trimmed).cast("decimal(22,0)")
-    low = (value - F.pmod(value - shift, step)).cast("decimal(24,0)")
-    high = (low + step).cast("decimal(25,0)")
     lo_bound, hi_bound = F.lit(_INT64_MIN).cast("decimal(20,0)"), F.lit(_INT64_MAX).cast("decimal(20,0)")
-    inside = (low >= lo_bound) & (low <= hi_bound) & (high >= lo_bound) & (high <= hi_bound)
-    masked = F.when(
-        inside, F.concat(F.lit("["), low.cast("string"), F.lit(","), high.cast("string"), F.lit(")"))
-    ).otherwise(REDACTED)
-    return _guarded(cell, trimmed, masked)
+
+    def text(low: Column) -> Column:
+        high = low + step
+        inside = (low >= lo_bound) & (high <= hi_bound)
+        return F.coalesce(
+            F.when(inside, F.concat(F.lit("["), low.cast("string"), F.lit(","), high.cast("string"), F.lit(")"))),
+            F.lit(REDACTED),
+        )
+
+    low = bind(floor_integer(trimmed), lambda value: (value - F.pmod(value - shift, step)).cast("decimal(24,0)"))
+    return _guarded(cell, trimmed, bind(low, text))
 
 
 GRANULARITIES = ("year", "quarter", "month")

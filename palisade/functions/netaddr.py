@@ -1,4 +1,8 @@
-"""IP and CIDR text as native expressions: validity, leading bytes, and v4-mapped addresses."""
+"""IP and CIDR text as native expressions: validity, leading bytes, and v4-mapped addresses.
+
+Only the first 32 bits are ever shown, so patterns read them straight from the text: what
+'::' stands for matters only when it comes first.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_V4 = rf"{_OCTET}(\.{_OCTET}){{3}}"
-_V4_BITS = r"(/(3[0-2]|[12]?[0-9]))?"
-_V6_BITS = r"/(12[0-8]|1[01][0-9]|[1-9]?[0-9])$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_V4_CELL = rf"^{_V4}(?:/(?:3[0-2]|[12]?[0-9]))?$"
+
+_H = "[0-9a-fA-F]{1,4}"
+_TAIL = rf"(?:{_H}:{_H}|{_V4})"  # the last 32 bits, as two groups or dotted
+# Eight groups without '::', or '::' with up to seven groups around it.
+_V6 = "|".join(
+    [rf"(?:{_H}:){{6}}{_TAIL}"]
+    + [
+        (rf"{_H}(?::{_H}){{{left - 1}}}" if left else "") + "::" + right
+        for left in range(8)
+        for right in (
+            [rf"(?:(?:{_H}:){{0,{5 - left}}}{_TAIL}|{_H})?"] if left <= 5 else [rf"(?:{_H})?"] if left == 6 else [""]
+        )
+    ]
+)
+_V6_CELL = rf"^(?:{_V6})(?:/(?:12[0-8]|1[01][0-9]|[1-9]?[0-9]))?$"
+
+# v4-mapped forms: five zero groups, ffff, then 32 bits.
+_MAPPED_DOTTED = rf"^[0:]+:[fF]{{4}}:({_OCTET})\.({_OCTET})\."
+_MAPPED_GROUPS = rf"^[0:]+:[fF]{{4}}:({_H}):{_H}(?:/|$)"
+_MAPPED_TRAILING_GAP = r"^(?:0{1,4}:){5}[fF]{4}:([0-9a-fA-F]{0,4})::?[0-9a-fA-F]{0,4}(?:/|$)"
+_SEVEN_AFTER_GAP = rf"^::({_H})(?::{_H}){{6}}(?:/|$)"
+_SEVEN_AFTER_GAP_DOTTED = rf"^::({_H})(?::{_H}){{4}}:{_OCTET}\."
 
 
 @dataclass(frozen=True)
@@ -19,61 +44,46 @@ class Address:
 
     is_v4: Column
     is_v6: Column
-    v4_first: Column
-    v4_second: Column
-    v6_first: Column
-    v6_second: Column
+    v4_head: Column
+    v6_head: Column
 
     @property
     def ok(self) -> Column:
         return self.is_v4 | self.is_v6
 
 
-def _hextets(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
-
-
-def _hex_value(group: Column) -> Column:
-    return F.conv(group, 16, 10).try_cast("int")
+def _hextet(text: Column) -> Column:
+    return F.lpad(F.lower(text), 4, "0")
 
 
 def address(trimmed: Column) -> Address:
-    """Parse one trimmed cell. Zones and malformed text match neither family."""
-    plain_v4 = trimmed.rlike(f"^{_V4}{_V4_BITS}$")
-    octets = F.split(F.when(plain_v4, trimmed), r"[./]")
-
-    # Work on the v6 branch only where a colon exists; every step stays null elsewhere.
-    body = F.when(
-        trimmed.contains(":") & ~trimmed.contains(":::") & trimmed.rlike(r"^[0-9A-Fa-f:.]+(/[0-9]+)?$")
-        & (~trimmed.contains("/") | trimmed.rlike(_V6_BITS)),
-        F.lower(F.regexp_replace(trimmed, r"/[0-9]+$", "")),
+    """Read one trimmed cell. Zones and malformed text match neither family."""
+    plain_v4 = trimmed.rlike(_V4_CELL)
+    any_v6 = trimmed.contains(":") & trimmed.rlike(_V6_CELL)
+    mapped = any_v6 & (
+        trimmed.rlike(_MAPPED_DOTTED) | trimmed.rlike(_MAPPED_GROUPS) | trimmed.rlike(_MAPPED_TRAILING_GAP)
+    )
+    mapped_group = F.concat(
+        F.regexp_extract(trimmed, _MAPPED_GROUPS, 1), F.regexp_extract(trimmed, _MAPPED_TRAILING_GAP, 1)
+    )
+    mapped_hex = F.lpad(mapped_group, 4, "0")
+    mapped_head = F.when(
+        trimmed.rlike(_MAPPED_DOTTED),
+        F.concat(F.regexp_extract(trimmed, _MAPPED_DOTTED, 1), F.lit("."), F.regexp_extract(trimmed, _MAPPED_DOTTED, 2)),
+    ).otherwise(
+        F.concat(
+            F.conv(F.substring(mapped_hex, 1, 2), 16, 10), F.lit("."), F.conv(F.substring(mapped_hex, 3, 2), 16, 10)
+        )
     )
-    dotted = F.regexp_extract(body, rf":({_V4})$", 1)
-    quad = F.split(F.when(dotted != "", dotted), r"\.")
-    quad_hex = [F.lpad(F.lower(F.hex(quad[i].try_cast("int"))), 2, "0") for i in range(4)]
-    folded = F.when(
-        dotted != "",
-        F.concat(F.regexp_replace(body, r"[0-9.]+$", ""), quad_hex[0], quad_hex[1], F.lit(":"), quad_hex[2], quad_hex[3]),
-    ).otherwise(body)
-    gaps = F.size(F.split(folded, "::")) - 1
-    head = _hextets(F.substring_index(folded, "::", 1))
-    tail = F.when(gaps == 1, _hextets(F.substring_index(folded, "::", -1))).otherwise(F.array().cast("array<string>"))
-    written = F.size(head) + F.size(tail)
-    shape_ok = F.when(gaps == 0, written == 8).when(gaps == 1, written <= 7).otherwise(False)
-    groups = F.when(
-        shape_ok, F.concat(head, F.array_repeat(F.lit("0"), F.lit(8) - written), tail)
+    after_gap = F.concat(
+        F.regexp_extract(trimmed, _SEVEN_AFTER_GAP, 1), F.regexp_extract(trimmed, _SEVEN_AFTER_GAP_DOTTED, 1)
     )
-    groups_ok = F.array_join(groups, ":").rlike(r"^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$")
-    values = [_hex_value(F.get(groups, F.lit(i))) for i in range(8)]
-    mapped = (values[0] + values[1] + values[2] + values[3] + values[4] == 0) & (values[5] == 0xFFFF)
-    v6_text = F.coalesce(groups_ok, F.lit(False))
-    mapped_ok = v6_text & F.coalesce(mapped, F.lit(False))
-    is_plain = F.coalesce(plain_v4, F.lit(False))
+    first = F.regexp_extract(trimmed, f"^({_H}):", 1)
+    second = F.regexp_extract(trimmed, f"^{_H}:({_H})", 1)
+    v6_head = F.concat(_hextet(first), F.lit(":"), _hextet(F.when(first == "", after_gap).otherwise(second)))
     return Address(
-        is_v4=is_plain | mapped_ok,
-        is_v6=v6_text & ~mapped_ok,
-        v4_first=F.when(is_plain, F.get(octets, F.lit(0))).otherwise(F.shiftright(values[6], 8).cast("string")),
-        v4_second=F.when(is_plain, F.get(octets, F.lit(1))).otherwise(values[6].bitwiseAND(255).cast("string")),
-        v6_first=F.lpad(F.get(groups, F.lit(0)), 4, "0"),
-        v6_second=F.lpad(F.get(groups, F.lit(1)), 4, "0"),
+        is_v4=F.coalesce(plain_v4 | mapped, F.lit(False)),
+        is_v6=F.coalesce(any_v6 & ~mapped, F.lit(False)),
+        v4_head=F.when(plain_v4, F.substring_index(trimmed, ".", 2)).otherwise(mapped_head),
+        v6_head=v6_head,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it many times inside `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utrim(c: Column | str) -> Column:
     """Trim Unicode white space (SQL trim only removes blanks)."""
     return F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")

@@ -141,3 +141,91 @@ def datasources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def from_audit(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run one of the audit-derived view texts over the audit log."""
     return select_over(spark, text, "audit_log", audit_log(spark, sf_dir))
+
+
+# Cells with identity numbers, dates and amounts as text; every shape a mask has to meet.
+CELLS_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 'unknown'
+  WHEN c_custkey % 7 = 0 THEN concat('110105', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), '0812', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'))
+  ELSE concat('110105', CAST(1950 + c_custkey % 60 AS STRING), lpad(CAST(1 + c_custkey % 12 AS STRING), 2, '0'),
+   lpad(CAST(1 + c_custkey % 30 AS STRING), 2, '0'), lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'),
+   CASE c_custkey % 11 WHEN 10 THEN 'x' ELSE CAST(c_custkey % 11 AS STRING) END) END AS id_text,
+ CASE c_custkey % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN concat(CAST(1900 + c_custkey % 130 AS STRING), '-02-29')
+  WHEN 2 THEN concat(CAST(1900 + c_custkey % 130 AS STRING), '/06/15') WHEN 3 THEN concat(CAST(1900 + c_custkey % 130 AS STRING), '0704')
+  WHEN 4 THEN concat(CAST(1900 + c_custkey % 130 AS STRING), '-11-05 08:30:00') ELSE '' END AS born,
+ CASE WHEN c_custkey % 10 = 0 THEN 'none' ELSE CAST(c_acctbal AS STRING) END AS amount,
+ CASE WHEN c_custkey % 9 = 0 THEN 'NULL' ELSE concat('138', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS phone,
+ CASE c_custkey % 5 WHEN 0 THEN concat('2001:db8:', CAST(c_custkey % 10 AS STRING), '::1')
+  WHEN 1 THEN concat('10.', CAST(c_custkey % 256 AS STRING), '.0.7/24') WHEN 2 THEN concat('300.1.1.', CAST(c_custkey % 10 AS STRING))
+  WHEN 3 THEN concat('::ffff:10.', CAST(c_custkey % 256 AS STRING), '.9.9') ELSE concat('192.168.', CAST(c_custkey % 256 AS STRING), '.1') END AS ip_text
+ FROM customer"""
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_over(spark, CELLS_SQL, "customer", load(spark, sf_dir, "customer"))
+
+
+# A catalog of column names made from the part table: schema, table, name, ordinal and comment.
+COLUMNS_SQL = """SELECT p_partkey AS column_id, concat('s', CAST(p_size % 3 AS STRING)) AS schema_name,
+ concat('t', CAST(p_partkey % 40 AS STRING)) AS table_name, CAST(p_partkey AS INT) AS ordinal,
+ concat(CASE p_partkey % 5 WHEN 0 THEN 'cust_' WHEN 1 THEN 'home' WHEN 2 THEN '' WHEN 3 THEN 'user2' ELSE 'BILLING_' END,
+  CASE p_size % 17 WHEN 0 THEN 'PhoneNumber' WHEN 1 THEN 'email_address' WHEN 2 THEN 'id_card' WHEN 3 THEN 'cardNo' WHEN 4 THEN 'clientIP'
+   WHEN 5 THEN 'BirthDate' WHEN 6 THEN 'created_at' WHEN 7 THEN 'TotalAmount' WHEN 8 THEN 'FullName' WHEN 9 THEN 'remark' WHEN 10 THEN 'Mobile'
+   WHEN 11 THEN 'tel' WHEN 12 THEN 'status' WHEN 13 THEN 'IPAddress' WHEN 14 THEN 'price_date' WHEN 15 THEN 'name_email' ELSE 'code' END) AS column_name,
+ p_type AS comment FROM part"""
+
+
+def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_over(spark, COLUMNS_SQL, "part", load(spark, sf_dir, "part"))
+
+
+# Result columns of logged queries with their sources, seven per query, one per order.
+RESULT_COLUMNS_SQL = """SELECT CAST(floor(o_orderkey / 7) AS BIGINT) AS query_id, CAST(o_orderkey % 7 AS INT) AS output_index,
+ CASE p % 6 WHEN 0 THEN 'phone' WHEN 1 THEN '"Email"' WHEN 2 THEN 'total' WHEN 3 THEN 'card_no' WHEN 4 THEN 'mobile' ELSE 'note' END AS result_name,
+ CASE WHEN o_custkey % 4 = 0 THEN 'crm' WHEN o_custkey % 4 = 1 THEN 'shop' ELSE '' END AS source_schema,
+ CASE WHEN o_custkey % 5 < 3 THEN concat('t', CAST(o_custkey % 3 AS STRING)) ELSE '' END AS source_table,
+ CASE WHEN p % 7 = 0 THEN '' ELSE CASE p % 4 WHEN 0 THEN 'phone' WHEN 1 THEN 'email' WHEN 2 THEN 'card_no' ELSE 'note' END END AS source_column,
+ CASE WHEN o_custkey % 2 = 0 THEN 'crm' ELSE 'hr' END AS possible_schema,
+ concat('t', CAST(o_custkey % 4 AS STRING)) AS possible_table
+ FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) AS priced"""
+
+# Mask rules as a small fixed dimension; '' in schema or table means "any".
+RULES_SQL = """SELECT * FROM (VALUES
+ ('r1', '', '', 'phone', 'phone', 'mask'), ('r2', '', '', 'email', 'email', 'hash'),
+ ('r3', 'crm', 't0', 'phone', 'phone', 'block'), ('r4', '', 't1', 'email', 'email', 'mask'),
+ ('r5', 'crm', 't2', 'card_no', 'bankcard', 'mask'), ('r6', '', 't0', 'note', 'generic', 'block'),
+ ('r7', '', 't3', 'total', 'number', 'range'), ('r8', 'hr', 't2', 'phone', 'idcard', 'mask'))
+ AS v(rule_id, schema_name, table_name, column_name, sensitive_type, algorithm)"""
+
+
+def result_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = select_over(spark, RESULT_COLUMNS_SQL, "orders", load(spark, sf_dir, "orders"))
+    relation = F.struct(F.col("possible_schema").alias("schema_name"), F.col("possible_table").alias("table_name"))
+    return flat.withColumn("possible_relations", F.array(relation)).drop("possible_schema", "possible_table")
+
+
+def mask_rules(spark: SparkSession) -> DataFrame:
+    return spark.sql(RULES_SQL)
+
+
+# Lineage of logged outputs: one row per dependency of an output's arm, six orders making one query.
+LINEAGE_SQL = """SELECT query_id, slot % 3 AS output_index, CAST(floor(slot / 3) AS INT) AS arm_index, d AS dep_index,
+ CASE (query_id + slot % 3) % 9 WHEN 0 THEN 'phone' WHEN 1 THEN 'email' WHEN 2 THEN 'total' ELSE 'x' END AS result_name,
+ CASE q % 10 WHEN 7 THEN 'transparent' WHEN 8 THEN 'aggregate' WHEN 9 THEN 'constant' WHEN 6 THEN 'opaque' WHEN 5 THEN 'composite' ELSE 'direct' END AS kind,
+ CASE WHEN q % 10 = 8 THEN 'aggregate:count' WHEN q % 20 = 7 THEN 'concat_empty' WHEN q % 10 = 7 THEN 'coalesce_null' ELSE '' END AS operation,
+ CASE WHEN q % 10 IN (8, 9) THEN 'source_free' WHEN q % 17 = 0 THEN 'unresolved' ELSE 'resolved' END AS status,
+ CASE WHEN has_dep THEN CASE q % 4 WHEN 0 THEN 'crm' ELSE '' END END AS dep_schema,
+ CASE WHEN has_dep THEN concat('t', CAST(q % 5 AS STRING)) END AS dep_table,
+ CASE WHEN has_dep THEN CASE (query_id + d) % 6 WHEN 0 THEN 'phone' WHEN 1 THEN 'email' WHEN 2 THEN 'card_no' WHEN 3 THEN 'total' ELSE 'x' END END AS dep_column,
+ CASE WHEN has_dep THEN CASE WHEN q % 19 = 0 THEN 'filter' ELSE 'value' END END AS dep_role,
+ CASE WHEN q % 3 = 0 THEN 'crm' ELSE 'hr' END AS possible_schema, concat('t', CAST(q % 6 AS STRING)) AS possible_table
+ FROM (SELECT *, q % 10 NOT IN (6, 8, 9) AS has_dep FROM dependencies) AS numbered"""
+DEPENDENCIES_SQL = """SELECT CAST(floor(o_orderkey / 6) AS BIGINT) AS query_id, CAST(o_orderkey % 6 AS INT) AS slot,
+ CAST(CAST(floor(o_totalprice) AS BIGINT) % 60 AS INT) AS q, d FROM (
+ SELECT *, 0 AS d FROM orders UNION ALL SELECT *, 1 AS d FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) % 15 = 4) AS both_rows"""
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = select_over(spark, DEPENDENCIES_SQL, "orders", load(spark, sf_dir, "orders"))
+    flat = select_over(spark, LINEAGE_SQL, "dependencies", rows)
+    relation = F.struct(F.col("possible_schema").alias("schema_name"), F.col("possible_table").alias("table_name"))
+    return flat.withColumn("possible_relations", F.array(relation)).drop("possible_schema", "possible_table")
