@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from palisade.plans import audit_queries, mask_queries  # noqa: F401
+from palisade.plans import audit_queries, discover_queries, mask_queries  # noqa: F401
 from palisade.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]
