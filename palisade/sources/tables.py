@@ -229,3 +229,19 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = select_over(spark, LINEAGE_SQL, "dependencies", rows)
     relation = F.struct(F.col("possible_schema").alias("schema_name"), F.col("possible_table").alias("table_name"))
     return flat.withColumn("possible_relations", F.array(relation)).drop("possible_schema", "possible_table")
+
+
+# Policies made from parts: patterns of every level, some denies, some column grants.
+POLICIES_SQL = """SELECT lpad(CAST(p_partkey AS STRING), 8, '0') AS policy_id, CASE WHEN p_partkey % 2 = 0 THEN 't0' ELSE 't1' END AS tenant_id,
+ concat('agent-', CAST(p_partkey % 20 AS STRING)) AS agent_id, concat('ds-', CAST(p_size % 5 AS STRING)) AS datasource_id,
+ CASE WHEN p_partkey % 7 = 3 THEN 'column' ELSE 'table' END AS object_type,
+ CASE WHEN p_partkey % 7 = 3 THEN CASE p_size % 2 WHEN 0 THEN 'sales.orders' ELSE 'sales.lineitem' END
+  ELSE CASE p_size % 11 WHEN 0 THEN '*' WHEN 1 THEN 'sales.*' WHEN 2 THEN 'hr.salaries' WHEN 3 THEN 'events' WHEN 4 THEN 'sales.orders'
+   WHEN 5 THEN 'sales.lineitem' WHEN 6 THEN 'sales.customer' ELSE concat('x.t', CAST(p_size AS STRING)) END END AS object_name,
+ CASE WHEN p_partkey % 7 = 3 THEN CASE p_size % 3 WHEN 0 THEN 'o_orderkey, o_custkey' WHEN 1 THEN 'o_orderkey' ELSE 'o_totalprice,l_tax' END END AS columns,
+ CAST(NULL AS STRING) AS row_filter,
+ CASE WHEN p_partkey % 7 <> 3 AND p_partkey % 31 = 0 THEN 'deny' ELSE 'allow' END AS action, CAST(p_size AS INT) AS revision FROM part"""
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_over(spark, POLICIES_SQL, "part", load(spark, sf_dir, "part"))
