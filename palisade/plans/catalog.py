@@ -1,6 +1,14 @@
 """Imports every query module, so that the registry is complete."""
 
-from palisade.plans import audit_queries, discover_queries, governed_queries, mask_queries, policy_queries  # noqa: F401
+from palisade.plans import (  # noqa: F401
+    audit_queries,
+    discover_queries,
+    governed_queries,
+    integrity_queries,
+    lineage_queries,
+    mask_queries,
+    policy_queries,
+)
 from palisade.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

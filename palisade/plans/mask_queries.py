@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from palisade.functions import masks as m
@@ -234,7 +232,3 @@ GROUP BY 1, 2""", f"candidates AS ({_CANDIDATES})"))
 def meet_masks(spark, d):
     return r.meet_masks(t.select_over(spark, _CANDIDATES, "orders", t.load(spark, d, "orders")))
 
-
-def key_commitment(material: bytes, domain: bytes = b"palisade:commitment\x00") -> str:
-    """Public commitment of key material for a key registry."""
-    return hashlib.sha256(domain + material).hexdigest()
