@@ -11,26 +11,31 @@ from palisade.operators.redact import keyed_rules, normalize_name
 def align_lineage(items: DataFrame, results: DataFrame) -> DataFrame:
     """Arms of each result position; one star fills the span it stands for.
 
-    `items`: query_id, select_index, variadic, arm_index, kind, operation, status, relations (array
+    `items`: query_id, item, select_index, variadic, arm_index, kind, operation, status, relations (array
     of schema_name/table_name), dep_schema, dep_table, dep_column, dep_role, one row per dependency.
     `results`: query_id, position, column_name. Where the layout does not fit, every position of
     the query is opaque.
     """
-    arms = items.select("query_id", "select_index", "variadic", "arm_index").distinct()
-    per_item = arms.groupBy("query_id", "select_index").agg(F.max("variadic").alias("variadic"), F.count("arm_index").alias("arms"))
-    layout = per_item.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("items"),
+    arms = items.select("query_id", "item", "select_index", "variadic", "arm_index").distinct()
+    per_item = arms.groupBy("query_id", "item", "select_index").agg(F.max("variadic").alias("variadic"), F.count("arm_index").alias("arms"))
+    per_index = per_item.groupBy("query_id", "select_index").agg(
+        F.count(F.lit(1)).alias("same"), F.max("variadic").alias("variadic"), F.min("arms").alias("fewest"), F.max("arms").alias("most")
+    )
+    starred = F.when(F.col("variadic"), F.col("select_index"))
+    layout = per_index.groupBy("query_id").agg(
+        F.sum("same").alias("items"),
+        F.max("same").alias("same"),
         F.min("select_index").alias("first_index"),
         F.max("select_index").alias("last_index"),
         F.count_if("variadic").alias("stars"),
-        F.min(F.when(F.col("variadic"), F.col("select_index"))).alias("first_star"),
-        F.max(F.when(F.col("variadic"), F.col("select_index"))).alias("last_star"),
-        F.min("arms").alias("fewest"),
-        F.max("arms").alias("most"),
+        F.min(starred).alias("first_star"),
+        F.max(starred).alias("last_star"),
+        F.min("fewest").alias("fewest"),
+        F.max("most").alias("most"),
     )
     widths = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("width"))
     n, width = F.col("items"), F.col("width")
-    sound = (F.col("first_index") == 0) & (F.col("last_index") == n - 1) & (F.col("fewest") == F.col("most")) & (F.col("fewest") > 0)
+    sound = (F.col("same") == 1) & (F.col("first_index") == 0) & (F.col("last_index") == n - 1) & (F.col("fewest") == F.col("most")) & (F.col("fewest") > 0)
     prefix, suffix = F.col("first_star"), n - F.col("last_star") - 1
     problem = (
         F.when(n.isNull(), "missing_projection_lineage")
@@ -51,7 +56,7 @@ def align_lineage(items: DataFrame, results: DataFrame) -> DataFrame:
         {"select_index": F.when(F.col("problem").isNull(), index), "in_star": F.coalesce(in_star & F.col("problem").isNull(), F.lit(False))}
     ).select("query_id", "position", "column_name", "problem", "select_index", "in_star")
 
-    joined = placed.join(items.drop("variadic"), ["query_id", "select_index"], "left")
+    joined = placed.join(items.drop("variadic", "item"), ["query_id", "select_index"], "left")
     one_relation = F.size("relations") == 1
     opens = F.col("in_star") & (F.col("arm_index") == 0) & (F.col("kind") == "wildcard") & (F.col("status") == "resolved")
     named = opens & one_relation & (F.col("column_name") != "")

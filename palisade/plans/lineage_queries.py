@@ -39,7 +39,7 @@ def align_lineage(spark, d):
             "dep_table": F.when(F.col("dep_column").isNotNull(), "a"),
             "dep_role": F.when(F.col("dep_column").isNotNull(), "value"),
         }
-    ).drop("two_relations", "slot")
+    ).withColumnRenamed("slot", "item").drop("two_relations")
     width = F.expr(_WIDTH)
     results = whole.select("query_id", F.explode(F.sequence(F.lit(0), width - 1)).alias("position")).withColumn(
         "column_name", F.concat(F.lit("r"), F.col("position").cast("string"))
