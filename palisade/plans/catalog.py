@@ -8,6 +8,7 @@ from palisade.plans import (  # noqa: F401
     lineage_queries,
     mask_queries,
     policy_queries,
+    retrieval_queries,
     risk_queries,
 )
 from palisade.plans.registry import CHECK_SQL, QUERIES

@@ -9,7 +9,7 @@ from palisade.operators import policy as p
 from palisade.operators import risk as rk
 from palisade.plans.audit_queries import AGENTS
 from palisade.plans.policy_queries import _LOG_TABLES, _RESOLVED, _VERDICTS, POLICIES
-from palisade.plans.registry import over_audit, over_signals, query, with_ctes
+from palisade.plans.registry import over_audit, over_signals, query
 from palisade.sources import tables as t
 
 _META = """SELECT * FROM (VALUES ('sales.orders', true, CAST(90000 AS BIGINT)), ('sales.lineitem', false, CAST(600000 AS BIGINT)),
@@ -101,13 +101,13 @@ _SETTINGS = """targets AS (SELECT DISTINCT agent_id, datasource_id FROM audit_lo
 
 
 @query("resolve_rule_config", over_audit("""
-SELECT agent_id, datasource_id, rule_id, enabled, explicit_deny, (SELECT value FROM limits l WHERE (l.agent_id, l.datasource_id, l.rule_id) = (s.agent_id, s.datasource_id, s.rule_id)) AS threshold
+SELECT agent_id, datasource_id, rule_id, enabled, explicit_deny, (SELECT sum(value) FROM limits l WHERE (l.agent_id, l.datasource_id, l.rule_id) = (s.agent_id, s.datasource_id, s.rule_id)) AS thresholds
 FROM settings s""", f"layers AS ({_LAYERS})", _SETTINGS))
 def resolve_rule_config(spark, d):
     config = rk.resolve_config(t.audit_log(spark, d), _layers(spark, d))
     rows = config.select("agent_id", "datasource_id", F.explode("config").alias("rule_id", "s"))
     return rows.select(
-        "agent_id", "datasource_id", "rule_id", "s.enabled", "s.explicit_deny", F.get(F.map_values("s.thresholds"), F.lit(0)).alias("threshold")
+        "agent_id", "datasource_id", "rule_id", "s.enabled", "s.explicit_deny", F.aggregate(F.map_values("s.thresholds"), F.lit(0.0), lambda a, v: a + v).alias("thresholds")
     )
 
 
@@ -163,5 +163,3 @@ SELECT *, misses = 0 AND coalesce(false_positive_rate, 0) < 0.02 AS ok FROM (SEL
 def rule_quality(spark, d):
     return rk.rule_quality(t.select_over(spark, _LABELLED, "signals", t.query_signals(spark, d)))
 
-
-__all__ = ["facts", "with_ctes"]
