@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.hashing import check_key, hmac_sha256_hex, utf8
 from palisade.functions.netaddr import address
+from palisade.functions.numbers import floor_of
 from palisade.functions.text import (
     BLOCKED,
     COMPACT_DATE,
@@ -163,37 +164,6 @@ def fingerprint_version(c: Column | str) -> Column:
 
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _PLAIN_NUMBER = r"^([+-]?)([0-9]{1,18})(?:\.([0-9]*))?$"
-_MAX_INT_DIGITS = 20
-
-
-def _shifted_floor(trimmed: Column) -> Column:
-    """floor() of any decimal text by moving its point as text, exact for exponents within +-1000."""
-    is_number = trimmed.rlike(_NUMBER) & (F.octet_length(trimmed) <= 128)
-    mantissa = F.regexp_replace(trimmed, r"^[+-]|[eE].*$", "")
-    exponent = F.coalesce(F.nullif(F.regexp_extract(trimmed, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")), F.lit("0")).try_cast("bigint")
-    shape = F.struct(
-        F.regexp_replace(mantissa, r"\.", "").alias("digits"),
-        F.when(
-            is_number & exponent.between(-1000, 1000), F.length(F.substring_index(mantissa, ".", 1)) + exponent
-        ).cast("int").alias("point"),
-    )
-
-    def split(s: Column) -> Column:
-        digits, point = s["digits"], F.least(s["point"], F.lit(1200))
-        return F.struct(
-            F.regexp_replace(F.when(point <= 0, "").otherwise(F.rpad(F.substr(digits, F.lit(1), point), point, F.lit("0"))), "^0+", "").alias("kept"),
-            F.when(point <= 0, digits).otherwise(F.substr(digits, point + 1)).rlike("[1-9]").alias("dropped"),
-            point.alias("point"),
-        )
-
-    def assemble(s: Column) -> Column:
-        fits = s["point"].isNotNull() & (F.length(s["kept"]) <= _MAX_INT_DIGITS)
-        size = F.when(fits, F.concat(F.lit("0"), s["kept"]).try_cast("decimal(21,0)"))
-        below = F.when(s["dropped"], F.lit(1)).otherwise(0).cast("decimal(1,0)")
-        return F.when(trimmed.startswith("-"), -size - below).otherwise(size).cast("decimal(22,0)")
-
-    return bind(bind(shape, split), assemble)
-
 
 def floor_integer(trimmed: Column) -> Column:
     """floor() of decimal text as DECIMAL(22,0); no value ever passes through a double.
@@ -205,7 +175,7 @@ def floor_integer(trimmed: Column) -> Column:
     below = trimmed.startswith("-") & F.regexp_extract(trimmed, _PLAIN_NUMBER, 3).rlike("[1-9]")
     plain = (whole.try_cast("bigint") - below.cast("int")).cast("decimal(22,0)")
     is_plain = trimmed.rlike(_PLAIN_NUMBER) & (F.octet_length(trimmed) <= 128)
-    return F.when(is_plain, plain).otherwise(_shifted_floor(trimmed))
+    return F.when(is_plain, plain).otherwise(floor_of(trimmed, trimmed.rlike(_NUMBER) & (F.octet_length(trimmed) <= 128)))
 
 
 _INT64_MIN = "-9223372036854775808"

@@ -4,6 +4,7 @@ from palisade.plans import (  # noqa: F401
     audit_queries,
     discover_queries,
     governed_queries,
+    ingest_queries,
     integrity_queries,
     lineage_queries,
     mask_queries,
