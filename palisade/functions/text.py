@@ -21,9 +21,13 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# Fixed value: the Unicode white space characters.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def utrim(c: Column | str) -> Column:
-    """Trim Unicode white space (SQL trim only removes blanks)."""
-    return F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
+    """Trim Unicode white space (SQL trim only removes blanks); only the ends of the text are looked at."""
+    return F.btrim(as_column(c), F.lit(WHITE_SPACE))
 
 
 def is_empty_value(trimmed: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.segments import previous, time_slice
+from palisade.functions.segments import previous, running, time_slice
 from palisade.functions.text import utrim
 
 # Decisions in report order.
@@ -451,18 +451,21 @@ def latency_histogram(df: DataFrame, seconds: Column, by: Sequence[str], bounds:
     return wide.select(*by, F.inline(rows), "latency_sum")
 
 
-def latency_percentiles(df: DataFrame, column: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """P50, P95, P99, P99.9. The exact form keeps a value->count map per group, so it suits
-    values of few distinct levels (whole milliseconds); `exact=False` is a bounded sketch."""
+def latency_percentiles(df: DataFrame, column: str, by: Sequence[str], slice_width: int = 1000, exact: bool = True) -> DataFrame:
+    """P50, P95, P99, P99.9 per group: the smallest value whose cumulative share reaches the point.
+
+    Exact from counted distinct values and sliced running counts, so neither a busy group nor a
+    wide value range ends in one buffer. `exact=False` is a bounded sketch.
+    """
     points = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
-    if exact:
-        kind = df.schema[column].dataType
-        aggregates = [
-            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast(kind).alias(n) for n, p in points.items()
-        ]
-        return df.groupBy(*by).agg(*aggregates)
-    sketch = df.groupBy(*by).agg(F.percentile_approx(column, list(points.values()), 10000).alias("__p"))
-    return sketch.select(*by, *[F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(points)])
+    if not exact:
+        sketch = df.groupBy(*by).agg(F.percentile_approx(column, list(points.values()), 10000).alias("__p"))
+        return sketch.select(*by, *[F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(points)])
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__c"))
+    totals = counted.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    upto = running(counted, by, [column], F.floor(F.col(column) / slice_width), F.col("__c"), "__upto").join(totals, list(by))
+    reached = lambda p: F.col("__upto") >= F.ceil(F.col("__n") * p)
+    return upto.groupBy(*by).agg(*[F.min(F.when(reached(p), F.col(column))).alias(n) for n, p in points.items()])
 
 
 def check_distribution(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -226,9 +226,7 @@ def plan_rule_merge(drafts: DataFrame, rules: DataFrame) -> DataFrame:
         "draft_id",
         outcome.alias("outcome"),
         F.when(F.col("scoped").isNotNull(), F.col("scoped.rule_id")).otherwise(covered).alias("rule_id"),
-        F.lit(1).alias("__one"),
     )
-    gate = planned.agg(F.coalesce(F.max(F.col("outcome") == "conflict"), F.lit(False)).alias("__blocked")).withColumn("__one", F.lit(1))
-    gated = planned.join(F.broadcast(gate), "__one")  # one aggregated row
-    withheld = F.when((F.col("outcome") == "create") & F.col("__blocked"), "withheld").otherwise(F.col("outcome"))
-    return gated.select("draft_id", withheld.alias("outcome"), "rule_id")
+    blocked = planned.agg(F.coalesce(F.max(F.col("outcome") == "conflict"), F.lit(False))).scalar()
+    withheld = F.when((F.col("outcome") == "create") & blocked, "withheld").otherwise(F.col("outcome"))
+    return planned.select("draft_id", withheld.alias("outcome"), "rule_id")

@@ -175,30 +175,36 @@ def authorize_uses(
             ]
         )
     )
-    sought = (
-        relations.join(who, "query_id")
-        .withColumn("relations", F.lit(1))
-        .select("query_id", "schema_name", "table_name", F.explode(scopes).alias("s"))
-        .select("query_id", "schema_name", "table_name", "s.agent_id", "s.datasource_id")
-        .select("*", F.inline(object_patterns(F.col("schema_name"), F.col("table_name"))))
-        .drop("level")
-    )
-    rules = policies.select(
-        "policy_id", *scope, F.col("object_name").alias("pattern"), "object_type", "action", "row_filter"
-    )
-    hits = sought.join(rules, [*scope, "pattern"])
+    patterns = object_patterns(F.col("schema_name"), F.col("table_name"))
+
+    def sought(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Rows with every scope and pattern a policy for them could carry."""
+        return (
+            df.join(who, "query_id")
+            .select("query_id", *columns, F.explode(scopes).alias("s"), patterns.alias("p"))
+            .select("query_id", *columns, "s.agent_id", "s.datasource_id", F.explode("p.pattern").alias("pattern"))
+        )
+
+    rules = policies.withColumnRenamed("object_name", "pattern")
     allow = F.col("action") == "allow"
-    full_name = F.concat_ws(".", "schema_name", "table_name")
-    per_relation = hits.groupBy("query_id", "schema_name", "table_name").agg(
+    key = [*scope, "pattern"]
+    # Policies are folded to one row per scope and pattern before the log is joined to them.
+    folded = rules.groupBy(*key).agg(
         F.bool_or((F.col("action") == "deny") & (F.col("object_type") != "column")).alias("denied"),
         F.bool_or(allow).alias("granted"),
         F.bool_or(F.col("row_filter").isNotNull()).alias("filtered"),
         F.bool_or(
             F.col("row_filter").isNotNull()
-            & ~((F.col("object_type") == "table") & allow & (F.col("pattern") == full_name))
+            & ~((F.col("object_type") == "table") & allow & F.col("pattern").contains(".") & ~F.col("pattern").endswith("*"))
         ).alias("bad_filter"),
     )
-    relation_facts = relations.join(per_relation, ["query_id", "schema_name", "table_name"], "left").groupBy("query_id").agg(
+    relation_key = ["query_id", "schema_name", "table_name"]
+    full_name = F.concat_ws(".", "schema_name", "table_name")
+    flags = ("denied", "granted", "filtered", "bad_filter")
+    per_relation = sought(relations, ["schema_name", "table_name"]).join(folded, key).groupBy(*relation_key).agg(
+        *[F.bool_or(f).alias(f) for f in flags]
+    )
+    relation_facts = relations.join(per_relation, relation_key, "left").groupBy("query_id").agg(
         F.bool_or(F.coalesce("denied", F.lit(False))).alias("denied"),
         F.bool_and(F.coalesce("granted", F.lit(False))).alias("granted"),
         F.bool_or(F.coalesce("filtered", F.lit(False))).alias("filtered"),
@@ -207,16 +213,18 @@ def authorize_uses(
         F.max(F.when(F.col("filtered"), full_name)).alias("filtered_name"),
     )
     use_key = ["schema_name", "table_name", "ordinal", "column_name", "type_digest", "usage"]
-    granted_uses = (
-        hits.filter(allow)
-        .select("query_id", "schema_name", "table_name", "policy_id")
-        .distinct()
+    granted = (
+        rules.filter(allow)
+        .select("policy_id", *key)
         .join(grants, "policy_id")
-        .select("query_id", *use_key)
+        .select(*key, "ordinal", "column_name", "type_digest", "usage")
         .distinct()
     )
-    missing = uses.join(granted_uses, ["query_id", *use_key], "left_anti").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("missing")
+    granted_uses = sought(uses, use_key).join(granted, [*key, "ordinal", "column_name", "type_digest", "usage"], "left_semi")
+    missing = (
+        uses.join(granted_uses.select("query_id", *use_key), ["query_id", *use_key], "left_anti")
+        .groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("missing"))
     )
     joined = requests.join(relation_facts, "query_id", "left").join(missing, "query_id", "left")
     if masks is not None:

@@ -119,14 +119,10 @@ def retain(
     """
     cutoff = F.lit(now - ttl).cast(events.schema[order[0]].dataType)
     young = events.filter(F.col(order[0]) >= cutoff).withColumns({"__all": F.lit(1), "__size": size})
-    total = young.groupBy("__all").agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("__total"))
+    total = young.agg(F.coalesce(F.sum("__size"), F.lit(0))).scalar()
     summed = running(young, ["__all"], order, time_slice(order[0], slice_unit), F.col("__size"), "__upto")
-    from_here = F.col("__total") - F.col("__upto") + F.col("__size")
-    return (
-        summed.join(F.broadcast(total), "__all")  # one row
-        .filter(from_here <= max_bytes)
-        .drop("__all", "__size", "__total", "__upto")
-    )
+    from_here = total - F.col("__upto") + F.col("__size")
+    return summed.filter(from_here <= max_bytes).drop("__all", "__size", "__upto")
 
 
 def retain_cursors(cursors: DataFrame, events: DataFrame, keys: Sequence[str], now: dt.datetime, ttl: dt.timedelta) -> DataFrame:

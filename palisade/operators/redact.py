@@ -198,24 +198,38 @@ def decide_output_masks(lineage: DataFrame, rules: DataFrame) -> DataFrame:
     for an arm without any; NULL arm_index for an output without arms) and possible_relations.
     """
     keyed = keyed_rules(rules)
+    rule = F.struct("rule_id", "algorithm", "type_order")
+    origin_keys = ["dep_schema", "dep_table", "dep_column"]
+    out_keys = ["query_id", "output_index"]
+    arm_keys = [*out_keys, "arm_index"]
+
+    # Rules are settled on the distinct origins, result names and relation lists of the log; the
+    # log itself is then only joined to these short answers and folded twice.
     column = normalize_name("dep_column")
-    has_dep = F.col("dep_column").isNotNull()
-    op = F.lower(F.trim(F.coalesce("operation", F.lit(""))))
-    rows = lineage.withColumns(
-        {
-            "__row": F.struct("query_id", "output_index", "arm_index", "dep_schema", "dep_table", "dep_column", "dep_role"),
-            "__dep": has_dep,
-            "__op": op,
-        }
-    )
-    keys = F.array_compact(
+    candidates = F.array_compact(
         F.array(
-            _candidate(2, _exact_key(F.col("dep_schema"), F.col("dep_table"), column), has_dep & ~_blank("dep_schema") & ~_blank("dep_table")),
-            _candidate(3, _table_key(F.col("dep_table"), column), has_dep & ~_blank("dep_table")),
-            _candidate(5, _global_key(column), has_dep),
-            _candidate(9, _global_key(normalize_name("result_name")), F.lit(True)),
+            _candidate(1, _exact_key(F.col("dep_schema"), F.col("dep_table"), column), ~_blank("dep_schema") & ~_blank("dep_table")),
+            _candidate(2, _table_key(F.col("dep_table"), column), ~_blank("dep_table")),
+            _candidate(3, _global_key(column), F.lit(True)),
         )
     )
+    dep_rules = (
+        lineage.filter(F.col("dep_column").isNotNull())
+        .select(*origin_keys)
+        .distinct()
+        .select(*origin_keys, F.inline(candidates))
+        .join(keyed, "rule_key")
+        .groupBy(*origin_keys)
+        .agg(F.min_by(rule, F.struct("tier", "rule_id")).alias("dep_rule"))
+    )
+    result_rules = (
+        lineage.select("result_name")
+        .distinct()
+        .withColumn("rule_key", _global_key(normalize_name("result_name")))
+        .join(keyed, "rule_key")
+        .groupBy("result_name")
+        .agg(F.min(rule).alias("result_rule"))
+    )
     relation_keys = F.flatten(
         F.transform(
             "possible_relations",
@@ -225,46 +239,41 @@ def decide_output_masks(lineage: DataFrame, rules: DataFrame) -> DataFrame:
             ),
         )
     )
-    out_keys = ["query_id", "output_index"]
-    arm_keys = [*out_keys, "arm_index"]
-
-    # One candidate row per (dependency, possible scope key); tier 9 is the result-name rule.
-    matched = rows.select(*arm_keys, "__row", F.inline(keys)).join(keyed, "rule_key")
-    dep_rule = matched.filter(F.col("tier") < 9).groupBy("__row").agg(
-        F.min_by(F.struct("rule_id", "algorithm", "type_order"), F.struct("tier", "rule_id")).alias("dep_rule")
-    )
-    result_rule = matched.filter(F.col("tier") == 9).groupBy(*out_keys).agg(
-        F.min(F.struct("rule_id", "algorithm", "type_order")).alias("result_rule")
-    )
     scoped = keyed.filter(F.col("relation_key").isNotNull()).groupBy("relation_key").agg(F.min("type_order").alias("possible_order"))
     possible = (
-        rows.select(*arm_keys, F.explode(F.array_distinct(relation_keys)).alias("relation_key"))
+        lineage.select("possible_relations")
         .distinct()
+        .select("possible_relations", F.explode(F.array_distinct(relation_keys)).alias("relation_key"))
         .join(scoped, "relation_key")
-        .groupBy(*arm_keys)
+        .groupBy("possible_relations")
         .agg(F.min("possible_order").alias("possible_order"))
     )
-    any_rule = keyed.agg(F.min("type_order").alias("all_order")).withColumn("__one", F.lit(1))
-
-    joined = rows.join(dep_rule, "__row", "left")
+    all_order = keyed.agg(F.min("type_order")).scalar()
+
+    same_origin = [F.col(f"l.{c}").eqNullSafe(F.col(f"d.{c}")) for c in origin_keys]
+    joined = (
+        lineage.alias("l")
+        .join(dep_rules.alias("d"), same_origin, "left")
+        .select("l.*", "d.dep_rule")
+        .join(result_rules, "result_name", "left")
+        .join(possible, "possible_relations", "left")
+        .withColumn("__op", F.lower(F.trim(F.coalesce("operation", F.lit("")))))
+    )
+    has_dep = F.col("dep_column").isNotNull()
     origin = F.struct(F.coalesce("dep_schema", F.lit("")), F.coalesce("dep_table", F.lit("")), column)
     arms = joined.groupBy(*arm_keys).agg(
-        F.first("kind").alias("kind"),
-        F.first("__op").alias("op"),
-        F.first("status").alias("status"),
-        F.count_if("__dep").alias("deps"),
-        F.max(F.when(F.col("__dep"), F.col("dep_role"))).alias("role"),
-        F.max(F.when(F.col("__dep"), origin)).alias("origin"),
+        F.min("kind").alias("kind"),
+        F.min("__op").alias("op"),
+        F.min("status").alias("status"),
+        F.count_if(has_dep).alias("deps"),
+        F.max(F.when(has_dep, F.col("dep_role"))).alias("role"),
+        F.max(F.when(has_dep, origin)).alias("origin"),
         F.max("dep_rule").alias("dep_rule"),
         F.min("dep_rule.type_order").alias("dep_order"),
+        F.max("result_rule").alias("result_rule"),
+        F.min("possible_order").alias("possible_order"),
         F.max(F.size("possible_relations")).alias("relations"),
     )
-    arms = (
-        arms.join(possible, arm_keys, "left")
-        .join(result_rule, out_keys, "left")
-        .withColumn("__one", F.lit(1))
-        .join(F.broadcast(any_rule), "__one", "left")  # exactly one aggregated row
-    )
     has_arm = F.col("arm_index").isNotNull()
     resolved, free = F.col("status") == "resolved", F.col("status") == "source_free"
     valid_free = free & (F.col("deps") == 0) & (
@@ -277,7 +286,7 @@ def decide_output_masks(lineage: DataFrame, rules: DataFrame) -> DataFrame:
     relevant = F.least(
         F.when(~(free & (has_global | valid_free)), F.col("dep_order")),
         F.when(uses_possible, F.col("possible_order")),
-        F.when(no_information, F.col("all_order")),
+        F.when(no_information, all_order),
         global_order,
     )
     simple = resolved & (

@@ -213,24 +213,35 @@ def quoted_spans(text: Column) -> Column:
     return F.aggregate(pieces, start, add, lambda s: s["spans"])
 
 
-def _identifier(c: Column) -> Column:
-    return F.coalesce(c.rlike("^[A-Za-z0-9_]$"), F.lit(False))
+_WORD = "[A-Za-z0-9_]"
 
 
 def name_spans(text: Column, name: Column, quoted: Column) -> Column:
-    """Places where a name stands as a whole identifier, or alone inside quotes."""
-    size = F.length(name)
-    last = F.length(text) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    open_start, open_end = ~_identifier(F.substring(name, 1, 1)), ~_identifier(F.right(name, F.lit(1)))
-
-    def whole(i: Column) -> Column:
-        before = open_start | (i == 1) | ~_identifier(F.substring(text, i - 1, F.lit(1)))
-        after = open_end | ~_identifier(F.substring(text, i + size, F.lit(1)))
-        inside = F.exists(quoted, lambda q: (i < q["end"]) & (q["begin"] < i + size))
-        return (F.substring(text, i, size) == name) & before & after & ~inside
+    """Places where a name stands as a whole identifier, or alone inside quotes.
 
-    spans = F.transform(F.filter(starts, whole), lambda i: F.struct(i.alias("begin"), (i + size).alias("end")))
+    The text is split in front of every match, overlapping ones included, so the places are the
+    running lengths of the pieces.
+    """
+    size = F.length(name)
+    before = F.when(F.substring(name, 1, 1).rlike(_WORD), F.lit(f"(?<!{_WORD})")).otherwise("")
+    after = F.when(F.right(name, F.lit(1)).rlike(_WORD), F.lit(f"(?!{_WORD})")).otherwise("")
+    literal = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(before, F.lit("(?="), literal, after, F.lit(")"))
+    pieces = F.split(text, pattern)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
+    cut = F.aggregate(
+        pieces,
+        start,
+        lambda s, piece: F.struct(
+            (s["at"] + F.length(piece)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
+        ),
+        lambda s: s["starts"],
+    )
+    # The first piece opens with a match only if the text itself does.
+    opens = F.regexp_like(text, F.concat(F.lit("^"), pattern))
+    starts = F.when(opens, cut).otherwise(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))))
+    outside = F.filter(starts, lambda i: ~F.exists(quoted, lambda q: (i < q["end"]) & (q["begin"] < i + size)))
+    spans = F.transform(outside, lambda i: F.struct(i.alias("begin"), (i + size).alias("end")))
     exact = F.transform(F.filter(quoted, lambda q: q["name"] == name), lambda q: F.struct(q["begin"].alias("begin"), q["end"].alias("end")))
     return F.concat(spans, exact)
 

@@ -114,31 +114,41 @@ def forecast(
     stepped = previous(sliced.withColumn("__seen", F.lit(True)), keys, ["__at"], F.col("__cut"), [*marks, "__seen"], "__p")
     first = F.col("__p__seen").isNull()
     rises = lambda k: F.col(f"__{k}").isNotNull() & (first | F.coalesce(F.col(f"__{k}") > F.col(f"__p__{k}"), F.lit(False)))
-    kinds = stepped.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
+    # Every kind is fitted in the one pass over the rows; the series' own kind is picked afterwards.
+    fit = lambda k: F.struct(
+        F.lit(k).alias("kind"),
+        F.regr_slope("__y", f"__{k}").alias("slope"),
+        F.avg(f"__{k}").alias("x_mean"),
+        F.max(f"__{k}").alias("x_last"),
+    )
+    fits = stepped.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("input_rows"),
+        F.avg("__y").alias("y_mean"),
         F.bool_and(F.coalesce(~F.isnan("__y") & (F.abs("__y") < float("inf")), F.lit(False))).alias("finite"),
         *[F.bool_and(rises(k)).alias(f"is_{k}") for k in LABEL_KINDS],
+        *[fit(k).alias(f"fit_{k}") for k in LABEL_KINDS],
     )
-    kind = F.coalesce(*[F.when(F.col(f"is_{k}"), k) for k in LABEL_KINDS])
-    usable = kinds.withColumn("kind", kind).filter((F.col("rows") >= 3) & F.col("finite") & F.col("kind").isNotNull())
-    picked = lambda prefix: F.coalesce(*[F.when(F.col("kind") == k, F.col(f"{prefix}{k}")) for k in LABEL_KINDS])
-    points = stepped.join(usable.select(*keys, "rows", "kind"), keys).select(
-        *keys, "rows", "kind", "__y", picked("__").alias("__x"), (picked("__") - picked("__p__")).alias("__gap")
+    usable = fits.filter((F.col("input_rows") >= 3) & F.col("finite")).select(
+        *keys, "input_rows", "y_mean", F.coalesce(*[F.when(F.col(f"is_{k}"), F.col(f"fit_{k}")) for k in LABEL_KINDS]).alias("f")
     )
+    usable = usable.filter(F.col("f").isNotNull()).select(*keys, "input_rows", "y_mean", "f.*")
     # Gaps repeat a lot, so their median comes from counted distinct lengths.
-    gaps = points.filter(F.col("__gap").isNotNull()).groupBy(*keys, "rows", "__gap").agg(F.count(F.lit(1)).alias("times"))
-    upto = Window.partitionBy(*keys).orderBy("__gap").rowsBetween(Window.unboundedPreceding, 0)
+    gap = lambda k: F.struct(F.lit(k).alias("kind"), (F.col(f"__{k}") - F.col(f"__p__{k}")).alias("gap"))
+    gaps = (
+        stepped.select(*keys, F.inline(F.array(*[gap(k) for k in LABEL_KINDS])))
+        .filter(F.col("gap").isNotNull())
+        .groupBy(*keys, "kind", "gap")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .join(usable.select(*keys, "kind", "input_rows"), [*keys, "kind"])
+    )
+    upto = Window.partitionBy(*keys).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
     step = (
         gaps.withColumn("__upto", F.sum("times").over(upto))
-        .filter(F.col("__upto") > F.floor((F.col("rows") - 1) / 2))
+        .filter(F.col("__upto") > F.floor((F.col("input_rows") - 1) / 2))
         .groupBy(*keys)
-        .agg(F.min("__gap").alias("step"))
-    )
-    fits = points.groupBy(*keys, "kind").agg(
-        F.regr_slope("__y", "__x").alias("slope"), F.avg("__x").alias("x_mean"), F.avg("__y").alias("y_mean"), F.max("__x").alias("x_last"),
-        F.count(F.lit(1)).alias("input_rows"),
+        .agg(F.min("gap").alias("step"))
     )
-    future = fits.join(step, keys).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    future = usable.join(step, keys).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     x = F.col("x_last") + F.col("ahead") * F.col("step")
     y = F.col("y_mean") + F.col("slope") * (x - F.col("x_mean"))
     return future.withColumns({"__x": x, "__y": y}).filter(F.abs("__y") <= 1e15).select(
