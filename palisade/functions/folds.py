@@ -1,15 +1,16 @@
 """Ordered per-key folds for work that truly depends on the row before it.
 
-Rows of one key must be visited in order, but no task may hold an unbounded key. Where every
-key is short (checked by an aggregate) one grouped pass does it. Otherwise keys are cut into
-blocks of bounded size, and block n of all keys runs together before block n+1, handing a
-small state over through the shared folder; a lost executor costs at most one block.
+Spark partitions and sorts the rows; a task then passes over them in Arrow batches and keeps
+only a small state per key, so no key is ever held in memory as a whole. A key that is too long
+for one task (checked by an aggregate) is cut into blocks of bounded size: block n of all keys
+runs together before block n+1 and hands its states over through the shared folder, so a lost
+executor costs at most one block.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,30 +20,45 @@ from pyspark.sql import types as T
 from palisade.functions.segments import row_numbers
 from palisade.session import scratch_path
 
-# Takes the sorted rows of one key (or one block of it) and the state, returns output and new state.
+# Takes some consecutive rows of one key and the state before them; returns output and new state.
 Step = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
 
-MAX_BLOCK_ROWS = 1_000_000
+MAX_BLOCK_ROWS = 20_000_000
 _STATE = "__state"
 
 
-def _runner(step: Step, order: Sequence[str], columns: Sequence[str]):
-    ordering, wanted = list(order), list(columns)
+def _pass(step: Step, keys: list[str], columns: list[str], keep_state: bool):
+    def closing(key: tuple, state: dict) -> pd.DataFrame:
+        row = {**dict.fromkeys(columns), **dict(zip(keys, key)), _STATE: json.dumps(state)}
+        return pd.DataFrame([row], dtype=object)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        carried = rows[_STATE].iloc[0]
-        state = json.loads(carried) if isinstance(carried, str) else None
-        out, state = step(rows.sort_values(ordering).drop(columns=[_STATE]), state)
-        out = out[wanted].copy()
-        out[_STATE] = None
-        last = pd.DataFrame([{**{c: None for c in wanted}, _STATE: json.dumps(state)}])
-        for key in run.keys:
-            last[key] = rows[key].iloc[0]
-        return pd.concat([out.astype(object), last.astype(object)], ignore_index=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            done = []
+            # Rows arrive sorted by key, so each group is one run of consecutive rows.
+            for _, rows in batch.groupby(keys, sort=False, dropna=False):
+                here = tuple(rows[keys].iloc[0])
+                if here != key:
+                    if keep_state and key is not None:
+                        done.append(closing(key, state))
+                    carried = rows[_STATE].iloc[0] if keep_state else None
+                    key, state = here, json.loads(carried) if isinstance(carried, str) else None
+                out, state = step(rows, state)
+                out = out[columns]
+                done.append(out.assign(**{_STATE: None}).astype(object) if keep_state else out)
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if keep_state and key is not None:
+            yield closing(key, state)
 
     return run
 
 
+def _sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,16 +69,13 @@ def ordered_fold(
     max_block_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
     """Fold each key's rows in `order`. `output` must contain the keys; `slice_col` must follow `order`."""
-    keys = list(keys)
-    run = _runner(step, order, output.fieldNames())
-    run.keys = keys
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in output.fields], T.StructField(_STATE, T.StringType())])
+    keys, order, columns = list(keys), list(order), output.fieldNames()
     longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if longest <= max_block_rows:
-        whole = df.withColumn(_STATE, F.lit(None).cast("string"))
-        return whole.groupBy(*keys).applyInPandas(run, schema).filter(F.col(_STATE).isNull()).drop(_STATE)
+        return _sorted(df, keys, order).mapInPandas(_pass(step, keys, columns, False), output)
 
     spark = df.sparkSession
+    schema = T.StructType([*output.fields, T.StructField(_STATE, T.StringType())])
     blocks = int(-(-longest // max_block_rows))
     staged = scratch_path(spark, "fold-input")
     numbered = row_numbers(df, keys, order, slice_col, "__n")
@@ -70,14 +83,14 @@ def ordered_fold(
         "__block"
     ).parquet(staged)
     result = scratch_path(spark, "fold-output")
-    carried: DataFrame | None = None
+    paths, carried = [], None
     for block in range(blocks):
         rows = spark.read.schema(df.schema).parquet(f"{staged}/__block={block}")
         if carried is None:
             rows = rows.withColumn(_STATE, F.lit(None).cast("string"))
         else:
             rows = rows.join(carried, keys, "left")
-        path = f"{result}/block={block}"
-        rows.groupBy(*keys).applyInPandas(run, schema).write.parquet(path)
-        carried = spark.read.schema(schema).parquet(path).filter(F.col(_STATE).isNotNull()).select(*keys, _STATE)
-    return spark.read.schema(schema).parquet(*[f"{result}/block={b}" for b in range(blocks)]).filter(F.col(_STATE).isNull()).drop(_STATE)
+        paths.append(f"{result}/block={block}")
+        _sorted(rows, keys, order).mapInPandas(_pass(step, keys, columns, True), schema).write.parquet(paths[-1])
+        carried = spark.read.schema(schema).parquet(paths[-1]).filter(F.col(_STATE).isNotNull()).select(*keys, _STATE)
+    return spark.read.schema(schema).parquet(*paths).filter(F.col(_STATE).isNull()).drop(_STATE)
