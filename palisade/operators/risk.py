@@ -56,7 +56,11 @@ def _stmt(*kinds: str) -> Column:
 
 
 def _operations() -> Column:
-    return F.transform("operations", lambda o: F.upper(F.regexp_replace(F.trim(o), r"\s+", " ")))
+    def clean(o: Column) -> Column:
+        spaced = o.contains("  ") | o.contains("\t") | o.contains("\n")
+        return F.upper(F.trim(F.when(spaced, F.regexp_replace(o, r"\s+", " ")).otherwise(o)))
+
+    return F.transform("operations", clean)
 
 
 def _does(*operations: str, among: Column | None = None) -> Column:
@@ -65,10 +69,14 @@ def _does(*operations: str, among: Column | None = None) -> Column:
 
 def _measure(name: str) -> Column:
     """The largest `NAME:n` among the operations, 0 without one; NULL when n is no count."""
-    texts = F.filter(F.col("__ops"), lambda o: F.trim(F.substring_index(o, ":", 1)) == name)
-    numbers = F.transform(texts, lambda o: F.trim(F.substring_index(o, ":", -1)).try_cast("int"))
-    bad = F.exists(numbers, lambda n: n.isNull() | (n < 0))
-    return F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(F.array_max(numbers), F.lit(0)))
+    def counted() -> Column:
+        texts = F.filter(F.col("__ops"), lambda o: F.trim(F.substring_index(o, ":", 1)) == name)
+        numbers = F.transform(texts, lambda o: F.trim(F.substring_index(o, ":", -1)).try_cast("int"))
+        bad = F.exists(numbers, lambda n: n.isNull() | (n < 0))
+        return F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(F.array_max(numbers), F.lit(0)))
+
+    # Few statements carry such an operation; the others skip the list work.
+    return F.when(F.array_join("__ops", " ").contains(name), counted()).otherwise(0)
 
 
 def _threshold(rule: str, name: str, configured: bool, fallback: Column | None = None) -> Column:
@@ -102,7 +110,8 @@ def table_facts(signals: DataFrame, metadata: DataFrame, ids: Sequence[str] = ("
 def prepared(signals: DataFrame) -> DataFrame:
     """Signals with the lists every rule reads put into one form, once per row."""
     names = F.transform(F.concat("functions", "operations"), lambda s: F.lower(F.substring_index(F.trim(s), ".", -1)))
-    listed = signals.withColumns({"__ops": _operations(), "__names": names})
+    calls = F.transform("functions", lambda f: F.lower(F.trim(f)))
+    listed = signals.withColumns({"__ops": _operations(), "__names": names, "__calls": calls})
     return listed.withColumns({"__nesting": _measure("NESTING_DEPTH"), "__unions": _measure("UNION_COUNT")})
 
 
@@ -119,10 +128,8 @@ def rule_columns(df: DataFrame) -> dict[str, Column]:
     for dialect, names in DANGEROUS_FUNCTIONS.items():
         hit = F.arrays_overlap("__names", F.array(*[F.lit(n) for n in names]))
         blocked_name = blocked_name | ((F.col("dialect") == dialect) & hit)
-    admin_call = F.exists(
-        "functions",
-        lambda f: F.lower(F.trim(f)).rlike(r"^(pg_catalog\.)?(" + "|".join(ADMIN_FUNCTIONS) + ")$"),
-    )
+    admin_names = [prefix + f for f in ADMIN_FUNCTIONS for prefix in ("", "pg_catalog.")]
+    admin_call = F.arrays_overlap("__calls", F.array(*[F.lit(f) for f in admin_names]))
     judged = (F.size("operations") > 0) & (~_stmt("UNKNOWN") | F.col("is_multi"))
     postgres = (F.col("dialect") == "postgres") & judged
     mysql = (F.col("dialect") == "mysql") & judged
@@ -209,38 +216,36 @@ def assess(signals: DataFrame) -> DataFrame:
     Expected beside the signals: `level`; optional: unindexed_table, largest_table, unsized_table,
     access_refused, rate_limited, config. Works on a stream as it has no aggregation of its own.
     """
-    signals = prepared(signals)
-    rules = rule_columns(signals)
+    staged = prepared(signals)
+    staged = staged.withColumns({f"__{rule}": decision for rule, decision in rule_columns(staged).items()})
+    staged = staged.withColumn("__invalid", invalid_signals())
+    # One number per hit: the strictest decision has the highest, and the first rule among equals.
+    ranks = [_code(F.col(f"__{rule}"), PRIORITY) * 100 + (99 - i) for i, rule in enumerate(RULE_LEVELS)]
+    staged = staged.withColumn("__top", F.greatest(*ranks))
+    rule_ids = F.array(*[F.lit(rule) for rule in RULE_LEVELS])
+    strictest = F.element_at(F.array(F.lit("warn"), F.lit("approve"), F.lit("deny")), F.floor(F.col("__top") / 100).cast("int"))
+    decision = F.when(F.col("__invalid"), "deny").otherwise(F.when(F.col("__top").isNull(), "allow").otherwise(strictest))
     hits = F.array_compact(
         F.array(
             *[
                 F.when(
-                    decision.isNotNull(),
+                    F.col(f"__{rule}").isNotNull(),
                     F.struct(
-                        F.lit(rule).alias("rule_id"),
-                        decision.alias("decision"),
-                        _risk_of(rule, decision).alias("risk"),
-                        (_code(decision, PRIORITY) * 100 + (99 - i)).alias("rank"),
+                        F.lit(rule).alias("rule_id"), F.col(f"__{rule}").alias("decision"), _risk_of(rule, F.col(f"__{rule}")).alias("risk")
                     ),
                 )
-                for i, (rule, decision) in enumerate(rules.items())
+                for rule in RULE_LEVELS
             ]
         )
     )
-    # The highest rank is the strictest decision, and the first rule among equals.
-    staged = signals.withColumn("__hits", hits).withColumn("__invalid", invalid_signals())
-    ranked = F.transform("__hits", lambda h: F.struct(h["rank"], h["rule_id"], h["decision"]))
-    staged = staged.withColumn("__top", F.array_max(ranked))
-    decision = F.when(F.col("__invalid"), "deny").otherwise(F.coalesce("__top.decision", F.lit("allow")))
-    return staged.withColumns(
+    judged = staged.withColumns({"hits": hits, "decision": decision})
+    return judged.withColumns(
         {
-            "hits": F.transform("__hits", lambda h: F.struct(h["rule_id"], h["decision"], h["risk"])),
-            "decision": decision,
-            "risk": _code(decision, RISK),
-            "reason_rule": F.when(~F.col("__invalid"), F.col("__top.rule_id")),
+            "risk": _code(F.col("decision"), RISK),
+            "reason_rule": F.when(~F.col("__invalid") & F.col("__top").isNotNull(), F.get(rule_ids, 99 - F.col("__top") % 100)),
             "failed_closed": F.col("__invalid"),
         }
-    ).drop("__hits", "__invalid", "__top", "__ops", "__names", "__nesting", "__unions")
+    ).drop("__invalid", "__top", "__ops", "__names", "__calls", "__nesting", "__unions", *[f"__{rule}" for rule in RULE_LEVELS])
 
 
 def _code(decision: Column, codes: dict[str, int]) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.session import configure
 from palisade.sources.tables import AUDIT_LOG_SQL, CONTACT_SQL, SIGNALS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +21,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(configure(spark), sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             CHECK_SQL[name] = sql.strip()
         return fn
