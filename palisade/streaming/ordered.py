@@ -49,8 +49,8 @@ STREAM_SCHEMA = T.StructType(
 class _OrderedBlock(StatefulProcessor):
     """Releases one block of a tenant's sequence in order; a number that stays away becomes a gap row."""
 
-    def __init__(self, block: int, cursor: int, wait_ms: int):
-        self.block, self.cursor, self.wait_ms = block, cursor, wait_ms
+    def __init__(self, block: int, cursor: int):
+        self.block, self.cursor = block, cursor
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, _JsonState(handle)
@@ -76,8 +76,9 @@ class _OrderedBlock(StatefulProcessor):
         return (int(key[1]) + 1) * self.block - 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self._open(key)
+        state, latest = self._open(key), 0
         for batch in rows:
+            latest = max(latest, int(batch["at_ms"].max()))
             state["closed"] = state["closed"] or bool(batch["marker"].any())
             real = batch[~batch["marker"]].sort_values("seq")
             for seq, row_id in zip(real["seq"].tolist(), real["id"].tolist()):
@@ -86,7 +87,9 @@ class _OrderedBlock(StatefulProcessor):
         events = self._drain(state)
         waiting = bool(state["held"]) or (state["closed"] and state["next"] <= self._last(key))
         if waiting and state["timer"] is None:
-            state["timer"] = max(0, timerValues.getCurrentWatermarkInMs()) + self.wait_ms
+            # The watermark trails the newest event by the waiting time, so it passes this point
+            # only after that long.
+            state["timer"] = max(latest, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(state["timer"])
         self.state.write(state)
         if events:
@@ -112,7 +115,7 @@ class _OrderedBlock(StatefulProcessor):
         pass
 
 
-def audit_stream(stream: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, wait: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
+def audit_stream(stream: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, wait: str = "10 minutes") -> DataFrame:
     """A tenant's events after a cursor in sequence order, and a gap row for every number that stays away.
 
     `stream`: tenant_id, seq, id, ts. Each tenant is cut into blocks of sequence numbers, so a busy
@@ -121,7 +124,7 @@ def audit_stream(stream: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, wai
     after = stream.filter(F.col("seq") > cursor).select("tenant_id", "seq", "id", F.col("ts").cast("timestamp").alias("ts"))
     own = F.floor(F.col("seq") / block)
     sent = after.withWatermark("ts", wait).select(
-        "tenant_id", "ts",
+        "tenant_id", "ts", F.unix_millis("ts").alias("at_ms"),
         F.inline(
             F.array(
                 F.struct(own.alias("block"), F.lit(False).alias("marker"), F.col("seq").alias("seq"), F.col("id").alias("id")),
@@ -130,7 +133,7 @@ def audit_stream(stream: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, wai
         ),
     ).filter((F.col("block") + 1) * block > cursor + 1).filter(F.col("block") >= 0)
     return sent.groupBy("tenant_id", "block").transformWithStateInPandas(
-        _OrderedBlock(block, cursor, wait_ms), STREAM_SCHEMA, "Append", "EventTime"
+        _OrderedBlock(block, cursor), STREAM_SCHEMA, "Append", "EventTime"
     )
 
 
