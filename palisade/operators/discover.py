@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.profile import per_column
 from palisade.functions.text import as_column, utrim
 from palisade.functions.validators import validator
 
@@ -86,21 +87,21 @@ def classify_columns(catalog: DataFrame, categories: Sequence[str] | None = None
 
 def profile_evidence(df: DataFrame, candidates: Mapping[str, str], ref_date: dt.date) -> DataFrame:
     """Eligible (non-blank) and matching cells of each candidate column, over all rows in one aggregate."""
-    aggregates, rows = [], []
-    for i, (column, category) in enumerate(candidates.items()):
-        cell = F.col(column).cast("string")
-        check = validator(category, cell, ref_date)
+    def aggregates(i: int, name: str) -> list[Column]:
+        cell = F.col(name).cast("string")
+        check = validator(candidates[name], cell, ref_date)
+        if check is None:
+            return [F.lit(0).cast("bigint").alias(f"__e{i}"), F.lit(0).cast("bigint").alias(f"__m{i}")]
         filled = F.coalesce(utrim(cell) != "", F.lit(False))
-        sampled = check is not None
-        aggregates.append((F.count_if(filled) if sampled else F.lit(0).cast("bigint")).alias(f"__e{i}"))
-        aggregates.append((F.count_if(filled & check) if sampled else F.lit(0).cast("bigint")).alias(f"__m{i}"))
-        rows.append(
-            F.struct(
-                F.lit(column).alias("column_name"), F.lit(category).alias("category"),
-                F.col(f"__e{i}").alias("eligible"), F.col(f"__m{i}").alias("matched"),
-            )
+        return [F.count_if(filled).alias(f"__e{i}"), F.count_if(filled & check).alias(f"__m{i}")]
+
+    def row(i: int, name: str) -> Column:
+        return F.struct(
+            F.lit(name).alias("column_name"), F.lit(candidates[name]).alias("category"),
+            F.col(f"__e{i}").alias("eligible"), F.col(f"__m{i}").alias("matched"),
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+    return per_column(df, list(candidates), aggregates, row)
 
 
 def score_findings(evidence: DataFrame, sampled: bool = True) -> DataFrame:

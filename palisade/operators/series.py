@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.profile import per_column
 from palisade.functions.segments import previous
 
 # Fixed value: plain decimal text, as JSON writes numbers.
@@ -25,18 +26,16 @@ def chart_number(c: Column) -> Column:
 
 def numeric_fields(df: DataFrame) -> DataFrame:
     """Per column: does every non-null cell hold a number, with at least one present? One aggregate."""
-    aggregates, rows = [], []
-    for i, name in enumerate(df.columns):
-        filled = F.col(f"`{name}`").isNotNull()
-        good = chart_number(F.col(f"`{name}`")).isNotNull()
-        aggregates += [F.bool_and(~filled | good).alias(f"__a{i}"), F.count(F.col(f"`{name}`")).alias(f"__n{i}")]
-        rows.append(
-            F.struct(
-                F.lit(name).alias("field"), (F.coalesce(F.col(f"__a{i}"), F.lit(False)) & (F.col(f"__n{i}") > 0)).alias("numeric"),
-                F.col(f"__n{i}").alias("present"),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    def aggregates(i: int, name: str) -> list[Column]:
+        cell = F.col(f"`{name}`")
+        good = cell.isNull() | chart_number(cell).isNotNull()
+        return [F.bool_and(good).alias(f"__a{i}"), F.count(cell).alias(f"__n{i}")]
+
+    def row(i: int, name: str) -> Column:
+        numeric = F.coalesce(F.col(f"__a{i}"), F.lit(False)) & (F.col(f"__n{i}") > 0)
+        return F.struct(F.lit(name).alias("field"), numeric.alias("numeric"), F.col(f"__n{i}").alias("present"))
+
+    return per_column(df, df.columns, aggregates, row)
 
 
 def chart_series(df: DataFrame, dimension: str, measures: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -120,6 +120,14 @@ _same("lateral_top", """
 SELECT c.c_custkey, x.best FROM g_customer c, LATERAL (SELECT max(o_totalprice) AS best FROM g_orders o WHERE o.o_custkey = c.c_custkey) x WHERE x.best IS NOT NULL""")
 
 
+@query("arrays_and_rows", with_ctes("""
+SELECT o_orderkey, [o_orderpriority, 'x'][1] AS first_item, len([o_custkey, o_orderkey]) AS items, {'p': o_totalprice, 'q': o_orderkey}.q AS part FROM g_orders""", *VIEWS))
+def arrays_and_rows(spark, d):
+    views(spark, d)
+    return spark.sql("""SELECT o_orderkey, array(o_orderpriority, 'x')[0] AS first_item, CAST(size(array(o_custkey, o_orderkey)) AS BIGINT) AS items,
+      named_struct('p', o_totalprice, 'q', o_orderkey).q AS part FROM g_orders""")
+
+
 @query("object_aggregate", with_ctes("""
 SELECT c_custkey, array_to_string(list_sort(list(o_orderpriority || '=' || n)), ',') AS counts FROM (
  SELECT o_custkey AS c_custkey, o_orderpriority, count(*) AS n FROM g_orders GROUP BY 1, 2) GROUP BY 1""", *VIEWS))

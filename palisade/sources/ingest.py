@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions.numbers import half_away_of
+from palisade.functions.profile import per_column
 from palisade.functions.text import utrim
 
 CORRUPT = "_corrupt_record"
@@ -55,19 +56,21 @@ def _finite(c: Column) -> Column:
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Type per column from all rows in one aggregate: int, else float, else string; blanks are ignored."""
-    aggregates, rows = [], []
-    for i, name in enumerate(_cells(df)):
+    def aggregates(i: int, name: str) -> list[Column]:
         cell = utrim(F.col(f"`{name}`"))
         blank = F.coalesce(cell == "", F.lit(True))
         is_int = cell.rlike(_INTEGER) & cell.try_cast("bigint").isNotNull()
-        aggregates += [
+        return [
             F.bool_and(blank | F.coalesce(is_int, F.lit(False))).alias(f"__i{i}"),
             F.bool_and(blank | _finite(cell).isNotNull()).alias(f"__f{i}"),
             F.count_if(~blank).alias(f"__n{i}"),
         ]
+
+    def row(i: int, name: str) -> Column:
         kind = F.when(F.col(f"__n{i}") == 0, "string").when(F.col(f"__i{i}"), "int").when(F.col(f"__f{i}"), "float").otherwise("string")
-        rows.append(F.struct(F.lit(name).alias("field"), F.lit(i).alias("position"), kind.alias("type")))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        return F.struct(F.lit(name).alias("field"), F.lit(i).alias("position"), kind.alias("type"))
+
+    return per_column(df, _cells(df), aggregates, row)
 
 
 _IMPORT_NUMBER = r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,3})?$"

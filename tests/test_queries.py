@@ -1,7 +1,9 @@
-"""Every registered query against its check SQL on the same tables."""
+"""Every registered query against its check SQL on the same tables, and what its plan must not hold."""
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import oracle
@@ -22,3 +24,8 @@ def test_query_matches_its_sql(spark, sf_dir, connection, name):
     df = QUERIES[name](spark, sf_dir)
     assert oracle.compare(df, connection, CHECK_SQL[name]) == []
     assert oracle.type_gaps(df, connection, CHECK_SQL[name]) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan
+    assert not re.search(r"Window \[[^\n]*\], \[\](,|\n)", plan), "window without a partition"
