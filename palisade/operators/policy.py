@@ -165,17 +165,22 @@ def authorize_uses(
     scope = ["agent_id", "datasource_id"]
     who = requests.select("query_id", *scope)
     relations = uses.select("query_id", "schema_name", "table_name").distinct()
-    # A policy may leave agent or data source open, so each request asks for four scope spellings.
+    # A policy may leave agent or data source open or use a wildcard, so a request asks for every
+    # spelling of its scope that the policies really use (one aggregated row tells which).
+    pattern = F.col("object_name")
+    used = policies.agg(
+        F.max(F.col("agent_id") == "").alias("agent"), F.max(F.col("datasource_id") == "").alias("source"),
+        F.max(pattern == "*").alias("star"), F.max(pattern.endswith(".*")).alias("schema"),
+    ).first()
+    agents = [F.col("agent_id")] + ([F.lit("")] if used["agent"] else [])
+    sources = [F.col("datasource_id")] + ([F.lit("")] if used["source"] else [])
     scopes = F.array_distinct(
-        F.array(
-            *[
-                F.struct(a.alias("agent_id"), s.alias("datasource_id"))
-                for a in (F.col("agent_id"), F.lit(""))
-                for s in (F.col("datasource_id"), F.lit(""))
-            ]
-        )
+        F.array(*[F.struct(a.alias("agent_id"), s.alias("datasource_id")) for a in agents for s in sources])
+    )
+    levels = ["exact", *(["schema"] if used["schema"] else []), *(["global"] if used["star"] else [])]
+    patterns = F.filter(
+        object_patterns(F.col("schema_name"), F.col("table_name")), lambda p: p["level"].isin(*levels)
     )
-    patterns = object_patterns(F.col("schema_name"), F.col("table_name"))
 
     def sought(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         """Rows with every scope and pattern a policy for them could carry."""
