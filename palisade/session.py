@@ -22,6 +22,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; cluster sizing settings stay the cluster's."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    # On one machine the default of 200 partitions only means 200 state stores and workers.
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
