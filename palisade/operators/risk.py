@@ -217,8 +217,8 @@ def assess(signals: DataFrame) -> DataFrame:
     access_refused, rate_limited, config. Works on a stream as it has no aggregation of its own.
     """
     staged = prepared(signals)
-    staged = staged.withColumns({f"__{rule}": decision for rule, decision in rule_columns(staged).items()})
-    staged = staged.withColumn("__invalid", invalid_signals())
+    decisions = {f"__{rule}": decision for rule, decision in rule_columns(staged).items()}
+    staged = staged.withColumns({**decisions, "__invalid": invalid_signals()})
     # One number per hit: the strictest decision has the highest, and the first rule among equals.
     ranks = [_code(F.col(f"__{rule}"), PRIORITY) * 100 + (99 - i) for i, rule in enumerate(RULE_LEVELS)]
     staged = staged.withColumn("__top", F.greatest(*ranks))
@@ -239,13 +239,16 @@ def assess(signals: DataFrame) -> DataFrame:
         )
     )
     judged = staged.withColumns({"hits": hits, "decision": decision})
-    return judged.withColumns(
-        {
-            "risk": _code(F.col("decision"), RISK),
-            "reason_rule": F.when(~F.col("__invalid") & F.col("__top").isNotNull(), F.get(rule_ids, 99 - F.col("__top") % 100)),
-            "failed_closed": F.col("__invalid"),
-        }
-    ).drop("__invalid", "__top", "__ops", "__names", "__calls", "__nesting", "__unions", *[f"__{rule}" for rule in RULE_LEVELS])
+    added = ("hits", "decision", "risk", "reason_rule", "failed_closed")
+    reason = F.when(~F.col("__invalid") & F.col("__top").isNotNull(), F.get(rule_ids, 99 - F.col("__top") % 100))
+    return judged.select(
+        *[c for c in signals.columns if c not in added],
+        "hits",
+        "decision",
+        _code(F.col("decision"), RISK).alias("risk"),
+        reason.alias("reason_rule"),
+        F.col("__invalid").alias("failed_closed"),
+    )
 
 
 def _code(decision: Column, codes: dict[str, int]) -> Column:
