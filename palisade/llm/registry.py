@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import substring, suffixes
+from palisade.llm import ctw, language, leaks, lines, near, substring, suffixes
 from palisade.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ QUERIES: dict[str, Query] = {
     for fn in (
         substring.op1_substring_dedup,
         suffixes.op2_suffix_dedup,
+        lines.op3_line_dedup,
+        language.op4_language_id,
+        near.op5_near_dedup,
+        leaks.op6_decontaminate,
+        ctw.op8_lm_score,
     )
 }
 CHECK_SQL: dict[str, str] = {}
