@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import ctw, language, leaks, lines, near, substring, suffixes
+from palisade.llm import ctw, language, leaks, lines, mixing, near, quality, substring, suffixes
 from palisade.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ QUERIES: dict[str, Query] = {
         near.op5_near_dedup,
         leaks.op6_decontaminate,
         ctw.op8_lm_score,
+        mixing.op9_mix_sources,
+        quality.op10_quality_rules,
     )
 }
-CHECK_SQL: dict[str, str] = {}
+CHECK_SQL: dict[str, str] = {
+    "op9_mix_sources": mixing.SQL.strip(),
+    "op10_quality_rules": quality.SQL.strip(),
+}
