@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import ctw, language, leaks, lines, mixing, near, quality, substring, suffixes
+from palisade.llm import ctw, language, leaks, lines, mixing, near, pii, quality, substring, suffixes
 from palisade.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
         language.op4_language_id,
         near.op5_near_dedup,
         leaks.op6_decontaminate,
+        pii.op7_pii,
         ctw.op8_lm_score,
         mixing.op9_mix_sources,
         quality.op10_quality_rules,
