@@ -107,22 +107,22 @@ def _messages(block: int, sent: Sent) -> pa.Table:
 
 
 def ask(docs: DataFrame, answers: DataFrame | None, bits: int, ask_block: Callable[[pa.Table, Answers, int], Sent]) -> DataFrame:
-    """Every block's messages to the buckets. `docs`: block, doc_id, text; `answers` are those of the round before."""
+    """Every block's messages to the buckets. `docs`: __block, doc_id, text; `answers` are those of the round before."""
     buckets = 1 << bits
 
     def alone(docs_: pa.Table) -> pa.Table:
-        block = docs_["block"][0].as_py()
+        block = docs_["__block"][0].as_py()
         return _messages(block, ask_block(in_order(docs_), Answers(None, buckets), buckets + block))
 
     def again(docs_: pa.Table, answers_: pa.Table) -> pa.Table:
         if docs_.num_rows == 0:
             return _messages(0, iter(()))
-        block = docs_["block"][0].as_py()
+        block = docs_["__block"][0].as_py()
         return _messages(block, ask_block(in_order(docs_), Answers(answers_, buckets), buckets + block))
 
     if answers is None:
-        return docs.groupBy("block").applyInArrow(alone, MESSAGE)
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(again, MESSAGE)
+        return docs.groupBy("__block").applyInArrow(alone, MESSAGE)
+    return docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(again, MESSAGE)
 
 
 def answer(messages: DataFrame, bits: int, decide: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
@@ -145,7 +145,7 @@ def settle(docs: DataFrame, answers: DataFrame, bits: int, finish: Callable[[pa.
     def last(docs_: pa.Table, answers_: pa.Table) -> pa.Table:
         return finish(in_order(docs_), Answers(answers_, buckets))
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    return docs.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
 
 
 def split_keys(datas: list[bytes], *kinds) -> tuple[list[np.ndarray], np.ndarray]:

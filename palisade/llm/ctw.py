@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: Model, blocks: int) -> DataFrame:
     """
     bits, buckets = model.bits, 1 << model.bits
     sent_top = docs.sparkSession.sparkContext.broadcast(model.top)
-    dealt = docs.withColumn("block", block_key("doc_id", "text", blocks))
+    dealt = docs.withColumn("__block", block_key("doc_id", "text", blocks))
 
     def asked(texts) -> tuple:
         keys, offsets = strings_of(texts)
@@ -342,10 +342,10 @@ def score(docs: DataFrame, model: Model, blocks: int) -> DataFrame:
     table = model.table.filter("kind IN ('string', 'token')").select(
         F.when(F.col("kind") == "string", F.col("bucket")).otherwise(F.col("bucket") + buckets).alias("bucket"), "data"
     )
-    messages = ask(dealt.select("doc_id", "text", "flag", "block"), None, bits + 1, ask_block)
+    messages = ask(dealt.select("doc_id", "text", "flag", "__block"), None, bits + 1, ask_block)
     replies = messages.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(reply, "bucket int, block int, data binary")
     schema = "doc_id long, flag boolean, n_tokens long, n_known long, known_logs double, score double, n_bytes long"
-    return dealt.select("doc_id", "text", "flag", "block").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return dealt.select("doc_id", "text", "flag", "__block").groupBy("__block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, blocks: int | None = None) -> DataFrame:

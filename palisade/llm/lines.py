@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.llm.blocks import Answers, block_count, block_key, bucket_bits, bucket_bounds, ids_of, in_order, send, settle
 from palisade.llm.spans import LOWER, SPACE, flat, hash_spans, pack, unpack
@@ -169,22 +170,22 @@ def remove_repeated_lines(
 
     A text is split at line breaks; a key is a line without spaces and tabs at its ends, A-Z lower-cased; only
     keys of `least_chars` code points or more count. Documents are taken in `batches` by id, each merged
-    against the index of all before it. `docs` needs doc_id and text; other columns are left out. Returns
-    doc_id, n_lines, n_dropped and kept_text, one row for each row. A null or empty text is one empty line
-    (kept_text is then empty); a null id counts as the largest, and rows that share an id keep each other's lines.
+    against the index of all before it. Returns all columns of `docs` (doc_id, text and others) and n_lines, n_dropped
+    and kept_text, one row for each row; columns of `docs` with these names are replaced. A null or empty text is
+    one empty line (kept_text is then empty); a null id counts as the largest, and rows that share an id keep
+    each other's lines.
     """
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     spark = docs.sparkSession
     blocks = blocks or block_count(docs)
     bits = bucket_bits(blocks)
     marks = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
     batch = sum((F.coalesce(F.col("doc_id").cast("long") > F.lit(m), F.lit(True)).cast("int") for m in marks or []), F.lit(0))
     # A block holds documents of one batch.
-    dealt = docs.select(
-        F.col("doc_id").cast("long"), "text", (batch * F.lit(blocks) + block_key("doc_id", "text", blocks)).cast("int").alias("block")
-    )
+    dealt = docs.withColumn("__block", (batch * F.lit(blocks) + block_key("doc_id", "text", blocks)).cast("int"))
 
     def keys(rows: pa.Table) -> pa.Table:
-        block = rows["block"][0].as_py()
+        block = rows["__block"][0].as_py()
         rows = in_order(rows)
         found, ids = Keys(rows, least_chars), ids_of(rows)
         a = found.a[found.first]
@@ -196,7 +197,7 @@ def remove_repeated_lines(
 
     schema = "bucket int, block int, data binary"
     staged = scratch_path(spark, "lines-keys")
-    messages = dealt.groupBy("block").applyInArrow(keys, schema)
+    messages = dealt.select("doc_id", "text", "__block").groupBy("__block").applyInArrow(keys, schema)
     messages.withColumn("batch", F.floor(F.col("block") / blocks).cast("int")).write.partitionBy("batch").parquet(staged)
     index = LineIndex(spark, bits, fanout)
     everything = spark.read.schema(schema + ", batch int").parquet(staged)
@@ -222,19 +223,17 @@ def remove_repeated_lines(
             else:
                 texts.append(raw[found.offsets[i] : found.offsets[i + 1]].decode())
         dropped = np.concatenate([[0], np.cumsum(gone)])
-        return pa.table(
-            {
-                "doc_id": rows["doc_id"].cast(pa.int64()),
-                "n_lines": np.diff(found.bounds),
-                "n_dropped": dropped[found.bounds[1:]] - dropped[found.bounds[:-1]],
-                "kept_text": pa.array(texts, pa.string()),
-            }
-        )
+        out = rows.drop_columns(["__block"]).append_column("n_lines", pa.array(np.diff(found.bounds)))
+        out = out.append_column("n_dropped", pa.array(dropped[found.bounds[1:]] - dropped[found.bounds[:-1]]))
+        return out.append_column("kept_text", pa.array(texts, pa.string()))
 
-    return settle(dealt, answers, bits, finish, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    added = [T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_text", T.StringType()))]
+    return settle(dealt, answers, bits, finish, T.StructType([*docs.schema.fields, *added]))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has, removed from every text."""
-    done = remove_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
+    return remove_repeated_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
+    )

@@ -58,7 +58,7 @@ def remove_repeated_words(docs: DataFrame, cover: Cover = WORD_COVER, blocks: in
     kept_text; a null id counts as larger than any other, and rows that share an id never remove each other's words.
     """
     blocks = blocks or block_count(docs)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", block_key("doc_id", "text", blocks).alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", block_key("doc_id", "text", blocks).alias("__block"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     return repeats(dealt, _words, cover, bucket_bits(blocks), False, _kept_words, schema)
 

@@ -61,7 +61,7 @@ def remove_repeated_bytes(docs: DataFrame, cover: Cover = BYTE_COVER, blocks: in
     one block, count in the order of their texts.
     """
     blocks = blocks or block_count(docs)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", block_key("doc_id", "text", blocks).alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", block_key("doc_id", "text", blocks).alias("__block"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return repeats(dealt, _bytes, cover, bucket_bits(blocks), True, _kept_bytes, schema)
 
