@@ -157,14 +157,19 @@ def kpi(
     pending = approvals.groupBy(*by).agg(F.count_if(F.col("status") == "pending").alias("pending_approvals"))
     active = agents.groupBy(*by).agg(F.count_if(F.col("status") == "active").alias("active_agents"))
     sources = datasources.groupBy(*by).agg(F.count(F.lit(1)).alias("datasources_total"))
+    # From all four sides: a tenant without traffic has its open approvals and agents all the same.
     joined = counts
     for side in (pending, active, sources):
-        joined = joined.join(side, list(by), "left")
+        joined = joined.join(side, list(by), "full")
+    shown = ("total_requests", "blocked", "__previous_total", "__previous_blocked", "pending_approvals", "active_agents", "datasources_total")
+    joined = joined.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in shown])
     return joined.select(
         *by,
         "total_requests",
         "blocked",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pending_approvals", "active_agents", "datasources_total")],
+        "pending_approvals",
+        "active_agents",
+        "datasources_total",
         percentage_change(F.col("__previous_total"), F.col("total_requests")).alias("total_requests_delta"),
         percentage_change(F.col("__previous_blocked"), F.col("blocked")).alias("blocked_delta"),
     )
@@ -238,11 +243,14 @@ def agent_ranking(audit: DataFrame, agents: DataFrame, window: DayWindow, k: int
     return top.join(names, ["tenant_id", "agent_id"], "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 
-def blocked_savings(audit: DataFrame, window: DayWindow, by: Sequence[str] = TENANT) -> DataFrame:
+def blocked_savings(audit: DataFrame, tenants: DataFrame, window: DayWindow, by: Sequence[str] = TENANT) -> DataFrame:
+    """Denied requests and the rows they would have read, zeros for a tenant without any."""
     denied = F.col("decision") == "deny"
-    return in_window(audit, window).groupBy(*by).agg(
-        F.count_if(denied).alias("blocked_count"),
-        F.coalesce(F.sum(F.when(denied, F.coalesce("est_rows", F.lit(0)))), F.lit(0)).alias("est_rows_saved"),
+    counts = in_window(audit, window).filter(denied).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("blocked_count"), F.sum(F.coalesce("est_rows", F.lit(0))).alias("est_rows_saved")
+    )
+    return tenants.select(*by).distinct().join(counts, list(by), "left").select(
+        *by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("blocked_count", "est_rows_saved")]
     )
 
 

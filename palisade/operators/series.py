@@ -57,6 +57,8 @@ def shares(df: DataFrame, label: str, value: str, order: Sequence[Column | str])
     return first.withColumn("share", F.try_divide("value", total)).filter(F.col("value") > 0)
 
 
+# Fixed value: forecasts beyond it are not given.
+LARGEST = 1e15
 LABEL_KINDS = ("date", "month", "year", "number")
 
 
@@ -73,6 +75,12 @@ def _positions(label: Column) -> dict[str, Column]:
     return {k: c.cast("double") for k, c in zip(LABEL_KINDS, (day, month, year, number))}
 
 
+def _plain_digits(x: Column) -> Column:
+    """The shortest digits of a number, without an exponent."""
+    digits = x.cast("string").try_cast("decimal(38,18)").cast("string")
+    return F.coalesce(F.regexp_replace(digits, r"\.?0+$", ""), x.cast("string"))
+
+
 def _label(kind: Column, x: Column) -> Column:
     whole = F.round(x).cast("bigint")
     month = F.concat(F.lpad(F.floor(whole / 12).cast("string"), 4, "0"), F.lit("-"), F.lpad((whole % 12 + 1).cast("string"), 2, "0"))
@@ -80,7 +88,7 @@ def _label(kind: Column, x: Column) -> Column:
         F.when(kind == "date", F.date_format(F.date_from_unix_date(whole.cast("int")), "yyyy-MM-dd"))
         .when(kind == "month", month)
         .when(kind == "year", whole.cast("string"))
-        .otherwise(F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string")))
+        .otherwise(_plain_digits(x))
     )
 
 
@@ -147,9 +155,11 @@ def forecast(
         .groupBy(*keys)
         .agg(F.min("gap").alias("step"))
     )
-    future = usable.join(step, keys).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    x = F.col("x_last") + F.col("ahead") * F.col("step")
-    y = F.col("y_mean") + F.col("slope") * (x - F.col("x_mean"))
-    return future.withColumns({"__x": x, "__y": y}).filter(F.abs("__y") <= 1e15).select(
+    at = lambda ahead: F.col("x_last") + ahead * F.col("step")
+    y = lambda ahead: F.col("y_mean") + F.col("slope") * (at(ahead) - F.col("x_mean"))
+    # A line is largest at an end: a series that leaves the bound anywhere is given up as a whole.
+    bounded = (F.abs(y(F.lit(1))) <= LARGEST) & (F.abs(y(F.lit(horizon))) <= LARGEST)
+    future = usable.join(step, keys).filter(bounded).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return future.withColumns({"__x": at(F.col("ahead")), "__y": y(F.col("ahead"))}).select(
         *keys, "input_rows", "ahead", _label(F.col("kind"), F.col("__x")).alias("label"), F.round("__y", 2).alias("value")
     )

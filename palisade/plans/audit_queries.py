@@ -46,8 +46,17 @@ def audit_keyset_page(spark, d):
     return audit.page_after(t.audit_log(spark, d), dt.datetime(2024, 1, 20), -1, 50).select("id", "ts", "decision")
 
 
+# A tenant for each region: agents and an open approval, but no request in any window.
+_QUIET_SQL = "SELECT concat('quiet-', CAST(r_regionkey AS STRING)) AS tenant_id FROM region"
+QUIET = f"quiet AS ({_QUIET_SQL})"
+
+
+def _quiet(spark, d):
+    return t.select_over(spark, _QUIET_SQL, "region", t.load(spark, d, "region"))
+
+
 @query("audit_kpi", over_audit(f"""
-SELECT c.tenant_id, total_requests, blocked, coalesce(pending_approvals, 0) AS pending_approvals,
+SELECT tenant_id, coalesce(total_requests, 0) AS total_requests, coalesce(blocked, 0) AS blocked, coalesce(pending_approvals, 0) AS pending_approvals,
  coalesce(active_agents, 0) AS active_agents, coalesce(datasources_total, 0) AS datasources_total,
  round(CASE WHEN pt <> 0 THEN (total_requests - pt) / pt::DOUBLE * 100 END, 6) AS total_requests_delta,
  round(CASE WHEN pb <> 0 THEN (blocked - pb) / pb::DOUBLE * 100 END, 6) AS blocked_delta
@@ -56,13 +65,17 @@ FROM (SELECT tenant_id, count(*) FILTER (ts >= TIMESTAMP '2024-01-17') AS total_
   count(*) FILTER (ts < TIMESTAMP '2024-01-17') AS pt,
   count(*) FILTER (ts < TIMESTAMP '2024-01-17' AND decision = 'deny') AS pb
   FROM audit_log WHERE {_BOTH} GROUP BY 1) c
-LEFT JOIN (SELECT tenant_id, count(*) FILTER (status = 'pending') AS pending_approvals FROM approvals GROUP BY 1) p USING (tenant_id)
-LEFT JOIN (SELECT tenant_id, count(*) FILTER (status = 'active') AS active_agents FROM agents GROUP BY 1) a USING (tenant_id)
-LEFT JOIN (SELECT tenant_id, count(*) AS datasources_total FROM datasources GROUP BY 1) s USING (tenant_id)
-""", AGENTS, SOURCES, APPROVALS))
+FULL JOIN (SELECT tenant_id, count(*) FILTER (status = 'pending') AS pending_approvals FROM (SELECT tenant_id, status FROM approvals UNION ALL SELECT tenant_id, 'pending' FROM quiet) GROUP BY 1) p USING (tenant_id)
+FULL JOIN (SELECT tenant_id, count(*) FILTER (status = 'active') AS active_agents FROM (SELECT tenant_id, status FROM agents UNION ALL SELECT tenant_id, 'active' FROM quiet) GROUP BY 1) a USING (tenant_id)
+FULL JOIN (SELECT tenant_id, count(*) AS datasources_total FROM datasources GROUP BY 1) s USING (tenant_id)
+""", AGENTS, SOURCES, APPROVALS, QUIET))
 def audit_kpi(spark, d):
+    quiet = _quiet(spark, d)
     out = audit.kpi(
-        t.audit_log(spark, d), t.from_audit(spark, d, t.APPROVALS_SQL), t.agents(spark, d), t.datasources(spark, d), WINDOW
+        t.audit_log(spark, d),
+        t.from_audit(spark, d, t.APPROVALS_SQL).select("tenant_id", "status").unionByName(quiet.withColumn("status", F.lit("pending"))),
+        t.agents(spark, d).select("tenant_id", "status").unionByName(quiet.withColumn("status", F.lit("active"))),
+        t.datasources(spark, d), WINDOW,
     )
     return out.withColumns({c: F.round(c, 6) for c in ("total_requests_delta", "blocked_delta")})
 
@@ -113,9 +126,10 @@ def agent_ranking(spark, d):
 @query("blocked_savings", over_audit(f"""
 SELECT tenant_id, count(*) FILTER (decision = 'deny') AS blocked_count,
  coalesce(sum(est_rows) FILTER (decision = 'deny'), 0)::BIGINT AS est_rows_saved
-FROM audit_log WHERE {_IN} GROUP BY 1"""))
+FROM audit_log WHERE {_IN} GROUP BY 1 UNION ALL SELECT tenant_id, 0, 0 FROM quiet""", QUIET))
 def blocked_savings(spark, d):
-    return audit.blocked_savings(t.audit_log(spark, d), WINDOW)
+    tenants = t.agents(spark, d).select("tenant_id").unionByName(_quiet(spark, d))
+    return audit.blocked_savings(t.audit_log(spark, d), tenants, WINDOW)
 
 
 @query("report_summary", over_audit("""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palisade.operators import reconcile as rc
@@ -134,17 +135,33 @@ def jsonl_export(spark, d):
 
 @query("export_ceiling", over_audit("SELECT id, decision FROM audit_log WHERE decision = 'deny'"))
 def export_ceiling(spark, d):
-    return ex.require_at_most(t.audit_log(spark, d).filter("decision = 'deny'").select("id", "decision"), 100_000_000)
+    """The ceiling is what the table holds in all."""
+    log = t.audit_log(spark, d)
+    return ex.require_at_most(log.filter("decision = 'deny'").select("id", "decision"), log.count())
 
 
-@query("manifest_check", "SELECT 'extra.csv' AS name, 'missing' AS problem")
+@query("manifest_check", """
+SELECT 'kind=' || k || ' ' || problem AS file, n FROM (VALUES ('missing', 1), ('unlisted', 1), ('size_mismatch', 1), ('digest_mismatch', 1)) v(problem, n),
+ (SELECT DISTINCT CAST(p_size % 3 AS VARCHAR) AS k FROM part)""")
 def manifest_check(spark, d):
-    """A manifest of written parts, with one file listed that the folder lacks."""
+    """Problems of each folder of a partitioned table whose manifest was tampered with in all four ways."""
     path = scratch_path(spark, "export")
-    ex.export_csv(_cells(spark, d), path, ["key", "note"])
-    manifest = ex.build_manifest(spark, path)
-    ghost = manifest.limit(1).withColumn("name", F.lit("extra.csv"))
-    return ex.verify_manifest(spark, path, manifest.unionByName(ghost))
+    part = t.load(spark, d, "part").withColumn("kind", F.col("p_size") % 3)
+    # Several files in each folder, whose names are equal among the folders.
+    part.repartition(4, F.pmod(F.xxhash64("p_partkey"), F.lit(4))).write.partitionBy("kind").csv(path)
+    manifest = ex.build_manifest(spark, path).withColumn("folder", F.element_at(F.split("name", "/"), 1))
+    turn = F.row_number().over(Window.partitionBy("folder").orderBy("name"))
+    listed = manifest.withColumn("n", turn)
+    tampered = listed.filter("n <> 1").withColumns(
+        {
+            "size": F.when(F.col("n") == 2, F.col("size") + 1).otherwise(F.col("size")),
+            "sha256": F.when(F.col("n") == 3, F.reverse("sha256")).otherwise(F.col("sha256")),
+        }
+    )
+    ghost = listed.filter("n = 1").withColumn("name", F.concat("folder", F.lit("/ghost.csv")))
+    found = ex.verify_manifest(spark, path, tampered.unionByName(ghost).select("name", "size", "sha256"))
+    file = F.concat_ws(" ", F.element_at(F.split("name", "/"), 1), "problem")
+    return found.groupBy(file.alias("file")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 _CUSTOMER = ["c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"]

@@ -30,7 +30,7 @@ def _with_flush(rows):
     """One far later event of another tenant lets the clock pass all waiting times."""
     last = rows.agg(F.max("ts").alias("ts"))
     flush = last.select(
-        F.lit("~").alias("tenant_id"), F.lit(-1).cast("bigint").alias("id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(1).cast("bigint").alias("seq")
+        F.lit("~").alias("tenant_id"), F.lit(-1).cast("bigint").alias("id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(1_000_000).cast("bigint").alias("seq")
     )
     return rows.unionByName(flush)
 
@@ -38,23 +38,20 @@ def _with_flush(rows):
 _GAPS = f"""SELECT tenant_id, prev + 1 AS seq, seq - 1 AS gap_end FROM (SELECT *, coalesce(lag(seq) OVER (PARTITION BY tenant_id ORDER BY seq), 0) AS prev FROM sequenced WHERE {_ARRIVED}) WHERE seq > prev + 1"""
 
 
+# Arrivals also lack whole blocks of 500 numbers, three of them in a row, and the block that holds the cursor's successor.
+_HOLES = f"({_ARRIVED}) AND NOT (seq BETWEEN 1000 AND 2600)"
+
+
 @query("audit_stream", over_audit(f"""
-SELECT tenant_id, kind, count(*) AS n, sum(seq)::BIGINT AS seqs, sum(width)::BIGINT AS width FROM (
- SELECT tenant_id, 'event' AS kind, seq, 0 AS width FROM sequenced WHERE {_ARRIVED}
- UNION ALL SELECT tenant_id, 'missing', 0, gap_end - seq + 1 FROM ({_GAPS})) GROUP BY 1, 2""".replace("count(*) AS n, sum(seq)", "CASE WHEN kind = 'event' THEN count(*) END AS n, sum(seq)"), SEQUENCED))
+SELECT tenant_id, 'event' AS kind, seq, id, CAST(NULL AS BIGINT) AS gap_end FROM sequenced WHERE {_HOLES} AND seq > 100
+UNION ALL SELECT tenant_id, 'gap', prev + 1, NULL, seq - 1 FROM (
+ SELECT *, coalesce(lag(seq) OVER (PARTITION BY tenant_id ORDER BY seq), 100) AS prev FROM sequenced WHERE {_HOLES} AND seq > 100) WHERE seq > prev + 1""", SEQUENCED))
 def audit_stream(spark, d):
-    """Events released in order, and how many numbers each tenant misses."""
+    """Events after a cursor that lies in a gap, and every missing range, whole blocks included."""
     configure_state(spark)
-    arrived = _sequenced(spark, d).filter(_ARRIVED).select("tenant_id", "id", "ts", "seq")
-    out = run_available(o.audit_stream(replay(spark, _with_flush(arrived)), block=500), "audit-stream").filter("tenant_id <> '~'")
-    event = F.col("kind") == "event"
-    rows = out.select(
-        "tenant_id", F.when(event, "event").otherwise("missing").alias("kind"),
-        F.when(event, F.col("seq")).otherwise(0).alias("s"), F.when(event, 0).otherwise(F.col("gap_end") - F.col("seq") + 1).alias("w"),
-    )
-    return rows.groupBy("tenant_id", "kind").agg(
-        F.when(F.first("kind") == "event", F.count(F.lit(1))).alias("n"), F.sum("s").alias("seqs"), F.sum("w").alias("width")
-    )
+    arrived = _sequenced(spark, d).filter(_HOLES).select("tenant_id", "id", "ts", "seq")
+    out = run_available(o.audit_stream(replay(spark, _with_flush(arrived)), cursor=100, block=500), "audit-stream")
+    return o.released(out.filter("tenant_id <> '~'"), 100, 500).select("tenant_id", "kind", "seq", "id", "gap_end")
 
 
 @query("sequence_gaps", over_audit(_GAPS, SEQUENCED))
@@ -63,9 +60,12 @@ def sequence_gaps(spark, d):
 
 
 @query("stream_page", over_audit("""
-SELECT tenant_id, seq, id FROM sequenced WHERE seq > 50 AND seq < 100""", SEQUENCED))
+SELECT tenant_id, seq, id, false AS consistent FROM sequenced WHERE seq > 50 AND seq < 100""", SEQUENCED))
 def stream_page(spark, d):
-    return o.stream_after(_sequenced(spark, d).filter("seq % 50 <> 0 OR seq = 50"), 50).select("tenant_id", "seq", "id")
+    """A page that a lost number cuts short before the committed tail."""
+    log = _sequenced(spark, d)
+    tail = log.groupBy("tenant_id").agg(F.max("seq").alias("seq"))
+    return o.stream_after(log.filter("seq % 50 <> 0 OR seq = 50"), 50, latest=tail).select("tenant_id", "seq", "id", "consistent")
 
 
 @query("dedupe_events", over_audit("SELECT tenant_id, count(*) AS n, count(DISTINCT event_uuid) AS uuids FROM audit_log GROUP BY 1"))
@@ -136,22 +136,22 @@ def attempt_limit_stream(spark, d):
     return run_available(o.attempt_limit(replay(spark, tries), "user_name", 3, 7200.0), "attempts").select("id", "allowed")
 
 
-_DELIVERY = """SELECT id, tenant_id, datasource_id AS channel_id, ts, CASE k % 5 WHEN 0 THEN 'claim' WHEN 1 THEN 'ack' WHEN 2 THEN 'fail' WHEN 3 THEN 'claim' ELSE CASE WHEN k % 4 = 0 THEN 'replay' ELSE 'ack' END END AS action,
- CAST(1 + k % 3 AS BIGINT) AS seq FROM audit_log"""
+_DELIVERY = """SELECT id, tenant_id, datasource_id AS channel_id, ts, CASE k % 5 WHEN 0 THEN 'claim' WHEN 1 THEN 'ack' WHEN 2 THEN 'fail' WHEN 3 THEN 'claim' ELSE CASE WHEN k % 4 = 0 THEN 'replay' WHEN k % 4 = 1 THEN 'release' ELSE 'ack' END END AS action,
+ CAST(1 + k % 3 AS BIGINT) AS seq, CASE WHEN k % 3 = 0 THEN 'w0' ELSE 'w1' END AS token FROM audit_log"""
 
 
 @query("delivery_states", over_audit("""
 SELECT id, applied, last_seq, failures, dead AS dead_letter, retry_after AS retry_after_s FROM steps""", f"deliveries AS ({_DELIVERY})",
     "turns AS (SELECT *, epoch_us(ts)::DOUBLE / 1e6 AS at_s, row_number() OVER (PARTITION BY tenant_id, channel_id ORDER BY ts, id) AS n FROM deliveries)",
-    """steps(tenant_id, channel_id, n, id, applied, last_seq, failures, dead, retry_after, lease_until) AS (
- SELECT tenant_id, channel_id, 0::BIGINT, NULL::BIGINT, false, 0::BIGINT, 0::BIGINT, false, 0.0::DOUBLE, 0.0::DOUBLE FROM turns GROUP BY 1, 2
+    """steps(tenant_id, channel_id, n, id, applied, last_seq, failures, dead, retry_after, lease_until, holder) AS (
+ SELECT tenant_id, channel_id, 0::BIGINT, NULL::BIGINT, false, 0::BIGINT, 0::BIGINT, false, 0.0::DOUBLE, 0.0::DOUBLE, '' FROM turns GROUP BY 1, 2
  UNION ALL SELECT tenant_id, channel_id, n, id, ok, CASE WHEN ok AND action = 'ack' THEN seq ELSE last_seq END,
   CASE WHEN ok AND action IN ('ack', 'replay') THEN 0 WHEN ok AND action = 'fail' THEN failures + 1 ELSE failures END,
   CASE WHEN ok AND action = 'fail' THEN failures + 1 >= 3 WHEN ok AND action = 'replay' THEN false ELSE dead END,
   CASE WHEN ok AND action IN ('ack', 'replay') THEN 0.0 WHEN ok AND action = 'fail' THEN at_s + [10, 30, 60, 300, 900][least(failures, 4) + 1] ELSE retry_after END,
-  CASE WHEN ok AND action = 'claim' THEN at_s + 7200 WHEN ok THEN 0.0 ELSE lease_until END
- FROM (SELECT t.*, s.last_seq, s.failures, s.dead, s.retry_after, s.lease_until, CASE t.action WHEN 'claim' THEN NOT s.dead AND s.retry_after <= t.at_s AND s.lease_until <= t.at_s
-   WHEN 'ack' THEN s.lease_until > t.at_s AND t.seq = s.last_seq + 1 WHEN 'fail' THEN s.lease_until > t.at_s ELSE s.dead END AS ok
+  CASE WHEN ok AND action = 'claim' THEN at_s + 7200 WHEN ok THEN 0.0 ELSE lease_until END, CASE WHEN ok AND action = 'claim' THEN token WHEN ok THEN '' ELSE holder END
+ FROM (SELECT t.*, s.last_seq, s.failures, s.dead, s.retry_after, s.lease_until, s.holder, CASE t.action WHEN 'claim' THEN NOT s.dead AND s.retry_after <= t.at_s AND s.lease_until <= t.at_s
+   WHEN 'ack' THEN s.lease_until > t.at_s AND t.token = s.holder AND t.seq = s.last_seq + 1 WHEN 'replay' THEN s.dead ELSE s.lease_until > t.at_s AND t.token = s.holder END AS ok
   FROM steps s JOIN turns t ON t.tenant_id = s.tenant_id AND t.channel_id = s.channel_id AND t.n = s.n + 1))""").replace("WITH audit_log", "WITH RECURSIVE audit_log", 1).replace("AS retry_after_s FROM steps", "AS retry_after_s FROM steps WHERE n > 0", 1))
 def delivery_states(spark, d):
     return o.delivery_states(t.from_audit(spark, d, _DELIVERY), 3, 7200.0).drop("tenant_id", "channel_id")

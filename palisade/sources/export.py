@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 # Fixed value: characters that make a spreadsheet treat a cell as a formula, full-width forms included.
 _FORMULA = "(?U)^\\s*[\\t\\r\\n=+\\-@＝＋－＠]"
 MAX_ROWS_PER_FILE = 1_000_000
+MAX_HASHED_BYTES = 1 << 30
 
 
 class ExportLimit(Exception):
@@ -55,23 +56,34 @@ def require_at_most(df: DataFrame, n: int) -> DataFrame:
     return df
 
 
-def build_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, size and SHA-256 of each data file of a folder, hashed where the files are read."""
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's path as Spark reports it for the files in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def build_manifest(spark: SparkSession, folder: str, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+    """Path within the folder, size and SHA-256 of each data file, hashed where the files are read.
+
+    A file is hashed in memory, so one of more than `max_bytes` has no digest; verify_manifest reports it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).filter(
-        ~F.col("name").startswith("_") & ~F.col("name").startswith(".")
-    )
+    name = F.substring("path", len(_qualified(spark, folder)) + 2, 10_000).alias("name")
+    # The size filters are pushed down: the content of a larger file is never read.
+    small = files.filter(F.col("length") <= max_bytes).select(name, F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > max_bytes).select(name, F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large).filter(~F.col("name").rlike("(^|/)[_.]"))
 
 
 def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Files that are missing, unlisted, of another size, or changed; no row when all is well."""
+    """Files that are missing, unlisted, of another size, too large to hash, or changed; no row when all is well."""
     found = build_manifest(spark, folder).select("name", F.struct("size", "sha256").alias("f"))
     listed = manifest.select("name", F.struct("size", "sha256").alias("m"))
     problem = (
         F.when(F.col("f").isNull(), "missing")
         .when(F.col("m").isNull(), "unlisted")
         .when(F.col("f.size") != F.col("m.size"), "size_mismatch")
-        .when(F.col("f.sha256") != F.col("m.sha256"), "digest_mismatch")
+        .when(F.col("f.sha256").isNull(), "not_hashed")
+        .when(~F.col("f.sha256").eqNullSafe(F.col("m.sha256")), "digest_mismatch")
     )
     return listed.join(found, "name", "full_outer").select("name", problem.alias("problem")).filter(F.col("problem").isNotNull())

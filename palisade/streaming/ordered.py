@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold
-from palisade.functions.segments import previous, time_slice
+from palisade.functions.segments import previous, running, time_slice
 from palisade.operators.risk import DEFAULTS, TokenBucket
 
 SEQ_BLOCK = 10_000
@@ -46,18 +46,22 @@ STREAM_SCHEMA = T.StructType(
 )
 
 
+_NUMBER = T.StructType([T.StructField("n", T.LongType())])
+
+
 class _OrderedBlock(StatefulProcessor):
-    """Releases one block of a tenant's sequence in order; a number that stays away becomes a gap row."""
+    """Releases one block of a tenant's sequence in order; numbers that stay away before a later one become gap rows."""
 
     def __init__(self, block: int, cursor: int):
         self.block, self.cursor = block, cursor
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, _JsonState(handle)
+        # Events that wait for an earlier number: a map, so a batch touches only its own entries.
+        self.held = handle.getMapState("held", _NUMBER, _NUMBER)
 
     def _open(self, key) -> dict:
-        first = max(int(key[1]) * self.block, self.cursor + 1)
-        return self.state.read() or {"next": first, "held": {}, "closed": False, "timer": None}
+        return self.state.read() or {"next": max(int(key[1]) * self.block, self.cursor + 1), "timer": None, "latest": 0}
 
     def _rows(self, tenant, events, gaps) -> pd.DataFrame:
         rows = [(tenant, seq, row_id, "event", None) for seq, row_id in events]
@@ -66,31 +70,29 @@ class _OrderedBlock(StatefulProcessor):
         return out.astype({"seq": "Int64", "id": "Int64", "gap_end": "Int64"})
 
     def _drain(self, state: dict) -> list[tuple[int, int]]:
-        events, held = [], state["held"]
-        while str(state["next"]) in held:
-            events.append((state["next"], held.pop(str(state["next"]))))
+        events = []
+        while self.held.containsKey((state["next"],)):
+            events.append((state["next"], self.held.getValue((state["next"],))[0]))
+            self.held.removeKey((state["next"],))
             state["next"] += 1
         return events
 
-    def _last(self, key) -> int:
-        return (int(key[1]) + 1) * self.block - 1
+    def _wait(self, state: dict, timerValues) -> None:
+        # The watermark trails the newest event by the waiting time, so it passes this point only after that long.
+        if state["timer"] is None:
+            state["timer"] = max(state["latest"], timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(state["timer"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, latest = self._open(key), 0
+        state = self._open(key)
         for batch in rows:
-            latest = max(latest, int(batch["at_ms"].max()))
-            state["closed"] = state["closed"] or bool(batch["marker"].any())
-            real = batch[~batch["marker"]].sort_values("seq")
-            for seq, row_id in zip(real["seq"].tolist(), real["id"].tolist()):
-                if seq >= state["next"]:
-                    state["held"].setdefault(str(seq), row_id)
+            state["latest"] = max(state["latest"], int(batch["at_ms"].max()))
+            for seq, row_id in zip(batch["seq"].tolist(), batch["id"].tolist()):
+                if seq >= state["next"] and not self.held.containsKey((seq,)):
+                    self.held.updateValue((seq,), (row_id,))
         events = self._drain(state)
-        waiting = bool(state["held"]) or (state["closed"] and state["next"] <= self._last(key))
-        if waiting and state["timer"] is None:
-            # The watermark trails the newest event by the waiting time, so it passes this point
-            # only after that long.
-            state["timer"] = max(latest, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(state["timer"])
+        # Also a block in which nothing waits gets a timer: it ends the block's state.
+        self._wait(state, timerValues)
         self.state.write(state)
         if events:
             yield self._rows(key[0], events, [])
@@ -98,16 +100,18 @@ class _OrderedBlock(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._open(key)
         events, gaps = [], []
-        while state["held"]:
-            upcoming = min(int(s) for s in state["held"])
-            gaps.append((state["next"], upcoming - 1))
-            state["next"] = upcoming
-            events += self._drain(state)
-        if state["closed"] and state["next"] <= self._last(key):
-            gaps.append((state["next"], self._last(key)))
-            state["next"] = self._last(key) + 1
+        for upcoming in sorted(k[0] for k in self.held.keys()):
+            if upcoming >= state["next"]:
+                gaps.append((state["next"], upcoming - 1))
+                state["next"] = upcoming
+                events += self._drain(state)
         state["timer"] = None
-        self.state.write(state)
+        if state["next"] >= (int(key[1]) + 1) * self.block and state["latest"] <= timerValues.getCurrentWatermarkInMs():
+            # The block is whole, and copies of its events are behind the watermark, which drops them.
+            self.state.clear()
+            self.held.clear()
+        else:
+            self.state.write(state)
         if events or gaps:
             yield self._rows(key[0], events, gaps)
 
@@ -116,30 +120,53 @@ class _OrderedBlock(StatefulProcessor):
 
 
 def audit_stream(stream: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, wait: str = "10 minutes") -> DataFrame:
-    """A tenant's events after a cursor in sequence order, and a gap row for every number that stays away.
+    """A tenant's events after a cursor in sequence order, and gap rows for numbers that stay away.
 
-    `stream`: tenant_id, seq, id, ts. Each tenant is cut into blocks of sequence numbers, so a busy
-    tenant spreads over all tasks; an event also tells the block before it that it should be whole.
+    `stream`: tenant_id, seq, id, ts. Each tenant is cut into blocks of sequence numbers, so a busy tenant spreads
+    over all tasks. A block reports the numbers missing between its start and its last event; what is missing
+    from there to the tenant's next event, in particular whole blocks, shows in `released` over the output.
     """
     after = stream.filter(F.col("seq") > cursor).select("tenant_id", "seq", "id", F.col("ts").cast("timestamp").alias("ts"))
-    own = F.floor(F.col("seq") / block)
     sent = after.withWatermark("ts", wait).select(
-        "tenant_id", "ts", F.unix_millis("ts").alias("at_ms"),
-        F.inline(
-            F.array(
-                F.struct(own.alias("block"), F.lit(False).alias("marker"), F.col("seq").alias("seq"), F.col("id").alias("id")),
-                F.struct((own - 1).alias("block"), F.lit(True).alias("marker"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("id")),
-            )
-        ),
-    ).filter((F.col("block") + 1) * block > cursor + 1).filter(F.col("block") >= 0)
+        "tenant_id", F.floor(F.col("seq") / block).alias("block"), "seq", "id", F.unix_millis("ts").alias("at_ms"), "ts"
+    )
     return sent.groupBy("tenant_id", "block").transformWithStateInPandas(
         _OrderedBlock(block, cursor), STREAM_SCHEMA, "Append", "EventTime"
     )
 
 
-def sequence_gaps(df: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK) -> DataFrame:
-    """Batch twin of the gap rows: missing ranges between present numbers, per tenant."""
+def released(out: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK) -> DataFrame:
+    """The written output of `audit_stream` with every missing range once and in whole (kind gap, seq to gap_end).
+
+    One row per tenant and block is compared with the next block that holds anything, so empty blocks in between,
+    however many, are one range; ranges that meet at a block's border are joined.
+    """
+    upto = F.coalesce("gap_end", "seq")
+    blocks = out.groupBy("tenant_id", F.floor(F.col("seq") / block).alias("block")).agg((F.max(upto) + 1).alias("next"))
+    # Slices of 1,000 blocks, so that a long sequence is not one task's.
+    stepped = previous(blocks, ["tenant_id"], ["block"], F.floor(F.col("block") / 1000), ["next"])
+    begin = F.coalesce("prev_next", F.lit(cursor + 1))
+    between = stepped.filter(begin < F.col("block") * block).select(
+        "tenant_id", begin.alias("seq"), (F.col("block") * block - 1).alias("gap_end")
+    )
+    gaps = out.filter(F.col("kind") == "gap").select("tenant_id", "seq", "gap_end").unionByName(between)
+    linked = previous(gaps, ["tenant_id"], ["seq"], F.floor(F.col("seq") / (block * 1000)), ["gap_end"])
+    starts = F.when(F.coalesce(F.col("prev_gap_end") + 1 < F.col("seq"), F.lit(True)), 1).otherwise(0)
+    islands = running(linked, ["tenant_id"], ["seq"], F.floor(F.col("seq") / (block * 1000)), starts, "island")
+    whole = islands.groupBy("tenant_id", "island").agg(F.min("seq").alias("seq"), F.max("gap_end").alias("gap_end"))
+    joined = whole.select("tenant_id", "seq", F.lit(None).cast("long").alias("id"), F.lit("gap").alias("kind"), "gap_end")
+    return out.filter(F.col("kind") == "event").unionByName(joined)
+
+
+def sequence_gaps(df: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, latest: DataFrame | None = None) -> DataFrame:
+    """Batch twin of the gap rows: missing ranges after a cursor, per tenant.
+
+    `latest` (tenant_id, seq) pins the committed tail: numbers up to it that are missing at the end are a range too.
+    """
     after = df.filter(F.col("seq") > cursor).select("tenant_id", "seq")
+    if latest is not None:
+        # One row behind the tail bounds the last range; it is no event itself.
+        after = after.unionByName(latest.filter(F.col("seq") > cursor).select("tenant_id", (F.col("seq") + 1).alias("seq")))
     stepped = previous(after, ["tenant_id"], ["seq"], F.floor(F.col("seq") / block), ["seq"])
     before = F.coalesce("prev_seq", F.lit(cursor))
     return stepped.filter(F.col("seq") > before + 1).select(
@@ -147,11 +174,23 @@ def sequence_gaps(df: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK) -> Dat
     )
 
 
-def stream_after(df: DataFrame, cursor: int, limit: int = 1000) -> DataFrame:
-    """One page strictly after a cursor, up to the first gap (batch pull of the same stream)."""
-    first_gap = sequence_gaps(df, cursor).groupBy("tenant_id").agg(F.min("seq").alias("stop"))
+def stream_after(df: DataFrame, cursor: int, limit: int = 1000, latest: DataFrame | None = None) -> DataFrame:
+    """One page strictly after a cursor, up to the first gap (batch pull of the same stream).
+
+    Reads the page's own numbers only. With `latest` (tenant_id, seq) every row says whether its page is `consistent`:
+    whole, or cut by nothing but the committed tail; a tenant whose first number is missing has a row without seq.
+    """
     page = df.filter((F.col("seq") > cursor) & (F.col("seq") <= cursor + limit))
-    return page.join(first_gap, "tenant_id", "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
+    stop = sequence_gaps(page, cursor).groupBy("tenant_id").agg(F.min("seq").alias("stop"))
+    found = page.join(stop, "tenant_id", "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
+    if latest is None:
+        return found
+    reached = found.groupBy("tenant_id").agg(F.max("seq").alias("__upto"))
+    tail = latest.select("tenant_id", F.col("seq").alias("__tail")).filter(F.col("__tail") > cursor)
+    checked = tail.join(reached, "tenant_id", "left").select(
+        "tenant_id", (F.coalesce("__upto", F.lit(cursor)) >= F.least("__tail", F.lit(cursor + limit))).alias("consistent")
+    )
+    return checked.join(found, "tenant_id", "left").select(*found.columns, "consistent")
 
 
 LIMIT_SCHEMA = T.StructType(
@@ -300,32 +339,38 @@ def retry_delay(attempts: int) -> int:
 
 
 class DeliveryCursor:
-    """Delivery state of one channel: claims lease the next number, an ack moves exactly one."""
+    """Delivery state of one channel: claims lease the next number to one worker, its ack moves exactly one."""
 
     def __init__(self, state: dict | None, max_failures: int, lease_s: float):
-        fresh = {"last_seq": 0, "failures": 0, "dead": False, "retry_after": 0.0, "lease_until": 0.0}
+        fresh = {"last_seq": 0, "failures": 0, "dead": False, "retry_after": 0.0, "lease_until": 0.0, "token": ""}
         self.s, self.max_failures, self.lease_s = {**fresh, **(state or {})}, max_failures, lease_s
 
-    def apply(self, action: str, seq: int, at: float) -> bool:
+    def apply(self, action: str, seq: int, at: float, token: str) -> bool:
         s = self.s
         leased = s["lease_until"] > at
+        # Only the worker that holds the lease may end it: its token was set by its own claim.
+        owned = leased and token != "" and token == s["token"]
         if action == "claim":
-            ok = not s["dead"] and s["retry_after"] <= at and not leased
+            ok = token != "" and not s["dead"] and s["retry_after"] <= at and not leased
             if ok:
-                s["lease_until"] = at + self.lease_s
+                s.update(lease_until=at + self.lease_s, token=token)
         elif action == "ack":
-            ok = leased and seq == s["last_seq"] + 1
+            ok = owned and seq == s["last_seq"] + 1
+            if ok:
+                s.update(last_seq=seq, failures=0, retry_after=0.0, lease_until=0.0, token="")
+        elif action == "release":
+            ok = owned
             if ok:
-                s.update(last_seq=seq, failures=0, retry_after=0.0, lease_until=0.0)
+                s.update(lease_until=0.0, token="")
         elif action == "fail":
-            ok = leased
+            ok = owned
             if ok:
-                s.update(retry_after=at + retry_delay(s["failures"]), failures=s["failures"] + 1, lease_until=0.0)
+                s.update(retry_after=at + retry_delay(s["failures"]), failures=s["failures"] + 1, lease_until=0.0, token="")
                 s["dead"] = s["failures"] >= self.max_failures
         elif action == "replay":
             ok = s["dead"]
             if ok:
-                s.update(dead=False, failures=0, retry_after=0.0, lease_until=0.0)
+                s.update(dead=False, failures=0, retry_after=0.0, lease_until=0.0, token="")
         else:
             ok = False
         return ok
@@ -334,10 +379,10 @@ class DeliveryCursor:
 def _deliver(rows: pd.DataFrame, state: dict | None, max_failures: int, lease_s: float) -> tuple[pd.DataFrame, dict]:
     cursor = DeliveryCursor(state, max_failures, lease_s)
     out = []
-    for tenant, channel, row_id, action, seq, at in zip(
-        rows["tenant_id"], rows["channel_id"], rows["id"], rows["action"], rows["seq"], rows["at_s"]
+    for tenant, channel, row_id, action, seq, at, token in zip(
+        rows["tenant_id"], rows["channel_id"], rows["id"], rows["action"], rows["seq"], rows["at_s"], rows["token"]
     ):
-        applied = cursor.apply(action, int(seq), float(at))
+        applied = cursor.apply(action, int(seq), float(at), token)
         s = cursor.s
         out.append((tenant, channel, row_id, applied, s["last_seq"], s["failures"], s["dead"], s["retry_after"]))
     return pd.DataFrame(out, columns=DELIVERY_SCHEMA.fieldNames()), cursor.s
@@ -362,11 +407,14 @@ class _Deliveries(StatefulProcessor):
 
 def _delivery_rows(df: DataFrame) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    return df.select("tenant_id", "channel_id", "id", "action", "seq", "ts", at.alias("at_s"))
+    return df.select("tenant_id", "channel_id", "id", "action", "seq", F.coalesce("token", F.lit("")).alias("token"), "ts", at.alias("at_s"))
 
 
 def delivery_state(stream: DataFrame, max_failures: int = 5, lease_s: float = 60.0) -> DataFrame:
-    """Live delivery cursors: tenant_id, channel_id, id, action (claim, ack, fail, replay), seq, ts."""
+    """Live delivery cursors: tenant_id, channel_id, id, action (claim, ack, release, fail, replay), seq, token, ts.
+
+    A claim sets its token; an ack, release or fail counts only with the token of the lease that still runs.
+    """
     rows = _delivery_rows(stream).drop("ts")
     return rows.groupBy("tenant_id", "channel_id").transformWithStateInPandas(
         _Deliveries(max_failures, lease_s), DELIVERY_SCHEMA, "Append", "None"

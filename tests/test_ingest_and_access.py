@@ -224,5 +224,24 @@ def test_forecast_needs_rising_labels_of_one_kind(spark):
     assert got == {("ok", 1): ("2005", 20.0), ("ok", 2): ("2006", 22.0), ("ok", 3): ("2007", 24.0), ("gap", 1): ("10", 10.0), ("gap", 2): ("12", 12.0), ("gap", 3): ("14", 14.0)}
 
 
+def test_forecast_prints_plain_digits_and_gives_up_whole_series(spark):
+    data = [("frac", repr(12345678.5 + i), float(i), i) for i in range(3)] + [("huge", str(2000 + i), 4.9e14 * i, i) for i in range(3)]
+    df = spark.createDataFrame(data, "g string, label string, v double, at int")
+    got = {(x["g"], x["ahead"]): x["label"] for x in s.forecast(df, ["g"], "label", "v", "at").collect()}
+    assert got == {("frac", 1): "12345681.5", ("frac", 2): "12345682.5", ("frac", 3): "12345683.5"}
+
+
+def test_manifest_of_a_partitioned_folder(spark):
+    path = scratch_path(spark, "partitioned").replace("file:", "")
+    for part in ("a", "b"):
+        os.makedirs(f"{path}/p={part}/_temporary")
+        open(f"{path}/p={part}/part-0.csv", "w").write(part)
+        open(f"{path}/p={part}/_temporary/x.csv", "w").write("x")
+    manifest = spark.createDataFrame(ex.build_manifest(spark, path).collect())
+    assert sorted(r["name"] for r in manifest.collect()) == ["p=a/part-0.csv", "p=b/part-0.csv"]
+    assert ex.verify_manifest(spark, path, manifest).count() == 0
+    assert {r["problem"] for r in ex.verify_manifest(spark, path, ex.build_manifest(spark, path, max_bytes=0)).collect()} == {"digest_mismatch"}
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -43,12 +43,31 @@ def test_ordered_stream_waits_then_reports_gaps(spark):
         events(spark, [101], tenant="~", minute=120),
     ])
     out = run_available(o.audit_stream(feed, block=10), "ordered").filter("tenant_id = 't0'")
-    got = rows(out.select("kind", "seq", "gap_end"))
-    delivered = [s for k, s, _ in got if k == "event"]
-    assert sorted(delivered) == [1, 2, 3, 4, 5, 7, 8, 12, 22]
-    gaps = sorted((s, e) for k, s, e in got if k == "gap")
-    missing = {n for s, e in gaps for n in range(s, e + 1)}
-    assert missing == {6, 9, 10, 11, *range(13, 22)}
+    got = rows(o.released(out, block=10).select("kind", "seq", "gap_end"))
+    assert [s for k, s, _ in got if k == "event"] == [1, 12, 2, 22, 3, 4, 5, 7, 8]
+    assert [(s, e) for k, s, e in got if k == "gap"] == [(13, 21), (6, 6), (9, 11)]
+
+
+def test_ordered_stream_reports_empty_blocks_and_a_cursor_in_a_gap(spark):
+    feed = batches(spark, [
+        events(spark, [3, 4, 18], minute=0),
+        events(spark, [61, 62, 4], minute=1),
+        events(spark, [95], minute=2),
+        events(spark, [1000], tenant="~", minute=60),
+        events(spark, [1001], tenant="~", minute=120),
+    ])
+    out = run_available(o.audit_stream(feed, cursor=6, block=10), "empty-blocks").filter("tenant_id = 't0'")
+    got = o.released(out, cursor=6, block=10)
+    assert rows(got.filter("kind = 'gap'").select("seq", "gap_end")) == [(19, 60), (63, 94), (7, 17)]
+    assert rows(got.filter("kind = 'event'").select("seq")) == [(18,), (61,), (62,), (95,)]
+
+
+def test_a_page_says_whether_the_tail_is_missing(spark):
+    df = events(spark, [1, 2, 3]).unionByName(events(spark, [2, 3], tenant="t1")).unionByName(events(spark, [1, 2], tenant="t2"))
+    tail = spark.createDataFrame([("t0", 4), ("t1", 3), ("t2", 2), ("t3", 0)], "tenant_id string, seq bigint")
+    got = rows(o.stream_after(df, 0, latest=tail).select("tenant_id", "seq", "consistent"))
+    assert got == [("t0", 1, False), ("t0", 2, False), ("t0", 3, False), ("t1", None, False), ("t2", 1, True), ("t2", 2, True)]
+    assert rows(o.sequence_gaps(df, latest=tail)) == [("t0", 4, 4), ("t1", 1, 1)]
 
 
 def test_cursor_skips_what_was_delivered(spark):
@@ -94,7 +113,7 @@ def test_delivery_stream_equals_batch(spark, parts):
     shape = lambda df: df.select(
         "id", "tenant_id", F.col("datasource_id").alias("channel_id"), "ts",
         F.element_at(F.array(*[F.lit(a) for a in ("claim", "ack", "fail", "claim", "replay")]), F.col("k") % 5 + 1).alias("action"),
-        (1 + F.col("k") % 3).cast("bigint").alias("seq"),
+        (1 + F.col("k") % 3).cast("bigint").alias("seq"), F.concat(F.lit("w"), (F.col("k") % 2).cast("string")).alias("token"),
     )
     live = run_available(o.delivery_state(batches(spark, [shape(p) for p in cut]), 3, 7200.0), "delivery")
     assert rows(live) == rows(o.delivery_states(shape(log), 3, 7200.0))
@@ -102,16 +121,24 @@ def test_delivery_stream_equals_batch(spark, parts):
 
 def test_delivery_cursor_rules():
     cursor = o.DeliveryCursor(None, max_failures=2, lease_s=60)
-    assert not cursor.apply("ack", 1, 0.0)
-    assert cursor.apply("claim", 0, 0.0) and not cursor.apply("claim", 0, 1.0)
-    assert not cursor.apply("ack", 2, 2.0) and cursor.apply("ack", 1, 2.0)
-    assert cursor.apply("claim", 0, 3.0) and cursor.apply("fail", 0, 4.0)
-    assert cursor.s["retry_after"] == 14.0 and not cursor.apply("claim", 0, 13.0)
-    assert cursor.apply("claim", 0, 14.0) and cursor.apply("fail", 0, 15.0) and cursor.s["dead"]
-    assert not cursor.apply("claim", 0, 10_000.0) and cursor.apply("replay", 0, 10_000.0) and cursor.apply("claim", 0, 10_001.0)
+    assert not cursor.apply("ack", 1, 0.0, "a") and not cursor.apply("claim", 0, 0.0, "")
+    assert cursor.apply("claim", 0, 0.0, "a") and not cursor.apply("claim", 0, 1.0, "b")
+    assert not cursor.apply("ack", 2, 2.0, "a") and not cursor.apply("ack", 1, 2.0, "b") and cursor.apply("ack", 1, 2.0, "a")
+    assert cursor.apply("claim", 0, 3.0, "a") and cursor.apply("fail", 0, 4.0, "a")
+    assert cursor.s["retry_after"] == 14.0 and not cursor.apply("claim", 0, 13.0, "a")
+    assert cursor.apply("claim", 0, 14.0, "a") and cursor.apply("fail", 0, 15.0, "a") and cursor.s["dead"]
+    assert not cursor.apply("claim", 0, 10_000.0, "a") and cursor.apply("replay", 0, 10_000.0, "") and cursor.apply("claim", 0, 10_001.0, "a")
     assert [o.retry_delay(n) for n in (-1, 0, 1, 2, 3, 4, 9)] == [10, 10, 30, 60, 300, 900, 900]
 
 
+def test_a_stale_worker_cannot_move_the_cursor():
+    cursor = o.DeliveryCursor(None, max_failures=2, lease_s=60)
+    assert cursor.apply("claim", 0, 0.0, "old") and cursor.apply("claim", 0, 61.0, "new")
+    assert not cursor.apply("ack", 1, 62.0, "old") and not cursor.apply("fail", 0, 62.0, "old") and not cursor.apply("release", 0, 62.0, "old")
+    assert cursor.apply("release", 0, 63.0, "new") and not cursor.apply("ack", 1, 64.0, "new")
+    assert cursor.apply("claim", 0, 64.0, "old") and cursor.apply("ack", 1, 65.0, "old") and cursor.s["last_seq"] == 1
+
+
 def test_recent_keeps_the_newest_over_batches(spark, parts):
     log, cut = parts
     shape = lambda df: df.select("tenant_id", F.col("id").alias("seq"), "id")
