@@ -270,9 +270,12 @@ def resolve_config(targets: DataFrame, layers: DataFrame) -> DataFrame:
     """Effective rule settings per (agent, data source) as one map column `config`.
 
     `layers`: layer (global, datasource, agent), scope_id, rule_id, enabled, explicit_deny and
-    thresholds (map). An explicit deny in any layer holds; otherwise the narrowest layer wins.
+    thresholds (map). An explicit deny in any layer holds; otherwise the narrowest layer wins. If `layers` has a
+    `dialect`, an entry holds for that dialect only (null or `all`: for every one), and so does the result.
     """
-    who = targets.select("agent_id", "datasource_id").distinct()
+    by_dialect = ["dialect"] if "dialect" in layers.columns else []
+    target = ["agent_id", "datasource_id", *by_dialect]
+    who = targets.select(*target).distinct()
     scopes = who.select(
         "*",
         F.inline(
@@ -284,28 +287,32 @@ def resolve_config(targets: DataFrame, layers: DataFrame) -> DataFrame:
         ),
     )
     known = layers.filter(F.col("rule_id").isin(*RULE_LEVELS))
+    if by_dialect:
+        known = known.withColumnRenamed("dialect", "only")
     met = scopes.join(known, ["layer", "scope_id"])
-    by_rule = met.groupBy("agent_id", "datasource_id", "rule_id").agg(
+    if by_dialect:
+        met = met.filter(F.col("only").isNull() | (F.col("only") == "all") | (F.col("only") == F.col("dialect")))
+    by_rule = met.groupBy(*target, "rule_id").agg(
         F.bool_or(F.coalesce("explicit_deny", F.lit(False))).alias("explicit_deny"),
         F.max_by("enabled", F.when(F.col("enabled").isNotNull(), F.col("rank"))).alias("enabled"),
     )
     limits = (
-        met.select("agent_id", "datasource_id", "rule_id", "rank", F.explode("thresholds").alias("name", "value"))
+        met.select(*target, "rule_id", "rank", F.explode("thresholds").alias("name", "value"))
         .filter(F.col("name").isin(*DEFAULTS))
-        .groupBy("agent_id", "datasource_id", "rule_id", "name")
+        .groupBy(*target, "rule_id", "name")
         .agg(F.max_by("value", "rank").alias("value"))
-        .groupBy("agent_id", "datasource_id", "rule_id")
+        .groupBy(*target, "rule_id")
         # Threshold names are a dozen fixed words, so each list is short.
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("thresholds"))
     )
-    joined = by_rule.join(limits, ["agent_id", "datasource_id", "rule_id"], "left")
+    joined = by_rule.join(limits, [*target, "rule_id"], "left")
     setting = F.struct(
         (F.col("explicit_deny") | F.coalesce("enabled", F.lit(True))).alias("enabled"),
         "explicit_deny",
         F.coalesce("thresholds", F.create_map().cast("map<string,double>")).alias("thresholds"),
     )
     # At most one entry per known rule.
-    return joined.groupBy("agent_id", "datasource_id").agg(
+    return joined.groupBy(*target).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("rule_id"), setting))).alias("config")
     )
 
@@ -335,8 +342,12 @@ class TokenBucket:
         self.last = state["last"] if state else None
         self.ends = sorted(state["ends"]) if state else []
 
-    def offer(self, now: float, duration: float) -> str:
-        """'' when admitted, else the reason; concurrency is checked before tokens."""
+    def offer(self, now: float, duration: float, qps: float | None = None, max_concurrent: float | None = None) -> str:
+        """'' when admitted, else the reason; concurrency is checked before tokens. Thresholds hold from here on."""
+        if qps is not None:
+            self.qps, self.capacity = qps, max(1.0, qps)
+        if max_concurrent is not None:
+            self.limit = max_concurrent
         if self.last is not None:
             self.tokens = min(self.capacity, self.tokens + (now - self.last) * self.qps)
         self.last = now
@@ -356,7 +367,10 @@ class TokenBucket:
 def _bucket_step(qps: float, max_concurrent: int):
     def step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
         bucket = TokenBucket(qps, max_concurrent, state)
-        reasons = [bucket.offer(at, ms / 1000.0) for at, ms in zip(rows["at_s"], rows["latency_ms"])]
+        reasons = [
+            bucket.offer(at, ms / 1000.0, own_qps, own_limit)
+            for at, ms, own_qps, own_limit in zip(rows["at_s"], rows["latency_ms"], rows["qps"], rows["max_concurrent"])
+        ]
         out = rows[["tenant_id", "agent_id", "id"]].copy()
         out["limit_reason"] = reasons
         return out, bucket.state()
@@ -374,10 +388,16 @@ def rate_limits(
     """Replay of the per-agent token bucket over a log: which requests would have been refused.
 
     Admission depends on every earlier request of the agent, so agents are folded in time order,
-    a busy one in bounded blocks.
+    a busy one in bounded blocks. Where the log has a `config` (see resolve_config), the thresholds of rule R008
+    in it hold for the row instead of `qps` and `max_concurrent`.
     """
+    configured = _has(log, "config")
+    own = lambda name, fallback: _threshold("R008", name, configured, F.lit(float(fallback))).cast("double")
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    slim = log.select("tenant_id", "agent_id", "id", "ts", at.alias("at_s"), F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"))
+    slim = log.select(
+        "tenant_id", "agent_id", "id", "ts", at.alias("at_s"), F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"),
+        own("qps_per_agent", qps).alias("qps"), own("max_conns_per_datasource", max_concurrent).alias("max_concurrent"),
+    )
     schema = T.StructType(
         [
             T.StructField("tenant_id", T.StringType()),

@@ -63,14 +63,16 @@ def table_access(spark, d):
     return p.table_access(t.query_signals(spark, d), p.resolve_policies(t.policies(spark, d)))
 
 
-@query("column_access", over_signals("""
+REFUSED_COLUMNS = """
 SELECT s.id, table_1 AS object_name, split_part(operation_2, ':', 2) AS column_name FROM signals s
 WHERE stmt_type = 'SELECT' AND table_2 IS NULL
  AND EXISTS (SELECT 1 FROM acl a WHERE (a.tenant_id, a.agent_id, a.datasource_id, a.pattern) = (s.tenant_id, s.agent_id, s.datasource_id, table_1))
  AND NOT EXISTS (SELECT 1 FROM allows a WHERE (a.tenant_id, a.agent_id, a.datasource_id) = (s.tenant_id, s.agent_id, s.datasource_id)
   AND (a.pattern = '*' OR (contains(table_1, '.') AND a.pattern = split_part(table_1, '.', 1) || '.*')))
- AND NOT EXISTS (SELECT 1 FROM acl a WHERE (a.tenant_id, a.agent_id, a.datasource_id, a.pattern) = (s.tenant_id, s.agent_id, s.datasource_id, table_1) AND a.column_name = split_part(operation_2, ':', 2))""",
-    POLICIES, _RESOLVED))
+ AND NOT EXISTS (SELECT 1 FROM acl a WHERE (a.tenant_id, a.agent_id, a.datasource_id, a.pattern) = (s.tenant_id, s.agent_id, s.datasource_id, table_1) AND a.column_name = split_part(operation_2, ':', 2))"""
+
+
+@query("column_access", over_signals(REFUSED_COLUMNS, POLICIES, _RESOLVED))
 def column_access(spark, d):
     return p.column_access(t.query_signals(spark, d), p.resolve_policies(t.policies(spark, d)))
 

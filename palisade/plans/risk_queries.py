@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import policy as p
 from palisade.operators import risk as rk
 from palisade.plans.audit_queries import AGENTS
-from palisade.plans.policy_queries import _LOG_TABLES, _RESOLVED, _VERDICTS, POLICIES
+from palisade.plans.policy_queries import _LOG_TABLES, _RESOLVED, _VERDICTS, POLICIES, REFUSED_COLUMNS
 from palisade.plans.registry import over_audit, over_signals, query
 from palisade.sources import tables as t
 
@@ -16,17 +16,45 @@ _META = """SELECT * FROM (VALUES ('sales.orders', true, CAST(90000 AS BIGINT)),
  ('sales.customer', true, CAST(1500 AS BIGINT)), ('events', true, CAST(100001 AS BIGINT))) AS m(table_name, has_index, row_count)"""
 
 
+_BURSTS = "SELECT id, tenant_id, agent_id, ts, latency_ms * 60000 AS latency_ms FROM audit_log"
+_QPS, _SLOTS = 0.0005, 2
+_BUCKET = (
+    f"bursts AS ({_BURSTS})",
+    "turns AS (SELECT *, epoch_us(ts)::DOUBLE / 1e6 AS at_s, row_number() OVER (PARTITION BY tenant_id, agent_id ORDER BY ts, id) AS n FROM bursts)",
+    f"""bucket(tenant_id, agent_id, id, n, tokens, last, ends, reason) AS (
+ SELECT tenant_id, agent_id, id, n, 0.0::DOUBLE, at_s, [at_s + latency_ms / 1000.0::DOUBLE], '' FROM turns WHERE n = 1
+ UNION ALL SELECT tenant_id, agent_id, id, n, CASE WHEN reason = '' THEN filled - 1 ELSE filled END, at_s, CASE WHEN reason = '' THEN list_append(open_ends, at_s + latency_ms / 1000.0::DOUBLE) ELSE open_ends END, reason
+ FROM (SELECT *, CASE WHEN len(open_ends) >= {_SLOTS} THEN 'concurrency' WHEN filled < 1 THEN 'qps' ELSE '' END AS reason FROM (
+  SELECT t.tenant_id, t.agent_id, t.id, t.n, t.at_s, t.latency_ms, least(1.0::DOUBLE, b.tokens + (t.at_s - b.last) * {_QPS}::DOUBLE) AS filled, list_filter(b.ends, lambda e: e > t.at_s) AS open_ends
+  FROM bucket b JOIN turns t ON t.tenant_id = b.tenant_id AND t.agent_id = b.agent_id AND t.n = b.n + 1)))""",
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH audit_log", "WITH RECURSIVE audit_log", 1)
+
+
+@query("rate_limits", _recursive(over_audit("SELECT id, reason AS limit_reason FROM bucket", *_BUCKET)))
+def rate_limits(spark, d):
+    return rk.rate_limits(t.from_audit(spark, d, _BURSTS), _QPS, _SLOTS).select("id", "limit_reason")
+
+
 def facts(spark, d) -> DataFrame:
     """Signals with every joined fact a rule may ask for."""
     signals = rk.with_agents(t.query_signals(spark, d), t.agents(spark, d))
     resolved = p.resolve_policies(t.policies(spark, d))
-    refused = p.table_access(signals, resolved).select("id", (F.col("verdict") != "allowed").alias("access_refused"))
-    return signals.join(rk.table_facts(signals, spark.sql(_META)), "id", "left").join(refused, "id", "left")
+    tables = p.table_access(signals, resolved).filter(F.col("verdict") != "allowed").select("id")
+    columns = p.column_access(signals, resolved).select("id")
+    refused = tables.unionByName(columns).distinct().withColumn("access_refused", F.lit(True))
+    limited = rk.rate_limits(t.from_audit(spark, d, _BURSTS), _QPS, _SLOTS).filter("limit_reason <> ''")
+    limited = limited.select("id", F.lit(True).alias("rate_limited"))
+    sized = rk.table_facts(signals, spark.sql(_META))
+    return signals.join(sized, "id", "left").join(refused, "id", "left").join(limited, "id", "left")
 
 
 _FACTS = f"""meta AS ({_META}), table_facts AS (SELECT u.id, bool_or(NOT coalesce(has_index, false)) AS unindexed, max(row_count) AS largest, bool_or(row_count IS NULL) AS unsized
   FROM uses u LEFT JOIN meta USING (table_name_key) GROUP BY 1)""".replace("USING (table_name_key)", "ON meta.table_name = u.object_name")
-_REFUSED = "refused AS (SELECT id, NOT (NOT bool_or(denied) AND bool_and(allowed)) AS access_refused FROM verdicts GROUP BY 1)"
+_REFUSED = f"refused AS (SELECT id, bool_or(no) AS access_refused FROM (SELECT id, NOT (NOT bool_or(denied) AND bool_and(allowed)) AS no FROM verdicts GROUP BY 1 UNION ALL SELECT id, true FROM ({REFUSED_COLUMNS}) c) GROUP BY 1)"
 _WRITE = "stmt_type IN ('UPDATE', 'DELETE')"
 _RULES = {
     "R001": "is_multi",
@@ -36,6 +64,7 @@ _RULES = {
     "R005": "stmt_type = 'SELECT' AND (truncated OR (NOT has_limit AND NOT (is_pure_aggregate AND NOT has_group_by) AND est_scan_rows > 1000))",
     "R006": "is_multi OR operation_1 = 'SQL_COMMENT'",
     "R007": "(dialect = 'postgres' AND function_1 = 'pg_sleep') OR (dialect = 'mysql' AND function_1 = 'sleep')",
+    "R008": "rate_limited",
     "R009": "(operation_1 LIKE 'NESTING_DEPTH:%' OR operation_1 LIKE 'UNION_COUNT:%') AND k > 16",
     "R010": "access_refused",
     "R101": "dialect = 'postgres' AND operation_1 = 'DROP TABLE'",
@@ -53,30 +82,30 @@ _RULES = {
 _LEVELS = {r: rk.RULE_LEVELS[r] for r in _RULES}
 _HITS = "hits AS (SELECT s.*, list_filter([" + ", ".join(
     f"CASE WHEN coalesce({text}, false) THEN '{rule}' END" for rule, text in _RULES.items()
-) + "], lambda x: x IS NOT NULL) AS rules FROM (SELECT s.*, level, unindexed, largest, unsized, access_refused FROM signals s LEFT JOIN agents g USING (tenant_id, agent_id) LEFT JOIN table_facts f USING (id) LEFT JOIN refused r USING (id)) s)"
-_CTES = (AGENTS, POLICIES, _RESOLVED, _LOG_TABLES, _VERDICTS, _FACTS, _REFUSED, _HITS)
+) + "], lambda x: x IS NOT NULL) AS rules FROM (SELECT s.*, level, unindexed, largest, unsized, access_refused, rate_limited FROM signals s LEFT JOIN agents g USING (tenant_id, agent_id) LEFT JOIN table_facts f USING (id) LEFT JOIN refused r USING (id) LEFT JOIN (SELECT id, reason <> '' AS rate_limited FROM bucket) USING (id)) s)"
+_CTES = (AGENTS, POLICIES, _RESOLVED, _LOG_TABLES, _VERDICTS, _FACTS, _REFUSED, *_BUCKET, _HITS)
 _LEVEL_ROWS = "levels(rule_id, decision, rank) AS (VALUES " + ", ".join(
     f"('{r}', '{d}', {rk.PRIORITY[d] * 100 + 99 - i})" for i, (r, d) in enumerate(rk.RULE_LEVELS.items())
 ) + ")"
 _INVALID = "(level IS NULL)"
 
 
-@query("risk_hits", over_signals("SELECT id, array_to_string(rules, ',') AS rules FROM hits", *_CTES))
+@query("risk_hits", _recursive(over_signals("SELECT id, array_to_string(rules, ',') AS rules FROM hits", *_CTES)))
 def risk_hits(spark, d):
     return rk.assess(facts(spark, d)).select("id", F.array_join(F.transform("hits", lambda h: h["rule_id"]), ",").alias("rules"))
 
 
-@query("risk_verdicts", over_signals(f"""
+@query("risk_verdicts", _recursive(over_signals(f"""
 SELECT h.id, CASE WHEN {_INVALID} THEN 'deny' ELSE coalesce(top.decision, 'allow') END AS decision,
  CASE CASE WHEN {_INVALID} THEN 'deny' ELSE coalesce(top.decision, 'allow') END WHEN 'deny' THEN 1 WHEN 'approve' THEN 2 WHEN 'warn' THEN 3 ELSE 4 END AS risk,
  CASE WHEN NOT {_INVALID} THEN top.rule_id END AS reason_rule, {_INVALID} AS failed_closed
-FROM hits h LEFT JOIN (SELECT id, max_by(decision, rank) AS decision, max_by(rule_id, rank) AS rule_id FROM (SELECT id, unnest(rules) AS rule_id FROM hits) JOIN levels USING (rule_id) GROUP BY 1) top USING (id)""", *_CTES, _LEVEL_ROWS))
+FROM hits h LEFT JOIN (SELECT id, max_by(decision, rank) AS decision, max_by(rule_id, rank) AS rule_id FROM (SELECT id, unnest(rules) AS rule_id FROM hits) JOIN levels USING (rule_id) GROUP BY 1) top USING (id)""", *_CTES, _LEVEL_ROWS)))
 def risk_verdicts(spark, d):
     return rk.assess(facts(spark, d)).select("id", "decision", "risk", "reason_rule", "failed_closed")
 
 
-@query("risk_rule_counts", over_signals("""
-SELECT rule_id, dialect, count(*) AS n FROM (SELECT dialect, unnest(rules) AS rule_id FROM hits) GROUP BY 1, 2""", *_CTES))
+@query("risk_rule_counts", _recursive(over_signals("""
+SELECT rule_id, dialect, count(*) AS n FROM (SELECT dialect, unnest(rules) AS rule_id FROM hits) GROUP BY 1, 2""", *_CTES)))
 def risk_rule_counts(spark, d):
     hits = rk.assess(facts(spark, d)).select("dialect", F.explode("hits").alias("h"))
     return hits.groupBy("h.rule_id", "dialect").agg(F.count(F.lit(1)).alias("n"))
@@ -135,23 +164,6 @@ def configured_hits(spark, d):
     return assessed.select("id", *[F.array_contains(ids, r).alias(r.lower()) for r in _CONFIGURED])
 
 
-_BURSTS = "SELECT id, tenant_id, agent_id, ts, latency_ms * 60000 AS latency_ms FROM audit_log"
-_QPS, _SLOTS = 0.0005, 2
-
-
-@query("rate_limits", over_audit(f"""
-SELECT id, reason AS limit_reason FROM bucket""", f"bursts AS ({_BURSTS})",
-    "turns AS (SELECT *, epoch_us(ts)::DOUBLE / 1e6 AS at_s, row_number() OVER (PARTITION BY tenant_id, agent_id ORDER BY ts, id) AS n FROM bursts)",
-    f"""bucket(tenant_id, agent_id, id, n, tokens, last, ends, reason) AS (
- SELECT tenant_id, agent_id, id, n, 0.0::DOUBLE, at_s, [at_s + latency_ms / 1000.0::DOUBLE], '' FROM turns WHERE n = 1
- UNION ALL SELECT tenant_id, agent_id, id, n, CASE WHEN reason = '' THEN filled - 1 ELSE filled END, at_s, CASE WHEN reason = '' THEN list_append(open_ends, at_s + latency_ms / 1000.0::DOUBLE) ELSE open_ends END, reason
- FROM (SELECT *, CASE WHEN len(open_ends) >= {_SLOTS} THEN 'concurrency' WHEN filled < 1 THEN 'qps' ELSE '' END AS reason FROM (
-  SELECT t.tenant_id, t.agent_id, t.id, t.n, t.at_s, t.latency_ms, least(1.0::DOUBLE, b.tokens + (t.at_s - b.last) * {_QPS}::DOUBLE) AS filled, list_filter(b.ends, lambda e: e > t.at_s) AS open_ends
-  FROM bucket b JOIN turns t ON t.tenant_id = b.tenant_id AND t.agent_id = b.agent_id AND t.n = b.n + 1)))""").replace("WITH audit_log", "WITH RECURSIVE audit_log", 1))
-def rate_limits(spark, d):
-    return rk.rate_limits(t.from_audit(spark, d, _BURSTS), _QPS, _SLOTS).select("id", "limit_reason")
-
-
 _LABELLED = """SELECT dialect, rule_id, expected, CASE WHEN id % 97 = 0 THEN NOT expected ELSE expected END AS actual FROM (
  SELECT id, dialect, 'R002' AS rule_id, stmt_type IN ('UPDATE', 'DELETE') AND (NOT has_where OR where_tautology) AS expected FROM signals
  UNION ALL SELECT id * 97 + 1, dialect, 'R001', is_multi FROM signals) AS each_case"""
