@@ -107,7 +107,7 @@ def fit(docs: DataFrame, least_share: float = 1e-6, lead: float = 0.3) -> Langua
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     sizes = {r.lang: r.total for r in totals.collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn languages from")
+        return LanguageFilter((), np.zeros((1 << ROWS_LOG2, 0), dtype=np.uint64), np.zeros(0), 0)
     languages = tuple(sorted(sizes))
     share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, float(sizes[k]))]), F.col("lang"))
     code = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)]), F.col("lang"))
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", sco
 
     The score is the winner's share of the corrected counts of all languages. A text that is null or has no
     letter gets `und` and 0.0; one with letters but no known n-gram gets the most usual language and 0.0;
-    ties go to the language that sorts first. Columns of `docs` with the two names are replaced.
+    ties go to the language that sorts first. A model learned from no text says `und` of all. Columns of `docs` with the two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(pred, score).withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", sco
         for table in tables:
             for part in batches(pa.Table.from_batches([table]), SLICE_BYTES, "text"):
                 grams, _, bounds = _grams(part["text"])
-                scores = filters.scores(grams, bounds)
+                scores = filters.scores(grams, bounds) if filters.languages else np.zeros((part.num_rows, 1))
                 best, total = scores.argmax(axis=1), scores.sum(axis=1)
                 best[total == 0] = filters.usual
                 share = np.divide(scores.max(axis=1), total, out=np.zeros(len(total)), where=total > 0)

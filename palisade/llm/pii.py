@@ -112,7 +112,7 @@ def _features(t: Column, s: Column) -> list[Column]:
         s.match.contains("(").cast("int"),
         F.least(count(r"\."), F.lit(4)),
         F.least(count(r"[\x20-]"), F.lit(5)),
-        s.match.rlike(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}").cast("int"),
+        s.match.rlike(r"@[A-Za-z0-9.-]*\.[A-Za-z]{2,}").cast("int"),
         before.rlike(_CUE).cast("int"),
         left.rlike(r"[A-Za-z0-9]").cast("int") + 2 * right.rlike(r"[A-Za-z0-9]").cast("int"),
     ]
