@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-try:
-    import ahocorasick
-except ImportError:  # the gram join below needs no extra package
-    ahocorasick = None
 
 GRAM = 3
-# A phrase set up to this size is handed to every task; a larger one is joined by its rarest gram.
-BROADCAST_PHRASES = 100_000
-BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -26,58 +14,27 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
 
 
-def _gram_join(hay: DataFrame, hay_id: str, hay_text: str, phrases: DataFrame) -> DataFrame:
-    """Every phrase is looked up by its rarest gram, so common grams never multiply the pairs."""
-    sized = phrases.withColumn("__size", F.least(F.length("phrase"), F.lit(GRAM)))
-    sizes = [r[0] for r in sized.select("__size").distinct().collect()]  # at most GRAM values
-    text_grams = F.array_distinct(F.concat(*[_grams(F.col(hay_text), s) for s in sizes])) if sizes else F.array().cast("array<string>")
-    in_text = hay.select(hay_id, F.explode(text_grams).alias("gram"))
-    frequency = in_text.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+def contains_pairs(hay: DataFrame, hay_id: str, hay_text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Distinct (hay_id, phrase) where the text contains the phrase, compared as written.
+
+    Ids must be unique. Texts and phrases meet by the phrase's rarest gram and are then verified, so common grams
+    never multiply the pairs. A phrase shorter than a gram is looked up by a gram of its own length.
+    """
+    wanted = phrases.select(F.col(phrase).alias("phrase")).filter(F.length("phrase") > 0).distinct()
+    size = F.least(F.length("phrase"), F.lit(GRAM))
     own = F.lit(None).cast("array<string>")
-    for s in sizes:
-        own = F.when(F.col("__size") == s, _grams(F.col("phrase"), s)).otherwise(own)
+    for n in range(1, GRAM + 1):
+        own = F.when(size == n, _grams(F.col("phrase"), n)).otherwise(own)
+    offered = wanted.select("phrase", F.explode(own).alias("gram"))
+    sizes = range(1, GRAM + 1)
+    text_grams = F.array_distinct(F.concat(*[_grams(F.col(hay_text), n) for n in sizes]))
+    # Of the texts' grams only those that some phrase offers go any further.
+    in_text = hay.select(hay_id, F.explode(text_grams).alias("gram")).join(offered.select("gram").distinct(), "gram", "left_semi")
+    frequency = in_text.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     anchors = (
-        sized.select("phrase", F.explode(own).alias("gram"))
-        .join(frequency, "gram", "left")
+        offered.join(frequency, "gram", "left")
         .groupBy("phrase")
         .agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
     )
     pairs = in_text.join(anchors, "gram").select(hay_id, "phrase")
     return pairs.join(hay.select(hay_id, hay_text), hay_id).filter(F.col(hay_text).contains(F.col("phrase"))).select(hay_id, "phrase")
-
-
-def _automaton_join(hay: DataFrame, hay_id: str, hay_text: str, phrases: list[str]) -> DataFrame:
-    shared = hay.sparkSession.sparkContext.broadcast(phrases)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for phrase in shared.value:
-            automaton.add_word(phrase, phrase)
-        automaton.make_automaton()
-        for batch in batches:
-            ids, found = [], []
-            for row_id, text in zip(batch[hay_id], batch[hay_text]):
-                if isinstance(text, str):
-                    hits = {phrase for _, phrase in automaton.iter(text)}
-                    ids.extend([row_id] * len(hits))
-                    found.extend(hits)
-            yield pd.DataFrame({hay_id: pd.Series(ids, dtype=batch[hay_id].dtype), "phrase": pd.Series(found, dtype=object)})
-
-    schema = T.StructType([hay.schema[hay_id], T.StructField("phrase", T.StringType())])
-    return hay.select(hay_id, hay_text).mapInPandas(search, schema)
-
-
-def contains_pairs(hay: DataFrame, hay_id: str, hay_text: str, phrases: DataFrame, phrase: str, automaton: bool = True) -> DataFrame:
-    """Distinct (hay_id, phrase) where the text contains the phrase, compared as written.
-
-    Ids must be unique. A phrase set of checked size goes to every task as one automaton;
-    otherwise texts and phrases meet by gram and are then verified.
-    """
-    wanted = phrases.select(F.col(phrase).alias("phrase")).filter(F.length("phrase") > 0).distinct()
-    if automaton and ahocorasick is not None:
-        size = wanted.agg(F.count(F.lit(1)), F.sum(F.octet_length("phrase"))).first()
-        if not size[0]:
-            return _gram_join(hay, hay_id, hay_text, wanted)
-        if size[0] <= BROADCAST_PHRASES and size[1] <= BROADCAST_BYTES:
-            return _automaton_join(hay, hay_id, hay_text, [r[0] for r in wanted.collect()])
-    return _gram_join(hay, hay_id, hay_text, wanted)

@@ -164,36 +164,24 @@ def authorize_uses(
     """
     scope = ["agent_id", "datasource_id"]
     who = requests.select("query_id", *scope)
-    relations = uses.select("query_id", "schema_name", "table_name").distinct()
-    # A policy may leave agent or data source open or use a wildcard, so a request asks for every
-    # spelling of its scope that the policies really use (one aggregated row tells which).
-    pattern = F.col("object_name")
-    used = policies.agg(
-        F.max(F.col("agent_id") == "").alias("agent"), F.max(F.col("datasource_id") == "").alias("source"),
-        F.max(pattern == "*").alias("star"), F.max(pattern.endswith(".*")).alias("schema"),
-    ).first()
-    agents = [F.col("agent_id")] + ([F.lit("")] if used["agent"] else [])
-    sources = [F.col("datasource_id")] + ([F.lit("")] if used["source"] else [])
+    asked = uses.join(who, "query_id")
+    relation_key = [*scope, "schema_name", "table_name"]
+    # A policy may leave agent or data source open or use a wildcard, so a relation asks for every spelling of its
+    # scope. Each distinct relation and use is settled once; the log itself is never multiplied.
     scopes = F.array_distinct(
-        F.array(*[F.struct(a.alias("agent_id"), s.alias("datasource_id")) for a in agents for s in sources])
-    )
-    levels = ["exact", *(["schema"] if used["schema"] else []), *(["global"] if used["star"] else [])]
-    patterns = F.filter(
-        object_patterns(F.col("schema_name"), F.col("table_name")), lambda p: p["level"].isin(*levels)
+        F.array(*[F.struct(a.alias("agent_id"), s.alias("datasource_id")) for a in (F.col("agent_id"), F.lit("")) for s in (F.col("datasource_id"), F.lit(""))])
     )
+    patterns = object_patterns(F.col("schema_name"), F.col("table_name"))
 
     def sought(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        """Rows with every scope and pattern a policy for them could carry."""
-        return (
-            df.join(who, "query_id")
-            .select("query_id", *columns, F.explode(scopes).alias("s"), patterns.alias("p"))
-            .select("query_id", *columns, "s.agent_id", "s.datasource_id", F.explode("p.pattern").alias("pattern"))
-        )
+        """Rows with every scope and pattern a policy for them could carry, as s_agent, s_source and pattern."""
+        spread = df.select(*columns, F.explode(scopes).alias("s"), patterns.alias("p"))
+        return spread.select(*columns, F.col("s.agent_id").alias("s_agent"), F.col("s.datasource_id").alias("s_source"), F.explode("p.pattern").alias("pattern"))
 
-    rules = policies.withColumnRenamed("object_name", "pattern")
+    rules = policies.withColumnsRenamed({"object_name": "pattern", "agent_id": "s_agent", "datasource_id": "s_source"})
     allow = F.col("action") == "allow"
-    key = [*scope, "pattern"]
-    # Policies are folded to one row per scope and pattern before the log is joined to them.
+    key = ["s_agent", "s_source", "pattern"]
+    # Policies are folded to one row per scope and pattern before anything is joined to them.
     folded = rules.groupBy(*key).agg(
         F.bool_or((F.col("action") == "deny") & (F.col("object_type") != "column")).alias("denied"),
         F.bool_or(allow).alias("granted"),
@@ -203,10 +191,10 @@ def authorize_uses(
             & ~((F.col("object_type") == "table") & allow & F.col("pattern").contains(".") & ~F.col("pattern").endswith("*"))
         ).alias("bad_filter"),
     )
-    relation_key = ["query_id", "schema_name", "table_name"]
     full_name = F.concat_ws(".", "schema_name", "table_name")
     flags = ("denied", "granted", "filtered", "bad_filter")
-    per_relation = sought(relations, ["schema_name", "table_name"]).join(folded, key).groupBy(*relation_key).agg(
+    relations = asked.select("query_id", *relation_key).distinct()
+    per_relation = sought(relations.select(*relation_key).distinct(), relation_key).join(folded, key).groupBy(*relation_key).agg(
         *[F.bool_or(f).alias(f) for f in flags]
     )
     relation_facts = relations.join(per_relation, relation_key, "left").groupBy("query_id").agg(
@@ -217,20 +205,11 @@ def authorize_uses(
         F.count(F.lit(1)).alias("relation_count"),
         F.max(F.when(F.col("filtered"), full_name)).alias("filtered_name"),
     )
-    use_key = ["schema_name", "table_name", "ordinal", "column_name", "type_digest", "usage"]
-    granted = (
-        rules.filter(allow)
-        .select("policy_id", *key)
-        .join(grants, "policy_id")
-        .select(*key, "ordinal", "column_name", "type_digest", "usage")
-        .distinct()
-    )
-    granted_uses = sought(uses, use_key).join(granted, [*key, "ordinal", "column_name", "type_digest", "usage"], "left_semi")
-    missing = (
-        uses.join(granted_uses.select("query_id", *use_key), ["query_id", *use_key], "left_anti")
-        .groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("missing"))
-    )
+    part = ["ordinal", "column_name", "type_digest", "usage"]
+    use_key = [*relation_key, *part]
+    granted = rules.filter(allow).select("policy_id", *key).join(grants, "policy_id").select(*key, *part).distinct()
+    granted_uses = sought(asked.select(*use_key).distinct(), use_key).join(granted, [*key, *part], "left_semi").select(*use_key).distinct()
+    missing = asked.join(granted_uses, use_key, "left_anti").groupBy("query_id").agg(F.count(F.lit(1)).alias("missing"))
     joined = requests.join(relation_facts, "query_id", "left").join(missing, "query_id", "left")
     if masks is not None:
         mask_reason = masks.filter(F.col("reason") != "ALLOW").groupBy("query_id").agg(
@@ -370,6 +349,7 @@ def delegation_violations(requested: DataFrame, held: DataFrame) -> DataFrame:
 # Shape of a key scope and of a hash field name.
 KEY_SCOPE = r"^db(0|[1-9]|1[0-5]):[A-Za-z0-9][A-Za-z0-9:_-]{2,126}\*?$"
 HASH_FIELD = r"^[A-Za-z][A-Za-z0-9_]{0,63}$"
+# Fixed value: the longest text the scope pattern allows.
 _LONGEST_SCOPE = 131
 
 
@@ -382,20 +362,19 @@ def key_access(keys: DataFrame, scopes: DataFrame) -> DataFrame:
     valid = scopes.filter(F.col("scope").rlike(KEY_SCOPE))
     prefixes = valid.filter(F.col("scope").endswith("*")).select("agent_id", F.expr("rtrim('*', scope)").alias("probe"), "action")
     exact = valid.filter(~F.col("scope").endswith("*")).select("agent_id", F.col("scope").alias("probe"), "action")
-    # Scope text is at most 131 characters, so there are at most that many lengths.
-    lengths = sorted(r[0] for r in prefixes.select(F.length("probe")).distinct().limit(_LONGEST_SCOPE).collect())
+    # Scope text is at most 131 characters, so this list of lengths is short.
+    lengths = prefixes.agg(F.collect_set(F.length("probe"))).scalar()
     target = F.concat(F.lit("db"), F.col("db").cast("string"), F.lit(":"), F.col("key"))
     probed = keys.withColumn("__target", target).withColumn(
         "__ok", F.col("__target").rlike(KEY_SCOPE) & ~F.col("key").contains("*")
     )
     exact_hits = probed.select("key_id", "agent_id", F.col("__target").alias("probe")).join(exact, ["agent_id", "probe"])
-    hits = exact_hits.select("key_id", "action")
-    if lengths:
-        cut = F.array_compact(F.array(*[F.when(F.length("__target") >= n, F.left("__target", F.lit(n))) for n in lengths]))
-        prefix_hits = probed.select("key_id", "agent_id", F.explode(cut).alias("probe")).join(
-            prefixes.distinct(), ["agent_id", "probe"]
-        )
-        hits = hits.unionByName(prefix_hits.select("key_id", "action"))
+    own = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("__target"), F.lit(_LONGEST_SCOPE))))
+    cut = F.transform(F.array_intersect("__lengths", own), lambda n: F.left("__target", n))
+    prefix_hits = probed.withColumn("__lengths", lengths).select("key_id", "agent_id", F.explode(cut).alias("probe")).join(
+        prefixes.distinct(), ["agent_id", "probe"]
+    )
+    hits = exact_hits.select("key_id", "action").unionByName(prefix_hits.select("key_id", "action"))
     verdicts = hits.groupBy("key_id").agg(
         F.bool_or(F.col("action") == "deny").alias("denied"), F.bool_or(F.col("action") == "allow").alias("allowed")
     )

@@ -38,6 +38,9 @@ def _parts(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, r"(?U)[_\s]+"), lambda p: p != ""))
 
 
+BEST_TABLES = 20
+
+
 def keyword_scores(tables: DataFrame, fields: DataFrame, keywords: DataFrame) -> DataFrame:
     """Score of each (question, table) that any keyword touches; other pairs score 0 and are absent.
 
@@ -99,6 +102,22 @@ def keyword_scores(tables: DataFrame, fields: DataFrame, keywords: DataFrame) ->
     return joined.select("question_id", "table_id", score.alias("score"))
 
 
+def best_tables(tables: DataFrame, fields: DataFrame, keywords: DataFrame, k: int = BEST_TABLES) -> DataFrame:
+    """The k best tables of each question by keyword_scores, ties to the smaller table_id.
+
+    Questions with the same keywords share one ranking: lists are scored and cut to k tables first, and only
+    what is left of them meets the questions, so the result holds at most k rows for each question.
+    """
+    asked = keywords.select("question_id", F.lower(F.trim("keyword")).alias("keyword")).filter(F.col("keyword") != "")
+    # A question's own keywords; the list stands for its ranking.
+    listed = asked.groupBy("question_id").agg(F.array_sort(F.collect_list("keyword")).alias("words")).withColumn("list", F.sha2(F.to_json("words"), 256))
+    lists = listed.groupBy("list").agg(F.first("words").alias("words"))
+    scored = keyword_scores(tables, fields, lists.select(F.col("list").alias("question_id"), F.explode("words").alias("keyword")))
+    order = Window.partitionBy("list").orderBy(F.desc("score"), "table_id")
+    best = scored.withColumnRenamed("question_id", "list").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return listed.select("question_id", "list").join(best, "list").drop("list")
+
+
 def _within(comments: DataFrame, words: DataFrame) -> DataFrame:
     """(comment, keyword) where the comment text contains the keyword."""
     held = comments.select(F.col("comment"), F.col("comment").alias("__text"))

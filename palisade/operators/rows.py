@@ -154,6 +154,17 @@ def secure_rows(facts: DataFrame, entitled: DataFrame, column: str) -> DataFrame
     return facts.join(entitled.withColumnRenamed("value", column), column)
 
 
+def secure_totals(facts: DataFrame, entitled: DataFrame, column: str, sums: Mapping[str, str]) -> DataFrame:
+    """Count and sums of every user's visible rows, per user_id: name of the result -> column summed.
+
+    Facts are totalled per entitlement value first, so users meet one row for each of their values.
+    """
+    totals = facts.groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("visible"), *[F.sum(c).alias(name) for name, c in sums.items()]
+    )
+    return entitled.join(totals, "value").groupBy("user_id").agg(F.sum("visible").alias("visible"), *[F.sum(n).alias(n) for n in sums])
+
+
 def visible_rows(facts: DataFrame, entitled: DataFrame, column: str, user_id: str) -> DataFrame:
     """One user's visible rows, as a semi join."""
     mine = entitled.filter(F.col("user_id") == user_id).select(F.col("value").alias(column))

@@ -1,8 +1,8 @@
 """Exact top-k by dot product or cosine over any number of candidates.
 
-No candidate is ever paired with every query in a table. Where the queries fit a checked
-bound, each task scans its own candidates once against all of them and keeps k per query; else
-both sides are cut into blocks that meet in a co-group, again keeping k per query and block.
+Queries are handed to all tasks in slices of bounded size; each task scans its own candidates once for a
+slice and keeps k per query. Candidates are never shuffled or paired with queries in a table, and a task's
+product of queries and candidates has bounded size.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_SHARED_QUERIES = 2048
-CANDIDATES_PER_BLOCK = 200_000
-QUERIES_PER_BLOCK = 2048
+# Queries that one scan answers, and candidates and queries that meet in one product.
+QUERIES_PER_SCAN = 16_384
+QUERIES_PER_PRODUCT, CANDIDATES_PER_PRODUCT = 1024, 4096
 _DIGITS = 12  # scores are compared at 12 decimals, so equal vectors tie wherever they are computed
 
 SCHEMA = T.StructType(
@@ -31,26 +31,42 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / np.where(ok, norms, 1.0)[:, None], ok
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, threshold: float | None, cosine: bool) -> pd.DataFrame:
+class _Best:
+    """The best k candidates of each query so far, ties to the smaller id."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None):
+        self.query_ids, self.queries, self.k, self.threshold = query_ids, queries, k, threshold
+        self.row, self.id, self.score = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = np.round(self.queries @ vectors.T, _DIGITS)
+        if scores.shape[1] > self.k:
+            # Only what reaches the query's k-th best of this product can be among its best.
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            kept = scores >= least[:, None]
+        else:
+            kept = np.ones(scores.shape, dtype=bool)
+        if self.threshold is not None:
+            kept &= scores > self.threshold
+        row, column = np.nonzero(kept)
+        row = np.concatenate([self.row, row])
+        found, score = np.concatenate([self.id, ids[column]]), np.concatenate([self.score, scores[kept]])
+        order = np.lexsort((found, -score, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[rank < self.k]
+        self.row, self.id, self.score = row[rank < self.k], found[order], score[order]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.query_ids[self.row], "candidate_id": self.id, "score": self.score})
+
+
+def _usable(ids: np.ndarray, vectors: np.ndarray, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
     if cosine:
         vectors, ok = _unit(vectors)
     else:
         ok = np.isfinite(vectors).all(axis=1)
-    ids, vectors = ids[ok], vectors[ok]
-    parts = []
-    if len(ids):
-        scores = np.round(queries @ vectors.T, _DIGITS)
-        for row, query_id in enumerate(query_ids):
-            s = scores[row]
-            keep = np.arange(len(s)) if threshold is None else np.flatnonzero(s > threshold)
-            if len(keep) > k:
-                kth = np.partition(s[keep], len(keep) - k)[len(keep) - k]
-                keep = keep[s[keep] >= kth]
-            order = keep[np.lexsort((ids[keep], -s[keep]))][:k]
-            parts.append(pd.DataFrame({"query_id": query_id, "candidate_id": ids[order], "score": s[order]}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "candidate_id": [], "score": []}).astype(
-        {"query_id": "int64", "candidate_id": "int64", "score": "float64"}
-    )
+    return ids[ok], vectors[ok]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -63,66 +79,42 @@ def top_k(
     k: int,
     threshold: float | None = None,
     cosine: bool = True,
-    max_shared: int = MAX_SHARED_QUERIES,
+    queries_per_scan: int = QUERIES_PER_SCAN,
 ) -> DataFrame:
     """`candidates` and `queries` hold (id, vector); the result adds a rank, ties to the smaller id.
 
-    Zero and non-finite vectors take no part.
+    Zero and non-finite vectors take no part. Each `queries_per_scan` queries cost one scan of the candidates.
     """
     q = queries.select(F.col("id").cast("bigint").alias("id"), "vector")
     c = candidates.select(F.col("id").cast("bigint").alias("id"), "vector")
-    few = q.limit(max_shared + 1).toPandas()
-    if few.empty:
-        local = q.sparkSession.createDataFrame([], SCHEMA)
-    elif len(few) <= max_shared:
-        query_ids, matrix = _prepare(few, cosine)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                found = _best(query_ids, matrix, batch["id"].to_numpy(), _matrix(batch["vector"]), k, threshold, cosine)
-                best = found if best is None else _keep(pd.concat([best, found]), k)
-            if best is not None:
-                yield best
-
-        local = c.mapInPandas(scan, SCHEMA)
-    else:
-        local = _blocked(c, q, k, threshold, cosine)
+    scans = max(1, -(-q.count() // queries_per_scan))
+    local = None
+    for scan in range(scans):
+        slice_ = q.filter(F.pmod(F.xxhash64("id"), F.lit(scans)) == scan).toPandas()
+        found = c.mapInPandas(_scan(slice_, k, threshold, cosine), SCHEMA)
+        local = found if local is None else local.unionByName(found)
     return ranked(local, k)
 
 
-def _prepare(frame: pd.DataFrame, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
-    matrix, ids = _matrix(frame["vector"]), frame["id"].to_numpy()
-    if cosine:
-        matrix, ok = _unit(matrix)
-    else:
-        ok = np.isfinite(matrix).all(axis=1)
-    return ids[ok], matrix[ok]
-
-
-def _keep(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = found.sort_values(["query_id", "score", "candidate_id"], ascending=[True, False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def _blocked(c: DataFrame, q: DataFrame, k: int, threshold: float | None, cosine: bool) -> DataFrame:
-    """Every candidate block meets every query block; the pairs stay inside one task."""
-    query_blocks = max(1, -(-q.count() // QUERIES_PER_BLOCK))
-    candidate_blocks = max(1, -(-c.count() // CANDIDATES_PER_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = c.select("id", "vector", block(candidate_blocks).alias("cb")).withColumn("qb", spread(query_blocks))
-    right = q.select("id", "vector", block(query_blocks).alias("qb")).withColumn("cb", spread(candidate_blocks))
-
-    def meet(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if some.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "candidate_id": [], "score": []}).astype(
-                {"query_id": "int64", "candidate_id": "int64", "score": "float64"}
-            )
-        query_ids, matrix = _prepare(asked, cosine)
-        return _best(query_ids, matrix, some["id"].to_numpy(), _matrix(some["vector"]), k, threshold, cosine)
-
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, SCHEMA)
+def _scan(asked: pd.DataFrame, k: int, threshold: float | None, cosine: bool):
+    query_ids, matrix = (asked["id"].to_numpy(), _matrix(asked["vector"])) if len(asked) else (np.zeros(0, np.int64), np.zeros((0, 0)))
+    if len(asked):
+        query_ids, matrix = _usable(query_ids, matrix, cosine)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [slice(i, i + QUERIES_PER_PRODUCT) for i in range(0, len(query_ids), QUERIES_PER_PRODUCT)]
+        best = [_Best(query_ids[x], matrix[x], k, threshold) for x in parts]
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            ids, vectors = _usable(batch["id"].to_numpy(), _matrix(batch["vector"]), cosine)
+            for i in range(0, len(ids), CANDIDATES_PER_PRODUCT):
+                for x in best:
+                    x.offer(ids[i : i + CANDIDATES_PER_PRODUCT], vectors[i : i + CANDIDATES_PER_PRODUCT])
+        for x in best:
+            yield x.frame()
+
+    return scan
 
 
 def ranked(local: DataFrame, k: int) -> DataFrame:

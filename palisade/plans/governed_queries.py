@@ -10,6 +10,7 @@ from palisade.operators.rows import Compare
 from palisade.plans.governed import Access, assert_visible, carry_filter, governed, register
 from palisade.plans.mask_queries import KEY, fingerprint_sql
 from palisade.plans.registry import over_signals, query, with_ctes
+from palisade.session import materialize
 from palisade.sources import tables as t
 
 CUSTOMER = Access(
@@ -82,9 +83,13 @@ SELECT c_custkey, c_name, count(o_orderkey) AS orders FROM g_customer LEFT JOIN
 _same("exists_subquery", """
 SELECT c_custkey, c_mktsegment FROM g_customer c WHERE EXISTS (SELECT 1 FROM g_orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)
  AND NOT EXISTS (SELECT 1 FROM g_orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""")
+# NOT IN over a column that may be null, written so that it is a shuffled anti join with the null rules beside it:
+# as one predicate it would send all keys of the subquery to every task.
 _same("in_subquery", """
 SELECT o_orderkey, o_totalprice FROM g_orders WHERE o_custkey IN (SELECT c_custkey FROM g_customer WHERE c_mktsegment = 'BUILDING')
- AND o_orderkey NOT IN (SELECT l_orderkey FROM g_lines WHERE l_returnflag = 'R')""")
+ AND NOT EXISTS (SELECT 1 FROM g_lines WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey)
+ AND (SELECT count(*) FROM g_lines WHERE l_returnflag = 'R' AND l_orderkey IS NULL) = 0
+ AND (o_orderkey IS NOT NULL OR (SELECT count(*) FROM g_lines WHERE l_returnflag = 'R') = 0)""")
 _same("literal_limit", "SELECT o_orderkey, o_totalprice FROM g_orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 _same("grouped_aggregates", """
 SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, round(avg(l_discount), 8) AS mean_discount, min(l_quantity) AS low, max(l_quantity) AS high,
@@ -110,10 +115,16 @@ SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice
 WITH RECURSIVE chain(start, c, step) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT start, CAST(floor(c / 3) AS BIGINT), step + 1 FROM chain WHERE c > 0)
 SELECT step, count(*) AS n FROM chain GROUP BY step""")
 def recursive_cte(spark, d):
-    t.load(spark, d, "customer").createOrReplaceTempView("governed_customer")
-    return spark.sql("""WITH RECURSIVE chain(start, c, step) AS (SELECT c_custkey, c_custkey, 0 FROM governed_customer
-      UNION ALL SELECT start, CAST(floor(c / 3) AS BIGINT), step + 1 FROM chain WHERE c > 0)
-      SELECT step, count(*) AS n FROM chain GROUP BY step""")
+    """Each step works on distinct nodes with their counts, so its rows shrink and no recursion limit applies."""
+    nodes = t.load(spark, d, "customer").groupBy(F.col("c_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    steps: list[tuple[int, int]] = []
+    while True:
+        nodes = materialize(nodes, "recursion")
+        total = nodes.agg(F.sum("n")).first()[0]
+        if not total:
+            return spark.createDataFrame(steps, "step int, n bigint")
+        steps.append((len(steps), total))
+        nodes = nodes.filter("c > 0").groupBy(F.floor(F.col("c") / 3).alias("c")).agg(F.sum("n").alias("n"))
 
 
 _same("lateral_top", """

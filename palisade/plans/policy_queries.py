@@ -164,8 +164,8 @@ def secure_rows(spark, d):
         t.select_over(spark, _TARGETS, "supplier", supplier),
         t.select_over(spark, _BINDINGS, "supplier", supplier),
     )
-    seen = rw.secure_rows(t.load(spark, d, "customer"), entitled, "c_nationkey")
-    return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("visible"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    seen = rw.secure_totals(t.load(spark, d, "customer"), entitled, "c_nationkey", {"balance": "c_acctbal"})
+    return seen.select("user_id", "visible", F.round("balance", 2).alias("balance"))
 
 
 @query("hide_columns", "SELECT o_orderkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")

@@ -85,12 +85,16 @@ def _keyword_scores(spark, d):
     tables, fields = t.select_over(spark, _TABLES, "part", part), t.select_over(spark, _FIELDS, "part", part)
     listed = t.select_over(spark, _KEYWORDS, "questions", questions(spark, d))
     words = listed.select("question_id", F.explode(F.split("keywords", ",")).alias("keyword"))
-    return r.keyword_scores(tables, fields, words)
+    return r.best_tables(tables, fields, words)
 
 
-@query("keyword_scores", with_ctes("SELECT question_id, table_id, score FROM scores", *_SCORE_CTES))
+_BEST = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, table_id) AS rank FROM scores) WHERE rank <= {r.BEST_TABLES})"
+
+
+@query("keyword_scores", with_ctes("SELECT question_id, table_id, score FROM best", *_SCORE_CTES, _BEST))
 def keyword_scores(spark, d):
-    return _keyword_scores(spark, d)
+    """The tables a question's keywords rank highest; the full score table grows with questions times tables."""
+    return _keyword_scores(spark, d).select("question_id", "table_id", "score")
 
 
 _VECTORS = "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
@@ -126,8 +130,9 @@ def cosine_top_k(spark, d):
 
 @query("cosine_top_k_blocked", with_ctes(_top_sql("list_cosine_similarity"), _VECTORS))
 def cosine_top_k_blocked(spark, d):
-    """The same ranking by blocks, as for more queries than fit one task."""
-    return _shown(v.top_k(_vectors(spark, d), _queries(spark, d), 5, max_shared=1))
+    """The same ranking in several scans, as for more queries than one scan answers."""
+    queries = _queries(spark, d)
+    return _shown(v.top_k(_vectors(spark, d), queries, 5, queries_per_scan=max(1, queries.count() // 3)))
 
 
 @query("vector_search", with_ctes("""
@@ -139,14 +144,14 @@ def vector_search(spark, d):
     return _shown(v.vector_search(_vectors(spark, d).withColumn("tenant_id", tenant), asked, {"label": 4}, "t1", 10))
 
 
-_HYBRID = """SELECT question_id, table_id, CAST(table_id AS INT) AS idx, CAST((question_id * 7 + table_id * 13) % 101 AS DOUBLE) / 100 AS vector, score AS keyword, (question_id + table_id) % 97 = 0 AS explicit FROM scores"""
+_HYBRID = """SELECT question_id, table_id, CAST(table_id AS INT) AS idx, CAST((question_id * 7 + table_id * 13) % 101 AS DOUBLE) / 100 AS vector, score AS keyword, (question_id + table_id) % 97 = 0 AS explicit FROM best"""
 
 
 @query("hybrid_rank", with_ctes("""
 SELECT question_id, table_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY (keyword = 1)::INT DESC, explicit::INT DESC, vector * 0.6::DOUBLE + keyword * 0.4::DOUBLE DESC, idx) AS rank FROM hybrid)
-WHERE rank <= 6 OR explicit""", *_SCORE_CTES, f"hybrid AS ({_HYBRID})"))
+WHERE rank <= 6 OR explicit""", *_SCORE_CTES, _BEST, f"hybrid AS ({_HYBRID})"))
 def hybrid_rank(spark, d):
-    scored = t.select_over(spark, _HYBRID, "scores", _keyword_scores(spark, d)).withColumnRenamed("idx", "index")
+    scored = t.select_over(spark, _HYBRID, "best", _keyword_scores(spark, d)).withColumnRenamed("idx", "index")
     return v.hybrid_rank(scored, 0.6, 6).select("question_id", "table_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -189,7 +194,7 @@ def find_mentions(spark, d):
     return r.find_mentions(questions(spark, d), names)
 
 
-_EXAMPLES = """SELECT conv_id * 1000 + turn AS example_id, CASE WHEN turn % 3 = 0 THEN text ELSE substr(text, 1, 6 + CAST(conv_id % 5 AS INT)) END AS question, 'sql' AS description, conv_id % 9 <> 0 AS enabled FROM conversations WHERE role = 'user'"""
+_EXAMPLES = """SELECT conv_id * 1000 + turn AS example_id, CASE WHEN turn % 3 = 0 THEN text ELSE split_part(text, ' ', 3) END AS question, 'sql' AS description, conv_id % 9 <> 0 AS enabled FROM conversations WHERE role = 'user'"""
 
 
 @query("match_examples", with_ctes("""

@@ -45,3 +45,18 @@ def test_wide_tables_are_profiled_in_parts(spark):
     kinds = infer_types(wide)
     assert plan(kinds).count("Scan") + plan(kinds).count("Range") >= 3
     assert {r["type"] for r in kinds.collect()} == {"int"} and kinds.count() == 230
+
+
+def test_no_query_forces_a_broadcast(spark, sf_dir):
+    """With both thresholds off nothing is sent to all tasks: no join needs it."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        for name in ("in_subquery", "exists_subquery", "secure_rows", "key_access", "authorize_uses", "risk_hits"):
+            plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastExchange" not in plan and "NestedLoop" not in plan, name
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -53,19 +53,18 @@ def test_blocked_folds_equal_one_pass(skewed):
     assert rows(o.attempt_limits(tries, "user_name", 2, 86400.0)) == rows(o.attempt_limits(tries, "user_name", 2, 86400.0, max_block_rows=5))
 
 
-def test_contains_paths_agree_with_brute_force(spark):
+def test_contains_agrees_with_brute_force(spark):
     rng = random.Random(3)
     words = ["ab", "a", "中文", "the cat", "cat", "atc", "xyz", "ca", "tt"]
     texts = ["".join(rng.choice(["a", "b", "c", "t", " ", "中", "文", "the cat"]) for _ in range(rng.randint(0, 12))) for _ in range(120)] + ["", None]
     hay = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     phrases = spark.createDataFrame([(w,) for w in words] + [("",)], "w string")
     expected = sorted((i, w) for i, text in enumerate(texts) if text for w in words if w in text)
-    for automaton in (True, False):
-        got = contains_pairs(hay, "id", "text", phrases, "w", automaton)
-        assert sorted(map(tuple, got.collect())) == expected
+    got = contains_pairs(hay, "id", "text", phrases, "w")
+    assert sorted(map(tuple, got.collect())) == expected
 
 
-def test_top_k_paths_agree_with_numpy(spark):
+def test_top_k_scans_agree_with_numpy(spark):
     rng = np.random.default_rng(5)
     matrix = rng.normal(size=(300, 8))
     matrix[10] = matrix[20]  # a tie
@@ -78,8 +77,8 @@ def test_top_k_paths_agree_with_numpy(spark):
         s = np.round(unit[q] @ unit.T, 12)
         order = [i for i in np.lexsort((np.arange(300), -s)) if i != 30][:4]
         expected += [(q, int(i), rank) for rank, i in enumerate(order, start=1)]
-    for shared in (v.MAX_SHARED_QUERIES, 2):
-        got = v.top_k(frame, queries, 4, max_shared=shared).select("query_id", "candidate_id", "rank")
+    for scans in (v.QUERIES_PER_SCAN, 2):
+        got = v.top_k(frame, queries, 4, queries_per_scan=scans).select("query_id", "candidate_id", "rank")
         assert rows(got) == sorted(expected, key=repr)
 
 
