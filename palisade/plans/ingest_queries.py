@@ -44,10 +44,15 @@ def csv_text_table(spark, d):
     return table.select(*[F.coalesce(c, F.lit("")).alias(c) for c in NAMES])
 
 
-@query("csv_encoding", with_ctes("SELECT (SELECT count(*) FROM orders) + files.n AS lines, 0::BIGINT AS invalid_utf8, 0::BIGINT AS with_nul FROM (SELECT 1 AS n) files", "one AS (SELECT 1)"))
+@query("csv_encoding", with_ctes("""
+SELECT count(*) AS lines, count(*) FILTER (CAST(key AS BIGINT) % 7 = 0) AS invalid_utf8, count(*) FILTER (CAST(key AS BIGINT) % 11 = 0) AS with_nul FROM cells""", TEXT))
 def csv_encoding(spark, d):
+    """Files of several tasks with lines that are no valid UTF-8 or hold a zero byte."""
     path = scratch_path(spark, "cells")
-    _cells(spark, d).coalesce(1).write.option("header", True).csv(path)
+    key = F.col("key").cast("bigint")
+    byte = lambda code: F.unhex(F.lit(code)).cast("string")
+    mark = F.concat(F.when(key % 7 == 0, byte("E9")).otherwise(""), F.when(key % 11 == 0, byte("00")).otherwise("n"))
+    _cells(spark, d).repartition(4).select(F.concat_ws(",", "key", mark)).write.text(path)
     return ig.encoding_report(spark, path)
 
 

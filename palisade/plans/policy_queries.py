@@ -230,16 +230,12 @@ def _replay_sql(source):
  FROM probes p LEFT JOIN {source} q ON (q.tenant_id, q.agent_id, q.datasource_id) = (p.tenant_id, p.agent_id, p.datasource_id) GROUP BY 1"""
 
 
-_TABLE_ONLY = "SELECT * FROM {s} WHERE object_type = 'table' OR agent_id LIKE '%3'"
-
-
 @query("policy_replay", with_ctes("""
-SELECT probe_id, b.verdict AS before, a.verdict AS after FROM (""" + _replay_sql("some_before") + ") b JOIN (" + _replay_sql("some_after") + ") a USING (probe_id)",
-    POLICIES, f"after AS ({_AFTER})", f"some_before AS ({_TABLE_ONLY.format(s='policies')})", f"some_after AS ({_TABLE_ONLY.format(s='after')})", f"probes AS ({_PROBES})"))
+SELECT probe_id, b.verdict AS before, a.verdict AS after FROM (""" + _replay_sql("policies") + ") b JOIN (" + _replay_sql("after") + ") a USING (probe_id)",
+    POLICIES, f"after AS ({_AFTER})", f"probes AS ({_PROBES})"))
 def policy_replay(spark, d):
     probes = t.select_over(spark, _PROBES, "orders", t.load(spark, d, "orders"))
-    known = (F.col("object_type") == "table") | F.col("agent_id").endswith("3")
-    return p.policy_replay(t.policies(spark, d).filter(known), _after(spark, d).filter(known), probes)
+    return p.policy_replay(t.policies(spark, d), _after(spark, d), probes)
 
 
 _ROLES = "SELECT c_custkey AS role_id FROM customer"

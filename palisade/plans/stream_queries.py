@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palisade.plans.audit_queries import AGENTS
+from palisade.operators.audit import REQUEST_BUCKETS
 from palisade.plans.mask_queries import CONTACT_RULES, KEY, fingerprint_sql
-from palisade.plans.registry import CHECK_SQL, over_audit, over_contact, over_signals, query
+from palisade.plans.registry import CHECK_SQL, over_audit, over_contact, query
+from palisade.plans import risk_queries
 from palisade.plans.risk_queries import _BURSTS, _QPS, _SLOTS
 from palisade.sources import tables as t
 from palisade.streaming import ordered as o
 from palisade.streaming import stateless as sl
-from palisade.streaming.runtime import configure_state, replay, run_available
+from palisade.streaming.runtime import arrivals, configure_state, replay, run_available
 
 # The log with a per-tenant sequence; some numbers are lost on the way.
 _SEQUENCED = "SELECT tenant_id, id, ts, event_uuid, decision, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, id) AS seq, k FROM audit_log"
@@ -98,15 +99,22 @@ def route_alerts(spark, d):
     return out.groupBy("channel_id", "decision").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BUCKET_NAMES = {f"le_{str(b).replace('.', '_')}": b for b in REQUEST_BUCKETS}
+
+
 @query("stream_metrics", over_audit("""
-SELECT date_trunc('day', ts) AS window_start, tenant_id, decision, count(*) AS n, sum(latency_ms)::BIGINT AS latency_sum_ms, count(*) FILTER (latency_ms <= 10) AS le_0_01
-FROM audit_log WHERE ts < (SELECT date_trunc('day', max(ts)) FROM audit_log) GROUP BY 1, 2, 3"""))
+SELECT date_trunc('day', ts) AS window_start, tenant_id, decision, count(*) AS n, sum(latency_ms)::BIGINT AS latency_sum_ms, """
+    + ", ".join(f"count(*) FILTER (latency_ms / 1000.0::DOUBLE <= {b}::DOUBLE) AS {name}" for name, b in _BUCKET_NAMES.items())
+    + " FROM audit_log GROUP BY 1, 2, 3"))
 def stream_metrics(spark, d):
-    """Closed windows only: the last day stays open until the watermark passes its end."""
+    """All windows and buckets: one far later event of another tenant closes the last day."""
     log = t.audit_log(spark, d).select("tenant_id", "ts", "decision", "latency_ms")
-    out = run_available(sl.stream_metrics(replay(spark, log), "1 day"), "metrics")
-    kept = out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tenant_id", "decision", "n", "latency_sum_ms", "le_0_01")
-    return kept
+    last = log.agg(F.max("ts").alias("ts")).select(
+        F.lit("~").alias("tenant_id"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"), F.lit("allow").alias("decision"), F.lit(0).cast("int").alias("latency_ms")
+    )
+    flushed = log.unionByName(last.withColumn("latency_ms", F.col("latency_ms").cast(log.schema["latency_ms"].dataType)))
+    out = run_available(sl.stream_metrics(replay(spark, flushed), "1 day"), "metrics").filter("tenant_id <> '~'")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tenant_id", "decision", "n", "latency_sum_ms", *_BUCKET_NAMES)
 
 
 @query("rate_limit_stream", CHECK_SQL["rate_limits"])
@@ -186,20 +194,24 @@ def redact_stream(spark, d):
     return out.select("c_custkey", "phone", "email", "card_no")
 
 
-@query("assess_stream", over_signals("""
-SELECT id, CASE WHEN level IS NULL OR is_multi OR (stmt_type IN ('UPDATE', 'DELETE') AND (NOT has_where OR where_tautology)) THEN 'deny' END IS NOT NULL AS surely_denied
-FROM signals LEFT JOIN agents USING (tenant_id, agent_id) WHERE level IS NULL OR is_multi OR (stmt_type IN ('UPDATE', 'DELETE') AND (NOT has_where OR where_tautology))""", AGENTS))
+@query("assess_stream", CHECK_SQL["risk_verdicts"])
 def assess_stream(spark, d):
-    """Statements denied by the two plainest rules, or because their agent is unknown."""
-    out = run_available(sl.assess_stream(replay(spark, t.query_signals(spark, d)), t.agents(spark, d)), "verdicts")
-    rules = F.transform("hits", lambda h: h["rule_id"])
-    plain = F.array_contains(rules, "R001") | F.array_contains(rules, "R002") | F.col("failed_closed")
-    return out.filter(plain).select("id", (F.col("decision") == "deny").alias("surely_denied"))
+    """The verdicts of the whole log, all rules, with the joined facts as static sides."""
+    sides = risk_queries.joined_facts(spark, d)
+    out = run_available(sl.assess_stream(replay(spark, t.query_signals(spark, d)), t.agents(spark, d), sides), "verdicts")
+    return out.select("id", "decision", "risk", "reason_rule", "failed_closed")
+
+
+# Three arrivals: the newest days first, then the oldest, then those between; the last two are late.
+_FRESH, _OLD = "ts >= TIMESTAMP '2024-01-15'", "ts < TIMESTAMP '2024-01-08'"
 
 
-@query("late_events", over_audit("SELECT tenant_id, false AS late, count(*) AS n FROM audit_log GROUP BY 1"))
+@query("late_events", over_audit(f"SELECT tenant_id, NOT ({_FRESH}) AS late, count(*) AS n, min(ts) AS since, max(ts) AS until FROM audit_log GROUP BY 1, 2"))
 def late_events(spark, d):
     configure_state(spark)
     log = t.audit_log(spark, d).select("id", "tenant_id", "ts")
-    out = run_available(o.flag_late(replay(spark, log), 600.0), "late")
-    return out.groupBy("tenant_id", "late").agg(F.count(F.lit(1)).alias("n"))
+    parts = [log.filter(_FRESH.replace("TIMESTAMP", "TIMESTAMP_NTZ")), log.filter(_OLD.replace("TIMESTAMP", "TIMESTAMP_NTZ"))]
+    parts.append(log.filter(f"NOT ({_FRESH}) AND NOT ({_OLD})".replace("TIMESTAMP", "TIMESTAMP_NTZ")))
+    out = run_available(o.flag_late(arrivals(spark, parts), 600.0, salts=4), "late")
+    stamp = F.col("ts").cast("timestamp_ntz")
+    return out.groupBy("tenant_id", "late").agg(F.count(F.lit(1)).alias("n"), F.min(stamp).alias("since"), F.max(stamp).alias("until"))

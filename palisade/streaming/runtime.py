@@ -21,6 +21,15 @@ def replay(spark: SparkSession, df: DataFrame, files_per_batch: int | None = Non
     return stream_folder(spark, path, df, files_per_batch)
 
 
+def arrivals(spark: SparkSession, parts: list[DataFrame], files: int = 4) -> DataFrame:
+    """Tables as a file stream that gets them one after the other: each is one micro-batch."""
+    path = scratch_path(spark, "arrivals")
+    for part in parts:
+        # As many files each, so that a batch ends where the next table begins.
+        part.repartition(files).write.mode("append").parquet(path)
+    return stream_folder(spark, path, parts[0], files)
+
+
 def stream_folder(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(like.schema)
     if files_per_batch is not None:
