@@ -272,6 +272,10 @@ CHECKPOINT_FIELDS = ("chain_id", "archive_sha256", "created_at", "signed_at", "h
 
 
 def checkpoint_digest() -> Column:
+    return F.sha2(F.concat(*_checkpoint_parts()), 256)
+
+
+def _checkpoint_parts() -> list[Column]:
     parts = []
     for name in CHECKPOINT_FIELDS:
         if name in ("created_at", "signed_at"):
@@ -280,7 +284,39 @@ def checkpoint_digest() -> Column:
             parts.append(tlv_int(name))
         else:
             parts.append(tlv_text(name))
-    return F.sha2(F.concat(*parts), 256)
+    return parts
+
+
+LINK_SCHEMA = T.StructType(
+    [
+        T.StructField("tenant_id", T.StringType()),
+        T.StructField("chain_id", T.StringType()),
+        T.StructField("ordinal", T.LongType()),
+        T.StructField("previous_sha256", T.StringType()),
+    ]
+)
+
+
+def link_checkpoints(checkpoints: DataFrame, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    """Adds each checkpoint's `previous_sha256`, the digest of the one before it, by place; the first has none.
+
+    A digest covers the link itself, which is its last field, so everything before it is framed beforehand and
+    only the hashes run one after the other.
+    """
+    head = F.concat(*_checkpoint_parts()[:-1])
+    framed = checkpoints.select(*KEYS, F.col("ordinal").cast("bigint").alias("ordinal"), head.alias("head"))
+
+    def step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+        digest, links = state["digest"] if state else None, []
+        for prefix in rows["head"]:
+            links.append(digest)
+            digest = hashlib.sha256(bytes(prefix) + (_frame(0, b"") if digest is None else _frame(1, digest.encode()))).hexdigest()
+        out = rows[["tenant_id", "chain_id", "ordinal"]].copy()
+        out["previous_sha256"] = links
+        return out, {"digest": digest}
+
+    linked = ordered_fold(framed, KEYS, ["ordinal"], F.floor(F.col("ordinal") / SEQ_BLOCK), step, LINK_SCHEMA, max_block_rows)
+    return checkpoints.drop("previous_sha256").join(linked, [*KEYS, "ordinal"])
 
 
 def verify_checkpoints(checkpoints: DataFrame, block: int = SEQ_BLOCK) -> DataFrame:
@@ -309,6 +345,17 @@ def checkpoint_heads(checkpoints: DataFrame) -> DataFrame:
     return digested.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max_by("digest", "ordinal").alias("head_digest"))
 
 
+def verify_heads(checkpoints: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Per chain its length and whether its newest digest is the trusted one (`trusted`: keys, head_digest).
+
+    A trusted chain without any checkpoint is reported too, with length 0.
+    """
+    known = trusted.select(*KEYS, F.col("head_digest").alias("__trusted"))
+    joined = checkpoint_heads(checkpoints).join(known, KEYS, "full")
+    ok = F.coalesce(F.col("head_digest") == F.col("__trusted"), F.lit(False))
+    return joined.select(*KEYS, F.coalesce("n", F.lit(0)).alias("n"), ok.alias("trusted"))
+
+
 def key_drift(observed: DataFrame, registry: DataFrame, scope: Sequence[str] = ("instance_id",)) -> DataFrame:
     """Differences between configured keys and the registry, numbered by class; 2 is fatal and hides the rest.
 

@@ -140,10 +140,11 @@ def sequence_audit(spark, d):
 _CHECKPOINTS = """SELECT CASE WHEN o_custkey % 2 = 0 THEN 't0' ELSE 't1' END AS tenant_id, concat('chain-', CAST(o_custkey % 4 AS STRING)) AS chain_id, o_orderkey AS ordinal,
  CAST(sha2(CAST(o_orderkey AS STRING), 256) AS STRING) AS archive_sha256, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 40 ELSE 0 END AS INT), 0) AS created_at,
  TIMESTAMP '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(o_orderkey - CASE WHEN o_orderkey % 51 = 0 THEN 40 ELSE 0 END AS INT), 0) AS signed_at,
- o_orderkey * 10 - CASE WHEN o_orderkey % 53 = 0 THEN 1000 ELSE 0 END AS head_seq, CAST(sha2(concat('h', CAST(o_orderkey AS STRING)), 256) AS STRING) AS head_hash FROM orders"""
+ CAST(floor(o_orderkey / 8) AS BIGINT) * 10 - CASE WHEN o_orderkey % 53 = 0 THEN 1000 ELSE 0 END AS head_seq,
+ CAST(sha2(concat('h', CAST(CAST(floor(o_orderkey / 8) AS BIGINT) + CASE WHEN o_orderkey % 59 = 0 THEN 1 ELSE 0 END AS STRING)), 256) AS STRING) AS head_hash FROM orders"""
 _CHECKPOINTS_SQL = (
     _CHECKPOINTS.replace("sha2(CAST(o_orderkey AS STRING), 256)", "sha256(CAST(o_orderkey AS STRING))")
-    .replace("sha2(concat('h', CAST(o_orderkey AS STRING)), 256)", "sha256(concat('h', CAST(o_orderkey AS STRING)))")
+    .replace("sha2(concat('h', ", "sha256(concat('h', ").replace(" AS STRING)), 256)", " AS STRING)))")
     .replace("make_interval(0, 0, 0, 0, 0, CAST(o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 40 ELSE 0 END AS INT), 0)", "to_minutes(o_orderkey - CASE WHEN o_orderkey % 50 = 0 THEN 40 ELSE 0 END)")
     .replace("make_interval(0, 0, 0, 0, 0, CAST(o_orderkey - CASE WHEN o_orderkey % 51 = 0 THEN 40 ELSE 0 END AS INT), 0)", "to_minutes(o_orderkey - CASE WHEN o_orderkey % 51 = 0 THEN 40 ELSE 0 END)")
 )
@@ -154,20 +155,30 @@ def _checkpoints(spark, d):
     return base.withColumns({c_: F.col(c_).cast("timestamp_ntz") for c_ in ("created_at", "signed_at")})
 
 
-@query("verify_checkpoints", with_ctes("""
-SELECT tenant_id, chain_id, ordinal, CASE WHEN created_at <= pc THEN 'created_not_later' WHEN signed_at < ps THEN 'signed_earlier' WHEN head_seq < ph THEN 'head_went_back' END AS problem
-FROM (SELECT *, lag(created_at) OVER w AS pc, lag(signed_at) OVER w AS ps, lag(head_seq) OVER w AS ph FROM checkpoints WINDOW w AS (PARTITION BY tenant_id, chain_id ORDER BY ordinal))
-WHERE created_at <= pc OR signed_at < ps OR head_seq < ph""", f"checkpoints AS ({_CHECKPOINTS_SQL})"))
+# Every seventeenth link is forged; the next one then points to a digest that no longer is.
+_FORGED = "ordinal % 17 = 5"
+
+
+@query("verify_checkpoints", with_ctes(f"""
+SELECT tenant_id, chain_id, ordinal, CASE WHEN created_at <= pc THEN 'created_not_later' WHEN signed_at < ps THEN 'signed_earlier' WHEN head_seq < ph THEN 'head_went_back'
+ WHEN head_seq = ph AND head_hash <> phh THEN 'head_hash_changed' WHEN {_FORGED} OR forged THEN 'link_broken' END AS problem
+FROM (SELECT *, lag(created_at) OVER w AS pc, lag(signed_at) OVER w AS ps, lag(head_seq) OVER w AS ph, lag(head_hash) OVER w AS phh, coalesce(lag({_FORGED}) OVER w, false) AS forged
+  FROM checkpoints WINDOW w AS (PARTITION BY tenant_id, chain_id ORDER BY ordinal)) WHERE problem IS NOT NULL""", f"checkpoints AS ({_CHECKPOINTS_SQL})"))
 def verify_checkpoints(spark, d):
-    """Links are set from the true predecessors, so only order and head problems remain."""
-    from palisade.functions.segments import previous
-
-    base = _checkpoints(spark, d)
-    first = base.withColumn("previous_sha256", F.lit(None).cast("string"))
-    # Each digest covers the link before it; a short fixture link stands in for the full history.
-    digested = first.withColumn("link", F.concat_ws(":", "chain_id", "ordinal"))
-    linked = previous(digested, c.KEYS, ["ordinal"], F.floor(F.col("ordinal") / 1000), ["link"])
-    return c.verify_checkpoints(linked.drop("link", "prev_link")).filter(F.col("problem") != "link_broken")
+    """True links over all checkpoints, some forged afterwards: order, heads and links."""
+    return c.verify_checkpoints(_forged(c.link_checkpoints(_checkpoints(spark, d))))
+
+
+def _forged(linked):
+    return linked.withColumn("previous_sha256", F.when(F.expr(_FORGED), F.lit("f" * 64)).otherwise(F.col("previous_sha256")))
+
+
+@query("checkpoint_heads", with_ctes(f"""
+SELECT tenant_id, chain_id, count(*) AS n, NOT ({_FORGED.replace('ordinal', 'max(ordinal)')}) AS trusted FROM checkpoints GROUP BY 1, 2""", f"checkpoints AS ({_CHECKPOINTS_SQL})"))
+def checkpoint_heads(spark, d):
+    """Whether each chain still ends in the digest that was trusted when it was intact."""
+    linked = c.link_checkpoints(_checkpoints(spark, d))
+    return c.verify_heads(_forged(linked), c.checkpoint_heads(linked))
 
 
 _OBSERVED = """SELECT c_nationkey AS instance_id, c_custkey % 9 AS key_id, min(concat('c', CAST(c_custkey % 2 AS STRING))) AS commitment, c_custkey % 9 = c_nationkey % 9 AS active, 5 AS revision
