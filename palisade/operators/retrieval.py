@@ -289,6 +289,19 @@ def find_mentions(questions: DataFrame, names: DataFrame, quotes: bool = True) -
     return placed.withColumn("__won", F.col("end") > furthest).filter("__won").select("question_id", "name").distinct()
 
 
+def mentioned_tables(questions: DataFrame, tables: DataFrame) -> DataFrame:
+    """(question_id, table_key) of the tables a question mentions by name or by their whole comment.
+
+    `tables`: table_key, name, comment. Names and comments are matched apart, each with the longest earliest
+    mention winning; only names may stand in quotes.
+    """
+    found = []
+    for column, quotes in (("name", True), ("comment", False)):
+        own = tables.select("table_key", F.lower(F.trim(column)).alias("name"))
+        found.append(find_mentions(questions, own, quotes).join(own, "name").select("question_id", "table_key"))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def match_examples(questions: DataFrame, examples: DataFrame) -> DataFrame:
     """Stored examples whose question contains, or is contained in, the asked one; the first four that fit.
 

@@ -182,18 +182,33 @@ def expand_keywords(spark, d):
 
 _MENTION_NAMES = "SELECT DISTINCT lower(split_part(text, ' ', 4)) AS name FROM benchmark UNION SELECT DISTINCT lower(concat(split_part(text, ' ', 4), ' ', split_part(text, ' ', 5))) FROM benchmark UNION SELECT DISTINCT lower(split_part(text, ' ', 7)) FROM benchmark"
 
-@query("find_mentions", with_ctes(r"""
-SELECT DISTINCT question_id, name FROM (SELECT *, max(e) OVER (PARTITION BY question_id ORDER BY b, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM (
+def _mentions_sql(names: str) -> str:
+    return rf"""SELECT DISTINCT question_id, name FROM (SELECT *, max(e) OVER (PARTITION BY question_id ORDER BY b, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM (
  SELECT q.question_id, n.name, unnest(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, length(name)) = name
    AND (i = 1 OR NOT regexp_matches(substr(name, 1, 1), '[A-Za-z0-9_]') OR NOT regexp_matches(substr(x, i - 1, 1), '[A-Za-z0-9_]'))
    AND (NOT regexp_matches(right(name, 1), '[A-Za-z0-9_]') OR NOT regexp_matches(substr(x, i + length(name), 1), '[A-Za-z0-9_]')))) AS b, b + length(name) AS e
- FROM (SELECT question_id, lower(text) AS x FROM questions) q JOIN names n ON n.name <> '' AND contains(x, n.name)))
-WHERE furthest IS NULL OR e > furthest""", QUESTIONS, f"names AS ({_MENTION_NAMES})"))
+ FROM (SELECT question_id, lower(text) AS x FROM questions) q JOIN ({names}) n ON n.name <> '' AND contains(x, n.name)))
+WHERE furthest IS NULL OR e > furthest"""
+
+
+@query("find_mentions", with_ctes(_mentions_sql("SELECT * FROM names"), QUESTIONS, f"names AS ({_MENTION_NAMES})"))
 def find_mentions(spark, d):
     names = t.select_over(spark, _MENTION_NAMES, "benchmark", t.load(spark, d, "benchmark"))
     return r.find_mentions(questions(spark, d), names)
 
 
+_COMMENTED = """SELECT item_id AS table_key, split_part(text, ' ', 4) AS name, concat(split_part(text, ' ', 5), ' ', split_part(text, ' ', 6)) AS comment FROM benchmark
+ UNION ALL SELECT item_id + 100000, concat(split_part(text, ' ', 4), ' ', split_part(text, ' ', 5)), upper(split_part(text, ' ', 7)) FROM benchmark"""
+
+
+@query("mentioned_tables", with_ctes(f"""
+SELECT DISTINCT question_id, table_key FROM ({_mentions_sql("SELECT DISTINCT lower(trim(name)) AS name FROM commented")}) JOIN commented c ON lower(trim(c.name)) = name
+UNION SELECT DISTINCT question_id, table_key FROM ({_mentions_sql("SELECT DISTINCT lower(trim(comment)) AS name FROM commented")}) m JOIN commented c ON lower(trim(c.comment)) = m.name""".replace(") JOIN commented c ON lower(trim(c.name)) = name", ") m JOIN commented c ON lower(trim(c.name)) = m.name"), QUESTIONS, f"commented AS ({_COMMENTED})"))
+def mentioned_tables(spark, d):
+    tables = t.select_over(spark, _COMMENTED, "benchmark", t.load(spark, d, "benchmark"))
+    return r.mentioned_tables(questions(spark, d), tables)
+
+
 _EXAMPLES = """SELECT conv_id * 1000 + turn AS example_id, CASE WHEN turn % 3 = 0 THEN text ELSE split_part(text, ' ', 3) END AS question, 'sql' AS description, conv_id % 9 <> 0 AS enabled FROM conversations WHERE role = 'user'"""
 
 
