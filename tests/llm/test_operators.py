@@ -123,6 +123,21 @@ def test_second_round_links_what_the_first_leader_misses(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_second_round_joins_components(spark):
+    """One bucket whose first member, and a copy of it, are unlike two others that are alike."""
+    import pyarrow as pa
+
+    base = [f"b{k}" for k in range(90)]
+    unlike = base[:60] + [f"u{k}" for k in range(30)]
+    texts = [unlike, unlike[:-1] + ["v"], base, ["w", *base[1:]], [*base[:-1], "y"]]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    sets, bounds = near.shingle_sets(pa.array([t for _, t in rows]))
+    sketches = (near.Sketch(bands=1, rows=1, seed=s) for s in range(500))
+    sketch = next(s for s in sketches if len(set(s.of_sets(sets, bounds[:-1])[:, 0].tolist())) == 1)
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(table(spark, rows), sketch=sketch).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3} == {i: c for i, (_, c) in brute.near(rows).items()}
+
+
 def test_registers_follow_the_similarity():
     import numpy as np
 
