@@ -13,8 +13,12 @@ and buckets settle everything:
 3. ties: strings over a sample position whose name has several contexts, and which no rank has settled (in
    practice those near the ends of a copy), are sorted and compared as whole strings, bucket by bucket.
 
+A name that many blocks hold can have as many contexts as documents. Its ranks are therefore dealt by name
+and context, and each block reports only its smallest and largest context to the name's own bucket: a name
+has one context if all those are equal. So no bucket gathers all rows of a frequent passage.
+
 Strings are ordered and compared by hash, not by their letters: a repeat needs equality only. Names have
-32 bits within their bucket and serve as a filter; ranks compare 96 bits and ties 96 bits.
+32 bits within their bucket and serve as a filter; ranks and ties compare 96 bits.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palisade.llm.blocks import Answers, Sent, answer, ask, bucket_bounds, ids_of, send, settle, split_keys
-from palisade.llm.spans import covered, hash_spans, pack, runs_of, unpack
+from palisade.llm.spans import covered, hash_spans, mix, pack, runs_of, unpack
 
 U64 = np.uint64
+# A name that at least so many blocks hold is dealt by its contexts.
+WIDE_BLOCKS = 64
 
 
 @dataclass(frozen=True)
@@ -108,17 +114,56 @@ class _Block:
 
 
 class _Ranked:
-    """Sample positions with a shared name in the order of (name, context, position), and their distinct ranks."""
+    """Sample positions with a shared name in the order of (name, context, position), and what is sent about them."""
 
     def __init__(self, block: _Block, at: np.ndarray, owner: np.ndarray):
         names, contexts = block.names(at), block.contexts(at, owner)
-        self.order = np.lexsort((contexts, names))
-        self.at, self.owner = at[self.order], owner[self.order]
-        self.names, self.contexts = names[self.order], contexts[self.order]
-        change = np.ones(len(at), dtype=bool)
-        change[1:] = (self.names[1:] != self.names[:-1]) | (self.contexts[1:] != self.contexts[:-1])
-        self.first = np.flatnonzero(change)
-        self.rank = np.cumsum(change) - 1
+        order = np.lexsort((contexts, names))
+        self.at, self.owner = at[order], owner[order]
+        self.names, self.contexts = names[order], contexts[order]
+        new_name = np.ones(len(at), dtype=bool)
+        new_name[1:] = self.names[1:] != self.names[:-1]
+        new_rank = new_name.copy()
+        new_rank[1:] |= self.contexts[1:] != self.contexts[:-1]
+        self.first = np.flatnonzero(new_rank)  # of each rank, its first position
+        self.rank = np.cumsum(new_rank) - 1
+        self.name = np.cumsum(new_name) - 1
+        self.name_first = np.flatnonzero(new_name)
+        self.ids = block.ids[self.owner]
+
+    def entries(self, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Sorted hashes that deal the entries, what each entry stands for (a rank, or behind all ranks a name's
+        report), and the arrays to send. `wide`: of each distinct name."""
+        names, contexts = self.names[self.first], self.contexts[self.first]
+        is_wide = wide[self.name[self.first]]
+        dealt = np.where(is_wide, mix(names ^ contexts), names)
+        # Contexts ascend within a name: its first and last rank are the smallest and largest.
+        last = np.append(self.name_first[1:], len(self.names)) - 1
+        low, high = self.contexts[self.name_first[wide]], self.contexts[last[wide]]
+        own, number = self.names[self.name_first[wide]], np.flatnonzero(wide)
+        two = low != high
+        hashes = np.concatenate([dealt, own, own[two]])
+        meaning = np.concatenate([np.arange(len(dealt)), len(dealt) + number, len(dealt) + number[two]])
+        report = np.zeros(len(hashes), dtype=np.uint8)
+        report[len(dealt) :] = 1
+        seen = np.concatenate([contexts, low, high[two]])
+        ids = np.concatenate([self.ids[self.first], np.zeros(len(hashes) - len(dealt), dtype=np.int64)])
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], meaning[order], report[order], [seen[order], ids[order]]
+
+
+class _Tied:
+    """Whole strings at the open positions in the order of (string, position)."""
+
+    def __init__(self, block: _Block, open_: np.ndarray):
+        at = np.flatnonzero(open_)
+        a, b = block.strings(at)
+        order = np.lexsort((b, a))
+        self.at, self.a, self.b = at[order], a[order], b[order]
+        self.ids = block.ids[np.searchsorted(block.offsets, self.at, side="right") - 1]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
+        self.first, self.rank = np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _repeats(owner_ids: np.ndarray, first: np.ndarray, rank: np.ndarray, within: bool) -> np.ndarray:
@@ -130,29 +175,31 @@ def _repeats(owner_ids: np.ndarray, first: np.ndarray, rank: np.ndarray, within:
     return owner_ids > owner_ids[first][rank] if len(rank) else np.zeros(0, dtype=bool)
 
 
-def _shared(datas: list[bytes]) -> list[np.ndarray]:
-    """Round 1: which names occur more than once."""
-    parts = [unpack(d, np.uint32)[0] for d in datas]
-    everything = np.sort(np.concatenate(parts))
-    shared = _distinct(everything[1:][everything[1:] == everything[:-1]])[0]
+def _shared(datas: list[bytes], wide_blocks: int) -> list[np.ndarray]:
+    """Round 1: which names occur more than once, and which of them many blocks hold."""
+    sent = [unpack(d, np.uint32)[0] for d in datas]
+    distinct = [_distinct(part)[0] for part in sent]
+    everything = np.sort(np.concatenate(distinct))
+    names, first = _distinct(everything)
+    blocks = np.diff(np.append(first, len(everything)))
+    twice = np.concatenate([part[1:][part[1:] == part[:-1]] for part in sent])
+    shared = blocks > 1
+    shared[np.searchsorted(names, twice)] = True
+    wide = blocks >= wide_blocks
     flags = []
-    for part in parts:
-        names = _distinct(part)[0]
-        if len(shared) == 0:
-            flags.append(np.zeros(len(names), dtype=bool))
-            continue
-        found = np.minimum(np.searchsorted(shared, names), len(shared) - 1)
-        flags.append(shared[found] == names)
+    for part in distinct:
+        found = np.searchsorted(names, part)
+        flags.append(np.column_stack([shared[found], wide[found]]).reshape(-1))
     return flags
 
 
 def _judged(datas: list[bytes]) -> list[np.ndarray]:
-    """Round 2: for each rank of each message, whether an earlier document has it, and whether its name has another."""
-    (names, contexts, ids), bounds = split_keys(datas, np.uint32, np.uint64, np.int64)
-    order = np.lexsort((ids, contexts, names))
-    n, c, d = names[order], contexts[order], ids[order]
+    """Round 2: for each entry, whether an earlier document has its rank, and whether its name has another context."""
+    (report, names, contexts, ids), bounds = split_keys(datas, np.uint8, np.uint32, np.uint64, np.int64)
+    order = np.lexsort((ids, contexts, names, report))
+    r, n, c, d = report[order], names[order], contexts[order], ids[order]
     new_name = np.ones(len(n), dtype=bool)
-    new_name[1:] = n[1:] != n[:-1]
+    new_name[1:] = (n[1:] != n[:-1]) | (r[1:] != r[:-1])
     new_rank = new_name.copy()
     new_rank[1:] |= c[1:] != c[:-1]
     firsts = np.flatnonzero(new_rank)
@@ -180,8 +227,10 @@ def _counts(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.diff(bucket_bounds(sorted_hashes, bits))
 
 
-def repeats(docs: DataFrame, symbols: Symbols, cover: Cover, bits: int, within: bool, finish: Callable, schema: str) -> DataFrame:
-    """Rows of `finish(docs, symbols, offsets, removed)` for every block of `docs` (block, doc_id, text).
+def repeats(
+    docs: DataFrame, symbols: Symbols, cover: Cover, bits: int, within: bool, finish: Callable, schema: str, wide_blocks: int = WIDE_BLOCKS
+) -> DataFrame:
+    """Rows of `finish(docs, symbols, offsets, removed)` for every block of `docs` (__block, doc_id, text).
 
     `removed` flags each symbol inside a string of `cover.length` that also starts earlier: in a document
     with a smaller id or, if `within`, also earlier in the same document. Null ids count as the largest.
@@ -206,25 +255,33 @@ def repeats(docs: DataFrame, symbols: Symbols, cover: Cover, bits: int, within:
         bucket = distinct >> U64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
         kept = np.ones(len(distinct), dtype=bool)
         kept[1:] = (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
-        flags = answers.flags(_counts(distinct[kept], bits))
-        shared = distinct[flags[np.cumsum(kept) - 1]] if len(distinct) else distinct
+        flags = answers.flags(2 * _counts(distinct[kept], bits)).reshape(-1, 2)[np.cumsum(kept) - 1]
+        shared, wide = distinct[flags[:, 0]], flags[flags[:, 0], 1]
         if len(shared):
             member = shared[np.minimum(np.searchsorted(shared, found), len(shared) - 1)] == found
         else:
             member = np.zeros(len(found), dtype=bool)
         ranked = _Ranked(block, at[member], owner[member])
-        yield own, pack(np.packbits(member))
-        n = ranked.names[ranked.first]
-        yield from send(n, bits, [_low32(n, bits), ranked.contexts[ranked.first], block.ids[ranked.owner[ranked.first]]])
+        yield own, pack(np.packbits(member), np.packbits(wide))
+        hashes, _, report, (contexts, ids) = ranked.entries(wide)
+        yield from send(hashes, bits, [report, _low32(hashes, bits), contexts, ids])
 
     def ties(rows: pa.Table, answers: Answers, own: int) -> Sent:
         block = _Block(rows, symbols, cover)
         at, owner = block.sample()
-        member = np.unpackbits(unpack(answers.state, np.uint8)[0], count=len(at)).astype(bool)
+        member, wide = unpack(answers.state, np.uint8, np.uint8)
+        member = np.unpackbits(member, count=len(at)).astype(bool)
         ranked = _Ranked(block, at[member], owner[member])
-        both = answers.flags(2 * _counts(ranked.names[ranked.first], bits)).reshape(-1, 2)
-        settled = both[ranked.rank, 0] | _repeats(block.ids[ranked.owner], ranked.first, ranked.rank, within)
-        mixed = both[ranked.rank, 1]
+        wide = np.unpackbits(wide, count=len(ranked.name_first)).astype(bool)
+        hashes, meaning, report, _ = ranked.entries(wide)
+        both = answers.flags(2 * _counts(hashes, bits)).reshape(-1, 2)
+        ranks = len(ranked.first)
+        of_rank = np.zeros((ranks, 2), dtype=bool)
+        of_rank[meaning[report == 0]] = both[report == 0]
+        of_name = np.zeros(len(ranked.name_first), dtype=bool)
+        of_name[meaning[report == 1] - ranks] = both[report == 1, 1]
+        settled = of_rank[ranked.rank, 0] | _repeats(ranked.ids, ranked.first, ranked.rank, within)
+        mixed = of_rank[ranked.rank, 1] | of_name[ranked.name]
         size = len(block.symbols)
 
         def strings_over(chosen: np.ndarray) -> np.ndarray:
@@ -233,30 +290,24 @@ def repeats(docs: DataFrame, symbols: Symbols, cover: Cover, bits: int, within:
             return covered(size, lo, np.minimum(q, block.offsets[d + 1] - cover.length) + 1)
 
         done = strings_over(settled)
-        open_at = np.flatnonzero(strings_over(mixed) & ~done)
-        a, b = block.strings(open_at)
-        doc = np.searchsorted(block.offsets, open_at, side="right") - 1
-        order = np.lexsort((b, a))
-        a, b, ids = a[order], b[order], block.ids[doc[order]]
-        change = np.ones(len(a), dtype=bool)
-        change[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first, rank = np.flatnonzero(change), np.cumsum(change) - 1
-        here = _repeats(ids, first, rank, within)
-        starts, ends = runs_of(done)
-        yield own, pack(starts, ends, open_at[order], rank.astype(np.uint32), here.astype(np.uint8), _counts(a[first], bits))
-        yield from send(a[first], bits, [a[first], b[first], ids[first]])
+        open_ = strings_over(mixed) & ~done
+        tied = _Tied(block, open_)
+        yield own, pack(*(x.astype(np.uint32) for pair in (runs_of(done), runs_of(open_)) for x in pair))
+        yield from send(tied.a[tied.first], bits, [tied.a[tied.first], tied.b[tied.first], tied.ids[tied.first]])
 
     def last(rows: pa.Table, answers: Answers) -> pa.Table:
-        values, offsets = symbols(rows)
-        starts, ends, open_at, rank, here, counts = unpack(answers.state, np.int64, np.int64, np.int64, np.uint32, np.uint8, np.int64)
-        repeat = here.astype(bool)
-        if len(rank):
-            repeat |= answers.flags(counts)[rank]
-        lo = np.concatenate([starts, open_at[repeat]])
-        hi = np.concatenate([ends, open_at[repeat] + 1]) + cover.length - 1
-        return finish(rows, values, offsets, covered(len(values), lo, hi))
-
-    asked = answer(ask(docs, None, bits, names), bits, _shared)
+        block = _Block(rows, symbols, cover)
+        size = len(block.symbols)
+        starts, ends, *open_runs = (x.astype(np.int64) for x in unpack(answers.state, *[np.uint32] * 4))
+        tied = _Tied(block, covered(size, *open_runs))
+        repeat = _repeats(tied.ids, tied.first, tied.rank, within)
+        if len(tied.rank):
+            repeat |= answers.flags(_counts(tied.a[tied.first], bits))[tied.rank]
+        lo = np.concatenate([starts, tied.at[repeat]])
+        hi = np.concatenate([ends, tied.at[repeat] + 1]) + cover.length - 1
+        return finish(rows, block.symbols, block.offsets, covered(size, lo, hi))
+
+    asked = answer(ask(docs, None, bits, names), bits, lambda datas: _shared(datas, wide_blocks))
     ranked = answer(ask(docs, asked, bits, ranks), bits, _judged)
     tied = answer(ask(docs, ranked, bits, ties), bits, _tied)
     return settle(docs, tied, bits, last, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.blocks import block_count, block_key, bucket_bits
-from palisade.llm.cover import Cover, repeats
+from palisade.llm.cover import WIDE_BLOCKS, Cover, repeats
 from palisade.llm.spans import flat, hash_spans, word_spans
 
 WINDOW_WORDS = 13
@@ -50,7 +50,7 @@ def _kept_words(rows: pa.Table, _: np.ndarray, bounds: np.ndarray, removed: np.n
     )
 
 
-def remove_repeated_words(docs: DataFrame, cover: Cover = WORD_COVER, blocks: int | None = None) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, cover: Cover = WORD_COVER, blocks: int | None = None, wide_blocks: int = WIDE_BLOCKS) -> DataFrame:
     """Remove every word covered by a window of `cover.length` words that also starts in a document with a smaller id.
 
     `docs` needs doc_id and text; other columns are left out. Returns doc_id, n_words, n_removed and kept_text
@@ -60,7 +60,7 @@ def remove_repeated_words(docs: DataFrame, cover: Cover = WORD_COVER, blocks: in
     blocks = blocks or block_count(docs)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", block_key("doc_id", "text", blocks).alias("__block"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return repeats(dealt, _words, cover, bucket_bits(blocks), False, _kept_words, schema)
+    return repeats(dealt, _words, cover, bucket_bits(blocks), False, _kept_words, schema, wide_blocks)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.blocks import block_count, block_key, bucket_bits
-from palisade.llm.cover import Cover, repeats
+from palisade.llm.cover import WIDE_BLOCKS, Cover, repeats
 from palisade.llm.spans import flat, runs_of
 
 MATCH_BYTES = 100
@@ -51,7 +51,7 @@ def removed_runs(removed: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]
     return list(zip(starts.tolist(), ends.tolist()))
 
 
-def remove_repeated_bytes(docs: DataFrame, cover: Cover = BYTE_COVER, blocks: int | None = None) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, cover: Cover = BYTE_COVER, blocks: int | None = None, wide_blocks: int = WIDE_BLOCKS) -> DataFrame:
     """Remove every byte covered by a string of `cover.length` bytes that also starts earlier.
 
     Earlier is a smaller id, or an earlier start in the same document; strings never cross documents. `docs`
@@ -63,7 +63,7 @@ def remove_repeated_bytes(docs: DataFrame, cover: Cover = BYTE_COVER, blocks: in
     blocks = blocks or block_count(docs)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", block_key("doc_id", "text", blocks).alias("__block"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return repeats(dealt, _bytes, cover, bucket_bits(blocks), True, _kept_bytes, schema)
+    return repeats(dealt, _bytes, cover, bucket_bits(blocks), True, _kept_bytes, schema, wide_blocks)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
