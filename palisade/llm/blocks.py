@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.spans import pack, unpack
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 MESSAGE = "bucket int, block int, data binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id

@@ -18,7 +18,7 @@ and context, and each block reports only its smallest and largest context to the
 has one context if all those are equal. So no bucket gathers all rows of a frequent passage.
 
 Strings are ordered and compared by hash, not by their letters: a repeat needs equality only. Names have
-32 bits within their bucket and serve as a filter; ranks and ties compare 96 bits.
+32 bits within their bucket and serve as a filter; ranks compare 96 bits and ties 80.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ class _Block:
 
     def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hi = at + self.cover.length
-        return hash_spans(self.symbols, at, hi), hash_spans(self.symbols, at, hi, 1).astype(np.uint32)
+        return hash_spans(self.symbols, at, hi), hash_spans(self.symbols, at, hi, 1).astype(np.uint16)
 
 
 class _Ranked:
@@ -213,7 +213,7 @@ def _judged(datas: list[bytes]) -> list[np.ndarray]:
 
 def _tied(datas: list[bytes]) -> list[np.ndarray]:
     """Round 3: which whole strings an earlier document has."""
-    (a, b, ids), bounds = split_keys(datas, np.uint64, np.uint32, np.int64)
+    (a, b, ids), bounds = split_keys(datas, np.uint64, np.uint16, np.int64)
     order = np.lexsort((ids, b, a))
     x, y, d = a[order], b[order], ids[order]
     new = np.ones(len(x), dtype=bool)
