@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.spans import LOWER, batches, flat, hash_spans, mix, word_spans
+from palisade.llm.blocks import Answers, answer, ask, block_count, block_key, bucket_bits, bucket_bounds, send, settle
+from palisade.llm.spans import LOWER, batches, flat, hash_spans, mix, unpack, word_spans
 from palisade.session import materialize
 
 SHINGLE_WORDS = 5
@@ -61,14 +62,13 @@ class Sketch:
             key = mix(key ^ (words[:, :, j] + np.uint64(0x9E3779B97F4A7C15)))
         return mix(key + np.arange(self.bands, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
-    def unlikely(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
-        """Pairs whose registers all but rule out the similarity.
+    def unlikely(self, more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+        """Pairs whose registers all but rule out the similarity; `more` and `less` count larger and smaller registers.
 
-        The numbers of larger, smaller and equal registers are multinomial, with chances that follow from the
-        similarity and the two known set sizes. A pair is ruled out if some lower similarity is e^20 times as
-        likely as the one asked for.
+        These numbers are multinomial, with chances that follow from the similarity and the two known set
+        sizes. A pair is ruled out if some lower similarity is e^10 times as likely as the one asked for, which
+        befalls a pair of that similarity less than once in 200,000.
         """
-        more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
         same = self.registers - more - less
         u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
         largest = np.minimum(u / v, v / u)
@@ -85,7 +85,7 @@ class Sketch:
 
         asked = likelihood(np.full(len(u), similarity))
         best = np.max([likelihood(np.full(len(u), j)) for j in np.linspace(0, similarity, 31)], axis=0)
-        return (best - asked > 20) | (largest < similarity - 1e-9)
+        return (best - asked > 10) | (largest < similarity - 1e-9)
 
 
 def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, similarity: fl
                 continue
             a, b = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint16).reshape(table.num_rows, -1) for c in ("registers_a", "registers_b"))
             n_a, n_b = (table[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
-            kept = ~sketch.unlikely(a, b, n_a, n_b, similarity)
+            kept = ~sketch.unlikely((a > b).sum(axis=1), (a < b).sum(axis=1), n_a, n_b, similarity)
             yield table.select(["a", "b"]).filter(pa.array(kept))
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
@@ -192,24 +192,132 @@ def components(links: DataFrame, label: str = "near") -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b); nodes without links are left out.
 
     Alternating star contraction: each round hangs a node's larger neighbours, then its smaller ones, on the
-    smallest of them, and writes the links; it ends when nothing changes. Rounds grow with the logarithm of
-    the longest chain.
+    smallest of them, and writes the links; it ends when all links lead to a smallest node. Rounds grow with
+    the logarithm of the longest chain.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{label}-links")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.filter("a <> b").distinct(), f"{label}-links")
-        total = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if total == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = total
+        edges = materialize(small.distinct(), f"{label}-links")
+    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    return materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), f"{label}-components")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link at most, to a node that has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def _unsettled(named: DataFrame) -> DataFrame:
+    """Rows (band, component and others) of the buckets that hold several components."""
+    spread = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+    return named.drop("members").join(spread.filter("low <> high").select("band", "members"), "band")
+
+
+def _shared_counts(texts: DataFrame) -> DataFrame:
+    """(rep, n, known): shingles of each text, and those that another of the texts holds too."""
+    blocks = block_count(texts)
+    bits = bucket_bits(blocks)
+    dealt = texts.select(F.col("rep").alias("doc_id"), "text").withColumn("__block", block_key("doc_id", "text", blocks))
+
+    def distinct(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        shingles, bounds = shingle_sets(rows["text"])
+        order = np.argsort(shingles, kind="stable")
+        ranked = shingles[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, dtype=bool)
+        return ranked[new], np.diff(np.append(np.flatnonzero(new), len(ranked))), order, np.cumsum(new) - 1
+
+    def low32(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def ask_block(rows: pa.Table, _, __) -> Iterator[tuple[int, bytes]]:
+        hashes = distinct(rows)[0]
+        yield from send(hashes, bits, [low32(hashes)])
+
+    def several(datas: list[bytes]) -> list[np.ndarray]:
+        parts = [unpack(d, np.uint32)[0] for d in datas]
+        ranked = np.sort(np.concatenate(parts))
+        again = ranked[1:][ranked[1:] == ranked[:-1]]
+        if len(again) == 0:
+            return [np.zeros(len(p), dtype=bool) for p in parts]
+        return [again[np.minimum(np.searchsorted(again, p), len(again) - 1)] == p for p in parts]
+
+    def count(rows: pa.Table, answers: Answers) -> pa.Table:
+        hashes, times, order, rank = distinct(rows)
+        known = answers.flags(np.diff(bucket_bounds(hashes, bits))) | (times > 1)
+        flags = np.zeros(len(order), dtype=np.int64)
+        flags[order] = known[rank]
+        bounds = shingle_sets(rows["text"])[1]
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return pa.table({"rep": rows["doc_id"], "n": np.diff(bounds), "known": total[bounds[1:]] - total[bounds[:-1]]})
+
+    answered = answer(ask(dealt, None, bits, ask_block), bits, several)
+    counted = settle(dealt, answered, bits, count, "rep long, n long, known long")
+    # Of rows that share an id the largest numbers hold: they only loosen a bound.
+    return counted.groupBy("rep").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.min("n").alias("least_n"))
+
+
+FINE = Sketch(bands=256, rows=4)
+MEMBERS = 1024
+
+
+def _second_round(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Verified links between different components of the buckets `rest` (band, rep, first, component, members).
+
+    A shingle that no other text in question holds cannot be shared, so known shingles bound the similarity of a
+    text to any other, and of a pair. What the bound leaves is compared by sketches with eight times the
+    registers: buckets are cut into parts of about `MEMBERS` rows, two parts meet in a task, and only pairs
+    that their registers do not rule out come out of it, to be verified on their full sets.
+    """
+    counts = materialize(_shared_counts(texts), "near-counts")
+    able = counts.filter(100 * F.col("known") >= percent * F.col("least_n"))
+    bounded = materialize(_unsettled(rest.join(able, "rep")), "near-bounded")
+
+    def sign(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            for part in batches(pa.Table.from_batches([table]), SLICE_BYTES, "text"):
+                shingles, bounds = shingle_sets(part["text"])
+                full = np.flatnonzero(np.diff(bounds))
+                if len(full):
+                    fine = [row.tobytes() for row in FINE.of_sets(shingles, bounds[:-1][full])]
+                    yield pa.RecordBatch.from_arrays([part["rep"].take(pa.array(full)).combine_chunks(), pa.array(fine, pa.binary())], ["rep", "fine"])
+
+    signed = texts.join(bounded.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(sign, "rep long, fine binary")
+    parts = F.ceil(F.col("members") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    met = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("low"), F.greatest(k, F.col("own")).alias("high")))
+    rows = bounded.join(signed, "rep").withColumn("own", own).withColumn("met", F.explode(met)).select("*", "met.low", "met.high").drop("met", "members")
+
+    def meet(table: pa.Table) -> pa.Table:
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        registers = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        rep, first, component, n, known, side = (table[c].to_numpy() for c in ("rep", "first", "component", "n", "known", "own"))
+        found = [(rep[:0], rep[:0])]
+        for i in np.flatnonzero(side == low):
+            least = np.minimum(known, known[i])
+            fits = (component != component[i]) & (100 * least >= percent * (n + n[i] - least)) & (rep != first) & (rep[i] != first)
+            if low == high:
+                fits &= np.arange(len(rep)) > i
+            else:
+                fits &= side == high
+            j = np.flatnonzero(fits)
+            if len(j):
+                more, less = (registers[i] > registers[j]).sum(axis=1), (registers[i] < registers[j]).sum(axis=1)
+                j = j[~FINE.unlikely(more, less, np.full(len(j), float(n[i])), n[j].astype(float), percent / 100)]
+                found.append((np.full(len(j), rep[i]), rep[j]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    pairs = rows.groupBy("band", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    return materialize(_verified(materialize(pairs, "near-pairs"), texts, percent).distinct(), "near-verified")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch()) -> DataFrame:
@@ -231,8 +339,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch(
         "near-classes",
     )
     bands = _bands(classes, sketch)
-    sizes = bands.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(bands.join(sizes.filter("n > 1"), "band").select("band", "rep", "first", "last"), "near-bands")
+    sizes = bands.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(bands.join(sizes.filter("n > 1"), "band").select("band", "rep", "first"), "near-bands")
 
     def compare(pairs: DataFrame) -> DataFrame:
         likely = materialize(_likely(pairs.filter("a <> b").distinct(), classes, sketch, similarity), "near-likely")
@@ -245,26 +353,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch(
     links = compare(shared.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     several = full.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     same_id = full.select("doc_id", "set_a", "set_b").join(several, "doc_id").join(members, ["set_a", "set_b"]).filter("doc_id <> rep")
-    merged = links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    found = materialize(components(merged), "near-components")
-
-    def unsettled() -> DataFrame:
-        """Members of buckets that still hold several components."""
-        named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        spread = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-        return materialize(named.join(spread, "band"), "near-unsettled")
-
-    # Round 2: against the largest. Round 3: every pair of a bucket that no link has brought together yet.
-    rest = unsettled()
-    more = compare(rest.select(F.col("rep").alias("a"), F.col("last").alias("b")))
-    merged = merged.unionByName(more)
-    found = materialize(components(merged), "near-components")
-    rest = unsettled()
-    other = rest.select("band", F.col("rep").alias("b"), F.col("component").alias("other"))
-    pairs = rest.select("band", F.col("rep").alias("a"), "component", "first", "last").join(other, "band").filter("component < other")
-    tested: Column = (F.col("a") == F.col("first")) | (F.col("b") == F.col("first")) | (F.col("a") == F.col("last")) | (F.col("b") == F.col("last"))
-    merged = merged.unionByName(compare(pairs.filter(~tested).select("a", "b")))
-    found = materialize(components(merged), "near-components")
+    found = components(links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+
+    # Round 2: in buckets that still hold several components, every pair that no link has brought together yet.
+    named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rest = materialize(_unsettled(named), "near-unsettled")
+    if not rest.isEmpty():
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rest.select("rep").distinct(), "rep")
+        more = _second_round(rest, materialize(texts, "near-texts"), percent)
+        if not more.isEmpty():
+            # The new links join whole components: only those are contracted again.
+            ends = found.withColumnRenamed("component", "to")
+            joined = more
+            for side in ("a", "b"):
+                joined = joined.join(ends.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+            merged = components(joined)
+            moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+            known = found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            # A component of one class has no row of its own yet.
+            found = materialize(known.unionByName(merged.join(known, "node", "left_anti")), "near-components")
 
     by_class = members.withColumnRenamed("rep", "class")
     out = signed.drop("registers").join(by_class, ["set_a", "set_b"], "left").withColumn("class", F.coalesce("class", "doc_id"))
