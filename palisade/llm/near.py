@@ -163,7 +163,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, sketch: Sketch, similarity: fl
             kept = ~sketch.unlikely((a > b).sum(axis=1), (a < b).sum(axis=1), n_a, n_b, similarity)
             yield table.select(["a", "b"]).filter(pa.array(kept))
 
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
+    # Pairs grow with the corpus: merge joins, so that they are never sent to all tasks.
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(judge, "a long, b long")
 
@@ -183,7 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     kept[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
                 yield from part.select(["a", "b"]).filter(pa.array(kept)).to_batches()
 
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
@@ -269,13 +270,14 @@ FINE = Sketch(bands=256, rows=4)
 MEMBERS = 1024
 
 
-def _second_round(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _second_round(rest: DataFrame, texts: DataFrame, classes: DataFrame, sketch: Sketch, percent: int) -> DataFrame:
     """Verified links between different components of the buckets `rest` (band, rep, first, component, members).
 
     A shingle that no other text in question holds cannot be shared, so known shingles bound the similarity of a
     text to any other, and of a pair. What the bound leaves is compared by sketches with eight times the
     registers: buckets are cut into parts of about `MEMBERS` rows, two parts meet in a task, and only pairs
-    that their registers do not rule out come out of it, to be verified on their full sets.
+    that their registers do not rule out come out of it, each from the first bucket it shares, to be verified
+    on their full sets.
     """
     counts = materialize(_shared_counts(texts), "near-counts")
     able = counts.filter(100 * F.col("known") >= percent * F.col("least_n"))
@@ -294,10 +296,12 @@ def _second_round(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     parts = F.ceil(F.col("members") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("low"), F.greatest(k, F.col("own")).alias("high")))
-    rows = bounded.join(signed, "rep").withColumn("own", own).withColumn("met", F.explode(met)).select("*", "met.low", "met.high").drop("met", "members")
+    coarse = classes.select("rep", "registers")
+    rows = bounded.join(signed.hint("merge"), "rep").join(coarse.hint("merge"), "rep").withColumn("own", own).withColumn("met", F.explode(met)).select("*", "met.low", "met.high").drop("met", "members")
 
     def meet(table: pa.Table) -> pa.Table:
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        low, high, band = table["low"][0].as_py(), table["high"][0].as_py(), np.int64(table["band"][0].as_py()).view(np.uint64)
+        keys = sketch.band_keys(np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(table.num_rows, -1))
         registers = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
         rep, first, component, n, known, side = (table[c].to_numpy() for c in ("rep", "first", "component", "n", "known", "own"))
         found = [(rep[:0], rep[:0])]
@@ -309,6 +313,9 @@ def _second_round(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             else:
                 fits &= side == high
             j = np.flatnonzero(fits)
+            # Two texts that share several buckets meet in all of them, and are compared in the first.
+            common = keys[j] == keys[i]
+            j = j[keys[i][common.argmax(axis=1)] == band] if len(j) else j
             if len(j):
                 more, less = (registers[i] > registers[j]).sum(axis=1), (registers[i] < registers[j]).sum(axis=1)
                 j = j[~FINE.unlikely(more, less, np.full(len(j), float(n[i])), n[j].astype(float), percent / 100)]
@@ -346,7 +353,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch(
         likely = materialize(_likely(pairs.filter("a <> b").distinct(), classes, sketch, similarity), "near-likely")
         ends = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
         # Of rows that share an id and stand for one class the texts have one set each; one of them is enough.
-        texts = docs.select(F.col("doc_id").cast("long"), "text").join(ends, "doc_id").select(F.col("doc_id").alias("rep"), "text")
+        texts = docs.select(F.col("doc_id").cast("long"), "text").join(ends.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
         return materialize(_verified(likely, texts, percent).distinct(), "near-verified")
 
     # Round 1: every class against the smallest of each of its buckets. Most buckets are one component after it.
@@ -359,8 +366,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch(
     named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rest = materialize(_unsettled(named), "near-unsettled")
     if not rest.isEmpty():
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rest.select("rep").distinct(), "rep")
-        more = _second_round(rest, materialize(texts, "near-texts"), percent)
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(rest.select("rep").distinct().hint("merge"), "rep")
+        more = _second_round(rest, materialize(texts, "near-texts"), classes, sketch, percent)
         if not more.isEmpty():
             # The new links join whole components: only those are contracted again.
             ends = found.withColumnRenamed("component", "to")
