@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import language, leaks, lines, mixing, near
-from palisade.session import configure, materialize
+from palisade.llm.runtime import prepare
+from palisade.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter go. Learns from all labelled documents given."""
-    configure(spark)
+    prepare(spark)
     return language.keep_identified(docs, language.fit(docs))
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that a document with a smaller id has; n_chars follows the text."""
-    configure(spark)
+    prepare(spark)
     done = lines.remove_repeated_lines(docs)
     changed = F.col("n_dropped") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
@@ -30,20 +31,20 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
-    configure(spark)
+    prepare(spark)
     gone = near.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    configure(spark)
+    prepare(spark)
     return leaks.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with size, source_size, target and taken: the words that the mix takes of each, repeats counted."""
-    configure(spark)
+    prepare(spark)
     return mixing.mix_sources(docs)
 
 

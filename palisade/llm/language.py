@@ -17,7 +17,7 @@ from palisade.llm.spans import LOWER, batches, flat, mix
 GRAM = 4
 ROWS_LOG2 = 20
 PROBES = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 UNDETERMINED = "und"
 _LETTERS = LOWER.copy()
 _LETTERS[:0x41] = 0x20

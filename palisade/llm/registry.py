@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import check_sql, ctw, language, leaks, lines, mixing, near, pii, quality, substring, suffixes
-from palisade.session import configure
+from palisade.llm.runtime import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _configured(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(configure(spark), sf_dir)
+        return fn(prepare(spark), sf_dir)
 
     return run
 
