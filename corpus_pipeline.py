@@ -15,9 +15,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter go. Learns from all labelled documents given."""
+    """Documents whose text has a language. Learns from all labelled documents given.
+
+    Those without a letter go, and those of whose n-grams no language holds more than chance gives. Where no
+    document has a label nothing is learned, and all with a letter stay.
+    """
     prepare(spark)
-    return language.keep_identified(docs, language.fit(docs))
+    return language.keep_identified(docs, language.fit(docs), above_chance=True)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,10 +167,17 @@ def predict(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", sco
     return docs.mapInArrow(judge, schema)
 
 
-def keep_identified(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """Rows of `docs` whose text has a language; columns as they were."""
+def keep_identified(docs: DataFrame, model: LanguageFilter, above_chance: bool = False) -> DataFrame:
+    """Rows of `docs` whose text has a language; columns as they were.
+
+    A text without a letter goes. With `above_chance` one whose score is 0 goes too: no language holds more of its
+    n-grams than a filter as full as the language's holds by chance. A model learned from no text judges letters only.
+    """
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     judged = predict(docs, model, "__pred", "__score")
-    return judged.filter(F.col("__pred") != UNDETERMINED).select(*docs.columns)
+    found = F.col("__pred") != UNDETERMINED
+    return judged.filter(found & (F.col("__score") > 0) if above_chance else found).select(*docs.columns)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palisade.llm import ctw, language, leaks, lines, mixing, near, pii, quality, substring, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -165,6 +166,16 @@ def test_leaks(spark, rows, side_bytes):
     assert any(f[2] for f in found)
 
 
+def test_language_keeps_letters_without_labels_and_rejects_chance(spark):
+    rows = [(1, "the cat and the dog"), (2, "ж"), (3, "12 !"), (4, None), (None, "words"), (6, "qqq"), (7, "жжжж the cat")]
+    docs = table(spark, rows, extra=False)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert rows_of(corpus_pipeline.identify_language(spark, unlabelled, ""), "doc_id") == rows_of(docs.filter("doc_id IS NULL OR doc_id IN (1, 2, 6, 7)"), "doc_id")
+    model = language.fit(docs.filter("doc_id = 1"))
+    assert model.languages == ("en",)
+    assert rows_of(language.keep_identified(docs, model, above_chance=True), "doc_id") == [(1,), (7,)]
+
+
 def test_language_of_hard_rows(spark):
     known = [(i, "the cat and the dog were there with them" if i % 2 else "der hund und die katze waren nicht mehr da") for i in range(60)]
     frame = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in known], "doc_id long, text string, lang string")
