@@ -76,7 +76,7 @@ class _Side:
     rarity that every match has to share is one shingle long.
     """
 
-    items: tuple[str, ...]
+    items: tuple[str | None, ...]
     keys: dict  # shingle size -> distinct keys in ascending order
     groups: dict  # shingle size -> for each key the first and last entry
     offset: np.ndarray  # of each entry: where the key stands in its window
@@ -156,7 +156,7 @@ def _side(items: pa.Table, docs: DataFrame) -> _Side:
     entry = np.concatenate(rows) if rows else np.zeros((0, 2), dtype=np.int64)
     owner_at = np.append(np.flatnonzero(new), len(order))
     return _Side(
-        tuple(str(x) for x in items["item_id"].to_pylist()), keys, groups, entry[:, 1], length[first][entry[:, 0]], entry[:, 0],
+        tuple(items["item_id"].to_pylist()), keys, groups, entry[:, 1], length[first][entry[:, 0]], entry[:, 0],
         hash_a[first][entry[:, 0]], hash_b[first][entry[:, 0]], owner_at, item[order],
     )
 
@@ -186,18 +186,18 @@ def _match(side: _Side, sieves: dict, words: np.ndarray, bounds: np.ndarray) ->
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, side_bytes: int = SIDE_BYTES) -> DataFrame:
-    """All columns of `docs` and: n_words, n_hit (words inside an occurrence of an item's window), leaked_items.
+    """All columns of `docs` and: n_words, n_hit (words inside an occurrence of an item's window), leaked_items, n_items.
 
     `items` needs item_id and text. A window is ten consecutive words of an item; an item of fewer words, but
     not none, is one window. leaked_items lists the ids, as strings in ascending order without repeats, of the
-    items with an occurring window. A null text has no words; rows of equal item_id count as one item and a
-    null item_id has none to report, so such rows are left out. Items are compared with all documents
-    in passes of at most `side_bytes` of item text (or one item); one pass is one scan without a shuffle.
+    items with an occurring window. A null text has no words; rows of equal item_id count as one item. An item
+    without an id is matched as any other: its words are in n_hit and all such items are one in n_items, but
+    leaked_items has no id to list. Items are compared with all documents in passes of at most `side_bytes` of item text (or one item); one pass is one scan without a shuffle.
     Columns of `docs` with these names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "leaked_items", "__hits")
-    items = items.select(F.col("item_id").cast("string"), "text").filter(F.col("item_id").isNotNull())
+    docs = docs.drop("n_words", "n_hit", "leaked_items", "n_items", "__hits")
+    items = items.select(F.col("item_id").cast("string"), "text")
     passes = max(1, -(-text_bytes(items) // side_bytes))
     out = docs.withColumn("__hits", F.array().cast("array<struct<lo:int,hi:int>>")).withColumn("leaked_items", F.array().cast("array<string>"))
     for i in range(passes):
@@ -205,7 +205,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, side_bytes: int = SIDE_BYTES)
         # At most about `side_bytes` of text by the number of passes above.
         side = _side(part.toArrow(), docs)
         out = _one_pass(out, spark.sparkContext.broadcast((side, {k: _sieve(v) for k, v in side.keys.items()})))
-    return _counted(out)
+    # Until here a null in the list stands for the items without an id.
+    found = _counted(out).withColumn("n_items", F.size("leaked_items").cast("long"))
+    return found.withColumn("leaked_items", F.array_compact("leaked_items"))
 
 
 def _one_pass(docs: DataFrame, sent) -> DataFrame:
@@ -224,7 +226,7 @@ def _one_pass(docs: DataFrame, sent) -> DataFrame:
                     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
                     hits[d] = hits[d] + [{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
                     owners = np.concatenate([side.owner[side.owner_at[w] : side.owner_at[w + 1]] for w in set(window[mine].tolist())])
-                    leaked[d] = sorted({*leaked[d], *(side.items[k] for k in owners.tolist())})
+                    leaked[d] = sorted({*leaked[d], *(side.items[k] for k in owners.tolist())}, key=lambda x: (x is None, x or ""))
                 out = part.set_column(part.schema.get_field_index("__hits"), "__hits", pa.array(hits, part.schema.field("__hits").type))
                 out = out.set_column(out.schema.get_field_index("leaked_items"), "leaked_items", pa.array(leaked, pa.list_(pa.string())))
                 yield from out.to_batches()
@@ -263,6 +265,6 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     joined = F.concat_ws(",", "leaked_items")
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("leaked_items").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.encode(joined, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

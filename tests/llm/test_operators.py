@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import brute
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palisade.llm import ctw, language, leaks, lines, mixing, near, pii, quality, substring, suffixes
+from palisade.llm import check_sql, ctw, language, leaks, lines, mixing, near, pii, quality, substring, suffixes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -166,6 +168,25 @@ def test_leaks(spark, rows, side_bytes):
     assert any(f[2] for f in found)
 
 
+def test_leaks_of_items_without_an_id(spark, tmp_path):
+    """Their passages are hits like any other; they are one item of n_items and in no list. The check SQL agrees."""
+    lost, named = (" ".join(f"{c}{k}" for k in range(15)) for c in "qz")
+    items = [(None, lost), (7, named), (None, "two words")]
+    rows = [(1, f"so {lost} it"), (2, "nothing here"), (3, f"{named} {lost}"), (4, named), (5, f"two words {lost}")]
+    docs, frame = table(spark, rows, extra=False), spark.createDataFrame(items, "item_id long, text string")
+    for side_bytes in (1 << 20, 20):
+        got = leaks.find_leaks(docs, frame, side_bytes)
+        found = {r.doc_id: (r.n_hit, list(r.leaked_items), r.n_items) for r in got.collect()}
+        assert found == {1: (15, [], 1), 2: (0, [], 0), 3: (30, ["7"], 2), 4: (15, ["7"], 1), 5: (17, [], 1)}
+    assert rows_of(leaks.drop_leaks(docs, frame), "doc_id") == [(2,)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    frame.write.parquet(f"{tmp_path}/benchmark.parquet")
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert oracle.compare(leaks.op6_decontaminate(spark, str(tmp_path)), connection, check_sql.LEAKS) == []
+
+
 def test_language_keeps_letters_without_labels_and_rejects_chance(spark):
     rows = [(1, "the cat and the dog"), (2, "ж"), (3, "12 !"), (4, None), (None, "words"), (6, "qqq"), (7, "жжжж the cat")]
     docs = table(spark, rows, extra=False)
