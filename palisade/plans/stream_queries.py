@@ -12,7 +12,7 @@ from palisade.plans.risk_queries import _BURSTS, _QPS, _SLOTS
 from palisade.sources import tables as t
 from palisade.streaming import ordered as o
 from palisade.streaming import stateless as sl
-from palisade.streaming.runtime import arrivals, configure_state, replay, run_available
+from palisade.streaming.runtime import arrivals, configure_state, replay, replay_in_order, run_available
 
 # The log with a per-tenant sequence; some numbers are lost on the way.
 _SEQUENCED = "SELECT tenant_id, id, ts, event_uuid, decision, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, id) AS seq, k FROM audit_log"
@@ -121,7 +121,7 @@ def stream_metrics(spark, d):
 def rate_limit_stream(spark, d):
     configure_state(spark)
     bursts = t.from_audit(spark, d, _BURSTS)
-    return run_available(o.rate_limit(replay(spark, bursts), _QPS, _SLOTS), "limits").select("id", "limit_reason")
+    return run_available(o.rate_limit(replay_in_order(spark, bursts), _QPS, _SLOTS), "limits").select("id", "limit_reason")
 
 
 _TRIES = "SELECT id, tenant_id, ts, concat(' User', CAST(k % 4 AS STRING)) AS user_name FROM audit_log"
@@ -141,7 +141,7 @@ def attempt_limits(spark, d):
 def attempt_limit_stream(spark, d):
     configure_state(spark)
     tries = t.from_audit(spark, d, _TRIES)
-    return run_available(o.attempt_limit(replay(spark, tries), "user_name", 3, 7200.0), "attempts").select("id", "allowed")
+    return run_available(o.attempt_limit(replay_in_order(spark, tries), "user_name", 3, 7200.0), "attempts").select("id", "allowed")
 
 
 _DELIVERY = """SELECT id, tenant_id, datasource_id AS channel_id, ts, CASE k % 5 WHEN 0 THEN 'claim' WHEN 1 THEN 'ack' WHEN 2 THEN 'fail' WHEN 3 THEN 'claim' ELSE CASE WHEN k % 4 = 0 THEN 'replay' WHEN k % 4 = 1 THEN 'release' ELSE 'ack' END END AS action,
@@ -169,7 +169,7 @@ def delivery_states(spark, d):
 def delivery_state_stream(spark, d):
     configure_state(spark)
     rows = t.from_audit(spark, d, _DELIVERY)
-    return run_available(o.delivery_state(replay(spark, rows), 3, 7200.0), "delivery").drop("tenant_id", "channel_id")
+    return run_available(o.delivery_state(replay_in_order(spark, rows), 3, 7200.0), "delivery").drop("tenant_id", "channel_id")
 
 
 _RECENT = "SELECT tenant_id, seq, id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq DESC) AS rk FROM sequenced) WHERE rk <= 200"

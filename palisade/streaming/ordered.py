@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +38,55 @@ class _JsonState:
         self.cell.clear()
 
 
+# Rows of a key that are sorted in memory at once, and rows read back at once from each sorted run.
+SORT_ROWS, READ_ROWS = 50_000, 1_000
+_ORDER = ["at_s", "id"]
+
+
+def _spilled(frame: pd.DataFrame, stack: contextlib.ExitStack) -> Iterator[pd.DataFrame]:
+    """A sorted run, kept in an unnamed local file and read back in small frames."""
+    file = stack.enter_context(tempfile.TemporaryFile())
+    for lo in range(0, len(frame), READ_ROWS):
+        pickle.dump(frame[lo : lo + READ_ROWS], file)
+    file.seek(0)
+
+    # The reader must not hold the frame.
+    return (pickle.load(file) for _ in range(0, len(frame), READ_ROWS))
+
+
+def _merged(runs: list[Iterator[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    heads = {i: next(run) for i, run in enumerate(runs)}
+    while heads:
+        both = pd.concat([h.assign(__run=i) for i, h in heads.items()]).sort_values(_ORDER, kind="stable", ignore_index=True)
+        # Up to the first row that ends a run's frame no row in a file can come earlier.
+        cut = both["__run"].drop_duplicates(keep="last").index.min()
+        done, rest = both["__run"][cut], both[cut + 1 :]
+        yield both[: cut + 1].drop(columns="__run")
+        heads = {i: rest[rest["__run"] == i].drop(columns="__run") for i in heads if i != done}
+        fresh = next(runs[done], None)
+        if fresh is not None:
+            heads[done] = fresh
+
+
+def _in_order(rows: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of one key in time order, in frames. Spark refuses to sort a stream, and hands a key's rows over unordered.
+
+    About `most` rows are held; of more, sorted runs go to local disk and are merged, `READ_ROWS` of each at a time.
+    """
+    with contextlib.ExitStack() as stack:
+        runs, held, n = [], [], 0
+        for batch in rows:
+            held.append(batch)
+            n += len(batch)
+            if n >= most:
+                runs.append(_spilled(pd.concat(held).sort_values(_ORDER), stack))
+                held, n = [], 0
+        if held:
+            rest = pd.concat(held).sort_values(_ORDER)
+            runs.append(iter([rest]) if not runs else _spilled(rest, stack))
+        yield from _merged(runs) if len(runs) > 1 else (frame for run in runs for frame in run)
+
+
 STREAM_SCHEMA = T.StructType(
     [
         T.StructField("tenant_id", T.StringType()),
@@ -204,29 +256,31 @@ LIMIT_SCHEMA = T.StructType(
 
 
 class _TokenBuckets(StatefulProcessor):
-    def __init__(self, qps: float, max_concurrent: int):
-        self.qps, self.max_concurrent = qps, max_concurrent
+    def __init__(self, qps: float, max_concurrent: int, sort_rows: int):
+        self.qps, self.max_concurrent, self.sort_rows = qps, max_concurrent, sort_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = _JsonState(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_s", "id"])
         bucket = TokenBucket(self.qps, self.max_concurrent, self.state.read())
-        reasons = []
-        for at, ms in zip(batch["at_s"], batch["latency_ms"]):
-            late = bucket.last is not None and at < bucket.last
-            reasons.append("late" if late else bucket.offer(at, ms / 1000.0))
+        for batch in _in_order(rows, self.sort_rows):
+            reasons = []
+            for at, ms in zip(batch["at_s"], batch["latency_ms"]):
+                late = bucket.last is not None and at < bucket.last
+                reasons.append("late" if late else bucket.offer(at, ms / 1000.0))
+            out = batch[["tenant_id", "agent_id", "id"]].copy()
+            out["limit_reason"] = reasons
+            yield out
         self.state.write(bucket.state())
-        out = batch[["tenant_id", "agent_id", "id"]].copy()
-        out["limit_reason"] = reasons
-        yield out
 
     def close(self) -> None:
         pass
 
 
-def rate_limit(stream: DataFrame, qps: float = DEFAULTS["qps_per_agent"], max_concurrent: int = DEFAULTS["max_conns_per_datasource"]) -> DataFrame:
+def rate_limit(
+    stream: DataFrame, qps: float = DEFAULTS["qps_per_agent"], max_concurrent: int = DEFAULTS["max_conns_per_datasource"], sort_rows: int = SORT_ROWS
+) -> DataFrame:
     """Live token bucket per agent in event-time order; a row behind its bucket's clock is marked late.
 
     The batch twin is `operators.risk.rate_limits`.
@@ -234,7 +288,7 @@ def rate_limit(stream: DataFrame, qps: float = DEFAULTS["qps_per_agent"], max_co
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     slim = stream.select("tenant_id", "agent_id", "id", at.alias("at_s"), F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"))
     return slim.groupBy("tenant_id", "agent_id").transformWithStateInPandas(
-        _TokenBuckets(qps, max_concurrent), LIMIT_SCHEMA, "Append", "None"
+        _TokenBuckets(qps, max_concurrent, sort_rows), LIMIT_SCHEMA, "Append", "None"
     )
 
 
@@ -264,21 +318,22 @@ def _attempts(times: list[float], state: dict | None, limit: int, window_s: floa
 
 
 class _AttemptWindows(StatefulProcessor):
-    def __init__(self, limit: int, window_s: float):
-        self.limit, self.window_s = limit, window_s
+    def __init__(self, limit: int, window_s: float, sort_rows: int):
+        self.limit, self.window_s, self.sort_rows = limit, window_s, sort_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, _JsonState(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_s", "id"])
-        allowed, state = _attempts(batch["at_s"].tolist(), self.state.read(), self.limit, self.window_s)
+        state = self.state.read()
+        for batch in _in_order(rows, self.sort_rows):
+            allowed, state = _attempts(batch["at_s"].tolist(), state, self.limit, self.window_s)
+            out = batch[["tenant_key", "user_key", "id"]].copy()
+            out["allowed"] = allowed
+            yield out
         self.state.write(state)
         # The state is of no use once its window has passed in event time.
         self.handle.registerTimer(int((state["started"] + self.window_s) * 1000))
-        out = batch[["tenant_key", "user_key", "id"]].copy()
-        out["allowed"] = allowed
-        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.state.read()
@@ -298,11 +353,13 @@ def _attempt_rows(df: DataFrame, user: str) -> DataFrame:
     ).filter((F.col("tenant_key") != "") & (F.col("user_key") != ""))
 
 
-def attempt_limit(stream: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, delay: str = "10 minutes") -> DataFrame:
+def attempt_limit(
+    stream: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, delay: str = "10 minutes", sort_rows: int = SORT_ROWS
+) -> DataFrame:
     """Live attempt budget per tenant and user, in windows that start at the first attempt."""
     rows = _attempt_rows(stream, user).withWatermark("ts", delay)
     return rows.groupBy("tenant_key", "user_key").transformWithStateInPandas(
-        _AttemptWindows(limit, window_s), ATTEMPT_SCHEMA, "Append", "EventTime"
+        _AttemptWindows(limit, window_s, sort_rows), ATTEMPT_SCHEMA, "Append", "EventTime"
     )
 
 
@@ -389,17 +446,18 @@ def _deliver(rows: pd.DataFrame, state: dict | None, max_failures: int, lease_s:
 
 
 class _Deliveries(StatefulProcessor):
-    def __init__(self, max_failures: int, lease_s: float):
-        self.max_failures, self.lease_s = max_failures, lease_s
+    def __init__(self, max_failures: int, lease_s: float, sort_rows: int):
+        self.max_failures, self.lease_s, self.sort_rows = max_failures, lease_s, sort_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = _JsonState(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_s", "id"])
-        out, state = _deliver(batch, self.state.read(), self.max_failures, self.lease_s)
+        state = self.state.read()
+        for batch in _in_order(rows, self.sort_rows):
+            out, state = _deliver(batch, state, self.max_failures, self.lease_s)
+            yield out
         self.state.write(state)
-        yield out
 
     def close(self) -> None:
         pass
@@ -410,14 +468,14 @@ def _delivery_rows(df: DataFrame) -> DataFrame:
     return df.select("tenant_id", "channel_id", "id", "action", "seq", F.coalesce("token", F.lit("")).alias("token"), "ts", at.alias("at_s"))
 
 
-def delivery_state(stream: DataFrame, max_failures: int = 5, lease_s: float = 60.0) -> DataFrame:
+def delivery_state(stream: DataFrame, max_failures: int = 5, lease_s: float = 60.0, sort_rows: int = SORT_ROWS) -> DataFrame:
     """Live delivery cursors: tenant_id, channel_id, id, action (claim, ack, release, fail, replay), seq, token, ts.
 
     A claim sets its token; an ack, release or fail counts only with the token of the lease that still runs.
     """
     rows = _delivery_rows(stream).drop("ts")
     return rows.groupBy("tenant_id", "channel_id").transformWithStateInPandas(
-        _Deliveries(max_failures, lease_s), DELIVERY_SCHEMA, "Append", "None"
+        _Deliveries(max_failures, lease_s, sort_rows), DELIVERY_SCHEMA, "Append", "None"
     )
 
 
@@ -506,12 +564,13 @@ class _LateRows(StatefulProcessor):
         self.state = _JsonState(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        seen = (self.state.read() or {"max": float("-inf")})["max"]
-        out = batch[["tenant_id", "id", "ts"]].copy()
-        out["late"] = batch["at_s"] < seen - self.delay_s
-        self.state.write({"max": max(seen, float(batch["at_s"].max()))})
-        yield out
+        seen = newest = (self.state.read() or {"max": float("-inf")})["max"]
+        for batch in rows:
+            out = batch[["tenant_id", "id", "ts"]].copy()
+            out["late"] = batch["at_s"] < seen - self.delay_s
+            newest = max(newest, float(batch["at_s"].max()))
+            yield out
+        self.state.write({"max": newest})
 
     def close(self) -> None:
         pass

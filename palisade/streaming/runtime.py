@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palisade.functions.segments import row_numbers, time_slice
 from palisade.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Rows of one micro-batch of an ordered replay.
+BATCH_ROWS = 200_000
 
 
 def configure_state(spark: SparkSession) -> None:
@@ -21,6 +27,26 @@ def replay(spark: SparkSession, df: DataFrame, files_per_batch: int | None = Non
     return stream_folder(spark, path, df, files_per_batch)
 
 
+def replay_in_order(spark: SparkSession, df: DataFrame, order: Sequence[str] = ("ts", "id"), rows_per_batch: int | None = None) -> DataFrame:
+    """A table as a file stream in `order` (a time first; nulls lead): each micro-batch is one file of at most `rows_per_batch` rows.
+
+    Files are taken by the time they were written, so they are written one after the other.
+    """
+    most = rows_per_batch or BATCH_ROWS
+    # A row without a time has a slice too: the slices are joined, and a null would lose it.
+    cut = F.coalesce(time_slice(order[0]), F.lit("0001-01-01").cast("timestamp"))
+    numbered = row_numbers(df.withColumn("__all", F.lit(0)), ["__all"], order, cut, "__n").drop("__all")
+    staged, path = scratch_path(spark, "replay-staged"), scratch_path(spark, "replay")
+    numbered.withColumn("__batch", F.floor((F.col("__n") - 1) / most).cast("int")).drop("__n").write.partitionBy("__batch").parquet(staged)
+    last = spark.read.schema(f"{order[1]} bigint, __batch int").parquet(staged).agg(F.max("__batch")).first()[0]
+    for i in range(0 if last is None else last + 1):
+        part = spark.read.schema(df.schema).parquet(f"{staged}/__batch={i}")
+        part.coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    if last is None:
+        df.limit(0).write.parquet(path)
+    return stream_folder(spark, path, df, files_per_batch=1)
+
+
 def arrivals(spark: SparkSession, parts: list[DataFrame], files: int = 4) -> DataFrame:
     """Tables as a file stream that gets them one after the other: each is one micro-batch."""
     path = scratch_path(spark, "arrivals")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from palisade.session import scratch_path
 from palisade.sources import tables as t
 from palisade.streaming import ordered as o
 from palisade.streaming import stateless as sl
-from palisade.streaming.runtime import run_available, stream_folder
+from palisade.plans import catalog
+from palisade.streaming import runtime
+from palisade.streaming.runtime import replay_in_order, run_available, stream_folder
 
 START = dt.datetime(2024, 1, 1)
 
@@ -119,6 +122,45 @@ def test_delivery_stream_equals_batch(spark, parts):
     assert rows(live) == rows(o.delivery_states(shape(log), 3, 7200.0))
 
 
+def test_rows_of_a_key_are_merged_from_sorted_runs(monkeypatch):
+    """No frame that comes out, and no sort, holds more than a part of the key."""
+    frame = pd.DataFrame({"at_s": [float(i * 7919 % 5003 // 3) for i in range(5003)], "id": range(5003)})
+    monkeypatch.setattr(o, "READ_ROWS", 50)
+    parts = [frame[lo : lo + 100] for lo in range(0, 5003, 100)]
+    got = list(o._in_order(iter(parts), 1000))
+    assert max(map(len, got)) <= 6 * 50
+    assert pd.concat(got).values.tolist() == frame.sort_values(["at_s", "id"]).values.tolist()
+    assert len(list(o._in_order(iter(parts), 10_000))) == 1 and list(o._in_order(iter([]), 10)) == []
+
+
+def test_ordered_replay_is_cut_into_batches_of_time(spark):
+    data = [("a", i, START + dt.timedelta(minutes=i * 37 % 500) if i % 50 else None) for i in range(500)]
+    df = spark.createDataFrame(data, "tenant_id string, id bigint, ts timestamp").repartition(5)
+    seen = []
+    collect = lambda batch, _: seen.append([(r.ts or dt.datetime.min, r.id) for r in batch.collect()])
+    stream = replay_in_order(spark, df, rows_per_batch=120)
+    stream.writeStream.foreachBatch(collect).option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [len(b) for b in seen] == [120, 120, 120, 120, 20]
+    assert [r for b in seen for r in sorted(b)] == sorted((ts or dt.datetime.min, i) for _, i, ts in data)
+    assert run_available(replay_in_order(spark, df.limit(0)), "none").count() == 0
+
+
+@pytest.mark.parametrize("name, twin", [("rate_limit_stream", "rate_limits"), ("attempt_limit_stream", "attempt_limits"), ("delivery_state_stream", "delivery_states")])
+def test_stream_queries_run_in_bounded_batches(spark, sf_dir, monkeypatch, name, twin):
+    """The registered queries over several micro-batches, whose keys are longer than one sort."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plain, before = {n: getattr(o, n) for n in ("rate_limit", "attempt_limit", "delivery_state")}, spark.conf.get(size)
+    monkeypatch.setattr(runtime, "BATCH_ROWS", t.audit_log(spark, sf_dir).count() // 3 + 1)
+    for n, f in plain.items():
+        monkeypatch.setattr(o, n, lambda *a, f=f: f(*a, sort_rows=4))
+    spark.conf.set(size, 3)
+    try:
+        got = catalog.QUERIES[name](spark, sf_dir)
+        assert rows(got) == rows(catalog.QUERIES[twin](spark, sf_dir).select(*got.columns))
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_delivery_cursor_rules():
     cursor = o.DeliveryCursor(None, max_failures=2, lease_s=60)
     assert not cursor.apply("ack", 1, 0.0, "a") and not cursor.apply("claim", 0, 0.0, "")
