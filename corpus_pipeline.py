@@ -34,10 +34,27 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
+    """One document, that with the smallest id, of each group of near duplicates.
+
+    A row without an id is a document of its own behind all that have one. Rows that share an id are one document: they
+    go or stay together, and of those that stay and share the text too one row stays.
+    """
     prepare(spark)
-    gone = near.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    columns = docs.columns
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long"))
+    unnamed = docs.filter(F.col("doc_id").isNull())
+    if not unnamed.isEmpty():
+        # Written once, so that a row has one number in all that follows; counted down from the largest.
+        number = F.lit(2**63 - 1) - F.monotonically_increasing_id()
+        named = named.unionByName(materialize(unnamed.withColumn("__id", number), "near-unnamed"))
+    gone = near.near_duplicates(named.select(F.col("__id").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    left = named.join(gone, "__id", "left_anti")
+    # Only ids are counted, so a corpus without repeated ids is not shuffled for them.
+    shared = materialize(named.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id"), "near-shared")
+    if not shared.isEmpty():
+        once = left.join(shared, "__id", "left_semi").dropDuplicates(["__id", "text"])
+        left = left.join(shared, "__id", "left_anti").unionByName(once)
+    return left.select(*columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

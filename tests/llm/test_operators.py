@@ -112,6 +112,19 @@ def test_near_duplicates_without_ids_and_with_shared_ids(spark):
     assert got == {(1, 1, True), (2, 1, False), (None, 1, False), (None, None, True), (9, 9, True)}
 
 
+def test_stage_keeps_one_row_of_each_group_without_ids_and_with_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (None, a), (None, a + " end"), (3, b), (3, b), (None, c), (None, c), (None, c + " end"), (None, None), (None, ""), (7, None), (7, None), (8, b), (8, b)]
+    got = corpus_pipeline.remove_near_duplicates(spark, table(spark, rows), "")
+    assert got.columns == table(spark, rows).columns
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    rest = [x for x in found if x[1] not in (c, c + " end")]
+    assert rest == sorted([(5, a), (3, b), (None, None), (None, ""), (7, None)], key=repr)
+    assert len(found) - len(rest) == 1
+    plain = [(1, a), (2, a), (4, b)]
+    assert rows_of(corpus_pipeline.remove_near_duplicates(spark, table(spark, plain), ""), "doc_id") == [(1,), (4,)]
+
+
 def test_second_round_links_what_the_first_leader_misses(spark):
     """A group whose smallest id is far from the others, which are close to each other."""
     rng = random.Random(3)
