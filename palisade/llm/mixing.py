@@ -87,6 +87,25 @@ def mix_sources(
     return joined.select(*kept, F.col("__size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
+def mixed_rows(mixed: DataFrame) -> DataFrame:
+    """The sampled corpus: of each row of `mixed` (text, size, taken and others; see mix_sources) as many rows as it is taken.
+
+    `copy` numbers them from 1. Whole repetitions have the text as it is; a remainder of k words is a last row with the
+    text up to the end of its k-th word. A row with taken 0 gives none. size and taken are those of the row given out,
+    so both sum up to the taken words; other columns stay as they are, also a length of the whole text.
+    """
+    columns = [c for c in mixed.columns if c != "copy"]
+    part = F.col("taken") % F.col("size")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = mixed.select(*columns).filter("size > 0 AND taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    cut = (part > 0) & (F.col("copy") == copies)
+    # Words and what stands before each of them, joined again, are the text up to a word's end.
+    gaps, words = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    begin = F.array_join(F.slice(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), F.lit(1), part.cast("int")), "")
+    n = F.when(cut, part).otherwise(F.col("size"))
+    return rows.withColumns({"text": F.when(cut, begin).otherwise(F.col("text")), "size": n, "taken": n})
+
+
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources at their weights takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text", "source")

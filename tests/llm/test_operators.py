@@ -282,6 +282,24 @@ def test_mix(spark):
     assert rows_of(got, "doc_id", "size", "taken") == rows_of(again, "doc_id", "size", "taken")
 
 
+def test_mixed_rows_hold_the_taken_words(spark):
+    rows = [(i, "\n ".join(f"w{i}.{k}" for k in range(i % 9)) + " \t") for i in range(40)] + [(None, None), (7, "x y z")]
+    mixed = mixing.mix_sources(table(spark, rows)).cache()
+    got = mixing.mixed_rows(mixed).cache()
+    sums = got.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).filter("n > 0")
+    assert rows_of(sums, "source", "n") == rows_of(mixed.groupBy("source").agg(F.sum("taken").alias("n")).filter("n > 0"), "source", "n")
+    assert got.filter(mixing.word_count("text") != F.col("taken")).count() == 0
+    given = mixed.select("doc_id", "source", "text", "size", "taken").collect()
+    expected = []
+    for r in given:
+        expected += [(r.doc_id, r.text)] * (r.taken // r.size if r.size else 0)
+        if r.size and r.taken % r.size:
+            expected.append((r.doc_id, r.text[: list(brute.WORD.finditer(r.text))[r.taken % r.size - 1].end()]))
+    assert rows_of(got, "doc_id", "text") == sorted(expected, key=repr)
+    fixed = spark.createDataFrame([("a  b\nc ", 3, 5), (" a b", 2, 1), ("z", 1, 0), ("", 0, 0)], "text string, size long, taken long")
+    assert rows_of(mixing.mixed_rows(fixed), "text", "size", "taken", "copy") == sorted([("a  b\nc ", 3, 3, 1), ("a  b", 2, 2, 2), (" a", 1, 1, 1)], key=repr)
+
+
 def test_quality_removes_lines_of_a_host(spark):
     menu = "home about contact help\nlog in to see more of this site today"
     body = lambda i: " ".join(f"word{i}x{k}" for k in range(12))
