@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import check_sql, ctw, language, leaks, lines, mixing, near, pii, quality, substring, suffixes
+from palisade.llm import centroids, check_sql, codebooks, ctw, language, leaks, licenses, lines, mixing, near, pii, quality, substring, suffixes, vector_sql
 from palisade.llm.runtime import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,13 @@ QUERIES: dict[str, Query] = {
         ctw.op8_lm_score,
         mixing.op9_mix_sources,
         quality.op10_quality_rules,
+        centroids.op11_centroid_clusters,
+        licenses.op12_license_scan,
+        codebooks.op13_vector_codes,
     )
 }
-# Language ID, personal data and scoring hold learned models, which SQL cannot express: tests use brute force.
+# Language ID, personal data and scoring hold learned models, and license places follow from weights of the corpus, which
+# SQL cannot express: tests use brute force.
 CHECK_SQL: dict[str, str] = {
     "op1_substring_dedup": check_sql.SUBSTRING.strip(),
     "op2_suffix_dedup": check_sql.SUFFIX.strip(),
@@ -45,4 +49,6 @@ CHECK_SQL: dict[str, str] = {
     "op6_decontaminate": check_sql.LEAKS.strip(),
     "op9_mix_sources": mixing.SQL.strip(),
     "op10_quality_rules": quality.SQL.strip(),
+    "op11_centroid_clusters": vector_sql.CENTROIDS.strip(),
+    "op13_vector_codes": vector_sql.CODES.strip(),
 }
