@@ -200,9 +200,9 @@ def _order_bytes(positions: int):
 
 
 def _entry_trees(codebooks: np.ndarray) -> list[tuple[Tree, np.ndarray]]:
-    """A tree over the entries of each part position, and their names in tree order."""
+    """A tree over the entries of each part position, and their names in tree order; none where there are no entries."""
     out = []
-    for book in codebooks:
+    for book in codebooks if codebooks.shape[1] else ():
         names = tree_order(book, 1)
         out.append((Tree.over(book[names], 1), names))
     return out

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm.blocks import text_bytes
+from palisade.llm.runtime import pack_columns, unpack_columns
 from palisade.llm.spans import LOWER, batches, covered, flat, hash_spans, word_spans
 
 WINDOW_WORDS = 10
@@ -196,7 +197,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, side_bytes: int = SIDE_BYTES)
     Columns of `docs` with these names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "leaked_items", "n_items", "__hits")
+    columns, docs = docs.columns, pack_columns(docs, "text")
     items = items.select(F.col("item_id").cast("string"), "text")
     passes = max(1, -(-text_bytes(items) // side_bytes))
     out = docs.withColumn("__hits", F.array().cast("array<struct<lo:int,hi:int>>")).withColumn("leaked_items", F.array().cast("array<string>"))
@@ -207,7 +208,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, side_bytes: int = SIDE_BYTES)
         out = _one_pass(out, spark.sparkContext.broadcast((side, {k: _sieve(v) for k, v in side.keys.items()})))
     # Until here a null in the list stands for the items without an id.
     found = _counted(out).withColumn("n_items", F.size("leaked_items").cast("long"))
-    return found.withColumn("leaked_items", F.array_compact("leaked_items"))
+    listed = found.withColumn("leaked_items", F.array_compact("leaked_items"))
+    return unpack_columns(listed, columns, "n_words", "n_hit", "leaked_items", "n_items")
 
 
 def _one_pass(docs: DataFrame, sent) -> DataFrame:
@@ -217,11 +219,13 @@ def _one_pass(docs: DataFrame, sent) -> DataFrame:
             for part in batches(pa.Table.from_batches([table]), SLICE_BYTES, "text"):
                 words, bounds = words_of(part["text"])
                 start, end, window = _match(side, sieves, words, bounds)
+                order = np.argsort(start, kind="stable")
+                start, end, window = start[order], end[order], window[order]
                 doc = np.searchsorted(bounds, start, side="right") - 1
                 hits, leaked = part["__hits"].to_pylist(), part["leaked_items"].to_pylist()
-                for d in sorted(set(doc.tolist())):
-                    mine = doc == d
-                    base = bounds[d]
+                found, firsts = np.unique(doc, return_index=True)
+                for d, lo, hi in zip(found.tolist(), firsts, [*firsts[1:], len(doc)]):
+                    mine, base = slice(lo, hi), bounds[d]
                     flags = covered(int(bounds[d + 1] - base), start[mine] - base, end[mine] - base)
                     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
                     hits[d] = hits[d] + [{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
@@ -256,7 +260,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of `docs` without an occurring window of `items`; columns as they were."""
-    return find_leaks(docs, items).filter("n_hit = 0").select(*docs.columns)
+    return unpack_columns(find_leaks(pack_columns(docs, "text"), items).filter("n_hit = 0"), docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.session import configure
 
@@ -13,3 +16,22 @@ BATCH_BYTES = 8 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
+
+
+def pack_columns(docs: DataFrame, *working: str) -> DataFrame:
+    """The working columns, and all others in one struct `own`: an operator's own column names never meet the caller's."""
+    rest = [c for c in docs.columns if c not in working]
+    own = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("none"))
+    return docs.select(*working, own.alias("own"))
+
+
+def unpack_columns(packed: DataFrame, columns: Sequence[str], *added: str, **changed: Column) -> DataFrame:
+    """The caller's columns as they were, but for changed ones, and then the added ones, which replace columns of their name."""
+    own = set(packed.schema["own"].dataType.fieldNames())
+
+    def value(name: str) -> Column:
+        if name in changed:
+            return changed[name]
+        return F.col("own").getField(name) if name in own else F.col(name)
+
+    return packed.select(*[value(c).alias(c) for c in columns if c not in added], *added)

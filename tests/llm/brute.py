@@ -210,3 +210,80 @@ def context_tree(docs, modulus=7, remainder=2):
         base = sum(math.log10((tokens[w] + 1) / (total + distinct + 1)) for w in words)
         out[i] = (held_out(i, modulus, remainder), len(words), sum(tokens[w] > 0 for w in words), total, base, score)
     return out
+
+
+def vector(cells, scale):
+    """Whole components, or None where one is missing or not finite."""
+    if cells is None or not cells or any(x is None or not math.isfinite(x) for x in cells):
+        return None
+    return [math.floor(scale * x) for x in cells]
+
+
+def squared(a, b):
+    return sum((x - y) ** 2 for x, y in zip(a, b))
+
+
+def centroids(rows, clusters=16, rounds=3, dims=64, scale=64):
+    """(vec_id, cluster, distance) of all rows, and the final centroids."""
+    kept = [(i, v) for i, v in ((i, vector(c, scale)) for i, c in rows) if v is not None and len(v) == dims]
+    first = sorted((sha(f"1:{'' if i is None else i}"), v) for i, v in kept)[:clusters]
+    centres = [v for _, v in first]
+    for number in range(rounds + 1):
+        nearest = [min((squared(v, c), n) for n, c in enumerate(centres)) for _, v in kept]
+        if number < rounds:
+            for n in range(len(centres)):
+                own = [v for (_, v), (_, at) in zip(kept, nearest) if at == n]
+                if own:
+                    centres[n] = [sum(x) // len(own) for x in zip(*own)]
+    return [(i, n, d) for (i, _), (d, n) in zip(kept, nearest)], centres
+
+
+def codes(rows, positions=16, entries=64, rounds=2, scale=256):
+    """(vec_id, label, code, error) of all rows of (vec_id, label, cells), and the codebooks by position and entry."""
+    whole = [(i, label, v) for i, label, v in ((i, label, vector(c, scale)) for i, label, c in rows) if v is not None and len(v) % positions == 0]
+    lengths = collections.Counter(len(v) for _, _, v in whole)
+    dims = max(lengths, key=lambda n: (lengths[n], n), default=positions)
+    kept, width = [r for r in whole if len(r[2]) == dims], dims // positions
+    cut = lambda v: [v[p * width : (p + 1) * width] for p in range(positions)]
+    first = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[2]))[:entries]
+    books = [list(b) for b in zip(*(cut(v) for _, _, v in first))]
+    for number in range(rounds + 1):
+        nearest = [[min((squared(part, e), n) for n, e in enumerate(book)) for part, book in zip(cut(v), books)] for _, _, v in kept]
+        if number < rounds:
+            for p, book in enumerate(books):
+                for n in range(len(book)):
+                    own = [cut(v)[p] for (_, _, v), near_ in zip(kept, nearest) if near_[p][1] == n]
+                    if own:
+                        book[n] = [sum(x) // len(own) for x in zip(*own)]
+    return [(i, label, bytes(n for _, n in found), sum(d for d, _ in found)) for (i, label, _), found in zip(kept, nearest)], books
+
+
+def licenses(docs, templates, rare=8, slack=8, share=0.5):
+    """(doc_id, n_words, places) of all rows; a place is (template number, start, end, score)."""
+    split = [PART.findall((t or "").translate(LOWER)) for _, t in docs]
+    every = {w for t in templates for text in (t.text, *t.phrases) for w in text.split()}
+    weight = {w: 1 + math.log((1 + len(docs)) / (1 + sum(w in set(words) for words in split))) for w in every}
+    out = []
+    for (i, _), words in zip(docs, split):
+        at = lambda phrase: [k for k in range(len(words)) if words[k : k + len(phrase)] == phrase]  # noqa: E731, B023
+        places = []
+        for number, t in enumerate(templates):
+            body = t.text.split()
+            if not t.phrases:
+                places += [(number, k, k + len(body), 1.0) for k in at(body)]
+                continue
+            best = sorted(set(body), key=lambda w: (-weight[w], w))[:rare]
+            hits = sorted((k - body.index(w), w) for k, w in enumerate(words) if w in best)
+            groups = []
+            for offset, w in hits:
+                if groups and offset - groups[-1][-1][0] <= slack:
+                    groups[-1].append((offset, w))
+                else:
+                    groups.append([(offset, w)])
+            for group in groups:
+                score = sum(weight[w] for w in {w for _, w in group}) / sum(weight[w] for w in best)
+                lo, hi = max(0, group[0][0] - slack), min(len(words), group[-1][0] + len(body) + slack)
+                if score >= share - 1e-12 and all(any(lo <= k and k + len(p.split()) <= hi for k in at(p.split())) for p in t.phrases):
+                    places.append((number, lo, hi, min(score, 1.0)))
+        out.append((i, len(words), sorted(places)))
+    return out

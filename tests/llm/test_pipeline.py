@@ -25,7 +25,7 @@ def test_query_matches_its_sql(spark, sf_dir, connection, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
