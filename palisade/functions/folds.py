@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.functions.segments import row_numbers
+from palisade.functions.segments import join_same, row_numbers
 from palisade.session import scratch_path
 
 # Takes some consecutive rows of one key and the state before them; returns output and new state.
@@ -38,7 +38,7 @@ def _pass(step: Step, keys: list[str], columns: list[str], keep_state: bool):
             done = []
             # Rows arrive sorted by key, so each group is one run of consecutive rows.
             for _, rows in batch.groupby(keys, sort=False, dropna=False):
-                here = tuple(rows[keys].iloc[0])
+                here = tuple(None if pd.isna(v) else v for v in rows[keys].iloc[0])
                 if here != key:
                     if keep_state and key is not None:
                         done.append(closing(key, state))
@@ -89,7 +89,7 @@ def ordered_fold(
         if carried is None:
             rows = rows.withColumn(_STATE, F.lit(None).cast("string"))
         else:
-            rows = rows.join(carried, keys, "left")
+            rows = join_same(rows, carried, keys, "left")
         paths.append(f"{result}/block={block}")
         _sorted(rows, keys, order).mapInPandas(_pass(step, keys, columns, True), schema).write.parquet(paths[-1])
         carried = spark.read.schema(schema).parquet(paths[-1]).filter(F.col(_STATE).isNotNull()).select(*keys, _STATE)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.segments import previous, running, time_slice
+from palisade.functions.segments import join_same, previous, running, time_slice
 from palisade.functions.text import utrim
 
 # Decisions in report order.
@@ -157,12 +157,12 @@ def kpi(
     pending = approvals.groupBy(*by).agg(F.count_if(F.col("status") == "pending").alias("pending_approvals"))
     active = agents.groupBy(*by).agg(F.count_if(F.col("status") == "active").alias("active_agents"))
     sources = datasources.groupBy(*by).agg(F.count(F.lit(1)).alias("datasources_total"))
-    # From all four sides: a tenant without traffic has its open approvals and agents all the same.
-    joined = counts
-    for side in (pending, active, sources):
-        joined = joined.join(side, list(by), "full")
+    # From all four sides: a tenant without traffic has its open approvals and agents all the same, and so has a null one.
     shown = ("total_requests", "blocked", "__previous_total", "__previous_blocked", "pending_approvals", "active_agents", "datasources_total")
-    joined = joined.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in shown])
+    stacked = counts
+    for side in (pending, active, sources):
+        stacked = stacked.unionByName(side, allowMissingColumns=True)
+    joined = stacked.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in shown])
     return joined.select(
         *by,
         "total_requests",
@@ -235,6 +235,26 @@ def risk_top(audit: DataFrame, window: DayWindow, k: int = 5, by: Sequence[str]
     return top_counts(kept, "RuleID", k, by, "rule_id")
 
 
+def rule_sketches(audit: DataFrame, by: Sequence[str] = TENANT, capacity: int = 1024) -> DataFrame:
+    """A frequent-item sketch of the rules among non-allow hits, one for each group and day, to be kept and combined.
+
+    A sketch holds up to three quarters of `capacity` rules with exact counts; with more of them a count is at most 3.5 / `capacity`
+    of the day's hits off. It is some kilobytes whatever the number of hits.
+    """
+    hits = audit.filter(F.col("rule_hits").isNotNull()).select(*by, F.to_date("ts").alias("day"), F.inline(F.from_json("rule_hits", _HITS)))
+    kept = hits.filter(F.coalesce(F.col("Decision") != "allow", F.lit(True)) & F.col("RuleID").isNotNull() & (utrim("RuleID") != ""))
+    return kept.groupBy(*by, "day").agg(F.expr(f"approx_top_k_accumulate(RuleID, {capacity})").alias("sketch"), F.count(F.lit(1)).alias("hits"))
+
+
+def top_of_sketches(sketches: DataFrame, k: int = 5, by: Sequence[str] = TENANT, capacity: int = 1024) -> DataFrame:
+    """Most frequent rules of any set of days, from their sketches alone: count descending, then the rule."""
+    merged = sketches.groupBy(*by).agg(F.expr(f"approx_top_k_combine(sketch, {capacity})").alias("sketch"))
+    # All that a sketch holds, so that ties are cut by name as in the exact form.
+    counts = merged.select(*by, F.inline(F.expr(f"approx_top_k_estimate(sketch, {capacity})")).alias("rule_id", "n"))
+    ranked = counts.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "rule_id")))
+    return ranked.filter(F.col("__rank") <= k).drop("__rank")
+
+
 def agent_ranking(audit: DataFrame, agents: DataFrame, window: DayWindow, k: int = 5) -> DataFrame:
     """Most blocked agents with their names, '' where the agent is unknown."""
     denied = in_window(audit, window).filter(F.col("decision") == "deny")
@@ -471,7 +491,7 @@ def latency_percentiles(df: DataFrame, column: str, by: Sequence[str], slice_wid
         return sketch.select(*by, *[F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(points)])
     counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__c"))
     totals = counted.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    upto = running(counted, by, [column], F.floor(F.col(column) / slice_width), F.col("__c"), "__upto").join(totals, list(by))
+    upto = join_same(running(counted, by, [column], F.floor(F.col(column) / slice_width), F.col("__c"), "__upto"), totals, list(by))
     reached = lambda p: F.col("__upto") >= F.ceil(F.col("__n") * p)
     return upto.groupBy(*by).agg(*[F.min(F.when(reached(p), F.col(column))).alias(n) for n, p in points.items()])
 

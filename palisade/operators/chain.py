@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold
 from palisade.functions.hashing import hmac_sha256_hex, tlv_bytes, tlv_int, tlv_text
-from palisade.functions.segments import previous
+from palisade.functions.segments import join_same, previous
 
 # Canonical fields in order; the integer ones are framed as integers.
 CANONICAL_FIELDS = (
@@ -107,8 +107,10 @@ def _chain_step(config: ChainConfig):
 
     def step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
         seq, prev = (state["seq"], state["hash"]) if state else (0, genesis)
+        name = rows["chain_id"].iloc[0]
+        chain = _frame(0, b"") if pd.isna(name) else _frame(1, str(name).encode())
         head = (
-            _frame(1, domain) + _frame(1, instance) + _frame(1, str(rows["chain_id"].iloc[0]).encode())
+            _frame(1, domain) + _frame(1, instance) + chain
             + _frame(2, str(FORMAT_VERSION).encode()) + _frame(1, mode) + _frame(2, str(version).encode())
         )
         seqs, prevs, selves = [], [], []
@@ -221,7 +223,7 @@ def verify_chain(df: DataFrame, state: DataFrame, config: ChainConfig, seq_block
         .groupBy(*KEYS)
         .agg(F.min_by(F.struct("reason", reported.alias("seq"), "id"), F.struct("chain_seq", "id")).alias("b"))
     )
-    joined = state.join(coverage, KEYS, "left").join(breaks, KEYS, "left")
+    joined = join_same(join_same(state, coverage, KEYS, "left"), breaks, KEYS, "left")
     head_ok = (
         (F.col("head_seq") == F.coalesce("linked", F.lit(0)))
         & (F.coalesce("last.chain_seq", F.lit(0)) == F.col("head_seq"))
@@ -316,7 +318,7 @@ def link_checkpoints(checkpoints: DataFrame, max_block_rows: int = MAX_BLOCK_ROW
         return out, {"digest": digest}
 
     linked = ordered_fold(framed, KEYS, ["ordinal"], F.floor(F.col("ordinal") / SEQ_BLOCK), step, LINK_SCHEMA, max_block_rows)
-    return checkpoints.drop("previous_sha256").join(linked, [*KEYS, "ordinal"])
+    return join_same(checkpoints.drop("previous_sha256"), linked, [*KEYS, "ordinal"])
 
 
 def verify_checkpoints(checkpoints: DataFrame, block: int = SEQ_BLOCK) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.hashing import row_digest, set_digest
 from palisade.functions.segments import running, time_slice
+from palisade.session import materialize
 
 
 def _text_columns(df: DataFrame) -> DataFrame:
@@ -24,6 +25,39 @@ def frame_digest(df: DataFrame, truncated: bool = False) -> DataFrame:
     return digest.select("rows", F.sha2(F.concat_ws(":", F.lit(names), "__d"), 256).alias("digest"))
 
 
+TREE_FAN = 1024
+
+
+def ordered_digest(df: DataFrame, order: Sequence[str | Column], truncated: bool = False, fan: int = TREE_FAN) -> DataFrame:
+    """Row count and digest of a frame in its row order: swapping two different rows changes it, partitioning does not.
+
+    The digest is the root of a tree: each node hashes up to `fan` digests below it, in order, so no task sees more than
+    that many at once. Rows are sorted by range in parallel (ties by content) and get their place from the number of rows in
+    the ranges before theirs. Only digests are sorted and written, once, to the shared folder.
+    """
+    # Equal rows may fall in any order among themselves, and a number tells them apart, so that many of them share no range.
+    marked = df.withColumns({"__digest": row_digest(df.columns), "__tie": F.monotonically_increasing_id()})
+    placed = marked.orderBy(*order, "__digest", "__tie").select(F.col("__digest").alias("digest"), F.monotonically_increasing_id().alias("at"))
+    staged = materialize(placed, "ordered-digest")
+    # The number's upper bits are the range, its lower 33 bits the place within it.
+    ranged = staged.select("digest", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("__all", F.lit(0))
+    upto = running(counts, ["__all"], ["part"], F.floor(F.col("part") / 1000), F.col("n"), "upto").select("part", (F.col("upto") - F.col("n")).alias("before"))
+    rows = staged.count()
+    level = ranged.join(upto, "part").select((F.col("before") + F.col("place")).alias("at"), "digest")
+    nodes = rows
+    while nodes > 1 or (nodes == 1 and rows == 1):
+        below = F.array_sort(F.collect_list(F.struct("at", "digest")))  # `fan` entries at most
+        level = level.groupBy(F.floor(F.col("at") / fan).alias("up")).agg(F.sha2(F.array_join(F.transform(below, lambda x: x.digest), ""), 256).alias("digest"))
+        level = level.withColumnRenamed("up", "at")
+        if nodes == 1:
+            break
+        nodes = -(-nodes // fan)
+    names = ",".join(df.columns) + ("|truncated" if truncated else "")
+    root = level.agg(F.coalesce(F.max("digest"), F.lit("")).alias("root"))
+    return root.select(F.lit(rows).cast("long").alias("rows"), F.sha2(F.concat_ws(":", F.lit(names), F.lit(str(rows)), "root"), 256).alias("digest"))
+
+
 def project_outbox(outbox: DataFrame) -> DataFrame:
     """Management events as audit rows: always allowed, the event's own fields kept."""
     return outbox.select(

@@ -6,10 +6,10 @@ order of precedence, so matching is a single equi-join plus a `min` per column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palisade.functions.masks import SENSITIVE_TYPES, HashKey, Mask, mask_for
@@ -148,12 +148,14 @@ def redact(df: DataFrame, rules: Sequence[MaskRule], key: HashKey | None = None)
     )
 
 
-def redaction_report(df: DataFrame, rules: Sequence[MaskRule], key: HashKey | None = None) -> DataFrame:
-    """Per touched column: masked cells, hash fallbacks and the key version used, in one aggregate."""
-    aggregates, rows = [], []
+def _touched(rules: Sequence[MaskRule], key: HashKey | None) -> list[Column]:
+    return [F.count_if(_mask(rule, key).applied).alias(f"__m{i}") for i, rule in enumerate(rules)]
+
+
+def _report_rows(rules: Sequence[MaskRule], key: HashKey | None) -> Column:
+    rows = []
     for i, rule in enumerate(rules):
         fell_back = rule.algorithm == "hash" and key is None
-        aggregates.append(F.count_if(_mask(rule, key).applied).alias(f"__m{i}"))
         used = rule.algorithm == "hash" and key is not None
         rows.append(
             F.struct(
@@ -164,7 +166,28 @@ def redaction_report(df: DataFrame, rules: Sequence[MaskRule], key: HashKey | No
                 F.when((F.col(f"__m{i}") > 0) & F.lit(used), F.lit(key.version if key else None)).cast("int").alias("key_version"),
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return F.inline(F.array(*rows))
+
+
+def redaction_report(df: DataFrame, rules: Sequence[MaskRule], key: HashKey | None = None) -> DataFrame:
+    """Per touched column: masked cells, hash fallbacks and the key version used, in one aggregate."""
+    return df.agg(*_touched(rules, key)).select(_report_rows(rules, key))
+
+
+def redact_observed(df: DataFrame, rules: Sequence[MaskRule], key: HashKey | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The redacted frame, and its report: counted in the same pass, so it is there once the frame has been written or read.
+
+    Asking for the report waits for the first action on the frame, and counts the rows that action went through.
+    """
+    seen = Observation()
+    observed = redact(df.observe(seen, *_touched(rules, key)), rules, key)
+
+    def report() -> DataFrame:
+        counts = seen.get
+        values = [F.lit(int(counts[f"__m{i}"])).cast("bigint").alias(f"__m{i}") for i in range(len(rules))]
+        return df.sparkSession.range(1).select(*values).select(_report_rows(rules, key))
+
+    return observed, report
 
 
 def fingerprint_versions(df: DataFrame, column: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold
 from palisade.functions.segments import time_slice
+from palisade.operators import policy
 
 # Known dialects and statement kinds, rule order, and default thresholds.
 DIALECTS = ("postgres", "mysql", "sqlserver", "dm", "oracle", "vastbase", "highgo", "opengauss", "yashan")
@@ -99,7 +100,11 @@ def table_facts(signals: DataFrame, metadata: DataFrame, ids: Sequence[str] = ("
     asked = signals.filter(
         (F.col("dialect") == "postgres") & (_stmt("UPDATE", "DELETE") | _does("ALTER TABLE", "CREATE INDEX", among=_operations()))
     )
-    each = asked.select(*ids, F.explode("tables").alias("table_name")).join(metadata, "table_name", "left")
+    return _facts_of(asked.select(*ids, "tables"), metadata, ids)
+
+
+def _facts_of(lists: DataFrame, metadata: DataFrame, ids: Sequence[str]) -> DataFrame:
+    each = lists.select(*ids, F.explode("tables").alias("table_name")).join(metadata, "table_name", "left")
     return each.groupBy(*ids).agg(
         F.bool_or(~F.coalesce("has_index", F.lit(False))).alias("unindexed_table"),
         F.max("row_count").alias("largest_table"),
@@ -107,6 +112,34 @@ def table_facts(signals: DataFrame, metadata: DataFrame, ids: Sequence[str] = ("
     )
 
 
+def with_facts(signals: DataFrame, agents: DataFrame, resolved: DataFrame, metadata: DataFrame, limited: DataFrame | None = None) -> DataFrame:
+    """Signals with every fact the rules ask for: level, table facts, refused access, and rate limits where given.
+
+    `resolved`: see policy.resolve_policies; `metadata`: see table_facts; `limited`: ids of refused requests. Access is
+    settled once for each distinct request (who, where, tables, projected columns) and table facts once for each
+    distinct list of tables, so a log is only joined to these, never exploded itself.
+    """
+    known = with_agents(signals, agents)
+    projected = F.when(F.upper("stmt_type") == "SELECT", policy.projected_columns(F.col("operations")))
+    # A struct is never null itself, so requests with a null in them meet their row too.
+    request = F.struct(*policy.POLICY_KEYS, "tables", projected.alias("projected"))
+    lists = known.select(request.alias("__request")).distinct()
+    asked = lists.select(
+        "__request", *[F.col(f"__request.{c}").alias(c) for c in (*policy.POLICY_KEYS, "tables")],
+        F.when(F.col("__request.projected").isNotNull(), "SELECT").alias("stmt_type"),
+        F.transform("__request.projected", lambda c: F.concat(F.lit("SELECT_COLUMN:"), c)).alias("operations"),
+    )
+    tables = policy.table_access(asked, resolved, ["__request"]).filter(F.col("verdict") != "allowed").select("__request")
+    columns = policy.column_access(asked, resolved, ["__request"]).select("__request")
+    refused = tables.unionByName(columns).distinct().withColumn("access_refused", F.lit(True))
+    of_tables = _facts_of(asked.select("tables").distinct().withColumn("__tables", F.struct("tables")), metadata, ["__tables"])
+    joined = known.withColumns({"__request": request, "__tables": F.struct("tables")})
+    joined = joined.join(refused, "__request", "left").join(of_tables, "__tables", "left").drop("__request", "__tables")
+    if limited is not None:
+        joined = joined.join(limited.select("id", F.lit(True).alias("rate_limited")), "id", "left")
+    return joined
+
+
 def prepared(signals: DataFrame) -> DataFrame:
     """Signals with the lists every rule reads put into one form, once per row."""
     names = F.transform(F.concat("functions", "operations"), lambda s: F.lower(F.substring_index(F.trim(s), ".", -1)))
@@ -334,7 +367,10 @@ def expected_rules(hits: DataFrame, ids: Sequence[str] = ("id",)) -> DataFrame:
 
 
 class TokenBucket:
-    """One agent's bucket: refill by elapsed time, slots freed when a request ends."""
+    """One agent's bucket: refill by elapsed time, slots freed when a request ends.
+
+    A request without a time has no place on the clock: it is refused as `no_time` and leaves the bucket as it is.
+    """
 
     def __init__(self, qps: float, max_concurrent: int, state: dict | None = None):
         self.qps, self.limit, self.capacity = qps, max_concurrent, max(1.0, qps)
@@ -344,6 +380,8 @@ class TokenBucket:
 
     def offer(self, now: float, duration: float, qps: float | None = None, max_concurrent: float | None = None) -> str:
         """'' when admitted, else the reason; concurrency is checked before tokens. Thresholds hold from here on."""
+        if now != now:
+            return "no_time"
         if qps is not None:
             self.qps, self.capacity = qps, max(1.0, qps)
         if max_concurrent is not None:
@@ -363,6 +401,13 @@ class TokenBucket:
     def state(self) -> dict:
         return {"tokens": self.tokens, "last": self.last, "ends": self.ends}
 
+    def full_at(self) -> float | None:
+        """When the bucket, left alone, is as a new one: all tokens back and all slots free."""
+        if self.last is None:
+            return None
+        refill = (self.capacity - self.tokens) / self.qps if self.qps > 0 else float("inf")
+        return max([self.last + max(0.0, refill), *self.ends])
+
 
 def _bucket_step(qps: float, max_concurrent: int):
     def step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
@@ -378,6 +423,17 @@ def _bucket_step(qps: float, max_concurrent: int):
     return step
 
 
+def limit_rows(log: DataFrame, qps: float, max_concurrent: int, *more: Column | str) -> DataFrame:
+    """What a token bucket needs of a request: who, when, how long, and the thresholds that hold for it."""
+    configured = _has(log, "config")
+    own = lambda name, fallback: _threshold("R008", name, configured, F.lit(float(fallback))).cast("double")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    return log.select(
+        "tenant_id", "agent_id", "id", "ts", at.alias("at_s"), F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"),
+        own("qps_per_agent", qps).alias("qps"), own("max_conns_per_datasource", max_concurrent).alias("max_concurrent"), *more,
+    )
+
+
 def rate_limits(
     log: DataFrame,
     qps: float = DEFAULTS["qps_per_agent"],
@@ -391,13 +447,7 @@ def rate_limits(
     a busy one in bounded blocks. Where the log has a `config` (see resolve_config), the thresholds of rule R008
     in it hold for the row instead of `qps` and `max_concurrent`.
     """
-    configured = _has(log, "config")
-    own = lambda name, fallback: _threshold("R008", name, configured, F.lit(float(fallback))).cast("double")
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    slim = log.select(
-        "tenant_id", "agent_id", "id", "ts", at.alias("at_s"), F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"),
-        own("qps_per_agent", qps).alias("qps"), own("max_conns_per_datasource", max_concurrent).alias("max_concurrent"),
-    )
+    slim = limit_rows(log, qps, max_concurrent)
     schema = T.StructType(
         [
             T.StructField("tenant_id", T.StringType()),

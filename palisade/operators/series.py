@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.profile import per_column
-from palisade.functions.segments import previous
+from palisade.functions.segments import join_same, previous
 
 # Fixed value: plain decimal text, as JSON writes numbers.
 _JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
@@ -141,13 +141,13 @@ def forecast(
     usable = usable.filter(F.col("f").isNotNull()).select(*keys, "input_rows", "y_mean", "f.*")
     # Gaps repeat a lot, so their median comes from counted distinct lengths.
     gap = lambda k: F.struct(F.lit(k).alias("kind"), (F.col(f"__{k}") - F.col(f"__p__{k}")).alias("gap"))
-    gaps = (
+    counted = (
         stepped.select(*keys, F.inline(F.array(*[gap(k) for k in LABEL_KINDS])))
         .filter(F.col("gap").isNotNull())
         .groupBy(*keys, "kind", "gap")
         .agg(F.count(F.lit(1)).alias("times"))
-        .join(usable.select(*keys, "kind", "input_rows"), [*keys, "kind"])
     )
+    gaps = join_same(counted, usable.select(*keys, "kind", "input_rows"), [*keys, "kind"])
     upto = Window.partitionBy(*keys).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
     step = (
         gaps.withColumn("__upto", F.sum("times").over(upto))
@@ -159,7 +159,7 @@ def forecast(
     y = lambda ahead: F.col("y_mean") + F.col("slope") * (at(ahead) - F.col("x_mean"))
     # A line is largest at an end: a series that leaves the bound anywhere is given up as a whole.
     bounded = (F.abs(y(F.lit(1))) <= LARGEST) & (F.abs(y(F.lit(horizon))) <= LARGEST)
-    future = usable.join(step, keys).filter(bounded).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    future = join_same(usable, step, keys).filter(bounded).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return future.withColumns({"__x": at(F.col("ahead")), "__y": y(F.col("ahead"))}).select(
         *keys, "input_rows", "ahead", _label(F.col("kind"), F.col("__x")).alias("label"), F.round("__y", 2).alias("value")
     )

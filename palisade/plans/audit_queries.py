@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from palisade.operators import audit
-from palisade.plans.registry import over_audit, query
+from palisade.plans.registry import CHECK_SQL, over_audit, query
+from palisade.session import materialize, scratch_path
+from palisade.sources import versions
 from palisade.sources import tables as t
 
 WINDOW = audit.DayWindow(14, dt.datetime(2024, 1, 30, 12))
@@ -113,6 +115,13 @@ def risk_top(spark, d):
     return audit.risk_top(t.audit_log(spark, d), WINDOW)
 
 
+@query("risk_top_sketched", CHECK_SQL["risk_top"])
+def risk_top_sketched(spark, d):
+    """The same from fourteen days of stored sketches; the log is read for each day once."""
+    sketches = materialize(audit.rule_sketches(t.audit_log(spark, d)), "rule-sketches")
+    return audit.top_of_sketches(sketches.filter((F.col("day") >= "2024-01-17") & (F.col("day") < "2024-01-31")))
+
+
 @query("agent_ranking", over_audit(f"""
 SELECT r.tenant_id, r.agent_id, blocked_count, coalesce(name, '') AS name FROM (
  SELECT tenant_id, agent_id, count(*) AS blocked_count,
@@ -320,3 +329,12 @@ def session_state_counts(spark, d):
 @query("tenant_rows", over_audit("SELECT decision, count(*) AS n FROM audit_log WHERE tenant_id = 't0' GROUP BY 1"))
 def tenant_rows(spark, d):
     return audit.for_tenant(t.audit_log(spark, d), "t0").groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tenant_layout", over_audit("SELECT ts::DATE AS day, decision, count(*) AS n FROM audit_log WHERE tenant_id = 't0' AND ts::DATE >= DATE '2024-01-10' GROUP BY 1, 2"))
+def tenant_layout(spark, d):
+    """One tenant's later days from a log that is laid out by tenant and day: no other file is opened."""
+    log, path = t.audit_log(spark, d), scratch_path(spark, "tenant-layout")
+    versions.write_by_tenant(log, path)
+    days = versions.read_by_tenant(spark, path, log).filter(F.col("day") >= dt.date(2024, 1, 10))
+    return audit.for_tenant(days, "t0").groupBy("day", "decision").agg(F.count(F.lit(1)).alias("n"))

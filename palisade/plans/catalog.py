@@ -11,6 +11,7 @@ from palisade.plans import (  # noqa: F401
     policy_queries,
     retrieval_queries,
     risk_queries,
+    sparse_queries,
     stream_queries,
 )
 from palisade.plans.registry import CHECK_SQL, QUERIES

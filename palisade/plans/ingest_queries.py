@@ -145,11 +145,12 @@ def export_ceiling(spark, d):
     return ex.require_at_most(log.filter("decision = 'deny'").select("id", "decision"), log.count())
 
 
-@query("manifest_check", """
+_MANIFEST = """
 SELECT 'kind=' || k || ' ' || problem AS file, n FROM (VALUES ('missing', 1), ('unlisted', 1), ('size_mismatch', 1), ('digest_mismatch', 1)) v(problem, n),
- (SELECT DISTINCT CAST(p_size % 3 AS VARCHAR) AS k FROM part)""")
-def manifest_check(spark, d):
-    """Problems of each folder of a partitioned table whose manifest was tampered with in all four ways."""
+ (SELECT DISTINCT CAST(p_size % 3 AS VARCHAR) AS k FROM part)"""
+
+
+def _tampered_folder(spark, d, max_bytes):
     path = scratch_path(spark, "export")
     part = t.load(spark, d, "part").withColumn("kind", F.col("p_size") % 3)
     # Several files in each folder, whose names are equal among the folders.
@@ -164,11 +165,23 @@ def manifest_check(spark, d):
         }
     )
     ghost = listed.filter("n = 1").withColumn("name", F.concat("folder", F.lit("/ghost.csv")))
-    found = ex.verify_manifest(spark, path, tampered.unionByName(ghost).select("name", "size", "sha256"))
+    found = ex.verify_manifest(spark, path, tampered.unionByName(ghost).select("name", "size", "sha256"), max_bytes)
     file = F.concat_ws(" ", F.element_at(F.split("name", "/"), 1), "problem")
     return found.groupBy(file.alias("file")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+@query("manifest_check", _MANIFEST)
+def manifest_check(spark, d):
+    """Problems of each folder of a partitioned table whose manifest was tampered with in all four ways."""
+    return _tampered_folder(spark, d, ex.MAX_HASHED_BYTES)
+
+
+@query("manifest_streamed", _MANIFEST)
+def manifest_streamed(spark, d):
+    """The same, every file hashed as one that is too large for a single value."""
+    return _tampered_folder(spark, d, 0)
+
+
 _CUSTOMER = ["c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"]
 
 
@@ -178,6 +191,26 @@ def frame_digest(spark, d):
     return rc.frame_digest(t.load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"))
 
 
+def _tree_sql(fan, levels):
+    """Levels of digests over digests; a level above a single node leaves it as it is."""
+    text = f"l0 AS (SELECT dg AS digest, row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey, dg) - 1 AS pos FROM {digest_sql(_ORDERED, 'orders')}), "
+    text += f"l1 AS (SELECT pos // {fan} AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM l0 GROUP BY 1)"
+    for k in range(2, levels + 1):
+        text += f", l{k} AS (SELECT pos // {fan} AS pos, CASE WHEN (SELECT count(*) FROM l{k - 1}) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM l{k - 1} GROUP BY 1)"
+    return text
+
+
+_ORDERED = ["o_orderkey", "o_custkey", "o_orderpriority"]
+
+
+@query("ordered_digest", with_ctes(f"""
+SELECT (SELECT count(*) FROM orders) AS rows, sha256('{",".join(_ORDERED)}:' || (SELECT count(*) FROM orders)::VARCHAR || ':' || digest) AS digest FROM l4""", _tree_sql(64, 4)))
+def ordered_digest(spark, d):
+    """A tree of four levels at most over the orders by priority and customer; equal places go by content."""
+    orders = t.load(spark, d, "orders").select(*_ORDERED)
+    return rc.ordered_digest(orders, [F.desc("o_orderpriority"), "o_custkey"], fan=64)
+
+
 @query("outbox_projection", over_audit("""
 SELECT tenant_id, decision, action, actor_id, event_uuid, NULL::BIGINT AS est_rows FROM (SELECT *, 'allow' AS decision FROM outbox)
 UNION ALL SELECT tenant_id, decision, NULL, NULL, event_uuid, est_rows FROM audit_log""", OUTBOX))
@@ -217,11 +250,16 @@ def _copy(spark, d):
     return changed.unionByName(customer.filter(F.col("c_custkey") % 37 == 0).withColumn("c_custkey", F.col("c_custkey") + 10_000_000_000))
 
 
+_CENTS = "(SELECT * REPLACE (CAST(c_acctbal AS DECIMAL(18, 2)) AS c_acctbal) FROM customer)"
+
+
 @query("table_digests", f"""
-SELECT 'customer' AS table_name, count(*) AS rows, {set_digest_sql()} AS digest FROM {digest_sql(['c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey'], 'customer')}""")
+SELECT 'customer' AS table_name, a.*, b.key_digest FROM (SELECT count(*) AS rows, {set_digest_sql()} AS digest FROM {digest_sql(_CUSTOMER, _CENTS)}) a,
+ (SELECT {set_digest_sql()} AS key_digest FROM {digest_sql(['c_custkey'], 'customer')}) b""")
 def table_digests(spark, d):
-    customer = t.load(spark, d, "customer").drop("c_acctbal")
-    return rc.table_digests({"customer": (customer, ["c_custkey"])}).drop("key_digest")
+    """All columns, balances to the cent, and the keys alone."""
+    customer = t.load(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    return rc.table_digests({"customer": (customer, ["c_custkey"])})
 
 
 @query("compare_tables", """

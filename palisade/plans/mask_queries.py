@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import masks as m
 from palisade.operators import redact as r
-from palisade.plans.registry import over_contact, query, with_ctes
+from palisade.plans.registry import CHECK_SQL, over_contact, query, with_ctes
+from palisade.session import scratch_path
 from palisade.sources import tables as t
 
 CELLS = f"cells AS ({t.CELLS_SQL})"
@@ -160,6 +161,14 @@ def redaction_report(spark, d):
     return r.redaction_report(t.contact(spark, d), CONTACT_RULES, KEY)
 
 
+@query("redaction_observed", CHECK_SQL["redaction_report"])
+def redaction_observed(spark, d):
+    """The report that comes with writing the redacted table."""
+    frame, report = r.redact_observed(t.contact(spark, d), CONTACT_RULES, KEY)
+    frame.write.parquet(scratch_path(spark, "redacted"))
+    return report()
+
+
 RESULT_COLUMNS = f"result_columns AS ({t.RESULT_COLUMNS_SQL})"
 _NAMED = """named AS (SELECT *, lower(trim(CASE WHEN result_name LIKE '"%"' THEN result_name[2:-2] ELSE result_name END)) AS rn,
  lower(source_column) AS sn FROM result_columns)"""

@@ -8,7 +8,9 @@ from palisade.operators import retrieval as r
 from palisade.operators import series as s
 from palisade.operators import vectors as v
 from palisade.plans.registry import over_audit, query, with_ctes
+from palisade.session import scratch_path
 from palisade.sources import tables as t
+from palisade.sources import versions
 
 _QUESTIONS = """SELECT conv_id * 1000 + turn AS question_id, concat('ds-', CAST(conv_id % 5 AS STRING)) AS datasource_id, text FROM conversations WHERE role = 'user'"""
 _TERMS = """SELECT item_id AS term_id, split_part(text, ' ', 3) AS word, concat('term ', CAST(item_id AS STRING)) AS description,
@@ -61,6 +63,20 @@ def changed_texts(spark, d):
     return r.changed_texts(texts, index, "model-1", ["schema_name", "table_name"]).select("schema_name", "table_name", "fingerprint")
 
 
+@query("index_write_back", with_ctes("""
+SELECT schema_name, table_name, sha256(encode('model-1') || from_hex('00') || encode(schema_text)) AS fingerprint, 2 AS version FROM texts""", _CATALOG, f"remarks AS ({_REMARKS})", _TEXTS))
+def index_write_back(spark, d):
+    """An index whose texts of every fourth table are stale, brought up to date; a further run finds nothing to write."""
+    texts = _schema_texts(spark, d)
+    printed = texts.select("schema_name", "table_name", r.text_fingerprint("model-1", F.col("schema_text")).alias("fingerprint"))
+    stale = F.substr("table_name", F.lit(2)).cast("int") % 4 == 0
+    root, keys = scratch_path(spark, "index"), ["schema_name", "table_name"]
+    versions.merge_version(printed.withColumn("fingerprint", F.when(stale, "old").otherwise(F.col("fingerprint"))), root, keys, "fingerprint")
+    versions.merge_version(printed, root, keys, "fingerprint")
+    version, written = versions.merge_version(printed, root, keys, "fingerprint")
+    return versions.read_version(spark, root, printed.schema).withColumn("version", F.lit(version + len(written)))
+
+
 _TABLES = """SELECT p_partkey AS table_id, concat(replace(p_name, ' ', '_'), CASE WHEN p_partkey % 3 = 0 THEN concat('_', lower(p_type)) ELSE '' END) AS name,
  CASE p_size % 4 WHEN 0 THEN concat('All ', p_brand, ' ', lower(p_type)) WHEN 1 THEN p_name ELSE '' END AS comment FROM part"""
 _FIELDS = """SELECT p_partkey AS table_id, concat('f_', split_part(p_name, ' ', 2)) AS field_name, CASE WHEN p_size % 3 = 0 THEN lower(p_type) ELSE '' END AS comment FROM part

@@ -39,22 +39,14 @@ def rate_limits(spark, d):
     return rk.rate_limits(t.from_audit(spark, d, _BURSTS), _QPS, _SLOTS).select("id", "limit_reason")
 
 
-def joined_facts(spark, d) -> DataFrame:
-    """What the rules ask for beside the signals, one row for each statement that has any of it."""
-    signals = rk.with_agents(t.query_signals(spark, d), t.agents(spark, d))
-    resolved = p.resolve_policies(t.policies(spark, d))
-    tables = p.table_access(signals, resolved).filter(F.col("verdict") != "allowed").select("id")
-    columns = p.column_access(signals, resolved).select("id")
-    refused = tables.unionByName(columns).distinct().withColumn("access_refused", F.lit(True))
-    limited = rk.rate_limits(t.from_audit(spark, d, _BURSTS), _QPS, _SLOTS).filter("limit_reason <> ''")
-    limited = limited.select("id", F.lit(True).alias("rate_limited"))
-    return rk.table_facts(signals, spark.sql(_META)).join(refused, "id", "full").join(limited, "id", "full")
+def metadata(spark) -> DataFrame:
+    return spark.sql(_META)
 
 
 def facts(spark, d) -> DataFrame:
-    """Signals with every joined fact a rule may ask for."""
-    signals = rk.with_agents(t.query_signals(spark, d), t.agents(spark, d))
-    return signals.join(joined_facts(spark, d), "id", "left")
+    """Signals with every fact a rule may ask for."""
+    limited = rk.rate_limits(t.from_audit(spark, d, _BURSTS), _QPS, _SLOTS).filter("limit_reason <> ''").select("id")
+    return rk.with_facts(t.query_signals(spark, d), t.agents(spark, d), p.resolve_policies(t.policies(spark, d)), metadata(spark), limited)
 
 
 _FACTS = f"""meta AS ({_META}), table_facts AS (SELECT u.id, bool_or(NOT coalesce(has_index, false)) AS unindexed, max(row_count) AS largest, bool_or(row_count IS NULL) AS unsized

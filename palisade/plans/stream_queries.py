@@ -12,7 +12,8 @@ from palisade.plans.risk_queries import _BURSTS, _QPS, _SLOTS
 from palisade.sources import tables as t
 from palisade.streaming import ordered as o
 from palisade.streaming import stateless as sl
-from palisade.streaming.runtime import arrivals, configure_state, replay, replay_in_order, run_available
+from palisade.session import scratch_path
+from palisade.streaming.runtime import arrivals, configure_state, follow, replay, replay_in_order, run_available, split_late
 
 # The log with a per-tenant sequence; some numbers are lost on the way.
 _SEQUENCED = "SELECT tenant_id, id, ts, event_uuid, decision, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, id) AS seq, k FROM audit_log"
@@ -52,7 +53,7 @@ def audit_stream(spark, d):
     configure_state(spark)
     arrived = _sequenced(spark, d).filter(_HOLES).select("tenant_id", "id", "ts", "seq")
     out = run_available(o.audit_stream(replay(spark, _with_flush(arrived)), cursor=100, block=500), "audit-stream")
-    return o.released(out.filter("tenant_id <> '~'"), 100, 500).select("tenant_id", "kind", "seq", "id", "gap_end")
+    return out.filter("tenant_id <> '~'").select("tenant_id", "kind", "seq", "id", "gap_end")
 
 
 @query("sequence_gaps", over_audit(_GAPS, SEQUENCED))
@@ -194,11 +195,22 @@ def redact_stream(spark, d):
     return out.select("c_custkey", "phone", "email", "card_no")
 
 
+@query("redact_reported", CHECK_SQL["redaction_report"])
+def redact_reported(spark, d):
+    """The reports of four micro-batches, added up."""
+    feed = arrivals(spark, [t.contact(spark, d).filter(F.col("c_custkey") % 4 == i) for i in range(4)])
+    _, report = sl.redact_reported(feed, CONTACT_RULES, KEY)
+    by = report.groupBy("column_name", "sensitive_type").agg(F.sum("masked_cells").alias("masked_cells"), F.sum("hash_fallbacks").alias("hash_fallbacks"), F.max("key_version").alias("key_version"))
+    return by
+
+
 @query("assess_stream", CHECK_SQL["risk_verdicts"])
 def assess_stream(spark, d):
-    """The verdicts of the whole log, all rules, with the joined facts as static sides."""
-    sides = risk_queries.joined_facts(spark, d)
-    out = run_available(sl.assess_stream(replay(spark, t.query_signals(spark, d)), t.agents(spark, d), sides), "verdicts")
+    """The verdicts of the whole log in time order, five micro-batches, with rate limits decided as requests come in."""
+    configure_state(spark)
+    signals = t.query_signals(spark, d).withColumn("latency_ms", F.col("latency_ms") * 60000)
+    feed = replay_in_order(spark, signals, rows_per_batch=max(1, -(-signals.count() // 5)), files=4)
+    out = sl.assess_stream(feed, t.agents(spark, d), t.policies(spark, d), risk_queries.metadata(spark), qps=_QPS, max_concurrent=_SLOTS)
     return out.select("id", "decision", "risk", "reason_rule", "failed_closed")
 
 
@@ -215,3 +227,27 @@ def late_events(spark, d):
     out = run_available(o.flag_late(arrivals(spark, parts), 600.0, salts=4), "late")
     stamp = F.col("ts").cast("timestamp_ntz")
     return out.groupBy("tenant_id", "late").agg(F.count(F.lit(1)).alias("n"), F.min(stamp).alias("since"), F.max(stamp).alias("until"))
+
+
+@query("split_late", CHECK_SQL["late_events"])
+def split_late_rows(spark, d):
+    """On-time and late rows of the same three arrivals, split by the query's own watermark."""
+    log = t.audit_log(spark, d).select("id", "tenant_id", "ts")
+    conditions = (_FRESH, _OLD, f"NOT ({_FRESH}) AND NOT ({_OLD})")
+    parts = [log.filter(c.replace("TIMESTAMP", "TIMESTAMP_NTZ")) for c in conditions]
+    on_time, late = split_late(arrivals(spark, parts), "ts", "10 minutes")
+    out = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    stamp = F.col("ts").cast("timestamp_ntz")
+    return out.groupBy("tenant_id", "late").agg(F.count(F.lit(1)).alias("n"), F.min(stamp).alias("since"), F.max(stamp).alias("until"))
+
+
+@query("attempts_on_time", CHECK_SQL["attempt_limits"].replace("AS n FROM tries)", f"AS n FROM tries WHERE {_FRESH})"))
+def attempts_on_time(spark, d):
+    """Attempt budgets of the on-time rows alone: the stream follows the split one and drops none of its rows."""
+    configure_state(spark)
+    tries = t.from_audit(spark, d, _TRIES)
+    conditions = (_FRESH, _OLD, f"NOT ({_FRESH}) AND NOT ({_OLD})")
+    folder = scratch_path(spark, "on-time")
+    on_time, _ = split_late(arrivals(spark, [tries.filter(c.replace("TIMESTAMP", "TIMESTAMP_NTZ")) for c in conditions]), "ts", "10 minutes", folder)
+    fed = follow(spark, f"{folder}/on_time", on_time)
+    return run_available(o.attempt_limit(fed, "user_name", 3, 7200.0), "on-time-attempts").select("id", "allowed")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +15,8 @@ from pyspark.sql import types as T
 # Fixed value: characters that make a spreadsheet treat a cell as a formula, full-width forms included.
 _FORMULA = "(?U)^\\s*[\\t\\r\\n=+\\-@＝＋－＠]"
 MAX_ROWS_PER_FILE = 1_000_000
-MAX_HASHED_BYTES = 1 << 30
+MAX_HASHED_BYTES = 256 << 20
+BUFFER_BYTES = 8 << 20
 
 
 class ExportLimit(Exception):
@@ -62,28 +67,46 @@ def _qualified(spark: SparkSession, folder: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+def _digest_of_streams(files: DataFrame) -> DataFrame:
+    """path and SHA-256 of files of any size: each is read through a buffer by one task."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                # A local path comes with one slash only.
+                store, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                found = hashlib.sha256()
+                with store.open_input_stream(name, compression=None) as stream:
+                    while data := stream.read(BUFFER_BYTES):
+                        found.update(data)
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "sha256": pa.array([found.hexdigest()])})
+
+    return files.select("path").repartition("path").mapInArrow(digest, "path string, sha256 string")
+
+
 def build_manifest(spark: SparkSession, folder: str, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
     """Path within the folder, size and SHA-256 of each data file, hashed where the files are read.
 
-    A file is hashed in memory, so one of more than `max_bytes` has no digest; verify_manifest reports it.
+    Spark reads a file of up to `max_bytes` as one value; a larger one is streamed through a buffer of a few megabytes, from
+    a store that the tasks can open by its address (local or shared folders, object stores, Hadoop).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.substring("path", len(_qualified(spark, folder)) + 2, 10_000).alias("name")
-    # The size filters are pushed down: the content of a larger file is never read.
+    # The size filters are pushed down: the content of a larger file is never read as a value.
     small = files.filter(F.col("length") <= max_bytes).select(name, F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > max_bytes).select(name, F.col("length").alias("size"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large).filter(~F.col("name").rlike("(^|/)[_.]"))
+    large = files.filter(F.col("length") > max_bytes).select("path", name, F.col("length").alias("size"))
+    streamed = large.join(_digest_of_streams(large), "path").select("name", "size", "sha256")
+    return small.unionByName(streamed).filter(~F.col("name").rlike("(^|/)[_.]"))
 
 
-def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Files that are missing, unlisted, of another size, too large to hash, or changed; no row when all is well."""
-    found = build_manifest(spark, folder).select("name", F.struct("size", "sha256").alias("f"))
+def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
+    """Files that are missing, unlisted, of another size, or changed; no row when all is well."""
+    found = build_manifest(spark, folder, max_bytes).select("name", F.struct("size", "sha256").alias("f"))
     listed = manifest.select("name", F.struct("size", "sha256").alias("m"))
     problem = (
         F.when(F.col("f").isNull(), "missing")
         .when(F.col("m").isNull(), "unlisted")
         .when(F.col("f.size") != F.col("m.size"), "size_mismatch")
-        .when(F.col("f.sha256").isNull(), "not_hashed")
         .when(~F.col("f.sha256").eqNullSafe(F.col("m.sha256")), "digest_mismatch")
     )
     return listed.join(found, "name", "full_outer").select("name", problem.alias("problem")).filter(F.col("problem").isNotNull())

@@ -9,14 +9,14 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold
-from palisade.functions.segments import previous, running, time_slice
-from palisade.operators.risk import DEFAULTS, TokenBucket
+from palisade.functions.segments import join_same, previous, time_slice
+from palisade.operators.risk import DEFAULTS, TokenBucket, limit_rows
 
 SEQ_BLOCK = 10_000
 _TEXT = T.StructType([T.StructField("value", T.StringType())])
@@ -98,11 +98,23 @@ STREAM_SCHEMA = T.StructType(
 )
 
 
+_HELD = T.StructType([T.StructField("id", T.LongType()), T.StructField("at_ms", T.LongType())])
 _NUMBER = T.StructType([T.StructField("n", T.LongType())])
+# What a block step hands over: events and gaps of its own, and notices about the block for the tenant's step.
+_STEP_SCHEMA = T.StructType(
+    [*STREAM_SCHEMA.fields, T.StructField("lane", T.LongType()), T.StructField("version", T.LongType()), T.StructField("at", T.TimestampType())]
+)
+_NOTICES = -1
+KEEP_MS = 7 * 86_400_000
 
 
 class _OrderedBlock(StatefulProcessor):
-    """Releases one block of a tenant's sequence in order; numbers that stay away before a later one become gap rows."""
+    """Releases one block of a tenant's sequence in order; numbers that stay away before a later one become gap rows.
+
+    A hole at the block's start belongs to a range that may begin in an earlier block, so it is left to the tenant's
+    step, which is told when the block opens (events that may still have to wait) and when it closes: the first number given
+    out and the next one expected.
+    """
 
     def __init__(self, block: int, cursor: int):
         self.block, self.cursor = block, cursor
@@ -110,16 +122,21 @@ class _OrderedBlock(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, _JsonState(handle)
         # Events that wait for an earlier number: a map, so a batch touches only its own entries.
-        self.held = handle.getMapState("held", _NUMBER, _NUMBER)
-
-    def _open(self, key) -> dict:
-        return self.state.read() or {"next": max(int(key[1]) * self.block, self.cursor + 1), "timer": None, "latest": 0}
-
-    def _rows(self, tenant, events, gaps) -> pd.DataFrame:
-        rows = [(tenant, seq, row_id, "event", None) for seq, row_id in events]
-        rows += [(tenant, begin, None, "gap", end) for begin, end in gaps]
-        out = pd.DataFrame(rows, columns=STREAM_SCHEMA.fieldNames())
-        return out.astype({"seq": "Int64", "id": "Int64", "gap_end": "Int64"})
+        self.held = handle.getMapState("held", _NUMBER, _HELD)
+
+    def _read(self, key) -> dict:
+        fresh = {"next": max(int(key[1]) * self.block, self.cursor + 1), "first": None, "open": False, "version": 0, "latest": 0, "timer": None, "retire": None}
+        return self.state.read() or fresh
+
+    def _rows(self, key, timerValues, state: dict, events, gaps, notices) -> pd.DataFrame:
+        tenant, lane = key[0], int(key[1])
+        rows = [(tenant, seq, row_id, "event", None, lane, 0) for seq, row_id in events]
+        rows += [(tenant, begin, None, "gap", end, lane, 0) for begin, end in gaps]
+        rows += [(tenant, lane, first, kind, upto, _NOTICES, version) for kind, first, upto, version in notices]
+        out = pd.DataFrame(rows, columns=_STEP_SCHEMA.fieldNames()[:-1])
+        # What a step gives out must not be older than the watermark.
+        out["at"] = pd.Timestamp(max(state["latest"], timerValues.getCurrentWatermarkInMs() + 1), unit="ms")
+        return out.astype({c: "Int64" for c in ("seq", "id", "gap_end", "lane", "version")})
 
     def _drain(self, state: dict) -> list[tuple[int, int]]:
         events = []
@@ -127,87 +144,133 @@ class _OrderedBlock(StatefulProcessor):
             events.append((state["next"], self.held.getValue((state["next"],))[0]))
             self.held.removeKey((state["next"],))
             state["next"] += 1
+        if events and state["first"] is None:
+            state["first"] = events[0][0]
         return events
 
-    def _wait(self, state: dict, timerValues) -> None:
+    def _notice(self, state: dict, kind: str) -> tuple:
+        state["open"], state["version"] = kind == "open", state["version"] + 1
+        return kind, state["first"], state["next"], state["version"]
+
+    def _settle(self, key, state: dict, waiting: list, notices: list, now: int) -> None:
+        """Timers for what still waits, or the end of the block."""
+        whole = state["next"] >= (int(key[1]) + 1) * self.block
+        if not waiting and state["open"] and (whole or state["latest"] <= now):
+            notices.append(self._notice(state, "closed"))
         # The watermark trails the newest event by the waiting time, so it passes this point only after that long.
-        if state["timer"] is None:
-            state["timer"] = max(state["latest"], timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(state["timer"])
+        target = min(waiting) if waiting else state["latest"]
+        if target > now and (state["timer"] is None or target < state["timer"] or state["timer"] <= now):
+            state["timer"] = target
+            self.handle.registerTimer(target)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self._open(key)
+        state, notices, now = self._read(key), [], timerValues.getCurrentWatermarkInMs()
         for batch in rows:
             state["latest"] = max(state["latest"], int(batch["at_ms"].max()))
-            for seq, row_id in zip(batch["seq"].tolist(), batch["id"].tolist()):
+            for seq, row_id, at in zip(batch["seq"].tolist(), batch["id"].tolist(), batch["at_ms"].tolist()):
                 if seq >= state["next"] and not self.held.containsKey((seq,)):
-                    self.held.updateValue((seq,), (row_id,))
+                    self.held.updateValue((seq,), (row_id, max(int(at), now + 1)))
+        if not state["open"]:
+            notices.append(self._notice(state, "open"))
         events = self._drain(state)
-        # Also a block in which nothing waits gets a timer: it ends the block's state.
-        self._wait(state, timerValues)
+        self._settle(key, state, [v[1] for v in self.held.values()], notices, now)
         self.state.write(state)
-        if events:
-            yield self._rows(key[0], events, [])
+        yield self._rows(key, timerValues, state, events, [], notices)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self._open(key)
-        events, gaps = [], []
-        for upcoming in sorted(k[0] for k in self.held.keys()):
-            if upcoming >= state["next"]:
+        state, now, fired = self._read(key), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        if state["timer"] is None or (fired not in (state["timer"], state["retire"])):
+            return
+        events, gaps, notices = [], [], []
+        for upcoming, (_, at) in sorted((k[0], v) for k, v in self.held.iterator()):
+            if upcoming < state["next"]:
+                continue
+            if at > now:
+                break
+            if state["first"] is not None:
                 gaps.append((state["next"], upcoming - 1))
-                state["next"] = upcoming
-                events += self._drain(state)
-        state["timer"] = None
-        if state["next"] >= (int(key[1]) + 1) * self.block and state["latest"] <= timerValues.getCurrentWatermarkInMs():
-            # The block is whole, and copies of its events are behind the watermark, which drops them.
-            self.state.clear()
-            self.held.clear()
+            state["next"] = upcoming
+            events += self._drain(state)
+        waiting = [v[1] for v in self.held.values()]
+        self._settle(key, state, waiting, notices, now)
+        if not waiting and state["latest"] <= now:
+            whole = state["next"] >= (int(key[1]) + 1) * self.block
+            if whole or (state["retire"] is not None and state["retire"] <= now):
+                # Copies of its events are behind the watermark, which drops them; the tenant's step knows how far it came.
+                self.state.clear()
+                self.held.clear()
+            elif state["retire"] is None or state["retire"] < state["latest"] + KEEP_MS:
+                state["retire"] = state["latest"] + KEEP_MS
+                self.handle.registerTimer(state["retire"])
+                self.state.write(state)
         else:
             self.state.write(state)
-        if events or gaps:
-            yield self._rows(key[0], events, gaps)
+        if events or gaps or notices:
+            yield self._rows(key, timerValues, state, events, gaps, notices)
+
+    def close(self) -> None:
+        pass
+
+
+class _TenantGaps(StatefulProcessor):
+    """The ranges between a tenant's blocks, from one notice for each block that opens or closes; all else passes through.
+
+    Blocks are taken in order up to the first that is open. What lies between the number reached so far and the first
+    one of a closed block is missing: one range, however many blocks are empty.
+    """
+
+    def __init__(self, cursor: int):
+        self.cursor = cursor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.reached = handle.getValueState("reached", _NUMBER)
+        self.blocks = handle.getMapState("blocks", _NUMBER, _TEXT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = STREAM_SCHEMA.fieldNames()
+        if int(key[1]) != _NOTICES:
+            for batch in rows:
+                yield batch[names]
+            return
+        for batch in rows:
+            for block, kind, first, upto, version in zip(*[batch[c] for c in ("seq", "kind", "id", "gap_end", "version")]):
+                known = json.loads(self.blocks.getValue((int(block),))[0]) if self.blocks.containsKey((int(block),)) else None
+                if known is None or known["version"] < version:
+                    told = {"version": int(version), "open": kind == "open", "first": None if pd.isna(first) else int(first), "next": int(upto)}
+                    self.blocks.updateValue((int(block),), (json.dumps(told),))
+        reached, gaps = self.reached.get()[0] if self.reached.exists() else self.cursor + 1, []
+        for block in sorted(k[0] for k in self.blocks.keys()):
+            told = json.loads(self.blocks.getValue((block,))[0])
+            if told["open"]:
+                break
+            if told["first"] is not None and told["first"] > reached:
+                gaps.append((key[0], reached, None, "gap", told["first"] - 1))
+            reached = max(reached, told["next"])
+            self.blocks.removeKey((block,))
+        self.reached.update((reached,))
+        if gaps:
+            yield pd.DataFrame(gaps, columns=names).astype({c: "Int64" for c in ("seq", "id", "gap_end")})
 
     def close(self) -> None:
         pass
 
 
 def audit_stream(stream: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, wait: str = "10 minutes") -> DataFrame:
-    """A tenant's events after a cursor in sequence order, and gap rows for numbers that stay away.
+    """A tenant's events after a cursor in sequence order, and every missing range once and in whole (kind gap, seq to gap_end).
 
     `stream`: tenant_id, seq, id, ts. Each tenant is cut into blocks of sequence numbers, so a busy tenant spreads
-    over all tasks. A block reports the numbers missing between its start and its last event; what is missing
-    from there to the tenant's next event, in particular whole blocks, shows in `released` over the output.
+    over all tasks; a block reports holes between its own events. One notice for each block that opens or closes goes on to
+    a second step per tenant, which reports what is missing between blocks, whole empty ones included. A number counts
+    as missing once a later one has waited for `wait`. Nothing is known about numbers behind a tenant's last event.
     """
     after = stream.filter(F.col("seq") > cursor).select("tenant_id", "seq", "id", F.col("ts").cast("timestamp").alias("ts"))
     sent = after.withWatermark("ts", wait).select(
         "tenant_id", F.floor(F.col("seq") / block).alias("block"), "seq", "id", F.unix_millis("ts").alias("at_ms"), "ts"
     )
-    return sent.groupBy("tenant_id", "block").transformWithStateInPandas(
-        _OrderedBlock(block, cursor), STREAM_SCHEMA, "Append", "EventTime"
+    steps = sent.groupBy("tenant_id", "block").transformWithStateInPandas(
+        _OrderedBlock(block, cursor), _STEP_SCHEMA, "Append", "EventTime", eventTimeColumnName="at"
     )
-
-
-def released(out: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK) -> DataFrame:
-    """The written output of `audit_stream` with every missing range once and in whole (kind gap, seq to gap_end).
-
-    One row per tenant and block is compared with the next block that holds anything, so empty blocks in between,
-    however many, are one range; ranges that meet at a block's border are joined.
-    """
-    upto = F.coalesce("gap_end", "seq")
-    blocks = out.groupBy("tenant_id", F.floor(F.col("seq") / block).alias("block")).agg((F.max(upto) + 1).alias("next"))
-    # Slices of 1,000 blocks, so that a long sequence is not one task's.
-    stepped = previous(blocks, ["tenant_id"], ["block"], F.floor(F.col("block") / 1000), ["next"])
-    begin = F.coalesce("prev_next", F.lit(cursor + 1))
-    between = stepped.filter(begin < F.col("block") * block).select(
-        "tenant_id", begin.alias("seq"), (F.col("block") * block - 1).alias("gap_end")
-    )
-    gaps = out.filter(F.col("kind") == "gap").select("tenant_id", "seq", "gap_end").unionByName(between)
-    linked = previous(gaps, ["tenant_id"], ["seq"], F.floor(F.col("seq") / (block * 1000)), ["gap_end"])
-    starts = F.when(F.coalesce(F.col("prev_gap_end") + 1 < F.col("seq"), F.lit(True)), 1).otherwise(0)
-    islands = running(linked, ["tenant_id"], ["seq"], F.floor(F.col("seq") / (block * 1000)), starts, "island")
-    whole = islands.groupBy("tenant_id", "island").agg(F.min("seq").alias("seq"), F.max("gap_end").alias("gap_end"))
-    joined = whole.select("tenant_id", "seq", F.lit(None).cast("long").alias("id"), F.lit("gap").alias("kind"), "gap_end")
-    return out.filter(F.col("kind") == "event").unionByName(joined)
+    return steps.groupBy("tenant_id", "lane").transformWithStateInPandas(_TenantGaps(cursor), STREAM_SCHEMA, "Append", "EventTime")
 
 
 def sequence_gaps(df: DataFrame, cursor: int = 0, block: int = SEQ_BLOCK, latest: DataFrame | None = None) -> DataFrame:
@@ -234,15 +297,15 @@ def stream_after(df: DataFrame, cursor: int, limit: int = 1000, latest: DataFram
     """
     page = df.filter((F.col("seq") > cursor) & (F.col("seq") <= cursor + limit))
     stop = sequence_gaps(page, cursor).groupBy("tenant_id").agg(F.min("seq").alias("stop"))
-    found = page.join(stop, "tenant_id", "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
+    found = join_same(page, stop, ["tenant_id"], "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
     if latest is None:
         return found
     reached = found.groupBy("tenant_id").agg(F.max("seq").alias("__upto"))
     tail = latest.select("tenant_id", F.col("seq").alias("__tail")).filter(F.col("__tail") > cursor)
-    checked = tail.join(reached, "tenant_id", "left").select(
+    checked = join_same(tail, reached, ["tenant_id"], "left").select(
         "tenant_id", (F.coalesce("__upto", F.lit(cursor)) >= F.least("__tail", F.lit(cursor + limit))).alias("consistent")
     )
-    return checked.join(found, "tenant_id", "left").select(*found.columns, "consistent")
+    return join_same(checked, found, ["tenant_id"], "left").select(*found.columns, "consistent")
 
 
 LIMIT_SCHEMA = T.StructType(
@@ -256,39 +319,65 @@ LIMIT_SCHEMA = T.StructType(
 
 
 class _TokenBuckets(StatefulProcessor):
-    def __init__(self, qps: float, max_concurrent: int, sort_rows: int):
-        self.qps, self.max_concurrent, self.sort_rows = qps, max_concurrent, sort_rows
+    """One agent's bucket. With `idle` its state ends, by event time, once the bucket is as a new one."""
+
+    def __init__(self, qps: float, max_concurrent: int, sort_rows: int, columns: list[str], idle: bool):
+        self.qps, self.max_concurrent, self.sort_rows, self.columns, self.idle = qps, max_concurrent, sort_rows, columns, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = _JsonState(handle)
+        self.handle, self.state = handle, _JsonState(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bucket = TokenBucket(self.qps, self.max_concurrent, self.state.read())
         for batch in _in_order(rows, self.sort_rows):
             reasons = []
-            for at, ms in zip(batch["at_s"], batch["latency_ms"]):
+            for at, ms, qps, most in zip(batch["at_s"], batch["latency_ms"], batch["qps"], batch["max_concurrent"]):
                 late = bucket.last is not None and at < bucket.last
-                reasons.append("late" if late else bucket.offer(at, ms / 1000.0))
-            out = batch[["tenant_id", "agent_id", "id"]].copy()
+                reasons.append("late" if late else bucket.offer(at, ms / 1000.0, qps, most))
+            out = batch[self.columns].copy()
             out["limit_reason"] = reasons
             yield out
         self.state.write(bucket.state())
+        if self.idle:
+            self._wait(bucket, timerValues)
+
+    def _wait(self, bucket: TokenBucket, timerValues) -> None:
+        full = bucket.full_at()
+        if full is not None and full != float("inf"):
+            self.handle.registerTimer(max(int(full * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.state.read()
+        if state:
+            full = TokenBucket(self.qps, self.max_concurrent, state).full_at()
+            # A timer of an earlier, shorter wait finds the bucket still in use; its own later timer is set.
+            if full is not None and full * 1000 < timerValues.getCurrentWatermarkInMs():
+                self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def rate_limit(
-    stream: DataFrame, qps: float = DEFAULTS["qps_per_agent"], max_concurrent: int = DEFAULTS["max_conns_per_datasource"], sort_rows: int = SORT_ROWS
-) -> DataFrame:
+    stream: DataFrame, qps: float = DEFAULTS["qps_per_agent"], max_concurrent: int = DEFAULTS["max_conns_per_datasource"], sort_rows: int = SORT_ROWS,
+    delay: str | None = None, carried: Column | None = None,
+) -> DataFrame:
     """Live token bucket per agent in event-time order; a row behind its bucket's clock is marked late.
 
+    Where the stream has a `config` (see risk.resolve_config), the thresholds of rule R008 in it hold for the row. With
+    `delay` rows further behind the newest event are left to `runtime.split_late`, and a bucket that has refilled and
+    freed its slots is forgotten, which changes no result. `carried` is a text that goes along in place of the id.
     The batch twin is `operators.risk.rate_limits`.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
-    slim = stream.select("tenant_id", "agent_id", "id", at.alias("at_s"), F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"))
+    if delay is not None:
+        stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    columns = ["tenant_id", "agent_id", "id"] if carried is None else ["carried"]
+    schema = LIMIT_SCHEMA if carried is None else T.StructType([T.StructField("carried", T.StringType()), LIMIT_SCHEMA["limit_reason"]])
+    slim = limit_rows(stream, qps, max_concurrent, *([] if carried is None else [carried.alias("carried")]))
+    slim = slim if delay is not None else slim.drop("ts")
     return slim.groupBy("tenant_id", "agent_id").transformWithStateInPandas(
-        _TokenBuckets(qps, max_concurrent, sort_rows), LIMIT_SCHEMA, "Append", "None"
+        _TokenBuckets(qps, max_concurrent, sort_rows, columns, delay is not None), schema, "Append", "None" if delay is None else "EventTime"
     )
 
 
@@ -305,10 +394,13 @@ ATTEMPT_SCHEMA = T.StructType(
 
 
 def _attempts(times: list[float], state: dict | None, limit: int, window_s: float) -> tuple[list[bool], dict]:
-    """A window starts at its first attempt; refused attempts do not extend it."""
+    """A window starts at its first attempt; refused attempts do not extend it. One without a time is refused."""
     started, count = (state["started"], state["count"]) if state else (None, 0)
     allowed = []
     for at in times:
+        if at != at:
+            allowed.append(False)
+            continue
         if started is None or at - started >= window_s:
             started, count = at, 0
         ok = count < limit
@@ -333,11 +425,12 @@ class _AttemptWindows(StatefulProcessor):
             yield out
         self.state.write(state)
         # The state is of no use once its window has passed in event time.
-        self.handle.registerTimer(int((state["started"] + self.window_s) * 1000))
+        if state["started"] is not None:
+            self.handle.registerTimer(int((state["started"] + self.window_s) * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.state.read()
-        if state and (state["started"] + self.window_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+        if state and state["started"] is not None and (state["started"] + self.window_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
         return iter(())
 
@@ -356,7 +449,10 @@ def _attempt_rows(df: DataFrame, user: str) -> DataFrame:
 def attempt_limit(
     stream: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, delay: str = "10 minutes", sort_rows: int = SORT_ROWS
 ) -> DataFrame:
-    """Live attempt budget per tenant and user, in windows that start at the first attempt."""
+    """Live attempt budget per tenant and user, in windows that start at the first attempt.
+
+    Rows further behind the newest one than `delay` are dropped; `runtime.split_late` before it keeps them apart.
+    """
     rows = _attempt_rows(stream, user).withWatermark("ts", delay)
     return rows.groupBy("tenant_key", "user_key").transformWithStateInPandas(
         _AttemptWindows(limit, window_s, sort_rows), ATTEMPT_SCHEMA, "Append", "EventTime"
@@ -396,14 +492,19 @@ def retry_delay(attempts: int) -> int:
 
 
 class DeliveryCursor:
-    """Delivery state of one channel: claims lease the next number to one worker, its ack moves exactly one."""
+    """Delivery state of one channel: claims lease the next number to one worker, its ack moves exactly one.
+
+    An action without a time, or one that needs a number and has none, is not applied.
+    """
 
     def __init__(self, state: dict | None, max_failures: int, lease_s: float):
         fresh = {"last_seq": 0, "failures": 0, "dead": False, "retry_after": 0.0, "lease_until": 0.0, "token": ""}
         self.s, self.max_failures, self.lease_s = {**fresh, **(state or {})}, max_failures, lease_s
 
-    def apply(self, action: str, seq: int, at: float, token: str) -> bool:
+    def apply(self, action: str, seq: float, at: float, token: str) -> bool:
         s = self.s
+        if at != at:
+            return False
         leased = s["lease_until"] > at
         # Only the worker that holds the lease may end it: its token was set by its own claim.
         owned = leased and token != "" and token == s["token"]
@@ -414,7 +515,7 @@ class DeliveryCursor:
         elif action == "ack":
             ok = owned and seq == s["last_seq"] + 1
             if ok:
-                s.update(last_seq=seq, failures=0, retry_after=0.0, lease_until=0.0, token="")
+                s.update(last_seq=int(seq), failures=0, retry_after=0.0, lease_until=0.0, token="")
         elif action == "release":
             ok = owned
             if ok:
@@ -439,7 +540,7 @@ def _deliver(rows: pd.DataFrame, state: dict | None, max_failures: int, lease_s:
     for tenant, channel, row_id, action, seq, at, token in zip(
         rows["tenant_id"], rows["channel_id"], rows["id"], rows["action"], rows["seq"], rows["at_s"], rows["token"]
     ):
-        applied = cursor.apply(action, int(seq), float(at), token)
+        applied = cursor.apply(action, seq, float(at), token)
         s = cursor.s
         out.append((tenant, channel, row_id, applied, s["last_seq"], s["failures"], s["dead"], s["retry_after"]))
     return pd.DataFrame(out, columns=DELIVERY_SCHEMA.fieldNames()), cursor.s
@@ -537,7 +638,7 @@ def recent_stream(stream: DataFrame, n: int = HISTORY, salts: int = SALTS) -> Da
 def recent_of(rings: DataFrame, n: int = HISTORY) -> DataFrame:
     """The tenant's last n events from the newest version of each of its rings."""
     newest = rings.groupBy("tenant_id", "salt").agg(F.max("version").alias("version"))
-    return recent(rings.join(newest, ["tenant_id", "salt", "version"]).select("tenant_id", "seq", "id"), n)
+    return recent(join_same(rings, newest, ["tenant_id", "salt", "version"]).select("tenant_id", "seq", "id"), n)
 
 
 def recent(df: DataFrame, n: int = HISTORY) -> DataFrame:

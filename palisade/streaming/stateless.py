@@ -6,14 +6,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions.masks import HashKey
 from palisade.operators.audit import REQUEST_BUCKETS, is_intent
-from palisade.operators.redact import MaskRule, redact
-from palisade.operators.risk import assess, with_agents
+from palisade.operators.redact import MaskRule, redact, redact_observed
+from palisade.operators.policy import resolve_policies
+from palisade.operators.risk import DEFAULTS, assess, with_facts
+from palisade.session import materialize
+from palisade.streaming.ordered import rate_limit
+from palisade.streaming.runtime import run_batches
 
 # Fixed value: decisions a channel gets when it names none.
 DEFAULT_DECISIONS = ("deny", "error")
+# Texts of rows that travel through a state keep all digits of their times.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def dedupe_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -64,11 +71,36 @@ def redact_stream(stream: DataFrame, rules: Sequence[MaskRule], key: HashKey | N
     return redact(stream, rules, key)
 
 
-def assess_stream(stream: DataFrame, agents: DataFrame, facts: DataFrame | None = None, config: DataFrame | None = None) -> DataFrame:
-    """Live verdicts; agents, table facts by statement id and configuration are static sides."""
-    joined = with_agents(stream, agents)
-    if facts is not None:
-        joined = joined.join(facts, "id", "left")
+def redact_reported(stream: DataFrame, rules: Sequence[MaskRule], key: HashKey | None = None) -> tuple[DataFrame, DataFrame]:
+    """The redacted stream and a report of each micro-batch (see redact_observed) with its number, as written tables."""
+
+    def each(batch: DataFrame, number: int) -> dict:
+        frame, report = redact_observed(batch, rules, key)
+        return {"redacted": frame, "report": lambda: report().withColumn("batch_no", F.lit(number).cast("long"))}
+
+    out = run_batches(stream, "redacted", each)
+    return out["redacted"], out["report"]
+
+
+def assess_stream(
+    stream: DataFrame, agents: DataFrame, policies: DataFrame, metadata: DataFrame, config: DataFrame | None = None,
+    qps: float = DEFAULTS["qps_per_agent"], max_concurrent: int = DEFAULTS["max_conns_per_datasource"], delay: str | None = None,
+) -> DataFrame:
+    """Live verdicts of all rules over a stream of signals (with ts and latency_ms), as a written table.
+
+    Each request passes its agent's token bucket first, with the thresholds that `config` (see risk.resolve_config) sets
+    for it, and goes on to the verdict as a whole row, so nothing is known of it but agents, policies, table metadata
+    and configuration. The bucket's state is kept between micro-batches (see ordered.rate_limit); access, table facts and
+    verdict are worked out for one micro-batch at a time, by the functions of the batch form.
+    """
     if config is not None:
-        joined = joined.join(config, ["agent_id", "datasource_id"], "left")
-    return assess(joined)
+        stream = stream.join(config, ["agent_id", "datasource_id"], "left")
+    shape = T.StructType([f for f in stream.schema.fields if f.name != "rate_limited"])
+    limited = rate_limit(stream, qps, max_concurrent, delay=delay, carried=F.to_json(F.struct(*shape.fieldNames()), TIMES))
+    resolved = materialize(resolve_policies(policies), "resolved-policies")
+
+    def judge(batch: DataFrame, number: int) -> dict[str, DataFrame]:
+        requests = batch.select(F.from_json("carried", shape, TIMES).alias("r"), (F.col("limit_reason") != "").alias("rate_limited"))
+        return {"verdicts": assess(with_facts(requests.select("r.*", "rate_limited"), agents, resolved, metadata))}
+
+    return run_batches(limited, "assess", judge)["verdicts"]

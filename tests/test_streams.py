@@ -46,7 +46,7 @@ def test_ordered_stream_waits_then_reports_gaps(spark):
         events(spark, [101], tenant="~", minute=120),
     ])
     out = run_available(o.audit_stream(feed, block=10), "ordered").filter("tenant_id = 't0'")
-    got = rows(o.released(out, block=10).select("kind", "seq", "gap_end"))
+    got = rows(out.select("kind", "seq", "gap_end"))
     assert [s for k, s, _ in got if k == "event"] == [1, 12, 2, 22, 3, 4, 5, 7, 8]
     assert [(s, e) for k, s, e in got if k == "gap"] == [(13, 21), (6, 6), (9, 11)]
 
@@ -60,9 +60,8 @@ def test_ordered_stream_reports_empty_blocks_and_a_cursor_in_a_gap(spark):
         events(spark, [1001], tenant="~", minute=120),
     ])
     out = run_available(o.audit_stream(feed, cursor=6, block=10), "empty-blocks").filter("tenant_id = 't0'")
-    got = o.released(out, cursor=6, block=10)
-    assert rows(got.filter("kind = 'gap'").select("seq", "gap_end")) == [(19, 60), (63, 94), (7, 17)]
-    assert rows(got.filter("kind = 'event'").select("seq")) == [(18,), (61,), (62,), (95,)]
+    assert rows(out.filter("kind = 'gap'").select("seq", "gap_end")) == [(19, 60), (63, 94), (7, 17)]
+    assert rows(out.filter("kind = 'event'").select("seq")) == [(18,), (61,), (62,), (95,)]
 
 
 def test_a_page_says_whether_the_tail_is_missing(spark):
@@ -208,3 +207,132 @@ def test_foreach_batch_sink_is_idempotent(spark):
     write(frame, 0)
     write(frame, 1)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_gaps_between_blocks_show_while_the_stream_runs(spark):
+    """Three empty blocks appear as one range once the wait is over, in the batch whose watermark ends it, not at the end."""
+    frames = [
+        events(spark, [1, 2, 3], minute=0),
+        events(spark, [51, 52], minute=1),
+        events(spark, [900], tenant="~", minute=20),
+        events(spark, [901], tenant="~", minute=21),
+        events(spark, [53, 54, 55, 56, 57, 58, 59, 60], minute=22),
+        events(spark, [902], tenant="~", minute=60),
+        events(spark, [903], tenant="~", minute=61),
+    ]
+    out = runtime.run_batches(o.audit_stream(batches(spark, frames), block=10), "live-gaps", lambda b, n: {"rows": b.withColumn("number", F.lit(n))})["rows"]
+    own = out.filter("tenant_id = 't0'")
+    gaps = rows(own.filter("kind = 'gap'").select("seq", "gap_end", "number"))
+    assert [(a, b) for a, b, _ in gaps] == [(4, 50)] and gaps[0][2] <= 4
+    assert [r.seq for r in own.filter("kind = 'event'").orderBy("seq").collect()] == [1, 2, 3, *range(51, 61)]
+    late_number = own.filter("seq = 60").first()["number"]
+    assert gaps[0][2] < late_number  # before the block's later events had even come
+
+
+def test_closed_blocks_leave_no_state(spark):
+    frames = [events(spark, range(1, 40)), events(spark, [45], minute=1), events(spark, [500], tenant="~", minute=60), events(spark, [501], tenant="~", minute=90)]
+    stream, checkpoint = o.audit_stream(batches(spark, frames), block=10), scratch_path(spark, "closed-checkpoint")
+    query = stream.writeStream.format("parquet").option("path", scratch_path(spark, "closed")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = {}
+    for number in (0, 1):  # which of the two steps has which number is Spark's choice
+        for name in ("state", "reached"):
+            reader = spark.read.format("statestore").option("path", checkpoint).option("operatorId", number).option("stateVarName", name)
+            try:
+                held[name] = [tuple(r["key"]) for r in reader.load().select("key").collect()]
+            except Exception as problem:  # noqa: BLE001
+                assert "variable" in str(problem).lower()
+    # Blocks 0 to 3 are whole and quiet: only the unfinished one is left; the tenant's step keeps one number.
+    assert ("t0", 4) in held["state"] and not any(("t0", b) in held["state"] for b in range(4))
+    assert ("t0", -1) in held["reached"]
+
+
+def test_live_verdicts_equal_the_batch(spark, sf_dir):
+    """At least five micro-batches, rate limits as requests come in, thresholds of some agents set by configuration."""
+    from palisade.operators.policy import resolve_policies
+    from palisade.plans import risk_queries
+
+    signals = t.query_signals(spark, sf_dir).withColumn("latency_ms", F.col("latency_ms") * 60000)
+    agents, policies, metadata = t.agents(spark, sf_dir), t.policies(spark, sf_dir), risk_queries.metadata(spark)
+    layers = spark.createDataFrame([("agent", "agent-3", "R008", True, False, {"qps_per_agent": 0.01}), ("agent", "agent-4", "R008", False, False, {})],
+                                   "layer string, scope_id string, rule_id string, enabled boolean, explicit_deny boolean, thresholds map<string,double>")
+    config = rk.resolve_config(signals, layers)
+    known = signals.join(config, ["agent_id", "datasource_id"], "left")
+    limited = rk.rate_limits(known, 0.0005, 2).filter("limit_reason <> ''").select("id")
+    expected = rk.assess(rk.with_facts(known, agents, resolve_policies(policies), metadata, limited))
+    feed = replay_in_order(spark, signals, rows_per_batch=-(-signals.count() // 5), files=2)
+    got = sl.assess_stream(feed, agents, policies, metadata, config, 0.0005, 2)
+    shown = ["id", "decision", "risk", "reason_rule", "failed_closed", F.to_json("hits")]
+    assert rows(got.select(*shown)) == rows(expected.select(*shown))
+    assert expected.filter("exists(hits, h -> h.rule_id = 'R008')").count() > 0
+
+
+def test_a_full_bucket_leaves_no_state(spark):
+    frame = lambda ids, minute, agent: spark.createDataFrame(
+        [("t", agent, i, START + dt.timedelta(minutes=minute, seconds=i), 1000) for i in ids], "tenant_id string, agent_id string, id bigint, ts timestamp, latency_ms bigint"
+    )
+    frames = [frame([1, 2, 3], 0, "a"), frame([4, 5], 30, "b"), frame([6], 90, "b"), frame([7], 91, "a"), frame([8], 200, "b"), frame([9], 230, "b")]
+    checkpoint, out = scratch_path(spark, "idle-checkpoint"), scratch_path(spark, "idle")
+    stream = o.rate_limit(batches(spark, frames), qps=1, max_concurrent=2, delay="1 minute")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    everything = frames[0]
+    for f in frames[1:]:
+        everything = everything.unionByName(f)
+    assert rows(spark.read.schema(stream.schema).parquet(out)) == rows(rk.rate_limits(everything, 1, 2))
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "state").load()
+    assert "a" not in {r["key"]["agent_id"] for r in state.select("key").collect()}
+
+
+LATE_ORDER = [(0, 30), (2, 0), (40, 10), (60, 35), (61, 5)]  # minutes of two groups of events in each of five batches
+
+
+def late_frames(spark):
+    """Five batches; in each some events are newer, and some up to an hour behind."""
+    rows_, seq = [], 0
+    for number, (fresh, old) in enumerate(LATE_ORDER):
+        part = []
+        for minute in (fresh, old):
+            for _ in range(6):
+                seq += 1
+                part.append((f"t{seq % 2}", seq, seq, START + dt.timedelta(minutes=minute, seconds=seq), f"u{seq % 9}", "deny", 5, f"User{seq % 2}"))
+        rows_.append(part)
+    schema = "tenant_id string, seq bigint, id bigint, ts timestamp, event_uuid string, decision string, latency_ms bigint, user_name string"
+    return [spark.createDataFrame(part, schema) for part in rows_], sum(rows_, [])
+
+
+def test_late_rows_are_kept_apart_and_streams_drop_no_other(spark):
+    """Five batches: on-time and late rows are the input, and T1, T2, T4 and T6 behind the split use every on-time row."""
+    frames, everything = late_frames(spark)
+    folder = scratch_path(spark, "on-time")
+    on_time, late = runtime.split_late(batches(spark, frames), "ts", "10 minutes", folder)
+    assert rows(on_time.unionByName(late).select("id")) == sorted(((r[2],) for r in everything), key=repr)
+    newest, expected = None, set()
+    for frame in frames:
+        found = frame.collect()
+        expected |= {r.id for r in found if newest is None or r.ts > newest - dt.timedelta(minutes=10)}
+        newest = max([r.ts for r in found] + ([newest] if newest else []))
+    kept = on_time.collect()
+    assert {r.id for r in kept} == expected and len(expected) < len(everything) - 10
+    feed = lambda: runtime.follow(spark, f"{folder}/on_time", on_time, files_per_batch=1)
+
+    given = run_available(o.audit_stream(feed(), block=5), "late-audit").filter("kind = 'event'")
+    # The newest ones still wait for the numbers before them.
+    assert {r.id for r in kept if r.ts <= newest - dt.timedelta(minutes=10)} <= {r.id for r in given.collect()} <= expected
+    deduped = run_available(sl.dedupe_events(feed(), "10 minutes"), "late-dedupe")
+    assert {r.event_uuid for r in deduped.collect()} == {r.event_uuid for r in kept}
+    tries = run_available(o.attempt_limit(feed(), "user_name", 3, 600.0, "10 minutes"), "late-attempts")
+    assert {r.id for r in tries.collect()} == expected
+    stream, checkpoint = sl.stream_metrics(feed(), "15 minutes", "10 minutes"), scratch_path(spark, "late-metrics-checkpoint")
+    out = scratch_path(spark, "late-metrics")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(stream.schema).parquet(out).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    open_windows = spark.read.format("statestore").option("path", checkpoint).load().select(F.sum("value.count")).first()[0] or 0
+    assert done + open_windows == len(expected)
+
+
+def test_a_replay_spreads_each_batch_over_files(spark, sf_dir):
+    log = t.audit_log(spark, sf_dir).select("id", "ts")
+    sizes = runtime.run_batches(replay_in_order(spark, log, rows_per_batch=40, files=3), "spread", lambda b, n: {"n": b.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))})["n"]
+    got = sorted(map(tuple, sizes.collect()), key=lambda r: r[1])
+    assert sum(n for n, _, _ in got) == log.count() and max(n for n, _, _ in got) <= 40
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
