@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.blocks import Answers, answer, ask, block_count, block_key, bucket_bits, bucket_bounds, send, settle
 from palisade.llm.spans import LOWER, batches, flat, hash_spans, mix, unpack, word_spans
+from palisade.llm.vectors import attach
 from palisade.session import materialize
 
 SHINGLE_WORDS = 5
@@ -339,7 +340,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch(
     similarity = percent / 100
     signed = materialize(signatures(docs, sketch), "near-signatures")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    members = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    sets = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    sets = materialize(sets.filter("rep IS NOT NULL"), "near-sets")
+    members = sets.drop("n")
     classes = materialize(
         # Joined by id as well: a class with a third of all rows must not meet in one task.
         full.join(members.withColumn("doc_id", F.col("rep")), ["doc_id", "set_a", "set_b"]).select("rep", "n_shingles", "registers").distinct(),
@@ -380,10 +383,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, sketch: Sketch = Sketch(
             # A component of one class has no row of its own yet.
             found = materialize(known.unionByName(merged.join(known, "node", "left_anti")), "near-components")
 
-    by_class = members.withColumnRenamed("rep", "class")
-    out = signed.drop("registers").join(by_class, ["set_a", "set_b"], "left").withColumn("class", F.coalesce("class", "doc_id"))
-    out = out.join(found.withColumnRenamed("node", "class"), "class", "left")
-    component = F.coalesce("component", "class")
+    # A set that a third of all rows have must not draw them into one task, nor must the rows without any set.
+    named = sets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
+    worded = attach(signed.filter("n_shingles > 0").drop("registers"), named, ["set_a", "set_b"])
+    empty = signed.filter("n_shingles = 0").drop("registers").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = worded.unionByName(empty)
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
