@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.runtime import pack_columns, unpack_columns
+from palisade.llm.runtime import hide_columns
 from palisade.llm.spans import LOWER, batches, flat, mix
 
 GRAM = 4
@@ -146,10 +146,9 @@ def predict(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", sco
     ties go to the language that sorts first. A model learned from no text says `und` of all. Columns of `docs` with the two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns, docs = docs.columns, pack_columns(docs, "text")
-    added = [T.StructField("pred", T.StringType()), T.StructField("share", T.DoubleType())]
-    schema = T.StructType([*docs.schema.fields, *added])
-    docs = docs.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs, back = hide_columns(docs.drop(pred, score), "__letter")
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    docs = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def judge(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = sent.value
@@ -161,14 +160,13 @@ def predict(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", sco
                 best, total = scores.argmax(axis=1), scores.sum(axis=1)
                 best[total == 0] = filters.usual
                 share = np.divide(scores.max(axis=1), total, out=np.zeros(len(total)), where=total > 0)
-                letter = part["letter"].to_numpy(zero_copy_only=False).astype(bool)
+                letter = part["__letter"].to_numpy(zero_copy_only=False).astype(bool)
                 best[~letter], share[~letter] = len(names) - 1, 0.0
-                out = part.drop_columns(["letter"])
-                out = out.append_column("pred", pa.array(names[best], pa.string())).append_column("share", pa.array(share))
+                out = part.drop_columns(["__letter"])
+                out = out.append_column(pred, pa.array(names[best], pa.string())).append_column(score, pa.array(share))
                 yield from out.to_batches()
 
-    judged = docs.mapInArrow(judge, schema).withColumnsRenamed({"pred": pred, "share": score})
-    return unpack_columns(judged, columns, pred, score)
+    return docs.mapInArrow(judge, schema).withColumnsRenamed(back)
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, above_chance: bool = False) -> DataFrame:
@@ -179,9 +177,10 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, above_chance: bool =
     """
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    judged = predict(pack_columns(docs, "text"), model)
-    found = F.col("lang_pred") != UNDETERMINED
-    return unpack_columns(judged.filter(found & (F.col("score") > 0) if above_chance else found), docs.columns)
+    docs, back = hide_columns(docs, "__pred", "__score")
+    judged = predict(docs, model, "__pred", "__score")
+    found = F.col("__pred") != UNDETERMINED
+    return judged.filter(found & (F.col("__score") > 0) if above_chance else found).select(*docs.columns).withColumnsRenamed(back)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm.blocks import text_bytes
-from palisade.llm.runtime import pack_columns, unpack_columns
+from palisade.llm.runtime import hide_columns
 from palisade.llm.spans import LOWER, batches, covered, flat, hash_spans, word_spans
 
 WINDOW_WORDS = 10
@@ -197,7 +197,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, side_bytes: int = SIDE_BYTES)
     Columns of `docs` with these names are replaced.
     """
     spark = docs.sparkSession
-    columns, docs = docs.columns, pack_columns(docs, "text")
+    docs, back = hide_columns(docs.drop("n_words", "n_hit", "leaked_items", "n_items"), "__hits")
     items = items.select(F.col("item_id").cast("string"), "text")
     passes = max(1, -(-text_bytes(items) // side_bytes))
     out = docs.withColumn("__hits", F.array().cast("array<struct<lo:int,hi:int>>")).withColumn("leaked_items", F.array().cast("array<string>"))
@@ -208,8 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, side_bytes: int = SIDE_BYTES)
         out = _one_pass(out, spark.sparkContext.broadcast((side, {k: _sieve(v) for k, v in side.keys.items()})))
     # Until here a null in the list stands for the items without an id.
     found = _counted(out).withColumn("n_items", F.size("leaked_items").cast("long"))
-    listed = found.withColumn("leaked_items", F.array_compact("leaked_items"))
-    return unpack_columns(listed, columns, "n_words", "n_hit", "leaked_items", "n_items")
+    return found.withColumn("leaked_items", F.array_compact("leaked_items")).withColumnsRenamed(back)
 
 
 def _one_pass(docs: DataFrame, sent) -> DataFrame:
@@ -260,7 +259,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of `docs` without an occurring window of `items`; columns as they were."""
-    return unpack_columns(find_leaks(pack_columns(docs, "text"), items).filter("n_hit = 0"), docs.columns)
+    docs, back = hide_columns(docs, "n_words", "n_hit", "leaked_items", "n_items")
+    return find_leaks(docs, items).filter("n_hit = 0").select(*docs.columns).withColumnsRenamed(back)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

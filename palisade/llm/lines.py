@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm.blocks import Answers, block_count, block_key, bucket_bits, bucket_bounds, ids_of, in_order, send, settle
-from palisade.llm.runtime import pack_columns, unpack_columns
+from palisade.llm.runtime import hide_columns
 from palisade.llm.spans import LOWER, SPACE, flat, hash_spans, pack, unpack
 from palisade.session import scratch_path
 
@@ -176,7 +176,7 @@ def remove_repeated_lines(
     one empty line (kept_text is then empty); a null id counts as the largest, and rows that share an id keep
     each other's lines.
     """
-    columns, docs = docs.columns, pack_columns(docs, "doc_id", "text")
+    docs, back = hide_columns(docs.drop("n_lines", "n_dropped", "kept_text"), "__block")
     spark = docs.sparkSession
     blocks = blocks or block_count(docs)
     bits = bucket_bits(blocks)
@@ -229,8 +229,7 @@ def remove_repeated_lines(
         return out.append_column("kept_text", pa.array(texts, pa.string()))
 
     added = [T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_text", T.StringType()))]
-    settled = settle(dealt, answers, bits, finish, T.StructType([*docs.schema.fields, *added]))
-    return unpack_columns(settled, columns, *[f.name for f in added])
+    return settle(dealt, answers, bits, finish, T.StructType([*docs.schema.fields, *added])).withColumnsRenamed(back)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

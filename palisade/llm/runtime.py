@@ -35,3 +35,16 @@ def unpack_columns(packed: DataFrame, columns: Sequence[str], *added: str, **cha
         return F.col("own").getField(name) if name in own else F.col(name)
 
     return packed.select(*[value(c).alias(c) for c in columns if c not in added], *added)
+
+
+def hide_columns(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with columns of these names, if it has any, under free ones, and how to name them back."""
+    used, clash = {c.lower() for c in docs.columns}, {}
+    for column in docs.columns:
+        if column.lower() in {n.lower() for n in names}:
+            free = f"{column}_"
+            while free.lower() in used:
+                free += "_"
+            used.add(free.lower())
+            clash[column] = free
+    return docs.withColumnsRenamed(clash), {free: column for column, free in clash.items()}
