@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import language, leaks, lines, mixing, near
-from palisade.llm.runtime import pack_columns, prepare, unpack_columns
+from palisade.llm.runtime import hide_columns, prepare
 from palisade.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,11 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that a document with a smaller id has; n_chars follows the text."""
     prepare(spark)
-    done = lines.remove_repeated_lines(pack_columns(docs, "doc_id", "text", "n_chars"))
+    docs, back = hide_columns(docs, "n_lines", "n_dropped", "kept_text")
+    done = lines.remove_repeated_lines(docs)
     changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return unpack_columns(done, docs.columns, text=text, n_chars=n_chars)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns]).withColumnsRenamed(back)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     go or stay together, and of those that stay and share the text too one row stays.
     """
     prepare(spark)
-    columns, docs = docs.columns, pack_columns(docs, "doc_id", "text")
+    docs, back = hide_columns(docs, "__id")
+    columns = docs.columns
     named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long"))
     unnamed = docs.filter(F.col("doc_id").isNull())
     if not unnamed.isEmpty():
@@ -55,7 +56,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if not shared.isEmpty():
         once = left.join(shared, "__id", "left_semi").dropDuplicates(["__id", "text"])
         left = left.join(shared, "__id", "left_anti").unionByName(once)
-    return unpack_columns(left, columns)
+    return left.select(*columns).withColumnsRenamed(back)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
