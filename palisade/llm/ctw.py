@@ -1,13 +1,13 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Every byte is eight binary decisions, most significant first. A node is a context of up to four preceding
+Every byte is eight binary decisions, most significant first. A node is a context of up to `depth` preceding
 bytes together with the bits of the current byte decided so far; it counts zeros and ones, and its
 Krichevsky-Trofimov estimate of them is mixed half and half with the product of its children's weighted
 probabilities (contexts one byte longer). The tree is learned from counts, so it does not depend on the order
 of the texts; scoring uses the finished tree. Bytes before a text's start are zero.
 
-Counts of five-byte strings are dealt by the two nearest context bytes, so a bucket holds whole subtrees from
-depth 2 on; above that at most 65,280 nodes exist, which are summed by Spark and sent to all tasks.
+Counts of strings of depth + 1 bytes (five as registered, eight at most) are dealt by the two nearest context bytes, so a
+bucket holds whole subtrees from depth 2 on; above that at most 65,280 nodes exist, which are summed by Spark and sent to all tasks.
 """
 
 from __future__ import annotations
@@ -32,19 +32,19 @@ SLICE_BYTES = 2 << 20
 _MODEL = "kind string, bucket int, data binary, n long, v long"
 
 
-def strings_of(texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte the key of its four context bytes, the nearest first, and itself; and the texts' offsets."""
+def strings_of(texts, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte the key of its context bytes, the nearest first, and itself; and the texts' offsets."""
     data, offsets = flat(texts)
     low = LOWER[data].astype(np.uint64)
     keys = low.copy()
     starts = offsets[:-1]
     lengths = np.diff(offsets)
-    for back in range(1, DEPTH + 1):
+    for back in range(1, depth + 1):
         before = np.zeros_like(low)
         before[back:] = low[:-back]
         for i in range(back):
             before[(starts + i)[lengths > i]] = 0
-        keys |= before << U64(8 * (DEPTH + 1 - back))
+        keys |= before << U64(8 * (depth + 1 - back))
     return keys, offsets
 
 
@@ -56,8 +56,8 @@ def tokens_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(data, starts, ends), bounds
 
 
-def _string_bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return bucket_of(mix((keys >> U64(24)) + U64(1)), bits)
+def _string_bucket(keys: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    return bucket_of(mix((keys >> U64(8 * (depth - 1))) + U64(1)), bits)
 
 
 def _grouped(buckets: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -141,12 +141,12 @@ def _shorter(keys: np.ndarray) -> np.ndarray:
     return ((keys >> U64(16)) << U64(8)) | (keys & U64(0xFF))
 
 
-def subtrees(keys: np.ndarray, n: np.ndarray) -> dict[int, Nodes]:
-    """Nodes of depth 4, 3 and 2 from counts of five-byte strings in ascending order."""
+def subtrees(keys: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> dict[int, Nodes]:
+    """Nodes of all depths down to 2 from counts of strings in ascending order."""
     out, below = {}, None
-    for depth in range(DEPTH, 1, -1):
-        below = out[depth] = _nodes(keys, n, below)
-        if depth > 2:
+    for level in range(depth, 1, -1):
+        below = out[level] = _nodes(keys, n, below)
+        if level > 2:
             keys, n = _summed(_shorter(keys), n)
     return out
 
@@ -163,7 +163,7 @@ def _top(rows: pa.Table) -> dict[int, Nodes]:
     return {1: first, 0: _mixed(root, zeros, ones, log_kt(zeros, ones), below)}
 
 
-def log10_probabilities(strings: np.ndarray, trees: dict[int, Nodes]) -> np.ndarray:
+def log10_probabilities(strings: np.ndarray, trees: dict[int, Nodes], deepest: int = DEPTH) -> np.ndarray:
     """log10 of the weighted probability of each string's last byte after its context; a context never seen says 1/2."""
     byte = strings & U64(0xFF)
     total = np.zeros(len(strings))
@@ -171,9 +171,10 @@ def log10_probabilities(strings: np.ndarray, trees: dict[int, Nodes]) -> np.ndar
         node = U64(1 << level) | (byte >> U64(8 - level))
         one = ((byte >> U64(7 - level)) & U64(1)).astype(bool)
         p = np.full(len(strings), 0.5)
-        for depth in range(DEPTH, -1, -1):
+        for depth in range(deepest, -1, -1):
             tree = trees[depth]
-            context = strings >> U64(8 * (DEPTH + 1 - depth))
+            # A shift by all 64 bits would leave them as they are.
+            context = strings >> U64(8 * (deepest + 1 - depth)) if depth else np.zeros(len(strings), dtype=np.uint64)
             key = (context << U64(8)) | node
             if len(tree.keys) == 0:
                 continue
@@ -196,10 +197,13 @@ class Model:
     tokens: int
     distinct: int
     texts: int
+    depth: int = DEPTH
 
 
-def fit(docs: DataFrame, bits: int) -> Model:
-    """Learn from all texts of `docs` (text; a null text counts as empty). `bits`: buckets as a power of two."""
+def fit(docs: DataFrame, bits: int, depth: int = DEPTH) -> Model:
+    """Learn from all texts of `docs` (text; a null text counts as empty). `bits`: buckets as a power of two; `depth`: 2 to 7."""
+    if not 2 <= depth <= 7:
+        raise ValueError("a string of at most seven context bytes and its last byte has to fit 64 bits")
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
@@ -207,7 +211,7 @@ def fit(docs: DataFrame, bits: int) -> Model:
 
         def rows():
             strings, tokens = held
-            bucket = _string_bucket(strings[0], bits)
+            bucket = _string_bucket(strings[0], bits, depth)
             order = np.lexsort((strings[0], bucket))
             sent = [("string", b, d) for b, d in _grouped(bucket[order], strings[0][order], strings[1][order])]
             sent += [("token", b, d) for b, d in _grouped(bucket_of(tokens[0], bits), *tokens)]
@@ -220,7 +224,7 @@ def fit(docs: DataFrame, bits: int) -> Model:
         for table in tables:
             for part in batches(pa.Table.from_batches([table]), SLICE_BYTES, "text"):
                 texts += part.num_rows
-                for i, keys in enumerate((strings_of(part["text"])[0], tokens_of(part["text"])[0])):
+                for i, keys in enumerate((strings_of(part["text"], depth)[0], tokens_of(part["text"])[0])):
                     keys, n = _counted(keys)
                     held[i] = _summed(np.concatenate([held[i][0], keys]), np.concatenate([held[i][1], n]))
                 if len(held[0][0]) + len(held[1][0]) > 4_000_000:
@@ -240,7 +244,7 @@ def fit(docs: DataFrame, bits: int) -> Model:
             keys, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             out = [(kind, bucket, pack(keys, n), int(n.sum()), len(keys))]
             if kind == "string":
-                second = subtrees(keys, n)[2]
+                second = subtrees(keys, n, depth)[2]
                 node = (second.keys >> U64(16) << U64(8)) | (second.keys & U64(0xFF))
                 codes, distinct = pd.factorize(node)
                 sums = [np.bincount(codes, weights=x, minlength=len(distinct)) for x in (second.zeros, second.ones, second.log_weighted)]
@@ -260,7 +264,7 @@ def fit(docs: DataFrame, bits: int) -> Model:
     top = _top(tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow())
     ends = F.sum(F.when(F.col("kind") == "end", F.col("n")))
     sizes = table.filter("kind IN ('token', 'end')").agg(F.sum("n"), F.sum("v"), ends).first()
-    return Model(table.select("kind", "bucket", "data"), top, bits, *(int(x or 0) for x in sizes))
+    return Model(table.select("kind", "bucket", "data"), top, bits, *(int(x or 0) for x in sizes), depth)
 
 
 def score(docs: DataFrame, model: Model, blocks: int) -> DataFrame:
@@ -269,15 +273,15 @@ def score(docs: DataFrame, model: Model, blocks: int) -> DataFrame:
     score is the model's log10 probability of the text in lower case; known_logs the sum of log10(c + 1) over its
     words with their training counts c. n_known counts known words; the end token is left to the caller.
     """
-    bits, buckets = model.bits, 1 << model.bits
+    bits, buckets, depth = model.bits, 1 << model.bits, model.depth
     sent_top = docs.sparkSession.sparkContext.broadcast(model.top)
     dealt = docs.withColumn("__block", block_key("doc_id", "text", blocks))
 
     def asked(texts) -> tuple:
-        keys, offsets = strings_of(texts)
+        keys, offsets = strings_of(texts, depth)
         tokens, bounds = tokens_of(texts)
         codes, distinct = pd.factorize(keys)
-        bucket = _string_bucket(distinct, bits)
+        bucket = _string_bucket(distinct, bits, depth)
         order = np.lexsort((distinct, bucket))
         token_codes, token_distinct = pd.factorize(tokens)
         token_order = np.argsort(token_distinct)
@@ -297,8 +301,8 @@ def score(docs: DataFrame, model: Model, blocks: int) -> DataFrame:
         known = unpack(held["data"][0].as_py(), np.uint64, np.int64) if held.num_rows else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         if rows["bucket"][0].as_py() < buckets:
             empty = Nodes(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, float, float)))
-            trees = {**({2: empty, 3: empty, 4: empty} if len(known[0]) == 0 else subtrees(*known)), **sent_top.value}
-            values = log10_probabilities(distinct, trees)
+            deep = {k: empty for k in range(2, depth + 1)} if len(known[0]) == 0 else subtrees(*known, depth)
+            values = log10_probabilities(distinct, {**deep, **sent_top.value}, depth)
         else:
             values = np.zeros(len(distinct))
             if len(known[0]):
@@ -348,17 +352,18 @@ def score(docs: DataFrame, model: Model, blocks: int) -> DataFrame:
     return dealt.select("doc_id", "text", "flag", "__block").groupBy("__block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, blocks: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, remainder: int = 2, blocks: int | None = None, depth: int = DEPTH) -> DataFrame:
     """Scores of every row of `docs` (doc_id, text), learned from the rows that are not held out.
 
     Held out are rows whose crc32 of the id as text leaves `remainder` by `modulus`; a row without an id is not. A
-    null text is empty: one token (the end), score 0.0 and no bits_per_byte. Other columns are left out. Returns
+    null text is empty: one token (the end), score 0.0 and no bits_per_byte. Other columns are left out.
+    `depth` is how many bytes a context has at most. Returns
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the add-one unigram model), score (the tree's
     log10 probability of the text in lower case) and bits_per_byte (the tree's code length).
     """
     blocks = blocks or block_count(docs)
     flagged = docs.select(F.col("doc_id").cast("long"), "text", held_out("doc_id", modulus, remainder).alias("flag"))
-    model = fit(flagged.filter(~F.col("flag")).select("text"), bucket_bits(blocks))
+    model = fit(flagged.filter(~F.col("flag")).select("text"), bucket_bits(blocks), depth)
     scored = score(flagged, model, blocks)
     base = F.col("known_logs") + F.lit(float(np.log10(model.texts + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1.0)))
     return scored.select(

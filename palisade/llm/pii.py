@@ -264,7 +264,7 @@ def find_personal_data(docs: DataFrame, model: Trees | None = None) -> DataFrame
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
-    """Personal data in every document: base counts and spans, and all spans."""
+    """Personal data in every document: base counts and spans, all spans, and their number."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
     found = find_personal_data(docs).drop("text")
     count = lambda k: F.size(F.filter("base_spans", lambda s: s.kind == KINDS.index(k))).cast("long").alias(f"n_{k}")
@@ -272,4 +272,5 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in KINDS],
         F.sha2(_listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base_spans", "added_spans"))).alias("spans"),
+        (F.size("base_spans") + F.size("added_spans")).cast("long").alias("n_spans"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.runtime import pack_columns, unpack_columns
+
 APART = r"[\x20\x09-\x0D]"
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of words
@@ -80,6 +82,32 @@ def _host_lines(docs: DataFrame, line_docs: int, line_share: float) -> DataFrame
     return often.join(hosts, same).filter(F.col("n") > line_share * F.col("docs")).select(often["host"], "line")
 
 
+def _common_lines(docs: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """The rows of _line_rows that are boilerplate of their host; copies of a whole row add theirs once."""
+    rows, common = _line_rows(docs), _host_lines(docs, line_docs, line_share)
+    same = F.col("host").eqNullSafe(F.col("common_host")) & (rows["line"] == common["line"])
+    hit = rows.join(common.withColumnRenamed("host", "common_host"), same)
+    return hit.select("doc_id", "host", "body", "place", "n").distinct()
+
+
+def remove_boilerplate(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """All columns of `docs` (doc_id, text, source and others), their texts without the boilerplate lines of `judge`, and n_removed_lines.
+
+    One row for each row; the lines that stay are joined by line breaks as before. A null text stays null, and a text that
+    is all boilerplate becomes an empty one. A column named n_removed_lines is replaced.
+    """
+    packed = pack_columns(docs, "doc_id", "text", "source").withColumn("body", F.xxhash64("text"))
+    places = _common_lines(docs.select("doc_id", "text", "source"), line_docs, line_share).groupBy("doc_id", "host", "body")
+    # The numbers of one document's own lines.
+    gone = places.agg(F.collect_set("place").alias("gone")).select(F.col("doc_id").alias("__doc_id"), "host", F.col("body").alias("__body"), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("host")) & (F.col("body") == F.col("__body"))
+    joined = packed.join(gone, same, "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    n = F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return unpack_columns(joined.withColumn("n_removed_lines", n), docs.columns, "n_removed_lines", text=text)
+
+
 def judge(
     docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT,
     least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED,
@@ -94,11 +122,7 @@ def judge(
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", "source")
     counted = with_counts(docs.withColumn("body", F.xxhash64("text"))).drop("text")
-    rows, common = _line_rows(docs), _host_lines(docs, line_docs, line_share)
-    hit = rows.join(common.withColumnRenamed("host", "common_host"), (F.col("host").eqNullSafe(F.col("common_host"))) & (rows["line"] == common["line"]))
-    # The place tells a line's copies within a document from those that copies of the whole row add.
-    once = hit.select("doc_id", "host", "body", "place", "n").distinct()
-    words = once.groupBy("doc_id", "host", "body").agg(F.sum("n").alias("n_line_words"))
+    words = _common_lines(docs, line_docs, line_share).groupBy("doc_id", "host", "body").agg(F.sum("n").alias("n_line_words"))
     joined = counted.join(
         words.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "host", "body")], "n_line_words"),
         F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__host")) & (F.col("body") == F.col("__body")),

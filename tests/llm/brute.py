@@ -156,38 +156,38 @@ def held_out(doc_id, modulus, remainder):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-def _steps(data):
+def _steps(data, depth):
     for p in range(len(data)):
-        context = data[max(0, p - 4) : p]
-        context = bytes(4 - len(context)) + context
+        context = data[max(0, p - depth) : p]
+        context = bytes(depth - len(context)) + context
         for k in range(8):
             yield context, (1 << k) | (data[p] >> (8 - k)), (data[p] >> (7 - k)) & 1
 
 
-def context_tree(docs, modulus=7, remainder=2):
+def context_tree(docs, modulus=7, remainder=2, depth=4):
     """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score)} by direct recursion."""
     train = [t for i, t in docs if not held_out(i, modulus, remainder)]
     tokens = collections.Counter()
-    counts = [collections.Counter() for _ in range(5)]
+    counts = [collections.Counter() for _ in range(depth + 1)]
     for t in train:
         tokens.update([*WORD.findall((t or "").translate(LOWER)), None])
-        for context, node, bit in _steps((t or "").translate(LOWER).encode()):
-            for d in range(5):
-                counts[d][context[4 - d :], node, bit] += 1
-    weighted, own = [{} for _ in range(5)], [{} for _ in range(5)]
+        for context, node, bit in _steps((t or "").translate(LOWER).encode(), depth):
+            for d in range(depth + 1):
+                counts[d][context[depth - d :], node, bit] += 1
+    weighted, own = [{} for _ in range(depth + 1)], [{} for _ in range(depth + 1)]
 
     def kt(d, state):
         a, b = counts[d][(*state, 0)], counts[d][(*state, 1)]
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    for d in range(4, -1, -1):
+    for d in range(depth, -1, -1):
         below = collections.defaultdict(float)
-        if d < 4:
+        if d < depth:
             for (context, node), w in weighted[d + 1].items():
                 below[context[1:], node] += w
         for state in {k[:2] for k in counts[d]}:
             estimate = kt(d, state)
-            if d == 4:
+            if d == depth:
                 weighted[d][state], own[d][state] = estimate, 1.0
             else:
                 high = max(estimate, below[state])
@@ -196,10 +196,10 @@ def context_tree(docs, modulus=7, remainder=2):
     total, distinct, out = sum(tokens.values()), len(tokens), {}
     for i, t in docs:
         score = 0.0
-        for context, node, bit in _steps((t or "").translate(LOWER).encode()):
+        for context, node, bit in _steps((t or "").translate(LOWER).encode(), depth):
             p = 0.5
-            for d in range(4, -1, -1):
-                state = (context[4 - d :], node)
+            for d in range(depth, -1, -1):
+                state = (context[depth - d :], node)
                 if state in own[d]:
                     a, b = counts[d][(*state, 0)], counts[d][(*state, 1)]
                     p = own[d][state] * ((b if bit else a) + 0.5) / (a + b + 1) + (1 - own[d][state]) * p

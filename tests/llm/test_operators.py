@@ -260,10 +260,11 @@ def test_trees_learn_and_calibrate():
     assert pii.fit([]).trees == ()
 
 
-def test_context_tree(spark):
+@pytest.mark.parametrize("depth", [2, 4, 7])
+def test_context_tree(spark, depth):
     rows = [(i, t[:200]) for i, t in passages(9, 24)] + [(1, None), (2, ""), (4, "Zq#"), (5, "日本 " * 30)]
-    got = {r.doc_id: r for r in ctw.score_texts(table(spark, rows), blocks=3).collect()}
-    for i, (out, n, known, total, base, score) in brute.context_tree(rows).items():
+    got = {r.doc_id: r for r in ctw.score_texts(table(spark, rows), blocks=3, depth=depth).collect()}
+    for i, (out, n, known, total, base, score) in brute.context_tree(rows, depth=depth).items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out, n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9, abs=1e-12)
@@ -313,7 +314,27 @@ def test_quality_removes_lines_of_a_host(spark):
     assert not any(kept[i] for i in (4, 7, 10, 13)) and len(got) == len(rows) + len(copies)
 
 
+def test_boilerplate_lines_leave_the_texts(spark):
+    menu = "home about contact help"
+    body = lambda i: f"first of {i}\n\nsecond of {i}"
+    rows = [(3 * i, f"{menu}\n{body(i)}\n  HOME about contact help") for i in range(40)]
+    rows += [(1, body(1)), (1, body(1)), (4, None), (7, ""), (None, menu), (10, menu), (0, rows[0][1])]
+    docs = table(spark, rows).withColumns({c: F.lit("mine") for c in ("gone", "place", "body", "line", "own")})
+    got = quality.remove_boilerplate(docs, line_docs=10, line_share=0.05)
+    assert got.columns == [*docs.columns, "n_removed_lines"] and got.filter("gone <> 'mine' OR own <> 'mine'").count() == 0
+    hosts = {i: None if i % 5 == 4 else f"s{i % 3}" for i, _ in rows if i is not None}
+    common = {h for h in set(hosts.values()) if sum(menu in (t or "") for t in {t for i, t in rows if i is not None and hosts[i] == h}) > 10}
+    found = rows_of(got, "doc_id", "text", "n_removed_lines")
+    expected = []
+    for i, t in rows:
+        lines = None if t is None else t.split("\n")
+        keep = lines if lines is None or hosts.get(i, "s0") not in common else [x for x in lines if x.strip().lower() != menu]
+        expected.append((i, None if keep is None else "\n".join(keep), 0 if keep is None else len(lines) - len(keep)))
+    assert common and found == sorted(expected, key=repr)
+
+
 EMPTY = {
+    "boilerplate": lambda d, b: quality.remove_boilerplate(d),
     "substring": lambda d, b: substring.remove_repeated_words(d),
     "suffix": lambda d, b: suffixes.remove_repeated_bytes(d),
     "lines": lambda d, b: lines.remove_repeated_lines(d),
@@ -327,6 +348,27 @@ EMPTY = {
 }
 
 
+CLASHES = ("__block", "__hits", "__letter", "__id", "n_words", "n_hit", "n_lines", "n_dropped", "kept_text", "lang_pred", "score", "own", "letter", "pred")
+
+
+def test_stages_return_the_columns_they_were_given(spark, tmp_path):
+    """Names that the operators use themselves come back with the caller's values; empty tables and null columns pass."""
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"the cat number {i} and the dog\nshared line of them all\nthe end of text {i}") for i in range(9)] + [(None, None), (20, "")]
+    docs = table(spark, rows, extra=False).withColumns({c: F.concat(F.lit("mine"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    empty, nulls = docs.limit(0), docs.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        wrong = " OR ".join(f"`{c}` <> concat('mine', coalesce(cast(doc_id AS string), '-'))" for c in CLASHES)
+        assert got.filter(wrong).count() == 0 and got.count() >= 8, name
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        assert stage(spark, nulls, str(tmp_path)).columns == docs.columns, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, empty, str(tmp_path)).count() == 0 and last(spark, nulls, str(tmp_path)).count() == nulls.count()
+
+
 @pytest.mark.parametrize("name", EMPTY)
 def test_empty_tables_and_tables_of_nulls(spark, name):
     items = spark.createDataFrame([], "item_id long, text string")
