@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.session import spread
+
 GRAM = 3
 
 
@@ -20,13 +22,17 @@ def contains_pairs(hay: DataFrame, hay_id: str, hay_text: str, phrases: DataFram
     Ids must be unique. Texts and phrases meet by the phrase's rarest gram and are then verified, so common grams
     never multiply the pairs. A phrase shorter than a gram is looked up by a gram of its own length.
     """
+    hay = spread(hay.select(hay_id, hay_text))
     wanted = phrases.select(F.col(phrase).alias("phrase")).filter(F.length("phrase") > 0).distinct()
     size = F.least(F.length("phrase"), F.lit(GRAM))
     own = F.lit(None).cast("array<string>")
     for n in range(1, GRAM + 1):
         own = F.when(size == n, _grams(F.col("phrase"), n)).otherwise(own)
     offered = wanted.select("phrase", F.explode(own).alias("gram"))
-    sizes = range(1, GRAM + 1)
+    # Grams of one and two letters are needed only where some phrase is as short; at most three sizes come back.
+    sizes = sorted(r["n"] for r in wanted.select(size.alias("n")).distinct().collect())
+    if not sizes:
+        return hay.select(hay_id, F.lit("").alias("phrase")).limit(0)
     text_grams = F.array_distinct(F.concat(*[_grams(F.col(hay_text), n) for n in sizes]))
     # Of the texts' grams only those that some phrase offers go any further.
     in_text = hay.select(hay_id, F.explode(text_grams).alias("gram")).join(offered.select("gram").distinct(), "gram", "left_semi")

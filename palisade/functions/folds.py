@@ -70,18 +70,50 @@ def ordered_fold(
 ) -> DataFrame:
     """Fold each key's rows in `order`. `output` must contain the keys; `slice_col` must follow `order`."""
     keys, order, columns = list(keys), list(order), output.fieldNames()
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= max_block_rows:
+    if _longest(df, keys) <= max_block_rows:
         return _sorted(df, keys, order).mapInPandas(_pass(step, keys, columns, False), output)
+    folded, schema = _in_blocks(df, keys, order, slice_col, step, output, max_block_rows)
+    return df.sparkSession.read.schema(schema).parquet(*folded).filter(F.col(_STATE).isNull()).drop(_STATE)
 
+
+def ordered_states(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    slice_col: Column,
+    step: Step,
+    output: T.StructType,
+    max_block_rows: int = MAX_BLOCK_ROWS,
+) -> DataFrame:
+    """The keys and the state of each after the same fold, as JSON text in `state`: where a stream can carry on."""
+    keys, order = list(keys), list(order)
+    if _longest(df, keys) <= max_block_rows:
+        schema = T.StructType([*output.fields, T.StructField(_STATE, T.StringType())])
+        rows = _sorted(df, keys, order).withColumn(_STATE, F.lit(None).cast("string"))
+        done = rows.mapInPandas(_pass(step, keys, output.fieldNames(), True), schema)
+        return done.filter(F.col(_STATE).isNotNull()).select(*keys, F.col(_STATE).alias("state"))
+    folded, schema = _in_blocks(df, keys, order, slice_col, step, output, max_block_rows)
+    spark, found = df.sparkSession, None
+    for number, path in enumerate(folded):
+        here = spark.read.schema(schema).parquet(path).filter(F.col(_STATE).isNotNull()).select(*keys, F.lit(number).alias("__block"), _STATE)
+        found = here if found is None else found.unionByName(here)
+    return found.groupBy(*keys).agg(F.max_by(_STATE, "__block").alias("state"))
+
+
+def _longest(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _in_blocks(
+    df: DataFrame, keys: list[str], order: list[str], slice_col: Column, step: Step, output: T.StructType, max_block_rows: int
+) -> tuple[list[str], T.StructType]:
+    """Folders with the output and the states of each block of all keys, one after the other, and their schema."""
     spark = df.sparkSession
     schema = T.StructType([*output.fields, T.StructField(_STATE, T.StringType())])
-    blocks = int(-(-longest // max_block_rows))
     staged = scratch_path(spark, "fold-input")
-    numbered = row_numbers(df, keys, order, slice_col, "__n")
-    numbered.withColumn("__block", F.floor((F.col("__n") - 1) / max_block_rows).cast("int")).drop("__n").write.partitionBy(
-        "__block"
-    ).parquet(staged)
+    numbered = row_numbers(df, keys, order, slice_col, "__n").withColumn("__block", F.floor((F.col("__n") - 1) / max_block_rows).cast("int"))
+    numbered.drop("__n").write.partitionBy("__block").parquet(staged)
+    blocks = 1 + spark.read.schema("__block int").parquet(staged).agg(F.max("__block")).first()[0]
     result = scratch_path(spark, "fold-output")
     paths, carried = [], None
     for block in range(blocks):
@@ -91,6 +123,6 @@ def ordered_fold(
         else:
             rows = join_same(rows, carried, keys, "left")
         paths.append(f"{result}/block={block}")
-        _sorted(rows, keys, order).mapInPandas(_pass(step, keys, columns, True), schema).write.parquet(paths[-1])
+        _sorted(rows, keys, order).mapInPandas(_pass(step, keys, output.fieldNames(), True), schema).write.parquet(paths[-1])
         carried = spark.read.schema(schema).parquet(paths[-1]).filter(F.col(_STATE).isNotNull()).select(*keys, _STATE)
-    return spark.read.schema(schema).parquet(*paths).filter(F.col(_STATE).isNull()).drop(_STATE)
+    return paths, schema

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palisade.functions.hashing import row_digest, set_digest
 from palisade.functions.segments import row_numbers, time_slice
 from palisade.functions.text import utrim
-from palisade.session import materialize
+from palisade.operators.recursion import leading_into_cycles, recurse
 
 
 def _blank(c: str | Column) -> Column:
@@ -296,38 +296,21 @@ def policy_replay(before: DataFrame, after: DataFrame, probes: DataFrame) -> Dat
     return _replay(before, probes, "before").join(_replay(after, probes, "after"), "probe_id")
 
 
-def role_closure(parents: DataFrame) -> DataFrame:
-    """(role_id, ancestor_id) pairs over any number of steps, cycles included.
-
-    Paths double in length each round, so a chain of n roles needs about log2(n) rounds; each
-    round is written to the shared folder, which also cuts the lineage.
-    """
-    pairs = materialize(parents.select("role_id", F.col("parent_id").alias("ancestor_id")).distinct(), "role-closure")
-    known = pairs.count()
-    while True:
-        onward = pairs.select(F.col("role_id").alias("ancestor_id"), F.col("ancestor_id").alias("far"))
-        longer = pairs.join(onward, "ancestor_id").select("role_id", F.col("far").alias("ancestor_id"))
-        pairs = materialize(pairs.unionByName(longer).distinct(), "role-closure")
-        reached = pairs.count()
-        if reached == known:
-            return pairs
-        known = reached
-
-
 def effective_permissions(roles: DataFrame, parents: DataFrame, permissions: DataFrame, user_roles: DataFrame) -> DataFrame:
     """Permissions per user through inherited roles, and users whose roles cannot be trusted.
 
     A user who reaches an unknown role or a cycle is forbidden: one row with `forbidden` set and
-    no permission. `roles`: role_id; `parents`: role_id, parent_id; `permissions`: role_id, permission.
+    no permission. `roles`: role_id; `parents`: role_id, parent_id; `permissions`: role_id, permission. Only the
+    roles that users hold are followed upwards, so no pairs of roles are kept.
     """
-    closure = role_closure(parents)
-    reach = user_roles.select("user_id", "role_id").distinct()
-    reached = reach.unionByName(
-        reach.join(closure, "role_id").select("user_id", F.col("ancestor_id").alias("role_id"))
-    ).distinct()
-    cyclic = closure.filter(F.col("role_id") == F.col("ancestor_id")).select("role_id").distinct()
+    edges = parents.select("role_id", "parent_id").distinct()
+    reached = recurse(
+        user_roles.select("user_id", "role_id"),
+        lambda held: held.join(edges, "role_id").select("user_id", F.col("parent_id").alias("role_id")),
+        distinct=True,
+    )
     unknown = reached.join(roles.select("role_id").distinct(), "role_id", "left_anti").select("user_id")
-    looping = reached.join(cyclic, "role_id", "left_semi").select("user_id")
+    looping = reached.join(leading_into_cycles(edges, "role_id", "parent_id"), "role_id", "left_semi").select("user_id")
     forbidden = unknown.unionByName(looping).distinct()
     held = (
         reached.join(permissions, "role_id")

@@ -232,34 +232,33 @@ def quoted_spans(text: Column) -> Column:
     return F.aggregate(pieces, start, add, lambda s: s["spans"])
 
 
-_WORD = "[A-Za-z0-9_]"
+_WORD = "^[A-Za-z0-9_]$"
 
 
 def name_spans(text: Column, name: Column, quoted: Column) -> Column:
     """Places where a name stands as a whole identifier, or alone inside quotes.
 
-    The text is split in front of every match, overlapping ones included, so the places are the
-    running lengths of the pieces.
+    Each place is searched for behind the start of the one before, so overlapping ones count; then the characters on both
+    sides are looked at. Nothing is compiled for a name.
     """
     size = F.length(name)
-    before = F.when(F.substring(name, 1, 1).rlike(_WORD), F.lit(f"(?<!{_WORD})")).otherwise("")
-    after = F.when(F.right(name, F.lit(1)).rlike(_WORD), F.lit(f"(?!{_WORD})")).otherwise("")
-    literal = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pattern = F.concat(before, F.lit("(?="), literal, after, F.lit(")"))
-    pieces = F.split(text, pattern)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
-    cut = F.aggregate(
-        pieces,
-        start,
-        lambda s, piece: F.struct(
-            (s["at"] + F.length(piece)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
-        ),
-        lambda s: s["starts"],
-    )
-    # The first piece opens with a match only if the text itself does.
-    opens = F.regexp_like(text, F.concat(F.lit("^"), pattern))
-    starts = F.when(opens, cut).otherwise(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))))
-    outside = F.filter(starts, lambda i: ~F.exists(quoted, lambda q: (i < q["end"]) & (q["begin"] < i + size)))
+    place = lambda at: F.call_function("locate", name, text, at)
+    # Cut into pieces at the name, a text has one more piece than places that do not overlap; a name that overlaps itself, such
+    # as 'aa', can have as many places as characters.
+    apart = (F.length(text) - F.length(F.replace(text, name, F.lit("")))) / size
+    overlaps = F.exists(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda n: (size > 1) & (F.left(name, n) == F.right(name, n)))
+    most = F.when(overlaps, F.length(text)).otherwise(apart).cast("int")
+    start = F.struct(place(F.lit(1)).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def add(s: Column, _: Column) -> Column:
+        found = F.when(s["at"] > 0, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
+        return F.struct(F.when(s["at"] > 0, place(s["at"] + 1)).otherwise(0).alias("at"), found.alias("starts"))
+
+    starts = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), start, add, lambda s: s["starts"])
+    word_first, word_last = F.left(name, F.lit(1)).rlike(_WORD), F.right(name, F.lit(1)).rlike(_WORD)
+    before = lambda i: F.when(i > 1, F.substring(text, i - 1, F.lit(1))).otherwise("")
+    free = lambda i: ~(word_first & before(i).rlike(_WORD)) & ~(word_last & F.substring(text, i + size, F.lit(1)).rlike(_WORD))
+    outside = F.filter(starts, lambda i: free(i) & ~F.exists(quoted, lambda q: (i < q["end"]) & (q["begin"] < i + size)))
     spans = F.transform(outside, lambda i: F.struct(i.alias("begin"), (i + size).alias("end")))
     exact = F.transform(F.filter(quoted, lambda q: q["name"] == name), lambda q: F.struct(q["begin"].alias("begin"), q["end"].alias("end")))
     return F.concat(spans, exact)

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold
+from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold, ordered_states
 from palisade.functions.segments import time_slice
 from palisade.operators import policy
+from palisade.session import spread
 
 # Known dialects and statement kinds, rule order, and default thresholds.
 DIALECTS = ("postgres", "mysql", "sqlserver", "dm", "oracle", "vastbase", "highgo", "opengauss", "yashan")
@@ -119,7 +120,7 @@ def with_facts(signals: DataFrame, agents: DataFrame, resolved: DataFrame, metad
     settled once for each distinct request (who, where, tables, projected columns) and table facts once for each
     distinct list of tables, so a log is only joined to these, never exploded itself.
     """
-    known = with_agents(signals, agents)
+    known = with_agents(spread(signals), agents)
     projected = F.when(F.upper("stmt_type") == "SELECT", policy.projected_columns(F.col("operations")))
     # A struct is never null itself, so requests with a null in them meet their row too.
     request = F.struct(*policy.POLICY_KEYS, "tables", projected.alias("projected"))
@@ -447,15 +448,22 @@ def rate_limits(
     a busy one in bounded blocks. Where the log has a `config` (see resolve_config), the thresholds of rule R008
     in it hold for the row instead of `qps` and `max_concurrent`.
     """
+    return ordered_fold(*_limit_fold(log, qps, max_concurrent, slice_unit), max_block_rows)
+
+
+def rate_limit_states(
+    log: DataFrame,
+    qps: float = DEFAULTS["qps_per_agent"],
+    max_concurrent: int = DEFAULTS["max_conns_per_datasource"],
+    slice_unit: str = "hour",
+    max_block_rows: int = MAX_BLOCK_ROWS,
+) -> DataFrame:
+    """tenant_id, agent_id and the bucket's `state` after the log: a live rate limit can start from it."""
+    return ordered_states(*_limit_fold(log, qps, max_concurrent, slice_unit), max_block_rows)
+
+
+def _limit_fold(log: DataFrame, qps: float, max_concurrent: int, slice_unit: str) -> tuple:
+    fields = (("tenant_id", T.StringType()), ("agent_id", T.StringType()), ("id", T.LongType()), ("limit_reason", T.StringType()))
+    output = T.StructType([T.StructField(n, k) for n, k in fields])
     slim = limit_rows(log, qps, max_concurrent)
-    schema = T.StructType(
-        [
-            T.StructField("tenant_id", T.StringType()),
-            T.StructField("agent_id", T.StringType()),
-            T.StructField("id", T.LongType()),
-            T.StructField("limit_reason", T.StringType()),
-        ]
-    )
-    return ordered_fold(
-        slim, ["tenant_id", "agent_id"], ["ts", "id"], time_slice("ts", slice_unit), _bucket_step(qps, max_concurrent), schema, max_block_rows
-    )
+    return slim, ["tenant_id", "agent_id"], ["ts", "id"], time_slice("ts", slice_unit), _bucket_step(qps, max_concurrent), output

@@ -9,8 +9,8 @@ from palisade.operators.redact import MaskRule
 from palisade.operators.rows import Compare
 from palisade.plans.governed import Access, assert_visible, carry_filter, governed, register
 from palisade.plans.mask_queries import KEY, fingerprint_sql
+from palisade.operators.recursion import recurse
 from palisade.plans.registry import over_signals, query, with_ctes
-from palisade.session import materialize
 from palisade.sources import tables as t
 
 CUSTOMER = Access(
@@ -117,14 +117,8 @@ SELECT step, count(*) AS n FROM chain GROUP BY step""")
 def recursive_cte(spark, d):
     """Each step works on distinct nodes with their counts, so its rows shrink and no recursion limit applies."""
     nodes = t.load(spark, d, "customer").groupBy(F.col("c_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    steps: list[tuple[int, int]] = []
-    while True:
-        nodes = materialize(nodes, "recursion")
-        total = nodes.agg(F.sum("n")).first()[0]
-        if not total:
-            return spark.createDataFrame(steps, "step int, n bigint")
-        steps.append((len(steps), total))
-        nodes = nodes.filter("c > 0").groupBy(F.floor(F.col("c") / 3).alias("c")).agg(F.sum("n").alias("n"))
+    onward = lambda rows: rows.filter("c > 0").groupBy(F.floor(F.col("c") / 3).alias("c")).agg(F.sum("n").alias("n"))
+    return recurse(nodes, onward, round_column="step").groupBy("step").agg(F.sum("n").alias("n"))
 
 
 _same("lateral_top", """

@@ -9,28 +9,30 @@ from palisade.plans.mask_queries import DEPENDENCIES, LINEAGE, RULES
 from palisade.plans.registry import over_signals, query, with_ctes
 from palisade.sources import tables as t
 
-# Four projection items per logged query; some are stars, some layouts are broken.
+# Projection items per logged query, four in most; some are stars, some layouts are broken, some items are lost.
 _ITEMS = """SELECT query_id, CASE WHEN query_id % 11 = 0 AND slot = 3 THEN 0 ELSE slot END AS select_index, slot,
  (slot = 1 AND query_id % 5 IN (2, 3, 4)) OR (slot = 2 AND query_id % 5 = 4) AS variadic, 0 AS arm_index,
  CASE WHEN (slot = 1 AND query_id % 5 IN (2, 3, 4)) OR (slot = 2 AND query_id % 5 = 4) THEN 'wildcard' ELSE 'direct' END AS kind, '' AS operation, 'resolved' AS status,
  p % 2 = 0 AS two_relations, CASE WHEN NOT ((slot = 1 AND query_id % 5 IN (2, 3, 4)) OR (slot = 2 AND query_id % 5 = 4)) THEN concat('c', CAST(slot AS STRING)) END AS dep_column
- FROM (SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS query_id, CAST(o_orderkey % 4 AS INT) AS slot, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) AS each_item"""
+ FROM (SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS query_id, CAST(o_orderkey % 4 AS INT) AS slot, CAST(floor(o_totalprice) AS BIGINT) AS p, o_orderkey FROM orders) AS each_item WHERE o_orderkey % 37 <> 3"""
 _WIDTH = "CASE query_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 3 ELSE 5 END"
 
 
 @query("align_lineage", with_ctes(f"""
-SELECT query_id, position, CASE WHEN bad THEN 'opaque' WHEN star AND (q5 = 4 OR two) THEN 'opaque' ELSE 'direct' END AS kind,
- CASE WHEN layout THEN 'invalid_projection_layout' WHEN mismatch THEN 'fixed_projection_count_mismatch' WHEN star AND q5 = 4 THEN 'multiple_wildcard_alignment'
-  WHEN star AND two THEN 'wildcard_relation_ambiguous' WHEN star THEN 'wildcard_column' ELSE '' END AS operation,
- CASE WHEN bad OR (star AND (q5 = 4 OR two)) THEN NULL WHEN star THEN 'r' || position ELSE 'c' || idx END AS dep_column
-FROM (SELECT r.*, query_id % 11 = 0 AS layout, query_id % 11 <> 0 AND q5 = 0 AS mismatch, query_id % 11 = 0 OR q5 = 0 AS bad,
-  CASE WHEN q5 IN (2, 3, 4) AND position >= 1 AND width - position > CASE WHEN q5 = 4 THEN 1 ELSE 2 END THEN true ELSE false END AS star,
-  CASE WHEN q5 < 2 OR position < 1 THEN position ELSE 4 - (width - position) END AS idx,
-  (SELECT max(two_relations) FROM items i WHERE i.query_id = r.query_id AND slot = 1) AS two
- FROM (SELECT query_id, query_id % 5 AS q5, unnest(range({_WIDTH})) AS position, {_WIDTH} AS width FROM (SELECT query_id FROM items GROUP BY 1 HAVING count(*) = 4)) r)""", f"items AS ({_ITEMS})"))
+SELECT query_id, position, CASE WHEN lost OR (star AND two) THEN 'opaque' ELSE 'direct' END AS kind,
+ CASE WHEN lost THEN coalesce(problem, 'multiple_wildcard_alignment') WHEN star AND two THEN 'wildcard_relation_ambiguous' WHEN star THEN 'wildcard_column' ELSE '' END AS operation,
+ CASE WHEN lost OR (star AND two) THEN NULL WHEN star THEN 'r' || position ELSE dep END AS dep_column
+FROM (SELECT p.*, idx IS NULL AS lost, i.two_relations AS two, i.dep_column AS dep
+ FROM (SELECT *, problem IS NULL AND stars >= 1 AND position >= fs AND width - position > n - ls - 1 AS star, CASE WHEN problem IS NOT NULL THEN NULL
+    WHEN stars = 0 OR position < fs THEN position WHEN width - position <= n - ls - 1 THEN n - (width - position) WHEN stars = 1 THEN fs END AS idx
+   FROM (SELECT *, unnest(range(width)) AS position, CASE WHEN distinct_indexes < n OR lo <> 0 OR hi <> n - 1 THEN 'invalid_projection_layout' WHEN width < n - stars THEN 'negative_variadic_span'
+      WHEN stars = 0 AND n <> width THEN 'fixed_projection_count_mismatch' WHEN stars > 1 AND fs + n - ls - 1 > width THEN 'overlapping_projection_edges' END AS problem FROM layout)) p
+ LEFT JOIN items i ON i.query_id = p.query_id AND i.select_index = idx)""", f"items AS ({_ITEMS})", f"""layout AS (
+ SELECT query_id, {_WIDTH} AS width, count(*) AS n, count(DISTINCT select_index) AS distinct_indexes, min(select_index) AS lo, max(select_index) AS hi, count(*) FILTER (WHERE items.variadic) AS stars,
+  min(select_index) FILTER (WHERE items.variadic) AS fs, max(select_index) FILTER (WHERE items.variadic) AS ls FROM items GROUP BY 1)"""))
 def align_lineage(spark, d):
+    """All statements, those with fewer items too."""
     items = t.select_over(spark, _ITEMS, "orders", t.load(spark, d, "orders"))
-    whole = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 4").drop("n")
     relation = lambda name: F.struct(F.lit("").alias("schema_name"), F.lit(name).alias("table_name"))
     listed = items.withColumns(
         {
@@ -41,10 +43,10 @@ def align_lineage(spark, d):
         }
     ).withColumnRenamed("slot", "item").drop("two_relations")
     width = F.expr(_WIDTH)
-    results = whole.select("query_id", F.explode(F.sequence(F.lit(0), width - 1)).alias("position")).withColumn(
+    results = items.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), width - 1)).alias("position")).withColumn(
         "column_name", F.concat(F.lit("r"), F.col("position").cast("string"))
     )
-    aligned = ln.align_lineage(listed.join(whole, "query_id", "left_semi"), results)
+    aligned = ln.align_lineage(listed, results)
     return aligned.select("query_id", F.col("position").cast("bigint").alias("position"), "kind", "operation", "dep_column")
 
 

@@ -225,7 +225,9 @@ def mentioned_tables(spark, d):
     return r.mentioned_tables(questions(spark, d), tables)
 
 
-_EXAMPLES = """SELECT conv_id * 1000 + turn AS example_id, CASE WHEN turn % 3 = 0 THEN text ELSE split_part(text, ' ', 3) END AS question, 'sql' AS description, conv_id % 9 <> 0 AS enabled FROM conversations WHERE role = 'user'"""
+# Every whole text is an example, and some of their words are short ones beside them.
+_EXAMPLES = """SELECT conv_id * 1000 + turn AS example_id, text AS question, 'sql' AS description, conv_id % 9 <> 0 AS enabled FROM conversations WHERE role = 'user'
+ UNION ALL SELECT 1000000000000 + conv_id * 1000 + turn, split_part(text, ' ', 3), 'sql', conv_id % 9 <> 0 FROM conversations WHERE role = 'user' AND turn % 3 <> 0"""
 
 
 @query("match_examples", with_ctes("""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palisade.operators import risk as rk
 from palisade.operators.audit import REQUEST_BUCKETS
 from palisade.plans.mask_queries import CONTACT_RULES, KEY, fingerprint_sql
 from palisade.plans.registry import CHECK_SQL, over_audit, over_contact, query
@@ -251,3 +252,27 @@ def attempts_on_time(spark, d):
     on_time, _ = split_late(arrivals(spark, [tries.filter(c.replace("TIMESTAMP", "TIMESTAMP_NTZ")) for c in conditions]), "ts", "10 minutes", folder)
     fed = follow(spark, f"{folder}/on_time", on_time)
     return run_available(o.attempt_limit(fed, "user_name", 3, 7200.0), "on-time-attempts").select("id", "allowed")
+
+
+_SECOND_HALF = "ts >= TIMESTAMP_NTZ '2024-01-15'"
+
+
+@query("rate_limit_resumed", CHECK_SQL["rate_limits"])
+def rate_limit_resumed(spark, d):
+    """The first half of the log in batch, the second as a stream that starts from the batch run's buckets."""
+    configure_state(spark)
+    bursts = t.from_audit(spark, d, _BURSTS)
+    first, second = bursts.filter(f"NOT {_SECOND_HALF}"), bursts.filter(_SECOND_HALF)
+    states = rk.rate_limit_states(first, _QPS, _SLOTS)
+    live = run_available(o.rate_limit(replay_in_order(spark, second), _QPS, _SLOTS, states=states), "resumed")
+    return rk.rate_limits(first, _QPS, _SLOTS).unionByName(live).select("id", "limit_reason")
+
+
+@query("delivery_resumed", CHECK_SQL["delivery_states"])
+def delivery_resumed(spark, d):
+    """The same of delivery cursors."""
+    configure_state(spark)
+    rows = t.from_audit(spark, d, _DELIVERY)
+    first, second = rows.filter(f"NOT {_SECOND_HALF}"), rows.filter(_SECOND_HALF)
+    live = run_available(o.delivery_state(replay_in_order(spark, second), 3, 7200.0, states=o.delivery_cursors(first, 3, 7200.0)), "resumed")
+    return o.delivery_states(first, 3, 7200.0).unionByName(live).drop("tenant_id", "channel_id")

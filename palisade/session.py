@@ -43,6 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly work on each row: as many partitions as there are cores, where the input has fewer (a file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: the result survives lost executors."""
     path = scratch_path(df.sparkSession, label)

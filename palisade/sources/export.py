@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -73,8 +74,8 @@ def _digest_of_streams(files: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                # A local path comes with one slash only.
-                store, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                # A local path comes with one slash only, and no path is escaped.
+                store, name = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(path, safe=":/@")))
                 found = hashlib.sha256()
                 with store.open_input_stream(name, compression=None) as stream:
                     while data := stream.read(BUFFER_BYTES):

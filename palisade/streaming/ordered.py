@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold
+from palisade.functions.folds import MAX_BLOCK_ROWS, ordered_fold, ordered_states
 from palisade.functions.segments import join_same, previous, time_slice
 from palisade.operators.risk import DEFAULTS, TokenBucket, limit_rows
 
@@ -38,6 +38,23 @@ class _JsonState:
         self.cell.clear()
 
 
+class _Resumable(StatefulProcessor):
+    """A processor whose state is one JSON document, which a batch run (folds.ordered_states) may hand over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, _JsonState(handle)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.state.write(json.loads(initialState["state"].iloc[0]))
+
+    def close(self) -> None:
+        pass
+
+
+def _started(states: DataFrame | None, *keys: str):
+    return None if states is None else states.select(*keys, "state").groupBy(*keys)
+
+
 # Rows of a key that are sorted in memory at once, and rows read back at once from each sorted run.
 SORT_ROWS, READ_ROWS = 50_000, 1_000
 _ORDER = ["at_s", "id"]
@@ -318,15 +335,12 @@ LIMIT_SCHEMA = T.StructType(
 )
 
 
-class _TokenBuckets(StatefulProcessor):
+class _TokenBuckets(_Resumable):
     """One agent's bucket. With `idle` its state ends, by event time, once the bucket is as a new one."""
 
     def __init__(self, qps: float, max_concurrent: int, sort_rows: int, columns: list[str], idle: bool):
         self.qps, self.max_concurrent, self.sort_rows, self.columns, self.idle = qps, max_concurrent, sort_rows, columns, idle
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, _JsonState(handle)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bucket = TokenBucket(self.qps, self.max_concurrent, self.state.read())
         for batch in _in_order(rows, self.sort_rows):
@@ -355,20 +369,17 @@ class _TokenBuckets(StatefulProcessor):
                 self.state.clear()
         return iter(())
 
-    def close(self) -> None:
-        pass
-
 
 def rate_limit(
     stream: DataFrame, qps: float = DEFAULTS["qps_per_agent"], max_concurrent: int = DEFAULTS["max_conns_per_datasource"], sort_rows: int = SORT_ROWS,
-    delay: str | None = None, carried: Column | None = None,
+    delay: str | None = None, carried: Column | None = None, states: DataFrame | None = None,
 ) -> DataFrame:
     """Live token bucket per agent in event-time order; a row behind its bucket's clock is marked late.
 
     Where the stream has a `config` (see risk.resolve_config), the thresholds of rule R008 in it hold for the row. With
     `delay` rows further behind the newest event are left to `runtime.split_late`, and a bucket that has refilled and
     freed its slots is forgotten, which changes no result. `carried` is a text that goes along in place of the id.
-    The batch twin is `operators.risk.rate_limits`.
+    The batch twin is `operators.risk.rate_limits`; with `states` (see risk.rate_limit_states) the stream goes on from there.
     """
     if delay is not None:
         stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -377,7 +388,8 @@ def rate_limit(
     slim = limit_rows(stream, qps, max_concurrent, *([] if carried is None else [carried.alias("carried")]))
     slim = slim if delay is not None else slim.drop("ts")
     return slim.groupBy("tenant_id", "agent_id").transformWithStateInPandas(
-        _TokenBuckets(qps, max_concurrent, sort_rows, columns, delay is not None), schema, "Append", "None" if delay is None else "EventTime"
+        _TokenBuckets(qps, max_concurrent, sort_rows, columns, delay is not None), schema, "Append", "None" if delay is None else "EventTime",
+        _started(states, "tenant_id", "agent_id"),
     )
 
 
@@ -409,13 +421,10 @@ def _attempts(times: list[float], state: dict | None, limit: int, window_s: floa
     return allowed, {"started": started, "count": int(count)}
 
 
-class _AttemptWindows(StatefulProcessor):
+class _AttemptWindows(_Resumable):
     def __init__(self, limit: int, window_s: float, sort_rows: int):
         self.limit, self.window_s, self.sort_rows = limit, window_s, sort_rows
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, _JsonState(handle)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.state.read()
         for batch in _in_order(rows, self.sort_rows):
@@ -434,9 +443,6 @@ class _AttemptWindows(StatefulProcessor):
             self.state.clear()
         return iter(())
 
-    def close(self) -> None:
-        pass
-
 
 def _attempt_rows(df: DataFrame, user: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
@@ -447,28 +453,38 @@ def _attempt_rows(df: DataFrame, user: str) -> DataFrame:
 
 
 def attempt_limit(
-    stream: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, delay: str = "10 minutes", sort_rows: int = SORT_ROWS
-) -> DataFrame:
+    stream: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, delay: str = "10 minutes", sort_rows: int = SORT_ROWS,
+    states: DataFrame | None = None,
+) -> DataFrame:
     """Live attempt budget per tenant and user, in windows that start at the first attempt.
 
-    Rows further behind the newest one than `delay` are dropped; `runtime.split_late` before it keeps them apart.
+    Rows further behind the newest one than `delay` are dropped; `runtime.split_late` before it keeps them apart. With
+    `states` (see attempt_limit_states) the stream goes on where a batch run ended.
     """
     rows = _attempt_rows(stream, user).withWatermark("ts", delay)
     return rows.groupBy("tenant_key", "user_key").transformWithStateInPandas(
-        _AttemptWindows(limit, window_s, sort_rows), ATTEMPT_SCHEMA, "Append", "EventTime"
+        _AttemptWindows(limit, window_s, sort_rows), ATTEMPT_SCHEMA, "Append", "EventTime", _started(states, "tenant_key", "user_key")
     )
 
 
 def attempt_limits(df: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """Batch twin of `attempt_limit`, folding each user in time order and in bounded blocks."""
+    return ordered_fold(*_attempt_fold(df, user, limit, window_s), max_block_rows)
 
+
+def attempt_limit_states(df: DataFrame, user: str, limit: int = MAX_ATTEMPTS, window_s: float = ATTEMPT_WINDOW_S, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    """tenant_key, user_key and the window's `state` after the log."""
+    return ordered_states(*_attempt_fold(df, user, limit, window_s), max_block_rows)
+
+
+def _attempt_fold(df: DataFrame, user: str, limit: int, window_s: float) -> tuple:
     def step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
         allowed, state = _attempts(rows["at_s"].tolist(), state, limit, window_s)
         out = rows[["tenant_key", "user_key", "id"]].copy()
         out["allowed"] = allowed
         return out, state
 
-    return ordered_fold(_attempt_rows(df, user), ["tenant_key", "user_key"], ["ts", "id"], time_slice("ts"), step, ATTEMPT_SCHEMA, max_block_rows)
+    return _attempt_rows(df, user), ["tenant_key", "user_key"], ["ts", "id"], time_slice("ts"), step, ATTEMPT_SCHEMA
 
 
 # Seconds until the next attempt, by attempts made.
@@ -546,13 +562,10 @@ def _deliver(rows: pd.DataFrame, state: dict | None, max_failures: int, lease_s:
     return pd.DataFrame(out, columns=DELIVERY_SCHEMA.fieldNames()), cursor.s
 
 
-class _Deliveries(StatefulProcessor):
+class _Deliveries(_Resumable):
     def __init__(self, max_failures: int, lease_s: float, sort_rows: int):
         self.max_failures, self.lease_s, self.sort_rows = max_failures, lease_s, sort_rows
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = _JsonState(handle)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.state.read()
         for batch in _in_order(rows, self.sort_rows):
@@ -560,35 +573,41 @@ class _Deliveries(StatefulProcessor):
             yield out
         self.state.write(state)
 
-    def close(self) -> None:
-        pass
-
 
 def _delivery_rows(df: DataFrame) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     return df.select("tenant_id", "channel_id", "id", "action", "seq", F.coalesce("token", F.lit("")).alias("token"), "ts", at.alias("at_s"))
 
 
-def delivery_state(stream: DataFrame, max_failures: int = 5, lease_s: float = 60.0, sort_rows: int = SORT_ROWS) -> DataFrame:
+def delivery_state(
+    stream: DataFrame, max_failures: int = 5, lease_s: float = 60.0, sort_rows: int = SORT_ROWS, states: DataFrame | None = None
+) -> DataFrame:
     """Live delivery cursors: tenant_id, channel_id, id, action (claim, ack, release, fail, replay), seq, token, ts.
 
-    A claim sets its token; an ack, release or fail counts only with the token of the lease that still runs.
+    A claim sets its token; an ack, release or fail counts only with the token of the lease that still runs. A channel's
+    cursor is kept for good. With `states` (see delivery_cursors) the stream goes on where a batch run ended.
     """
     rows = _delivery_rows(stream).drop("ts")
     return rows.groupBy("tenant_id", "channel_id").transformWithStateInPandas(
-        _Deliveries(max_failures, lease_s, sort_rows), DELIVERY_SCHEMA, "Append", "None"
+        _Deliveries(max_failures, lease_s, sort_rows), DELIVERY_SCHEMA, "Append", "None", _started(states, "tenant_id", "channel_id")
     )
 
 
 def delivery_states(df: DataFrame, max_failures: int = 5, lease_s: float = 60.0, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """Batch twin of `delivery_state`."""
+    return ordered_fold(*_delivery_fold(df, max_failures, lease_s), max_block_rows)
 
+
+def delivery_cursors(df: DataFrame, max_failures: int = 5, lease_s: float = 60.0, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    """tenant_id, channel_id and the cursor's `state` after the log."""
+    return ordered_states(*_delivery_fold(df, max_failures, lease_s), max_block_rows)
+
+
+def _delivery_fold(df: DataFrame, max_failures: int, lease_s: float) -> tuple:
     def step(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
         return _deliver(rows, state, max_failures, lease_s)
 
-    return ordered_fold(
-        _delivery_rows(df), ["tenant_id", "channel_id"], ["ts", "id"], time_slice("ts"), step, DELIVERY_SCHEMA, max_block_rows
-    )
+    return _delivery_rows(df), ["tenant_id", "channel_id"], ["ts", "id"], time_slice("ts"), step, DELIVERY_SCHEMA
 
 
 HISTORY, SALTS = 200, 16

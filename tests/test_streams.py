@@ -336,3 +336,16 @@ def test_a_replay_spreads_each_batch_over_files(spark, sf_dir):
     got = sorted(map(tuple, sizes.collect()), key=lambda r: r[1])
     assert sum(n for n, _, _ in got) == log.count() and max(n for n, _, _ in got) <= 40
     assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+
+
+def test_streams_go_on_from_a_batch_run(spark, parts):
+    log, cut = parts
+    slow = lambda df: df.withColumn("latency_ms", F.col("latency_ms") * 60000)
+    before = cut[0].unionByName(cut[1])
+    for blocks in ({}, {"max_block_rows": 20}):
+        states = rk.rate_limit_states(slow(before), 0.0005, 2, **blocks)
+        live = run_available(o.rate_limit(batches(spark, [slow(cut[2])]), 0.0005, 2, states=states), "resumed")
+        assert rows(live.unionByName(rk.rate_limits(slow(before), 0.0005, 2))) == rows(rk.rate_limits(slow(log), 0.0005, 2))
+    states = o.attempt_limit_states(before, "agent_id", 2, 86400.0)
+    live = run_available(o.attempt_limit(batches(spark, [cut[2]]), "agent_id", 2, 86400.0, states=states), "resumed-attempts")
+    assert rows(live.unionByName(o.attempt_limits(before, "agent_id", 2, 86400.0))) == rows(o.attempt_limits(log, "agent_id", 2, 86400.0))
