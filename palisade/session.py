@@ -44,9 +44,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For costly work on each row: as many partitions as there are cores, where the input has fewer (a file of one row group)."""
+    """For costly work on each row: as many partitions as there are cores, where the input has fewer files (of one row group each)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
