@@ -89,7 +89,8 @@ def build_manifest(spark: SparkSession, folder: str, max_bytes: int = MAX_HASHED
     """Path within the folder, size and SHA-256 of each data file, hashed where the files are read.
 
     Spark reads a file of up to `max_bytes` as one value; a larger one is streamed through a buffer of a few megabytes, from
-    a store that the tasks can open by its address (local or shared folders, object stores, Hadoop).
+    a store that the tasks can open by its address (local or shared folders, object stores, Hadoop). Spark lists no file
+    without content, so an empty file is in no manifest.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.substring("path", len(_qualified(spark, folder)) + 2, 10_000).alias("name")

@@ -240,7 +240,7 @@ def test_manifest_of_a_partitioned_folder(spark):
     manifest = spark.createDataFrame(ex.build_manifest(spark, path).collect())
     assert sorted(r["name"] for r in manifest.collect()) == ["p=a/part-0.csv", "p=b/part-0.csv"]
     assert ex.verify_manifest(spark, path, manifest).count() == 0
-    assert {r["problem"] for r in ex.verify_manifest(spark, path, ex.build_manifest(spark, path, max_bytes=0)).collect()} == {"digest_mismatch"}
+    assert ex.verify_manifest(spark, path, ex.build_manifest(spark, path, max_bytes=0)).count() == 0
 
 
 def test_shared_folder_is_the_named_one(spark):
