@@ -4,7 +4,7 @@ Spark partitions and sorts the rows; a task then passes over them in Arrow batch
 only a small state per key, so no key is ever held in memory as a whole. A key that is too long
 for one task (checked by an aggregate) is cut into blocks of bounded size: block n of all keys
 runs together before block n+1 and hands its states over through the shared folder, so a lost
-executor costs at most one block.
+executor costs at most one block. Every block costs a job, so a long key gets larger blocks rather than more of them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from palisade.session import scratch_path
 Step = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
 
 MAX_BLOCK_ROWS = 20_000_000
+# Blocks of a key as long as each stays within MAX_BLOCK_ROWS.
+MAX_BLOCKS = 8
 _STATE = "__state"
 
 
@@ -68,11 +70,15 @@ def ordered_fold(
     output: T.StructType,
     max_block_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
-    """Fold each key's rows in `order`. `output` must contain the keys; `slice_col` must follow `order`."""
+    """Fold each key's rows in `order`. `output` must contain the keys; `slice_col` must follow `order`.
+
+    A key of more than `max_block_rows` rows is folded in blocks (see block_rows).
+    """
     keys, order, columns = list(keys), list(order), output.fieldNames()
-    if _longest(df, keys) <= max_block_rows:
+    longest = _longest(df, keys)
+    if longest <= max_block_rows:
         return _sorted(df, keys, order).mapInPandas(_pass(step, keys, columns, False), output)
-    folded, schema = _in_blocks(df, keys, order, slice_col, step, output, max_block_rows)
+    folded, schema = _in_blocks(df, keys, order, slice_col, step, output, block_rows(longest, max_block_rows))
     return df.sparkSession.read.schema(schema).parquet(*folded).filter(F.col(_STATE).isNull()).drop(_STATE)
 
 
@@ -87,12 +93,13 @@ def ordered_states(
 ) -> DataFrame:
     """The keys and the state of each after the same fold, as JSON text in `state`: where a stream can carry on."""
     keys, order = list(keys), list(order)
-    if _longest(df, keys) <= max_block_rows:
+    longest = _longest(df, keys)
+    if longest <= max_block_rows:
         schema = T.StructType([*output.fields, T.StructField(_STATE, T.StringType())])
         rows = _sorted(df, keys, order).withColumn(_STATE, F.lit(None).cast("string"))
         done = rows.mapInPandas(_pass(step, keys, output.fieldNames(), True), schema)
         return done.filter(F.col(_STATE).isNotNull()).select(*keys, F.col(_STATE).alias("state"))
-    folded, schema = _in_blocks(df, keys, order, slice_col, step, output, max_block_rows)
+    folded, schema = _in_blocks(df, keys, order, slice_col, step, output, block_rows(longest, max_block_rows))
     spark, found = df.sparkSession, None
     for number, path in enumerate(folded):
         here = spark.read.schema(schema).parquet(path).filter(F.col(_STATE).isNotNull()).select(*keys, F.lit(number).alias("__block"), _STATE)
@@ -100,6 +107,11 @@ def ordered_states(
     return found.groupBy(*keys).agg(F.max_by(_STATE, "__block").alias("state"))
 
 
+def block_rows(longest: int, asked: int) -> int:
+    """Rows of a block: as asked, or more where that would make over MAX_BLOCKS blocks, but then never over MAX_BLOCK_ROWS."""
+    return max(asked, min(MAX_BLOCK_ROWS, -(-longest // MAX_BLOCKS)))
+
+
 def _longest(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 

@@ -117,7 +117,7 @@ def sparse_chain(spark, d):
     "SELECT id, reason AS limit_reason FROM bucket": "SELECT id, reason AS limit_reason FROM bucket UNION ALL SELECT id, 'no_time' FROM bursts WHERE ts IS NULL",
 }))
 def sparse_rate_limits(spark, d):
-    """In blocks of 150 rows, each handing its buckets on to the next."""
+    """In several blocks, each handing its buckets on to the next."""
     bursts = sparse(spark, d).withColumn("latency_ms", F.col("latency_ms") * 60000)
     return rk.rate_limits(bursts, _QPS, _SLOTS, max_block_rows=150).select("id", "limit_reason")
 

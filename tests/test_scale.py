@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palisade.functions import folds
 from palisade.functions.contains import contains_pairs
 from palisade.functions.segments import previous, row_numbers, running, time_slice
 from palisade.operators import chain as c
@@ -53,6 +54,15 @@ def test_blocked_folds_equal_one_pass(skewed):
     assert rows(o.attempt_limits(tries, "user_name", 2, 86400.0)) == rows(o.attempt_limits(tries, "user_name", 2, 86400.0, max_block_rows=5))
 
 
+def test_a_long_key_gets_larger_blocks_not_more(skewed, monkeypatch):
+    taken = []
+    inner = folds._in_blocks
+    monkeypatch.setattr(folds, "_in_blocks", lambda *a: taken.append(inner(*a)) or taken[-1])
+    assert rows(c.build_chain(skewed, CONFIG, max_block_rows=3)) == rows(c.build_chain(skewed, CONFIG))
+    assert [len(paths) for paths, _ in taken] == [folds.MAX_BLOCKS]
+    assert folds.block_rows(100, 20) == 20 and folds.block_rows(10**12, 20) == folds.MAX_BLOCK_ROWS
+
+
 def test_contains_agrees_with_brute_force(spark):
     rng = random.Random(3)
     words = ["ab", "a", "中文", "the cat", "cat", "atc", "xyz", "ca", "tt"]
