@@ -280,11 +280,15 @@ def _replay(policies: DataFrame, probes: DataFrame, name: str) -> DataFrame:
     scope = ["tenant_id", "agent_id", "datasource_id"]
     plain = (F.col("object_type") == "table") & F.col("columns").isNull() & F.col("row_filter").isNull()
     opaque = policies.filter(~plain | ~F.col("action").isin("allow", "deny")).select(*scope).distinct().withColumn("opaque", F.lit(True))
+    # Policies are folded to one row per scope and pattern, so a probe meets at most one for each of its patterns.
+    folded = policies.groupBy(*scope, F.col("object_name").alias("pattern")).agg(
+        F.bool_or(F.col("action") == "deny").alias("deny"), F.bool_or(F.col("action") == "allow").alias("allow")
+    )
     hits = (
         probes.select("probe_id", *scope, F.inline(object_patterns(F.col("schema_name"), F.col("table_name"))))
-        .join(policies.select(*scope, F.col("object_name").alias("pattern"), "action"), [*scope, "pattern"])
+        .join(folded, [*scope, "pattern"])
         .groupBy("probe_id")
-        .agg(F.bool_or(F.col("action") == "deny").alias("deny"), F.bool_or(F.col("action") == "allow").alias("allow"))
+        .agg(F.bool_or("deny").alias("deny"), F.bool_or("allow").alias("allow"))
     )
     decided = probes.select("probe_id", *scope).join(opaque, scope, "left").join(hits, "probe_id", "left")
     verdict = F.when(F.col("opaque"), "unknown").when(F.col("deny"), "deny").when(F.col("allow"), "candidate").otherwise("deny")
