@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palisade.functions.profile import per_column
 from palisade.functions.text import as_column, utrim
 from palisade.functions.validators import validator
+from palisade.session import spread
 
 # Categories in order of preference, and the name phrases of each.
 CATEGORIES = ("phone", "email", "idcard", "bankcard", "ip", "birthdate", "date", "number", "generic")
@@ -65,21 +66,18 @@ def name_tokens(c: Column | str) -> Column:
 def classify_columns(catalog: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
     """Adds category, strength and signal to the columns whose name matches a phrase.
 
-    The phrases are held in order of precedence, so the first contained one wins and no
-    shuffle is needed. The allow-list is applied to the winner, not to the candidates.
+    The phrases are held in order of precedence, so the first contained one wins. A name is split once and its winner
+    looked for once: both stand behind one generator, which no later projection or filter repeats. The allow-list is
+    applied to the winner, not to the candidates.
     """
     padded = F.concat(F.lit(" "), F.array_join(name_tokens("column_name"), " "), F.lit(" "))
     phrases = F.array(
         *[F.struct(F.lit(f" {p} ").alias("phrase"), F.lit(c).alias("category"), F.lit(s).alias("strength")) for p, c, s in _ranked_phrases()]
     )
-    winner = F.get(F.filter(phrases, lambda p: F.col("__padded").contains(p["phrase"])), F.lit(0))
-    found = (
-        catalog.withColumn("__padded", padded)
-        .withColumn("__winner", winner)
-        .filter(F.col("__winner").isNotNull())
-        .withColumns({"category": F.col("__winner.category"), "strength": F.col("__winner.strength")})
-        .drop("__padded", "__winner")
-    )
+    winners = F.flatten(F.transform(F.array(padded), lambda text: F.slice(F.filter(phrases, lambda p: text.contains(p["phrase"])), 1, 1)))
+    held = [c for c in catalog.columns if c.lower() not in ("category", "strength")]
+    found = spread(catalog).select(*held, F.explode(winners).alias("__winner"))
+    found = found.select(*held, F.col("__winner.category").alias("category"), F.col("__winner.strength").alias("strength"))
     if categories is not None:
         found = found.filter(F.col("category").isin(*categories))
     return found.withColumn("signal", F.concat_ws("_", F.lit("column_name"), "strength", "category"))

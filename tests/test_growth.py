@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palisade.operators import discover
 from palisade.operators import policy as p
 
 
@@ -21,3 +22,11 @@ def test_replay_folds_policies_of_one_scope_before_probes_meet_them(spark):
     out = p.policy_replay(before, after, probes)
     assert rows(out) == [(0, "deny", "deny"), (1, "deny", "candidate"), (2, "deny", "deny"), (3, "deny", "candidate")]
     assert sum("object_name" in line for line in optimized(out).splitlines() if "Aggregate [" in line) == 2
+
+
+def test_a_name_is_split_once(spark):
+    names = spark.createDataFrame([(1, "userPhoneNumber"), (2, "x9"), (3, None), (4, "price_date"), (5, "full name")], "column_id int, column_name string")
+    out = discover.classify_columns(names)
+    assert rows(out.select("column_id", "category", "strength", "signal")) == [
+        (1, "phone", "strong", "column_name_strong_phone"), (4, "date", "strong", "column_name_strong_date"), (5, "generic", "strong", "column_name_strong_generic")]
+    assert optimized(out).count("regexp_replace(regexp_replace(") == 1
