@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.hashing import row_digest, set_digest
-from palisade.functions.segments import row_numbers, time_slice
+from palisade.functions.segments import join_same, row_numbers, time_slice
 from palisade.functions.text import utrim
 from palisade.operators.recursion import leading_into_cycles, recurse
+from palisade.session import materialize
 
 
 def _blank(c: str | Column) -> Column:
@@ -305,22 +306,30 @@ def effective_permissions(roles: DataFrame, parents: DataFrame, permissions: Dat
 
     A user who reaches an unknown role or a cycle is forbidden: one row with `forbidden` set and
     no permission. `roles`: role_id; `parents`: role_id, parent_id; `permissions`: role_id, permission. Only the
-    roles that users hold are followed upwards, so no pairs of roles are kept.
+    roles that users hold are followed upwards, so no pairs of roles are kept; users who hold the same roles share one
+    set of them, which is followed once.
     """
+    own = user_roles.select("user_id", "role_id").repartition("user_id").distinct()
+    in_set = F.unhex(F.substring(set_digest(row_digest(["role_id"])), 1, 32))
+    members = materialize(own.groupBy("user_id").agg(in_set.alias("set_id")), "role-sets")
     edges = parents.select("role_id", "parent_id").distinct()
     reached = recurse(
-        user_roles.select("user_id", "role_id"),
-        lambda held: held.join(edges, "role_id").select("user_id", F.col("parent_id").alias("role_id")),
+        join_same(own, members, ["user_id"]).select("set_id", "role_id"),
+        lambda held: held.join(edges, "role_id").select("set_id", F.col("parent_id").alias("role_id")),
         distinct=True,
     )
-    unknown = reached.join(roles.select("role_id").distinct(), "role_id", "left_anti").select("user_id")
-    looping = reached.join(leading_into_cycles(edges, "role_id", "parent_id"), "role_id", "left_semi").select("user_id")
-    forbidden = unknown.unionByName(looping).distinct()
+    unknown = reached.join(roles.select("role_id").distinct(), "role_id", "left_anti").select("set_id")
+    looping = reached.join(leading_into_cycles(edges, "role_id", "parent_id"), "role_id", "left_semi").select("set_id")
+    bad = unknown.unionByName(looping).distinct()
+    forbidden = members.join(bad, "set_id", "left_semi")
+    # A user without an id is not told from others without one, so nobody's roles forbid that user the own permissions.
+    trusted = members.filter(F.col("user_id").isNotNull()).join(bad, "set_id", "left_anti").unionByName(members.filter(F.col("user_id").isNull()))
     held = (
         reached.join(permissions, "role_id")
-        .select("user_id", "permission")
+        .select("set_id", "permission")
         .distinct()
-        .join(forbidden, "user_id", "left_anti")
+        .join(trusted, "set_id")
+        .select("user_id", "permission")
         .withColumn("forbidden", F.lit(False))
     )
     return held.unionByName(

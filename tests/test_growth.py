@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palisade.operators import discover
 from palisade.operators import policy as p
+from palisade.operators import recursion
 
 
 def rows(df):
@@ -30,3 +31,17 @@ def test_a_name_is_split_once(spark):
     assert rows(out.select("column_id", "category", "strength", "signal")) == [
         (1, "phone", "strong", "column_name_strong_phone"), (4, "date", "strong", "column_name_strong_date"), (5, "generic", "strong", "column_name_strong_generic")]
     assert optimized(out).count("regexp_replace(regexp_replace(") == 1
+
+
+def test_users_with_the_same_roles_share_their_closure(spark, monkeypatch):
+    roles = spark.createDataFrame([(f"r{i}",) for i in range(5)], "role_id string")
+    parents = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(4)], "role_id string, parent_id string")
+    permissions = spark.createDataFrame([("r4", "p4"), ("r1", "p1"), ("r1", None)], "role_id string, permission string")
+    held = [(i, r) for i in range(30) for r in ("r0", "r2")] + [(30, "r0"), (31, "ghost"), (32, None), (None, "r1"), (None, "ghost")]
+    seeds, inner = [], recursion.recurse
+    monkeypatch.setattr(p, "recurse", lambda seed, *a, **k: seeds.append(seed.distinct().count()) or inner(seed, *a, **k))
+    got = rows(p.effective_permissions(roles, parents, permissions, spark.createDataFrame(held * 2, "user_id int, role_id string")))
+    users = [*range(31), None]
+    want = [(u, x, False) for u in users for x in ("p4", "p1", None)] + [(u, None, True) for u in (31, 32, None)]
+    assert got == sorted(want, key=repr)
+    assert seeds == [2 + 1 + 1 + 1 + 2]
