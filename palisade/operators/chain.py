@@ -289,6 +289,8 @@ def _checkpoint_parts() -> list[Column]:
     return parts
 
 
+# Checkpoints of a chain that one task links: their framed texts are about 120 bytes each when shuffled.
+LINK_BLOCK_ROWS = 2_000_000
 LINK_SCHEMA = T.StructType(
     [
         T.StructField("tenant_id", T.StringType()),
@@ -299,7 +301,7 @@ LINK_SCHEMA = T.StructType(
 )
 
 
-def link_checkpoints(checkpoints: DataFrame, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+def link_checkpoints(checkpoints: DataFrame, max_block_rows: int = LINK_BLOCK_ROWS) -> DataFrame:
     """Adds each checkpoint's `previous_sha256`, the digest of the one before it, by place; the first has none.
 
     A digest covers the link itself, which is its last field, so everything before it is framed beforehand and

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from palisade.operators import chain as c
 from palisade.operators import discover
 from palisade.operators import policy as p
 from palisade.operators import recursion
@@ -45,3 +50,15 @@ def test_users_with_the_same_roles_share_their_closure(spark, monkeypatch):
     want = [(u, x, False) for u in users for x in ("p4", "p1", None)] + [(u, None, True) for u in (31, 32, None)]
     assert got == sorted(want, key=repr)
     assert seeds == [2 + 1 + 1 + 1 + 2]
+
+
+def test_a_long_chain_of_checkpoints_is_linked_in_blocks(spark, monkeypatch):
+    base = dt.datetime(2024, 1, 1)
+    frame = spark.range(1, 41).select(
+        F.lit("t").alias("tenant_id"), F.lit("c").alias("chain_id"), F.col("id").alias("ordinal"), F.sha2(F.col("id").cast("string"), 256).alias("archive_sha256"),
+        F.lit(base).cast("timestamp_ntz").alias("created_at"), F.lit(base).cast("timestamp_ntz").alias("signed_at"), F.col("id").alias("head_seq"), F.lit("h").alias("head_hash"),
+    )
+    whole, blocks = rows(c.link_checkpoints(frame)), rows(c.link_checkpoints(frame, max_block_rows=9))
+    assert whole == blocks and len(whole) == 40
+    # What one task reads does not grow with the chain: about 120 bytes a row of a block.
+    assert c.link_checkpoints.__defaults__[0] * 120 < 300_000_000
