@@ -69,13 +69,13 @@ def test_a_long_chain_of_checkpoints_is_linked_in_blocks(spark, monkeypatch):
 def test_copies_of_questions_and_examples_do_not_multiply(spark, monkeypatch):
     texts = ["show the total", "total", " Total ", "the", "show the total now", ""]
     asked = [(i, texts[i % 6]) for i in range(48)] + [(3, "other the"), (None, "the")]
-    known = [(100 - i, texts[i % 5] + ("!" * 40 if i % 7 == 0 else ""), "d" * (1500 if i % 3 == 0 else 4090 if i % 11 == 0 else 5), i % 13 != 0) for i in range(90)]
+    known = [(1000 - i, texts[i % 5] + ("!" * 40 if i % 7 == 0 else ""), "d" * (1500 if i % 3 == 0 else 4090 if i % 11 == 0 else 5), i % 13 != 0) for i in range(900)]
     met, inner = [], r._first_hits
     monkeypatch.setattr(r, "_first_hits", lambda pairs, *a: met.append(pairs.count()) or inner(pairs, *a))
     questions = spark.createDataFrame(asked * 2, "question_id int, text string")
     examples = spark.createDataFrame(known * 2, "example_id int, question string, description string, enabled boolean")
     got = rows(r.match_examples(questions, examples).filter("question_id IS NOT NULL").select("question_id", "rank", "example_id"))
-    want = []
+    want, every = [], 0
     for q in {i for i, _ in asked if i is not None}:
         own = [x.strip().lower() for i, x in asked if i == q and x.strip()]
         hits, used, taken = set(), 2, []
@@ -83,11 +83,11 @@ def test_copies_of_questions_and_examples_do_not_multiply(spark, monkeypatch):
             sample = question.strip().lower()
             if enabled and sample and any(sample in x or x in sample for x in own):
                 hits.add((e, len(json.dumps({"question": question, "description": text}, separators=(",", ":")))))
+        every += len(hits)
         for e, size in sorted(hits):
             if used + size + 1 <= r.MAX_HINT_BYTES and len(taken) < r.MAX_EXAMPLES:
                 used, taken = used + size + 1, [*taken, e]
         want += [(q, at, e) for at, e in enumerate(taken, start=1)]
     assert got == sorted(want, key=repr)
-    # At most four of each size a text, though each question has up to eighty examples.
-    sizes = len({(q, s) for _, q, s, _ in known})
-    assert met[0] <= 50 * r.MAX_EXAMPLES * sizes and met[0] < 1200
+    # Of each size a few, though hundreds of examples match a question.
+    assert met[0] * 4 < every
