@@ -11,6 +11,7 @@ from palisade.operators import chain as c
 from palisade.operators import discover
 from palisade.operators import policy as p
 from palisade.operators import recursion
+from palisade.operators import redact
 from palisade.operators import retrieval as r
 
 
@@ -91,3 +92,23 @@ def test_copies_of_questions_and_examples_do_not_multiply(spark, monkeypatch):
     assert got == sorted(want, key=repr)
     # Of each size a few, though hundreds of examples match a question.
     assert met[0] * 4 < every
+
+
+def test_a_log_of_outputs_is_not_dealt_by_origin_or_name(spark):
+    columns = "query_id int, output_index int, result_name string, arm_index int, kind string, operation string, status string, dep_schema string, dep_table string, dep_column string, dep_role string, possible_relations array<struct<schema_name:string,table_name:string>>"
+    log = [(i, 0, "total", 0, "direct", "", "resolved", "s", "t", "Phone", "value", [("s", "u")]) for i in range(3000)]
+    log += [(i, 1, "phone", 0, "constant", "", "source_free", None, None, None, None, [("s", "u")]) for i in range(3000)]
+    log += [(i, 2, "x", 0, "opaque", "", "unresolved", None, None, None, None, [("s", "u" if i % 2 else "w")]) for i in range(3000)]
+    rules = spark.createDataFrame([("r1", "", "", "phone", "phone", "mask"), ("r2", "s", "u", "mail", "email", "mask")], "rule_id string, schema_name string, table_name string, column_name string, sensitive_type string, algorithm string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        out = redact.decide_output_masks(spark.createDataFrame(log, columns), rules)
+        plan, got = out._jdf.queryExecution().executedPlan().toString(), rows(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    want = [(i, j, "rule", "r1", "phone", False) for i in range(3000) for j in (0, 1)] + [(i, 2, "block", None, "email", True) for i in range(1, 3000, 2)]
+    assert got == sorted(want, key=repr)
+    # A few settled values meet the log where it lies; a hash of them would put most of it into a few tasks.
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all("query_id" in line and "output_index" in line for line in dealt)
