@@ -115,13 +115,14 @@ STREAM_SCHEMA = T.StructType(
 )
 
 
-_HELD = T.StructType([T.StructField("id", T.LongType()), T.StructField("at_ms", T.LongType())])
 _NUMBER = T.StructType([T.StructField("n", T.LongType())])
 # What a block step hands over: events and gaps of its own, and notices about the block for the tenant's step.
 _STEP_SCHEMA = T.StructType(
     [*STREAM_SCHEMA.fields, T.StructField("lane", T.LongType()), T.StructField("version", T.LongType()), T.StructField("at", T.TimestampType())]
 )
 _NOTICES = -1
+# Numbers whose waiting events are one entry of the state: each call to the state costs more than its bytes.
+PACK = 512
 KEEP_MS = 7 * 86_400_000
 
 
@@ -138,12 +139,29 @@ class _OrderedBlock(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, _JsonState(handle)
-        # Events that wait for an earlier number: a map, so a batch touches only its own entries.
-        self.held = handle.getMapState("held", _NUMBER, _HELD)
+        # Events that wait for an earlier number: a map, so a batch writes only the packs of its own numbers.
+        self.held = handle.getMapState("held", _NUMBER, _TEXT)
 
-    def _read(self, key) -> dict:
+    def _read(self, key) -> tuple[dict, dict[int, tuple]]:
+        """The block's state, and its waiting events (id, time) by number: at most a block's."""
         fresh = {"next": max(int(key[1]) * self.block, self.cursor + 1), "first": None, "open": False, "version": 0, "latest": 0, "timer": None, "retire": None}
-        return self.state.read() or fresh
+        state, self.touched, self.packs = self.state.read(), set(), set()
+        if state is None:
+            return fresh, {}
+        waiting = {}
+        for (pack,), (text,) in self.held.iterator():
+            self.packs.add(pack)
+            waiting |= {seq: (row_id, at) for seq, row_id, at in json.loads(text)}
+        return state, waiting
+
+    def _write(self, state: dict, waiting: dict[int, tuple]) -> None:
+        for pack in sorted(self.touched):
+            kept = [(seq, *waiting[seq]) for seq in range(pack * PACK, (pack + 1) * PACK) if seq in waiting]
+            if kept:
+                self.held.updateValue((pack,), (json.dumps(kept),))
+            elif pack in self.packs:
+                self.held.removeKey((pack,))
+        self.state.write(state)
 
     def _rows(self, key, timerValues, state: dict, events, gaps, notices) -> pd.DataFrame:
         tenant, lane = key[0], int(key[1])
@@ -155,11 +173,11 @@ class _OrderedBlock(StatefulProcessor):
         out["at"] = pd.Timestamp(max(state["latest"], timerValues.getCurrentWatermarkInMs() + 1), unit="ms")
         return out.astype({c: "Int64" for c in ("seq", "id", "gap_end", "lane", "version")})
 
-    def _drain(self, state: dict) -> list[tuple[int, int]]:
+    def _drain(self, state: dict, waiting: dict[int, tuple]) -> list[tuple[int, int]]:
         events = []
-        while self.held.containsKey((state["next"],)):
-            events.append((state["next"], self.held.getValue((state["next"],))[0]))
-            self.held.removeKey((state["next"],))
+        while state["next"] in waiting:
+            events.append((state["next"], waiting.pop(state["next"])[0]))
+            self.touched.add(state["next"] // PACK)
             state["next"] += 1
         if events and state["first"] is None:
             state["first"] = events[0][0]
@@ -181,25 +199,26 @@ class _OrderedBlock(StatefulProcessor):
             self.handle.registerTimer(target)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, notices, now = self._read(key), [], timerValues.getCurrentWatermarkInMs()
+        (state, waiting), notices, now = self._read(key), [], timerValues.getCurrentWatermarkInMs()
         for batch in rows:
             state["latest"] = max(state["latest"], int(batch["at_ms"].max()))
             for seq, row_id, at in zip(batch["seq"].tolist(), batch["id"].tolist(), batch["at_ms"].tolist()):
-                if seq >= state["next"] and not self.held.containsKey((seq,)):
-                    self.held.updateValue((seq,), (row_id, max(int(at), now + 1)))
+                if seq >= state["next"] and seq not in waiting:
+                    waiting[seq] = (None if pd.isna(row_id) else int(row_id), max(int(at), now + 1))
+                    self.touched.add(seq // PACK)
         if not state["open"]:
             notices.append(self._notice(state, "open"))
-        events = self._drain(state)
-        self._settle(key, state, [v[1] for v in self.held.values()], notices, now)
-        self.state.write(state)
+        events = self._drain(state, waiting)
+        self._settle(key, state, [at for _, at in waiting.values()], notices, now)
+        self._write(state, waiting)
         yield self._rows(key, timerValues, state, events, [], notices)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, now, fired = self._read(key), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        (state, waiting), now, fired = self._read(key), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
         if state["timer"] is None or (fired not in (state["timer"], state["retire"])):
             return
         events, gaps, notices = [], [], []
-        for upcoming, (_, at) in sorted((k[0], v) for k, v in self.held.iterator()):
+        for upcoming, (_, at) in sorted(waiting.items()):
             if upcoming < state["next"]:
                 continue
             if at > now:
@@ -207,21 +226,21 @@ class _OrderedBlock(StatefulProcessor):
             if state["first"] is not None:
                 gaps.append((state["next"], upcoming - 1))
             state["next"] = upcoming
-            events += self._drain(state)
-        waiting = [v[1] for v in self.held.values()]
-        self._settle(key, state, waiting, notices, now)
+            events += self._drain(state, waiting)
+        self._settle(key, state, [at for _, at in waiting.values()], notices, now)
         if not waiting and state["latest"] <= now:
             whole = state["next"] >= (int(key[1]) + 1) * self.block
             if whole or (state["retire"] is not None and state["retire"] <= now):
                 # Copies of its events are behind the watermark, which drops them; the tenant's step knows how far it came.
                 self.state.clear()
                 self.held.clear()
-            elif state["retire"] is None or state["retire"] < state["latest"] + KEEP_MS:
-                state["retire"] = state["latest"] + KEEP_MS
-                self.handle.registerTimer(state["retire"])
-                self.state.write(state)
+            else:
+                if state["retire"] is None or state["retire"] < state["latest"] + KEEP_MS:
+                    state["retire"] = state["latest"] + KEEP_MS
+                    self.handle.registerTimer(state["retire"])
+                self._write(state, waiting)
         else:
-            self.state.write(state)
+            self._write(state, waiting)
         if events or gaps or notices:
             yield self._rows(key, timerValues, state, events, gaps, notices)
 

@@ -229,6 +229,53 @@ def test_gaps_between_blocks_show_while_the_stream_runs(spark):
     assert gaps[0][2] < late_number  # before the block's later events had even come
 
 
+class _Counted:
+    """State in memory, for a value (key None) or a map, that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def __getattr__(self, name):
+        held = self.rows
+        call = {
+            "exists": lambda: bool(held), "get": lambda: held.get(None), "update": lambda v: held.update({None: v}), "clear": held.clear,
+            "containsKey": lambda k: k in held, "getValue": held.get, "updateValue": lambda k, v: held.update({k: v}), "removeKey": held.pop,
+            "iterator": lambda: iter(list(held.items())), "keys": lambda: iter(list(held)), "values": lambda: iter(list(held.values())),
+        }[name]
+        return lambda *a: (self.calls.append(name), call(*a))[1]
+
+
+def test_waiting_events_cost_a_few_calls_to_the_state_a_block():
+    class Handle:
+        calls, made, timers = [], {}, []
+
+        def getValueState(self, name, schema):
+            return self.made.setdefault(name, _Counted(self.calls))
+
+        getMapState = lambda self, name, *schemas: self.getValueState(name, None)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+    handle, step, given = Handle(), o._OrderedBlock(2000, 0), []
+    step.init(handle)
+    # Number 2000 is missing and all others wait for it, but for a second hole; copies of a waiting number do nothing.
+    numbers = [n for n in range(2001, 4000) if n != 3000]
+    for part in (numbers[::2], numbers[1::2] + numbers[:50]):
+        batch = pd.DataFrame({"seq": part, "id": [n * 10 if n % 5 else None for n in part], "at_ms": [1000] * len(part)})
+        given += list(step.handleInputRows(("t", 1), iter([batch]), Clock(0)))
+    given += list(step.handleExpiredTimer(("t", 1), Clock(1000), Clock(handle.timers[0])))
+    out = pd.concat(given)
+    assert [tuple(x) for x in out[out.kind == "gap"][["seq", "gap_end"]].values] == [(3000, 3000)]
+    events = out[out.kind == "event"]
+    assert events.seq.tolist() == numbers and [None if pd.isna(i) else i for i in events.id] == [n * 10 if n % 5 else None for n in numbers]
+    assert not handle.made["held"].rows and len(handle.calls) < 60
+
+
 def test_closed_blocks_leave_no_state(spark):
     frames = [events(spark, range(1, 40)), events(spark, [45], minute=1), events(spark, [500], tenant="~", minute=60), events(spark, [501], tenant="~", minute=90)]
     stream, checkpoint = o.audit_stream(batches(spark, frames), block=10), scratch_path(spark, "closed-checkpoint")
