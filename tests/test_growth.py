@@ -112,3 +112,19 @@ def test_a_log_of_outputs_is_not_dealt_by_origin_or_name(spark):
     # A few settled values meet the log where it lies; a hash of them would put most of it into a few tasks.
     dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert dealt and all("query_id" in line and "output_index" in line for line in dealt)
+
+
+def test_a_keyword_of_many_questions_does_not_fill_a_task(spark, monkeypatch):
+    monkeypatch.setattr(r, "PAIRS_PER_TASK", 2000, raising=False)
+    tables = spark.createDataFrame([(i, f"ring_{i}", "") for i in range(2000)] + [(5000, "Gear", None), (5000, "gear", "a gear"), (None, "ring", "")], "table_id bigint, name string, comment string")
+    fields = spark.createDataFrame([(5000, "gear_no", "Gear"), (None, "ring", "ring")], "table_id bigint, field_name string, comment string")
+    asked = spark.createDataFrame([(q, "Ring ") for q in range(30)] + [(30, "gear"), (30, ""), (None, "gear"), (None, "none")], "question_id bigint, keyword string")
+    out = r.keyword_scores(tables, fields, asked)
+    placed = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(x["count"] for x in placed) == 30 * 2000 + 1 and max(x["count"] for x in placed) < 4000
+    assert rows(out) == sorted([(q, i, 0.38) for q in range(30) for i in range(2000)] + [(30, 5000, 1.0)], key=repr)
+    # Questions with the same keywords share a ranking; a question without an id has its own.
+    want = [(q, i, 0.38, i + 1) for q in range(30) for i in range(20)] + [(30, 5000, 1.0, 1)]
+    best = r.best_tables(tables, fields, asked).select("question_id", "table_id", "score", "rank")
+    assert rows(best.filter("question_id IS NOT NULL")) == sorted(want, key=repr)
+    assert rows(best.filter("question_id IS NULL").select("table_id", "score")) == [(5000, 1.0)]
