@@ -13,6 +13,7 @@ from palisade.operators import policy as p
 from palisade.operators import recursion
 from palisade.operators import redact
 from palisade.operators import retrieval as r
+from palisade.plans.catalog import QUERIES
 
 
 def rows(df):
@@ -128,3 +129,22 @@ def test_a_keyword_of_many_questions_does_not_fill_a_task(spark, monkeypatch):
     best = r.best_tables(tables, fields, asked).select("question_id", "table_id", "score", "rank")
     assert rows(best.filter("question_id IS NOT NULL")) == sorted(want, key=repr)
     assert rows(best.filter("question_id IS NULL").select("table_id", "score")) == [(5000, 1.0)]
+
+
+def test_every_table_that_keywords_touch_is_scored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(r, "PAIRS_PER_TASK", 500)
+    d, parts = str(tmp_path), 90
+    spark.range(parts).select(
+        F.col("id").alias("p_partkey"), F.when(F.col("id") % 3 == 0, "small ring").otherwise("large gizmo").alias("p_name"), F.lit("Brand#1").alias("p_brand"),
+        F.lit("PROMO TIN").alias("p_type"), F.lit(7).alias("p_size"),
+    ).coalesce(1).write.parquet(f"{d}/part.parquet")
+    spark.range(20).select((F.col("id") * 35).alias("conv_id"), F.lit("user").alias("role"), F.when(F.col("id") < 18, 0).alias("turn"), F.lit("a ring").alias("text")).coalesce(1).write.parquet(f"{d}/conversations.parquet")
+    # Questions with an id ask for ring and gizmo, of which each table's name holds one; those without ask for promo.
+    out = QUERIES["keyword_scores"](spark, d)
+    got = rows(out.groupBy("question_id").agg(F.count(F.lit(1)).alias("tables"), F.countDistinct("table_id").alias("distinct")))
+    assert got == sorted([(i * 35000, parts, parts) for i in range(18)] + [(None, parts, parts)], key=repr)
+    assert {x["score"] for x in out.filter("question_id IS NOT NULL").select("score").distinct().collect()} == {0.16, 0.19}
+    tables, fields = spark.createDataFrame([(i, "ring", "") for i in range(50)], "table_id bigint, name string, comment string"), spark.createDataFrame([], "table_id bigint, field_name string, comment string")
+    asked = spark.createDataFrame([(1, "ring"), (None, "ring"), (2, "none")], "question_id bigint, keyword string")
+    assert rows(r.keyword_scores(tables, fields, asked)) == sorted([(1, i, 1.0) for i in range(50)], key=repr)
+    assert rows(r.keyword_scores(tables, fields, asked, unnamed=True)) == sorted([(q, i, 1.0) for q in (1, None) for i in range(50)], key=repr)
