@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from palisade.functions import within
 from palisade.operators import chain as c
 from palisade.operators import discover
 from palisade.operators import policy as p
@@ -148,3 +151,56 @@ def test_every_table_that_keywords_touch_is_scored(spark, tmp_path, monkeypatch)
     asked = spark.createDataFrame([(1, "ring"), (None, "ring"), (2, "none")], "question_id bigint, keyword string")
     assert rows(r.keyword_scores(tables, fields, asked)) == sorted([(1, i, 1.0) for i in range(50)], key=repr)
     assert rows(r.keyword_scores(tables, fields, asked, unnamed=True)) == sorted([(q, i, 1.0) for q in (1, None) for i in range(50)], key=repr)
+
+
+def test_phrases_are_found_by_their_windows(monkeypatch):
+    monkeypatch.setattr(within, "BYTES_AT_ONCE", 64)
+    monkeypatch.setattr(within, "PAIRS_AT_ONCE", 5)
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("aab\u00e9", k=draw.randint(1, 90))) for _ in range(60)] + ["a" * 70, "b", "\u00e9", "\u20ac uro"]
+    phrases = sorted({x[i : i + n] for x in texts for n in (1, 2, 3, 4, 5, 8, 9, 16, 17, 31, 64, 65) for i in range(0, len(x) - n + 1, 7)} | {"ba" * n for n in range(1, 30)} | {"x", "a" * 91})
+    rows_, hashed = pa.array(phrases), next(within._hashed(iter([pa.RecordBatch.from_arrays([pa.array(phrases), pa.array(range(len(phrases)))], names=["text", "own"])])))
+    start, end, size = (hashed.column(k).to_numpy() for k in (1, 2, 3))
+    assert size.tolist() == [len(x.encode()) for x in phrases]
+    found = within._Phrases(start.view("uint64"), end.view("uint64"), size)
+    got = []
+    for data, sizes, first in within._pieces(pa.array(["skipped", *texts])[1:]):
+        got += [(int(t) + first, rows_[int(k)].as_py()) for t, k in zip(*found.find(data, sizes))]
+    assert sorted(got) == sorted((i, x) for i, text in enumerate(texts) for x in phrases if x in text)
+    assert list(within._pieces(pa.array([], pa.string()))) == []
+
+
+def test_first_items_keep_what_a_budget_can_reach(spark):
+    draw = random.Random(5)
+    lists = [[(i, draw.randint(1, 12)) for i in sorted(draw.sample(range(60), 25))] for _ in range(40)]
+    frame = spark.createDataFrame([(k, [*x, x[-1]]) for k, x in enumerate(lists)], "k int, items array<struct<id:int,bytes:bigint>>")
+    kept = {x["k"]: [tuple(y) for y in x["items"]] for x in frame.select("k", within.first_items(F.col("items"), 4).alias("items")).collect()}
+    assert kept == {k: [x for i, x in enumerate(all_) if sum(y[1] <= x[1] for y in all_[:i]) < 4] for k, all_ in enumerate(lists)}
+    flat = [(k, i, n) for k, all_ in enumerate(lists) for i, n in all_]
+    group, place, size = (within.np.array(x) for x in zip(*draw.sample(flat * 2, len(flat) * 2)))
+    at = within.first_of(group, place, size, 4)
+    assert list(zip(group[at].tolist(), place[at].tolist(), size[at].tolist())) == [(k, i, n) for k in sorted(kept) for i, n in kept[k]]
+
+
+def test_examples_of_many_sizes_do_not_multiply(spark, monkeypatch):
+    monkeypatch.setattr(within, "PHRASES_PER_SCAN", 30)
+    words = [f"w{i}" for i in range(90)]
+    asked = [(q, " ".join(words[q % 7 :])) for q in range(40)] + [(50, "w8"), (51, "w"), (None, "w89")]
+    known = [(f"e{(i * 37) % 90:02d}", w.upper(), "d" * (1800 - 20 * i if i % 3 else 30 + i), True) for i, w in enumerate(words)] + [(None, "w1 w2", "d", True), ("e5", None, "d", True)]
+    met, inner = [], r._first_hits
+    monkeypatch.setattr(r, "_first_hits", lambda pairs, *a: met.append(pairs.count()) or inner(pairs, *a))
+    out = r.match_examples(spark.createDataFrame(asked, "question_id int, text string"), spark.createDataFrame(known, "example_id string, question string, description string, enabled boolean"))
+    want, every = [], 0
+    for q, text in asked:
+        hits = [(e or "", e, len(json.dumps({"question": w, "description": d}, separators=(",", ":")))) for e, w, d, _ in known if w and (w.lower() in text and q is not None or text in w.lower())]
+        every, used, taken = every + len(hits), 2, []
+        for _, e, size in sorted(hits, key=lambda x: x[0]):
+            if used + size + 1 <= r.MAX_HINT_BYTES and len(taken) < r.MAX_EXAMPLES:
+                used, taken = used + size + 1, [*taken, e]
+        want += [(q, at, e) for at, e in enumerate(taken, start=1)]
+    assert rows(out.select("question_id", "rank", "example_id")) == sorted(want, key=repr)
+    # Each example has a size of its own, and still only a few of the many that match a question are handed on.
+    assert met[0] * 4 < every
+    nothing = spark.createDataFrame([], "example_id string, question string, description string, enabled boolean")
+    assert r.match_examples(spark.createDataFrame(asked, "question_id int, text string"), nothing).count() == 0
+    assert r.match_examples(spark.createDataFrame([], "question_id int, text string"), spark.createDataFrame(known, nothing.schema)).count() == 0
